@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 LETTER = r"\p{IsAlphabetic}"
@@ -45,7 +46,7 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, BLANKS, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_key(texts: pd.Series) -> pd.Series:
     def key(text):
         if text is None:
@@ -54,12 +55,12 @@ def _fold_key(texts: pd.Series) -> pd.Series:
     return texts.map(key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from cuelake import fixed
 from cuelake.functions.replies import escape_controls, read_reply
@@ -14,6 +15,7 @@ from cuelake.operators.ordered import div, number_rows
 from cuelake.plans.cut import durable
 
 CUES = "array<struct<id:bigint,text:string>>"
+CUES_TYPE = ArrayType(StructType().add("id", LongType()).add("text", StringType()))
 MARKERS = ["\r\nAssistant:\r\n", "\nAssistant:\n", "Assistant:\r\n", "Assistant:\n"]
 THINK_END = "</think>"
 
@@ -33,7 +35,7 @@ def assistant_extract(text: Column) -> Column:
     return strip(_after_last(strip(answer), THINK_END))
 
 
-@F.pandas_udf(CUES)
+@F.pandas_udf(CUES_TYPE)
 def _read_replies(replies: pd.Series) -> pd.Series:
     def one(reply):
         cues = None if reply is None else read_reply(reply)
@@ -41,7 +43,7 @@ def _read_replies(replies: pd.Series) -> pd.Series:
     return replies.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _escape_controls(replies: pd.Series) -> pd.Series:
     return replies.map(lambda r: None if r is None else escape_controls(r))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from cuelake import fixed
 from cuelake.functions.thumbnails import subtitle_change
@@ -264,7 +265,7 @@ def thumbnail_downsample(images: DataFrame) -> DataFrame:
             .withColumnsRenamed({"rows": "height", "columns": "width"}))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _changed_band(now: pd.Series, height: pd.Series, width: pd.Series, before: pd.Series,
                   height_before: pd.Series, width_before: pd.Series) -> pd.Series:
     def one(a, ah, aw, b, bh, bw):

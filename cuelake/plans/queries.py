@@ -140,7 +140,7 @@ def region_frame_map(s, d):
         F.col("right").alias("h"), pick(1920, 1080, 640, 0).alias("video_width"),
         pick(1080, 1920, 480, 0).alias("video_height"))
     return regions.region_frame_map(boxes, 400.0, 400.0).select(
-        "vec_id", *[F.round(c, 6).alias(c) for c in ("out_x", "out_y", "out_w", "out_h")])
+        "vec_id", *[F.round(c, 10).alias(c) for c in ("out_x", "out_y", "out_w", "out_h")])
 
 
 @query
@@ -632,8 +632,8 @@ def attempt_rollup(s, d):
 
 def _metrics(s, d):
     v = F.col("value")
-    stages = F.create_map(F.lit("detector_forward_seconds"), F.round(v / 4, 3),
-                          F.lit("recognizer_forward_seconds"), F.round(v / 2, 3), F.lit("other"), v)
+    stages = F.create_map(F.lit("detector_forward_seconds"), F.floor(v) / 4,
+                          F.lit("recognizer_forward_seconds"), F.floor(v) / 2, F.lit("other"), v)
     return V.table(s, d, "events").select(F.col("event_id").alias("run_id"), F.to_json(F.struct(
         (v * 2).alias("elapsed_seconds"), F.when(F.col("event_id") % 2 == 0, v).otherwise(v / 2).alias("ocr_total_seconds"),
         F.col("event_id").alias("sample_count"), F.lit(3).alias("ocr_count"), stages.alias("ocr_stage_seconds"))).alias("metrics"))

@@ -234,7 +234,7 @@ def decisions_v(spark, sf_dir) -> DataFrame:
     n = F.length("text")
     return cues_v(spark, sf_dir).select(
         "track_id", "pos",
-        F.when(n % 7 == 0, " ").when(n % 5 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+        F.when(n % 7 == 0, " ").when(n % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
 
 
 def cue_texts_v(spark, sf_dir) -> DataFrame:
