@@ -46,13 +46,13 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, BLANKS, " "))
 
 
+def fold_text(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", text.casefold()) if c.isalnum())
+
+
 @F.pandas_udf(StringType())
 def _fold_key(texts: pd.Series) -> pd.Series:
-    def key(text):
-        if text is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKC", text.casefold()) if c.isalnum())
-    return texts.map(key)
+    return texts.map(lambda t: None if t is None else fold_text(t))
 
 
 @F.pandas_udf(StringType())

@@ -48,6 +48,12 @@ VIEWS = {
     "linked": r"""SELECT *, coalesce(lead(event_us) OVER w, last_us + 500000) AS next_us, lag(text) OVER w AS before
         FROM ocr_events WINDOW w AS (PARTITION BY track_id ORDER BY n)""",
     "intervals": r"""SELECT *, CASE WHEN next_us <= event_us THEN event_us + 500000 ELSE next_us END AS end_us FROM linked""",
+    "retimed": r"""SELECT track_id, idx, pts_ms AS ms, false AS repaired FROM frames_v WHERE idx = 0
+        UNION ALL SELECT f.track_id, f.idx, CASE WHEN f.pts_ms > r.ms THEN f.pts_ms ELSE greatest(f.idx * 250, r.ms + 250) END, f.pts_ms <= r.ms
+        FROM retimed r JOIN frames_v f ON f.track_id = r.track_id AND f.idx = r.idx + 1""",
+    "retimed_gate": r"""SELECT r.track_id, s.n, r.ms, true AS kept, r.ms AS clock FROM retimed r JOIN samples_v s ON s.track_id = r.track_id AND s.n = 1 WHERE r.idx = 0
+        UNION ALL SELECT g.track_id, s.n, r.ms, s.changed OR r.ms - g.clock >= 1000, CASE WHEN s.changed OR r.ms - g.clock >= 1000 THEN r.ms ELSE g.clock END
+        FROM retimed_gate g JOIN samples_v s ON s.track_id = g.track_id AND s.n = g.n + 1 JOIN retimed r ON r.track_id = g.track_id AND r.idx = g.n""",
     "steps_v": r"""SELECT track_id AS crop_id, n AS step, event_type AS class, value / 500 AS score FROM ev""",
     "collapsed": r"""SELECT * FROM (SELECT *, lag(class) OVER (PARTITION BY crop_id ORDER BY step) AS before FROM steps_v)
         WHERE class <> 'view' AND class IS DISTINCT FROM before""",
@@ -161,7 +167,7 @@ VIEWS = {
     "saves": r"""SELECT track_id, content, CASE WHEN content = '' THEN 'SIZE' WHEN NOT contains(content, ' --> ') THEN 'NO_TIMECODE' END AS reason,
         replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS lf FROM texts_v""",
 }
-RECURSIVE = {"repaired", "gate", "packed", "tries"}
+RECURSIVE = {"repaired", "gate", "packed", "tries", "retimed", "retimed_gate"}
 
 
 def code(ms: str) -> str:
@@ -367,6 +373,14 @@ SQL["prompt_text"] = r"""SELECT k.track_id, k.chunk_no, 'Translate into German.
         CASE WHEN n = 1 THEN targets[1].text ELSE CAST(to_json(targets) AS VARCHAR) END AS prompt
         FROM (SELECT track_id, (pos - 1) // 8 AS chunk_no, count(*) AS n, list({'id': pos, 'text': text} ORDER BY pos) AS targets FROM cues_v WHERE regexp_matches(text, '\p{L}') GROUP BY 1, 2) k"""
 
+SQL["stream_ocr_gate"] = "SELECT track_id, n, ms * 1000 AS ts_us, kept FROM retimed_gate"
+SQL["stream_late_audit"] = "SELECT track_id, count(*) AS samples, count(*) FILTER (repaired) AS repaired FROM retimed GROUP BY 1"
+SQL["stream_cues"] = SQL["cue_build"]
+SQL["stream_progress"] = r"""SELECT run_id, max(CASE WHEN p <= 99 THEN p END) AS percent,
+    count(*) FILTER (p <= 99 OR line LIKE '1/2%' OR line LIKE '%RESULT START%') AS lines
+    FROM (SELECT *, TRY_CAST(regexp_extract(line, '^OCRProgress=(\d+)$', 1) AS BIGINT) AS p FROM logs_v) GROUP BY 1
+    HAVING count(*) FILTER (p <= 99 OR line LIKE '1/2%' OR line LIKE '%RESULT START%') > 0"""
+
 KEPT_RAW = "(SELECT * FROM raw_cues_v WHERE text <> '')"
 
 

@@ -12,6 +12,8 @@ from cuelake.operators.ordered import BLOCK, div, number_rows, scan, total
 from cuelake.plans.cut import durable
 from cuelake.sources import cuefiles
 from cuelake.sources import tables as V
+from cuelake.streaming import tracks
+from cuelake.streaming.replay import replay
 
 SIX_HOURS_US = 6 * 3_600_000_000
 QUERIES = {}
@@ -689,3 +691,30 @@ def incremental_verify(s, d):
                .select("path", "size", F.when(F.col("doc_id") % 4 == 0, F.col("mtime")).otherwise(F.col("mtime") + 1)
                        .alias("mtime"), F.sha2("content", 256).alias("sha256")))
     return integrity.incremental_verify(assets, V.manifest_v(s, d), checked)
+
+
+# Streams
+
+def _gate_stream(s, d):
+    return replay(V.stream_samples_v(s, d), "ts_us", lambda rows: tracks.stream_ocr_gate(rows, 1_000_000))
+
+
+@query
+def stream_ocr_gate(s, d):
+    return _gate_stream(s, d).select("track_id", "n", "ts_us", "kept")
+
+
+@query
+def stream_late_audit(s, d):
+    return tracks.stream_late_audit(_gate_stream(s, d))
+
+
+@query
+def stream_cues(s, d):
+    return replay(V.closing_samples_v(s, d), "ts_us", lambda rows: tracks.stream_cues(rows, SIX_HOURS_US))
+
+
+@query
+def stream_progress(s, d):
+    lines = V.logs_v(s, d).select("run_id", "line_no", "ts_us", "line")
+    return replay(lines, "ts_us", tracks.stream_progress, "update")
