@@ -5,33 +5,30 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
-NOT_ALNUM = r"[^\p{L}\p{N}]"
+NOT_ALNUM = r"[^\p{L}\p{N}]+"
 LETTER = r"\p{IsAlphabetic}"
-BLANKS = r"(?U)\s+"
+# Unicode White_Space without the plain space, as a class body
+RARE_BLANKS = "\\t-\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not just spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def count_matching(text: Column, keep: str) -> Column:
-    """Number of characters of the class ``keep`` (a class body such as ``\\p{L}``)."""
-    return F.length(F.regexp_replace(text, f"[^{keep}]", ""))
+    return F.trim(text, F.lit(BLANK_CHARS))
 
 
 def visible_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"(?U)\s", ""))
+    return F.length(F.regexp_replace(text, f"[{RARE_BLANKS} ]+", ""))
 
 
 def letter_count(text: Column) -> Column:
-    return count_matching(text, LETTER)
+    return F.length(F.regexp_replace(text, f"[^{LETTER}]+", ""))
 
 
 def number_count(text: Column) -> Column:
-    return count_matching(text, r"\p{N}")
+    return F.length(F.regexp_replace(text, r"\P{N}+", ""))
 
 
 def alnum_count(text: Column) -> Column:
@@ -43,7 +40,8 @@ def has_letter(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, BLANKS, " "))
+    """Trimmed, with every run of blanks as one space; single spaces are left alone."""
+    return strip(F.regexp_replace(text, f"[{RARE_BLANKS} ]{{2,}}|[{RARE_BLANKS}]", " "))
 
 
 def fold_text(text: str) -> str:
@@ -55,35 +53,24 @@ def _fold_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold_text(t))
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-@F.pandas_udf(StringType())
-def _casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
+@F.pandas_udf(StructType().add("body", StringType()).add("norm", StringType()))
+def exact_forms(texts: pd.Series) -> pd.DataFrame:
+    """NFC form, and that form with blanks collapsed and casefolded."""
+    bodies = texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return pd.DataFrame({"body": bodies, "norm": bodies.map(
+        lambda t: None if t is None else " ".join(t.split()).casefold())})
 
 
 # Characters for which lower case equals casefold and NFC/NFKC change nothing.
 STABLE = r"^[\t-\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00DE\u00E0-\u00F6\u00F8-\u00FF\u4E00-\u9FFF]*$"
 
 
-def _native_where_stable(text: Column, native: Column, exact) -> Column:
-    """Native expression for stable text; only the other rows carry text to Python."""
-    stable = text.rlike(STABLE)
-    return F.when(stable, native).otherwise(exact(F.when(~stable, text)))
+def is_stable(text: Column) -> Column:
+    return text.rlike(STABLE)
 
 
 def text_key(text: Column) -> Column:
     """Comparison key: casefold, NFKC, letters and digits only."""
-    return _native_where_stable(text, F.lower(F.regexp_replace(text, NOT_ALNUM, "")), _fold_key)
-
-
-def nfc(text: Column) -> Column:
-    return _native_where_stable(text, text, _nfc)
-
-
-def norm_body(text: Column) -> Column:
-    """Body for duplicate tests: blanks collapsed, casefold."""
-    return _native_where_stable(text, F.lower(squeeze(text)), lambda t: _casefold(squeeze(t)))
+    stable = is_stable(text)
+    return (F.when(stable, F.lower(F.regexp_replace(text, NOT_ALNUM, "")))
+            .otherwise(_fold_key(F.when(~stable, text))))

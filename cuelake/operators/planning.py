@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import has_letter, letter_count, number_count, strip, visible_count
+from cuelake.functions.text import LETTER, has_letter, letter_count, number_count, strip, visible_count
 from cuelake.operators.ordered import BLOCK, div, lag, lead, running_sum, scan, total
 
 TRACK = ["track_id"]
@@ -21,18 +21,24 @@ def cue_shape(cues: DataFrame) -> DataFrame:
             .withColumn("numeric", number_count(text)))
 
 
+def _weak(text):
+    """At most four visible characters and at most one letter."""
+    return F.when(visible_count(text) > 4, False).otherwise(letter_count(text) <= 1)
+
+
 def weak_fragment(cues: DataFrame) -> DataFrame:
-    return cue_shape(cues).withColumn("weak", (F.col("visible") <= 4) & (F.col("alphabetic") <= 1))
+    return cues.withColumn("weak", _weak(F.col("text")))
 
 
 def strong_prefilter(cues: DataFrame) -> DataFrame:
     """Cues that strong cleanup removes without asking a model."""
     near = scan(weak_fragment(cues), TRACK, ["pos"], weak_before=lag(F.col("weak")),
                 weak_after=lead(F.col("weak")))
-    bare = (F.col("visible") == 0) | ((F.col("alphabetic") == 0) & (F.col("numeric") == 0))
+    text = F.col("text")
+    bare = ~text.rlike(rf"[{LETTER}\p{{N}}]")
     neighbour = F.coalesce("weak_before", F.lit(False)) | F.coalesce("weak_after", F.lit(False))
-    debris = neighbour & F.col("weak") & ((F.col("numeric") > 0) | (F.col("alphabetic") == 0))
-    return near.withColumn("remove", bare | debris).drop("weak_before", "weak_after")
+    debris = F.col("weak") & neighbour & (text.rlike(r"\p{N}") | ~has_letter(text))
+    return near.withColumn("remove", bare | debris).drop("weak_before", "weak_after", "weak")
 
 
 def needs_translation(cues: DataFrame) -> DataFrame:
@@ -137,8 +143,7 @@ def work_split(cues: DataFrame, mode: str, strength: str = "balanced") -> DataFr
         decision = F.when(~F.col("needed"), F.col("text"))
     else:
         routed, decision = cues.withColumn("route", F.lit("model")), F.lit(None).cast("string")
-    return chunk_assign(routed, mode).withColumn("decision", decision).drop(
-        "visible", "alphabetic", "numeric", "weak", "remove", "needed")
+    return chunk_assign(routed, mode).withColumn("decision", decision).drop("remove", "needed")
 
 
 def chunk_work(split: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import nfc, norm_body, squeeze, strip
+from cuelake.functions.text import exact_forms, is_stable, squeeze, strip
 from cuelake.operators.ordered import BLOCK, lag, number_rows, scan, total
 
 TRACK = ["track_id"]
@@ -36,8 +36,15 @@ def drop_empty(cues: DataFrame) -> DataFrame:
 
 
 def body_normalise(cues: DataFrame) -> DataFrame:
-    body = nfc(strip(F.col("text")))
-    return cues.withColumn("body", body).withColumn("norm", norm_body(F.col("body")))
+    """Body in NFC and the form duplicates are compared in.
+
+    Only texts outside the stable characters reach Python; for the others it gets nulls.
+    """
+    trimmed = cues.withColumn("body", strip(F.col("text"))).withColumn("stable", is_stable(F.col("body")))
+    return (trimmed.withColumn("exact", exact_forms(F.when(~F.col("stable"), F.col("body"))))
+            .withColumn("norm", F.when(F.col("stable"), F.lower(squeeze(F.col("body")))).otherwise(F.col("exact.norm")))
+            .withColumn("body", F.when(F.col("stable"), F.col("body")).otherwise(F.col("exact.body")))
+            .drop("exact", "stable"))
 
 
 def renumber(cues: DataFrame) -> DataFrame:

@@ -86,11 +86,30 @@ def repair_times(rows, last):
     return times, replaced, last
 
 
-def _repair_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("idx")
-    times, replaced, _ = repair_times(zip(pdf["idx"], pdf["pts_ms"], pdf["fps"]),
-                                      float(pdf["entry"].iloc[0]))
-    return pdf.drop(columns="entry").assign(ts_us=times, repaired=replaced)
+def _walk_blocks(batches, walk, start, columns, out):
+    """Run ``walk(rows, state)`` along sorted batches; the state restarts at each new block.
+
+    A batch may hold many small blocks and a block may span batches; nothing is collected.
+    """
+    block = state = None
+    for pdf in batches:
+        keys = list(zip(pdf["track_id"], pdf[BLOCK]))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        rows = list(zip(*(pdf[c].tolist() for c in columns)))
+        entries, results = pdf["entry"].tolist(), [[] for _ in out]
+        for first, past in zip(cuts, cuts[1:]):
+            if first < past:
+                if keys[first] != block:
+                    block, state = keys[first], start(entries[first])
+                *found, state = walk(rows[first:past], state)
+                for result, values in zip(results, found):
+                    result.extend(values)
+        yield pdf.drop(columns="entry").assign(**dict(zip(out, results)))
+
+
+def _sorted_blocks(rows: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+    keys = ["track_id", BLOCK]
+    return rows.repartition(*keys).join(entries, keys, "left").sortWithinPartitions(*keys, *order)
 
 
 def pts_repair(samples: DataFrame) -> DataFrame:
@@ -102,11 +121,12 @@ def pts_repair(samples: DataFrame) -> DataFrame:
                                                "exit_at double, floor double, shift double")
                .groupBy("track_id")
                .applyInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry double"))
-    return (rows.join(entries, keys, "left")
-            .withColumn("entry", F.coalesce("entry", F.lit(-1.0)))
-            .groupBy(*keys)
-            .applyInPandas(_repair_block, f"track_id long, {BLOCK} long, idx long, pts_ms double, "
-                                          "fps double, ts_us long, repaired boolean"))
+
+    def run(batches):
+        return _walk_blocks(batches, repair_times, lambda entry: -1.0 if pd.isna(entry) else entry,
+                            ["idx", "pts_ms", "fps"], ["ts_us", "repaired"])
+    return _sorted_blocks(rows, entries, ["idx"]).mapInPandas(
+        run, f"track_id long, {BLOCK} long, idx long, pts_ms double, fps double, ts_us long, repaired boolean")
 
 
 def track_duration(frames: DataFrame, repaired: DataFrame) -> DataFrame:
@@ -126,10 +146,10 @@ def track_duration(frames: DataFrame, repaired: DataFrame) -> DataFrame:
 # the first kept one.  ``upper``/``exit`` list those choices, equal exits merged;
 # ``sure`` says that the last choice is kept whatever came before.
 
-def gate_walk(times, changed, last, interval):
-    """Kept flags of ordered samples after a last kept time (None before the first)."""
+def gate_walk(rows, last, interval):
+    """Kept flags of ordered (time, changed) rows after a last kept time (None before the first)."""
     kept = []
-    for time, change in zip(times, changed):
+    for time, change in rows:
         keep = last is None or change or time - last >= interval
         if keep:
             last = time
@@ -184,16 +204,6 @@ def _gate_entries(interval):
     return run
 
 
-def _gate_block(interval):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "n"])
-        entry = pdf["entry"].iloc[0]
-        kept, _ = gate_walk(pdf["ts_us"].tolist(), pdf["changed"].tolist(),
-                            None if pd.isna(entry) else int(entry), interval)
-        return pdf.drop(columns="entry").assign(kept=kept)
-    return run
-
-
 def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
     """Flag the samples to recognise: the first, changed ones, and one per interval."""
     keys = ["track_id", BLOCK]
@@ -205,11 +215,13 @@ def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
                               "exits array<long>, sure boolean")
                .groupBy("track_id")
                .applyInPandas(_gate_entries(interval_us), f"track_id long, {BLOCK} long, entry long"))
-    return (rows.join(entries, keys, "left")
-            .groupBy(*keys)
-            .applyInPandas(_gate_block(interval_us),
-                           f"track_id long, {BLOCK} long, n long, ts_us long, text string, "
-                           "changed boolean, kept boolean"))
+
+    def run(batches):
+        return _walk_blocks(batches, lambda rows, last: gate_walk(rows, last, interval_us),
+                            lambda entry: None if pd.isna(entry) else int(entry),
+                            ["ts_us", "changed"], ["kept"])
+    return _sorted_blocks(rows, entries, ["ts_us", "n"]).mapInPandas(
+        run, f"track_id long, {BLOCK} long, n long, ts_us long, text string, changed boolean, kept boolean")
 
 
 def gate_context(gated: DataFrame) -> DataFrame:

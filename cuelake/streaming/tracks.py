@@ -60,7 +60,7 @@ class _Gate(_TrackProcessor):
     def handleInputRows(self, key, rows, timers):
         state, pdf = self.load(), _ordered(rows, "n")
         times, repaired, last = repair_times(zip(pdf["n"] - 1, pdf["pts_ms"], pdf["fps"]), state["last"])
-        kept, clock = gate_walk(times, pdf["changed"].tolist(), state["kept"], self.interval_us)
+        kept, clock = gate_walk(zip(times, pdf["changed"]), state["kept"], self.interval_us)
         self.save({"last": float(last), "kept": clock})
         yield pd.DataFrame({"track_id": key[0], "n": pdf["n"].to_numpy(), "ts_us": times,
                             "repaired": repaired, "kept": kept})
@@ -112,7 +112,7 @@ class _Cues(_TrackProcessor):
 
     def _sample(self, state, n, time, text, changed, done):
         prior, state["sample"] = state["sample"], time
-        (keep,), clock = gate_walk([time], [changed], state["kept"], self.interval_us)
+        (keep,), clock = gate_walk([(time, changed)], state["kept"], self.interval_us)
         if not keep:
             return
         prior_kept, state["kept"] = state["kept"], clock
