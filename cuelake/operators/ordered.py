@@ -92,6 +92,19 @@ def total_max(value) -> Step:
     return Step("total_max", value)
 
 
+def long_tracks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the tracks that have more than one block: the only ones that need carrying.
+
+    The test reads the block keys alone.  Where no track is long (or few are) the work of
+    the summaries vanishes, and with it the second pass over the wide columns.
+    """
+    block_keys = [*keys, BLOCK]
+    blocks = (df.select(*block_keys).distinct()
+              .withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+              .where("_blocks > 1").drop("_blocks"))
+    return df.join(blocks, block_keys, "left_semi")
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> DataFrame:
     """Add one column per step, each computed in track order across blocks."""
     block_keys = [*keys, BLOCK]
@@ -148,9 +161,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> Dat
         else:
             raise ValueError(step.kind)
 
-    carry = (df.groupBy(*block_keys).agg(*summary)
-             .select(*block_keys, *carried, F.count(F.lit(1)).over(track).alias("_blocks"))
-             .where("_blocks > 1").drop("_blocks"))
+    carry = long_tracks(df, keys).groupBy(*block_keys).agg(*summary).select(*block_keys, *carried)
     return (df.select("*", *here)
             .join(carry, block_keys, "left")
             .select(*df.columns, *joined))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake import fixed
 from cuelake.functions.text import exact_forms, is_stable, squeeze, strip
-from cuelake.operators.ordered import BLOCK, lag, number_rows, scan, total
+from cuelake.operators.ordered import BLOCK, lag, long_tracks, number_rows, scan, total
 
 TRACK = ["track_id"]
 ORDER = ["pos"]
@@ -67,21 +67,25 @@ def duplicate_merge(cues: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS) -> DataFr
     blocks = Window.partitionBy("track_id").orderBy(BLOCK)
     blocks_upto = blocks.rowsBetween(Window.unboundedPreceding, 0)
     blocks_before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    track = Window.partitionBy("track_id")
 
     new_run = F.when(F.lag("norm").over(block) == F.col("norm"), 0).otherwise(1)
     far = F.coalesce(F.col("start_ms") > F.col("reach") + gap_ms, F.lit(True))
-    merged = (cues.withColumn("new_run", new_run)
-              .withColumn("run", F.sum("new_run").over(upto))
-              .withColumn("reach", F.max("end_ms").over(in_run_before))
-              .withColumn("piece", F.max(F.when(far, F.col("pos"))).over(upto))
-              .groupBy(*keys, "run", "piece")
-              .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
-                   F.min_by("body", "pos").alias("body"), F.first("norm").alias("norm"),
-                   F.count(F.lit(1)).alias("parts")))
+
+    def merge_inside(rows):
+        return (rows.withColumn("new_run", new_run)
+                .withColumn("run", F.sum("new_run").over(upto))
+                .withColumn("reach", F.max("end_ms").over(in_run_before))
+                .withColumn("piece", F.max(F.when(far, F.col("pos"))).over(upto))
+                .groupBy(*keys, "run", "piece")
+                .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+                     F.min_by("body", "pos").alias("body"), F.first("norm").alias("norm"),
+                     F.count(F.lit(1)).alias("parts")))
+
+    merged = merge_inside(cues)
+    long = long_tracks(cues, TRACK)
 
     # one row per block: its first and last body and the reach of its last run
-    edge = (merged.groupBy(*keys)
+    edge = (merge_inside(long).groupBy(*keys)
             .agg(F.min_by("norm", "run").alias("first_norm"), F.max_by("norm", "run").alias("last_norm"),
                  F.max("run").alias("runs"),
                  F.max(F.struct("run", "end_ms"))["end_ms"].alias("last_reach")))
@@ -91,23 +95,22 @@ def duplicate_merge(cues: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS) -> DataFr
             .withColumn("stretch", F.sum(F.when(F.col("linked") & (F.col("runs") == 1), 0).otherwise(1))
                         .over(blocks_upto))
             .withColumn("_reach", F.max(F.struct("stretch", "last_reach")).over(blocks_before)["last_reach"])
-            .withColumn("_blocks", F.count(F.lit(1)).over(track))
-            .where((F.col("_blocks") > 1) & F.col("linked"))
+            .where("linked")
             .select(*keys, F.col("_reach").alias("carried_reach")))
 
     opening = Window.partitionBy(*keys, "run").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     piece_order = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.greatest("carried_reach", F.max("end_ms").over(opening))
     alone = ((F.col("run") > 1) | F.col("carried_reach").isNull() | (F.col("start_ms") > reach + gap_ms))
-    settled = (merged.join(edge, keys, "left")
-               .withColumn("own", F.when(alone, F.col("piece")))
-               .withColumn("cue_pos", F.max("own").over(piece_order)))
+
+    def settle(pieces):
+        return (pieces.join(edge, keys, "left").withColumn("own", F.when(alone, F.col("piece")))
+                .withColumn("cue_pos", F.max("own").over(piece_order)))
 
     # rows before the first own cue of a block belong to the last cue of an earlier block
-    tail = (settled.groupBy(*keys).agg(F.max("cue_pos").alias("_last"))
-            .select(*keys, F.max("_last").over(blocks_before).alias("_carried"),
-                    F.count(F.lit(1)).over(track).alias("_blocks"))
-            .where("_blocks > 1").drop("_blocks"))
+    tail = (settle(merge_inside(long)).groupBy(*keys).agg(F.max("cue_pos").alias("_last"))
+            .select(*keys, F.max("_last").over(blocks_before).alias("_carried")))
+    settled = settle(merged)
     return (settled.join(tail, keys, "left")
             .withColumn("cue_pos", F.coalesce("cue_pos", "_carried"))
             .groupBy("track_id", "cue_pos")

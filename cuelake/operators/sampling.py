@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cuelake import fixed
 from cuelake.functions.thumbnails import subtitle_change
-from cuelake.operators.ordered import BLOCK, lag, last_before, scan, total_max
+from cuelake.operators.ordered import BLOCK, lag, last_before, long_tracks, scan, total_max
 
 TRACK = ["track_id"]
 
@@ -35,15 +35,6 @@ def decoded_high_water(frames: DataFrame) -> DataFrame:
 # blocks a first pass reduces each block to one row: its exit state as a function of
 # its entry state.  Those rows are chained per track and give each block its entry.
 
-def _several_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of tracks with more than one block; normally few, none for short tracks."""
-    track = Window.partitionBy("track_id")
-    blocks = (rows.groupBy("track_id", BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
-              .withColumn("_blocks", F.count(F.lit(1)).over(track))
-              .where("_blocks > 1").select("track_id", BLOCK))
-    return rows.join(blocks, ["track_id", BLOCK], "left_semi")
-
-
 # Time repair: entries below ``below`` end at ``exit_at``, later ones at
 # max(floor, entry + shift).
 
@@ -116,7 +107,7 @@ def pts_repair(samples: DataFrame) -> DataFrame:
     """Strictly rising sample times; an unusable presentation time is replaced, never dropped."""
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "idx", F.col("pts_ms").cast("double").alias("pts_ms"), "fps")
-    entries = (_several_blocks(rows).groupBy(*keys)
+    entries = (long_tracks(rows, TRACK).groupBy(*keys)
                .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below double, "
                                                "exit_at double, floor double, shift double")
                .groupBy("track_id")
@@ -209,7 +200,7 @@ def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "n", "ts_us", "text", "changed")
     order = rows.select(*keys, "n", "ts_us", "changed")
-    entries = (_several_blocks(order).groupBy(*keys)
+    entries = (long_tracks(order, TRACK).groupBy(*keys)
                .applyInPandas(_gate_summary(interval_us),
                               f"track_id long, {BLOCK} long, upper array<long>, "
                               "exits array<long>, sure boolean")

@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark, sf_dir, separator):
-    """Non-blank pieces of each text with place in the text and dense position, no shuffle."""
+    """Non-blank pieces of each text with place in the text and dense position.
+
+    A track is one row here, so the compact texts are hashed on the track before they are
+    split up: every later window and aggregate on the track finds its rows in place, and
+    the much larger split rows are not shuffled.  No key can be hot, a key is one row.
+    """
     numbered = F.transform(F.split("text", separator),
                            lambda t, i: F.struct((i + 1).cast("long").alias("cue_no"), t.alias("text")))
     kept = F.filter(numbered, lambda r: r["text"].rlike(r"\S"))
-    return (table(spark, sf_dir, "documents")
+    return (table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
             .select(F.col("doc_id").alias("track_id"), F.posexplode(kept).alias("_p", "_r"))
             .select("track_id", (F.col("_p") + 1).cast("long").alias("pos"), "_r.cue_no", "_r.text"))
 
