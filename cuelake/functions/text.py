@@ -53,12 +53,15 @@ def _fold_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold_text(t))
 
 
+def norm_body_value(body: str) -> str:
+    return " ".join(body.split()).casefold()
+
+
 @F.pandas_udf(StructType().add("body", StringType()).add("norm", StringType()))
 def exact_forms(texts: pd.Series) -> pd.DataFrame:
     """NFC form, and that form with blanks collapsed and casefolded."""
     bodies = texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-    return pd.DataFrame({"body": bodies, "norm": bodies.map(
-        lambda t: None if t is None else " ".join(t.split()).casefold())})
+    return pd.DataFrame({"body": bodies, "norm": bodies.map(lambda t: None if t is None else norm_body_value(t))})
 
 
 # Characters for which lower case equals casefold and NFC/NFKC change nothing.

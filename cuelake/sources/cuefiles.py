@@ -16,14 +16,16 @@ HEADER = rf"(?m)^[ \t]*(\d+)[ \t]*\r?\n({TIME}) --> ({TIME})[ \t]*\r?\n"
 
 
 def read_cue_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file with its bytes; ``subtitle_file_guard`` turns them into text."""
+    """One row per file with its bytes; ``subtitle_file_guard`` turns them into text.
+
+    Spark's file sources pass over files of length zero, so those give no row at all.
+    """
     return (spark.read.format("binaryFile").load(folder)
             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"))
 
 
 def subtitle_file_guard(files: DataFrame) -> DataFrame:
     """Adds ``reason`` (null for usable files) and ``text``."""
-    text = F.expr("decode(content, 'UTF-8')")
     reason = (F.when(~F.lower("path").rlike(r"\.srt$"), "EXTENSION")
               .when((F.col("size") == 0) | (F.col("size") > fixed.MAX_CUE_FILE_BYTES), "SIZE")
               .when(~F.is_valid_utf8(F.col("content").cast("string")), "UTF8")
@@ -48,13 +50,12 @@ def srt_parse_strict(files: DataFrame) -> DataFrame:
 
     Needs ``track_id, content``.  Cues carry ``status`` OK or INVALID_TIMECODE.
     """
-    content = F.regexp_replace("content", "^﻿", "")
-    pieces = F.split(content, HEADER)
+    pieces = F.split("content", HEADER)
     fields = [F.regexp_extract_all("content", F.lit(HEADER), F.lit(i)) for i in (1, 2, 3)]
     rows = F.transform(F.arrays_zip(*[f.alias(n) for f, n in zip(fields, ("no", "start", "end"))]),
                        lambda r, i: F.struct(r["no"].alias("no"), r["start"].alias("start"),
                                              r["end"].alias("end"), F.get("pieces", i + 1).alias("body")))
-    parsed = (files.withColumn("pieces", pieces)
+    parsed = (files.withColumn("content", F.regexp_replace("content", "^\\x{FEFF}", "")).withColumn("pieces", pieces)
               .withColumn("valid", (F.size("pieces") > 1) & (strip(F.col("pieces")[0]) == ""))
               .select("track_id", "valid", F.posexplode_outer(F.when(F.col("valid"), rows)).alias("_p", "r")))
     start, end = parse_ms(F.col("r.start")), parse_ms(F.col("r.end"))
