@@ -7,13 +7,12 @@ Cues need ``pos`` counting from 1 without gaps (``quality.renumber`` gives it).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import strip
 from cuelake.functions.timecode import format_ms
-from cuelake.operators.ordered import div
+from cuelake.operators.ordered import lead, scan
 from cuelake.operators.recognise import PART_ROWS, join_in_order
 
 LF = "\n"
@@ -23,9 +22,8 @@ def line_endings(content):
     return F.regexp_replace(content, "\r\n?", LF)
 
 
-def _file(cues: DataFrame, block, separator: str, part_cues: int) -> DataFrame:
-    return join_in_order(cues.withColumn("block", block), ["track_id"], "pos", "block", separator,
-                         "content", part_cues)
+def _file(cues: DataFrame, block, part_cues: int) -> DataFrame:
+    return join_in_order(cues.withColumn("block", block), ["track_id"], "pos", "block", "", "content", part_cues)
 
 
 def export_srt(cues: DataFrame, minimum_ms: int = 0, part_cues: int = PART_ROWS) -> DataFrame:
@@ -33,26 +31,17 @@ def export_srt(cues: DataFrame, minimum_ms: int = 0, part_cues: int = PART_ROWS)
     end = F.greatest(F.col("start_ms") + minimum_ms, F.col("end_ms"))
     block = F.concat(F.col("pos").cast("string"), F.lit(LF), format_ms(F.col("start_ms")),
                      F.lit(fixed.ARROW), format_ms(end), F.lit(LF), F.col("text"), F.lit(LF + LF))
-    return _file(cues, block, "", part_cues)
-
-
-def _is_edge():
-    """Whether a part is the first or the last of its track."""
-    track = Window.partitionBy("track_id")
-    return F.col("part_no") == 0, F.col("part_no") == F.max("part_no").over(track)
+    return _file(cues, block, part_cues)
 
 
 def export_txt(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
-    return _file(cues, F.concat(F.replace("text", F.lit(LF), F.lit(" ")), F.lit(LF)), "", part_cues)
+    return _file(cues, F.concat(F.replace("text", F.lit(LF), F.lit(" ")), F.lit(LF)), part_cues)
 
 
 def export_md(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
     block = F.concat(F.lit("## "), format_ms(F.col("start_ms")), F.lit(" → "), format_ms(F.col("end_ms")),
                      F.lit(LF + LF), F.replace("text", F.lit(LF), F.lit("  " + LF)), F.lit(LF + LF))
-    first, _ = _is_edge()
-    return (_file(cues, block, "", part_cues)
-            .withColumn("content", F.when(first, F.concat(F.lit("# Subtitles\n\n"), F.col("content")))
-                        .otherwise(F.col("content"))))
+    return _file(cues, F.concat(F.when(F.col("pos") == 1, "# Subtitles\n\n").otherwise(""), block), part_cues)
 
 
 def escape_xml(text):
@@ -67,16 +56,14 @@ TTML_TAIL = "</div></body></tt>\n"
 
 
 def export_ttml(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
+    """The head goes before the first cue, the tail after the last one (needs ``blk``)."""
     def time(name):
         return F.replace(format_ms(F.col(name)), F.lit(","), F.lit("."))
     block = F.concat(F.lit('  <p begin="'), time("start_ms"), F.lit('" end="'), time("end_ms"), F.lit('">'),
                      F.replace(escape_xml(F.col("text")), F.lit(LF), F.lit("<br/>")), F.lit("</p>\n"))
-    parts = _file(cues, block, "", part_cues)
-    first, last = _is_edge()
-    return (parts.withColumn("_first", first).withColumn("_last", last)
-            .withColumn("content", F.concat(F.when(F.col("_first"), TTML_HEAD).otherwise(""), F.col("content"),
-                                            F.when(F.col("_last"), TTML_TAIL).otherwise("")))
-            .drop("_first", "_last"))
+    ends = scan(cues, ["track_id"], ["pos"], following=lead(F.col("pos")))
+    return _file(ends, F.concat(F.when(F.col("pos") == 1, TTML_HEAD).otherwise(""), block,
+                                F.when(F.col("following").isNull(), TTML_TAIL).otherwise("")), part_cues)
 
 
 def export_filename(path, mode, language, fmt):

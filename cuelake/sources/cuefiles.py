@@ -88,5 +88,5 @@ def srt_parse_lenient(files: DataFrame) -> DataFrame:
 def write_parts(parts: DataFrame, folder: str) -> None:
     """One folder per track; its parts in name order are the file."""
     (parts.repartition("track_id", "part_no").sortWithinPartitions("track_id", "part_no")
-     .select("track_id", "part_no", F.regexp_replace("content", r"\n$", "").alias("value"))
+     .select("track_id", "part_no", F.regexp_replace("content", r"\n\z", "").alias("value"))
      .write.mode("errorifexists").partitionBy("track_id", "part_no").text(folder))

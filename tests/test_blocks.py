@@ -229,7 +229,7 @@ def test_summary_and_collapse_and_order(spark, size):
 def test_parts_keep_whole_files(spark):
     from cuelake.operators import export
     rows = [(1, p, p * 1000, p * 1000 + 500, f"t{p}") for p in range(1, 24)]
-    df = spark.createDataFrame(rows, "track_id long, pos long, start_ms long, end_ms long, text string")
+    df = blocked(spark.createDataFrame(rows, "track_id long, pos long, start_ms long, end_ms long, text string"), 7)
     for fn in (export.export_srt, export.export_txt, export.export_md, export.export_ttml):
         whole = fn(df).first().content
         parts = fn(df, part_cues=5).orderBy("part_no").collect()
