@@ -53,6 +53,12 @@ def _fold_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold_text(t))
 
 
+def at_most_two(text: Column, least: int) -> Column:
+    """Whether the text with blanks collapsed has ``least`` to two characters."""
+    blank = f"[{RARE_BLANKS} ]*"
+    return text.rlike(f"^{blank}[^{RARE_BLANKS} ]{{{least},2}}{blank}\\z")
+
+
 def norm_body_value(body: str) -> str:
     return " ".join(body.split()).casefold()
 

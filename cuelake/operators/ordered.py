@@ -46,6 +46,17 @@ def with_time_blocks(df: DataFrame, keys: list[str], time_us: str,
     return df.withColumn(BLOCK, div(F.col(time_us), busiest.scalar()))
 
 
+def with_crowd_blocks(df: DataFrame, keys: list[str], fine: Column, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One block per key, unless some key holds more than ``rows`` rows: then ``fine`` blocks.
+
+    ``fine`` must follow the order of the rows.  The size of the largest key is a scalar
+    subquery over the keys alone.
+    """
+    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n")))
+    return df.withColumn(BLOCK, F.when(largest.scalar() <= rows, F.lit(0)).otherwise(fine).cast("long"))
+
+
 @dataclass(frozen=True)
 class Step:
     kind: str

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import exact_forms, is_stable, squeeze, strip
+from cuelake.functions.text import at_most_two, exact_forms, is_stable, squeeze, strip
 from cuelake.operators.ordered import BLOCK, lag, long_tracks, number_rows, scan, total
 
 TRACK = ["track_id"]
@@ -125,11 +125,11 @@ def _lines(body):
 def quality_stats(cues: DataFrame) -> DataFrame:
     """Counters of merged cues per track."""
     lines = _lines(F.col("body"))
-    short_line = F.exists(lines, lambda x: (F.length(squeeze(x)) > 0) & (F.length(squeeze(x)) <= 2))
     return cues.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("cue_count"),
-        F.count_if(F.length(squeeze(F.col("body"))) <= 2).alias("suspect_cues"),
-        F.count_if(short_line).alias("short_line_cues"),
+        F.sum(F.col("parts") - 1).alias("duplicates_merged"),
+        F.count_if(at_most_two(F.col("body"), 0)).alias("suspect_cues"),
+        F.count_if(F.exists(lines, lambda x: at_most_two(x, 1))).alias("short_line_cues"),
         F.max(F.size(lines)).cast("long").alias("max_lines"),
         F.max(F.array_max(F.transform(lines, F.length))).cast("long").alias("max_line_chars"))
 
@@ -162,8 +162,7 @@ def normalize_track(cues: DataFrame) -> DataFrame:
         F.count_if("renumbered").alias("renumbered_cues"),
         F.count_if(strip(F.col("text")) == "").alias("empty_dropped"))
     merged = duplicate_merge(body_normalise(drop_empty(cues)))
-    stats = quality_stats(merged).join(
-        merged.groupBy("track_id").agg(F.sum(F.col("parts") - 1).alias("duplicates_merged")), "track_id")
+    stats = quality_stats(merged)
     kept = ["cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines",
             "max_line_chars"]
     status = (F.when(F.col("broken"), "INVALID_ORDER").when(F.col("cue_count").isNull(), "NO_TEXT")

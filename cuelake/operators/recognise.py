@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from cuelake import fixed
 from cuelake.functions.text import alnum_count, strip
-from cuelake.operators.ordered import (BLOCK, div, lag, number_rows, running_sum, scan, total,
-                                       total_max, with_blocks)
+from cuelake.operators.ordered import (BLOCK, BLOCK_ROWS, div, lag, number_rows, running_sum, scan, total,
+                                       total_max, with_crowd_blocks)
 
 PART_ROWS = 4096
 
@@ -126,14 +126,15 @@ def confidence_filter(results: DataFrame) -> DataFrame:
     return results.where(accepted(F.col("text"), F.col("confidence")))
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
+def reading_order(boxes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Text of each frame: lines by height band, then from the left, then as detected (``seq``)."""
     band = F.rint(F.col("y1") / F.greatest(F.lit(1.0), F.col("height") * fixed.LINE_BAND_SHARE)).cast("long")
     placed = (boxes.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
-              .withColumn("band", band)
-              # bands are few; columns of 16384 pixels split a frame with very many boxes
-              .withColumn(BLOCK, F.col("band") * (1 << 24) + div(F.col("x1").cast("long"), 16384)))
-    ranked = number_rows(placed, ["frame"], ["band", "x1", "seq"], "rank")
+              .withColumn("band", band))
+    # a frame with very many boxes splits by band and by columns of 256 pixels
+    fine = F.col("band") * (1 << 24) + div(F.col("x1").cast("long"), 256)
+    ranked = number_rows(with_crowd_blocks(placed, ["frame"], fine, block_rows), ["frame"], ["band", "x1", "seq"],
+                         "rank")
     return join_in_order(ranked, ["frame"], "rank", "text", "\n", "text")
 
 

@@ -285,7 +285,7 @@ SQL = {
     "drop_empty": r"SELECT track_id, pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM raw_cues_v WHERE text <> ''",
     "body_normalise": "SELECT track_id, pos, nfc_normalize(body) AS body, norm FROM bodies",
     "duplicate_merge": "SELECT track_id, cue_pos, start_ms, end_ms, body, parts FROM merged",
-    "quality_stats": "SELECT track_id, cue_count, suspect_cues, short_line_cues, max_lines, max_line_chars FROM stats",
+    "quality_stats": "SELECT track_id, cue_count, duplicates_merged, suspect_cues, short_line_cues, max_lines, max_line_chars FROM stats",
     "quality_label": "SELECT track_id, CASE WHEN greatest(suspect_cues, short_line_cues) > 0 THEN 'REVIEW_REQUIRED' ELSE 'READY_FOR_REVIEW' END AS quality FROM stats",
     "normalize_track": r"""SELECT track_id, status, CASE WHEN status = 'OK' THEN overlapping_cues END AS overlapping_cues, CASE WHEN status = 'OK' THEN renumbered_cues END AS renumbered_cues,
         CASE WHEN status = 'OK' THEN empty_dropped END AS empty_dropped, CASE WHEN status = 'OK' THEN cue_count END AS cue_count, CASE WHEN status = 'OK' THEN duplicates_merged END AS duplicates_merged,

@@ -8,7 +8,7 @@ from cuelake.functions import text as X
 from cuelake.functions import timecode
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses,
                                runs, sampling)
-from cuelake.operators.ordered import BLOCK, div, number_rows, scan, total
+from cuelake.operators.ordered import BLOCK, div, number_rows, scan, total, with_crowd_blocks
 from cuelake.plans.cut import durable
 from cuelake.sources import cuefiles
 from cuelake.sources import tables as V
@@ -280,8 +280,8 @@ def frame_batch_plan(s, d):
 @query
 def decision_parity(s, d):
     def side(boxes):
-        # place in the frame from columns that both sides share; columns of 16384 pixels bound a block
-        keyed = boxes.withColumn(BLOCK, div(F.col("x1"), 16384))
+        # place in the frame, from columns that both sides share
+        keyed = with_crowd_blocks(boxes, ["frame"], div(F.col("x1"), 256))
         return number_rows(keyed, ["frame"], ["x1", "crop_ref", "line_no", "y1", "text", "confidence"], "seq")
     return recognise.decision_parity(side(V.boxes_v(s, d)), side(V.candidate_v(s, d)), "frame", "seq")
 

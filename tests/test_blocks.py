@@ -234,3 +234,15 @@ def test_parts_keep_whole_files(spark):
         whole = fn(df).first().content
         parts = fn(df, part_cues=5).orderBy("part_no").collect()
         assert len(parts) == 5 and "".join(p.content for p in parts) == whole
+
+
+def test_reading_order_of_a_crowded_frame(spark):
+    rng = random.Random(1)
+    rows = [(0 if i % 3 else i, i, float(rng.randint(0, 99)), float(rng.randint(0, 5000)), 100.0, f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "frame long, seq long, y1 double, x1 double, height double, text string")
+    want = {}
+    for frame, seq, y, x, h, text in sorted(rows, key=lambda r: (r[0], round(r[2] / 6), r[3], r[1])):
+        want.setdefault(frame, []).append(text)
+    for size in (10, 10_000):
+        got = {r.frame: r.text.split("\n") for r in recognise.reading_order(df, size).collect()}
+        assert got == want
