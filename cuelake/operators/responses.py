@@ -139,10 +139,10 @@ def split_ranges(failed: DataFrame) -> DataFrame:
             .withColumn("first", F.col("half.first")).withColumn("past", F.col("half.past")).drop("half"))
 
 
-def retry_plan(ranges: DataFrame, ask, keys: list[str], max_rounds: int = 8) -> DataFrame:
+def retry_plan(ranges: DataFrame, ask, max_rounds: int = 8) -> DataFrame:
     """Ask for every range; split the failed ones until all are answered or stopped.
 
-    ``ask`` maps a frame of ranges (keys, first, past, round) to the same rows with
+    ``ask`` maps a frame of ranges (track, first, past, round) to the same rows with
     ``targets`` and ``error``.  Each round is written to the shared folder before it
     is split, so no range is ever asked twice, and rounds only hold what failed.
     A dozen cues need four splits, so the loop ends long before ``max_rounds``.

@@ -536,7 +536,7 @@ def retry_plan(s, d):
     flags = c.select("track_id", "pos", (n % 29 == 0).alias("odd"), (n % 211 == 0).alias("dead"))
     ranges = (planning.chunk_assign(c, "clean").groupBy("track_id", "chunk_no").agg(F.max("pos").alias("past"))
               .select("track_id", (F.col("chunk_no") * 12).alias("first"), "past"))
-    return responses.retry_plan(ranges, _ask(flags), ["track_id"]).select(
+    return responses.retry_plan(ranges, _ask(flags)).select(
         "track_id", "first", "past", F.col("round").cast("long").alias("round"), "targets", "action")
 
 

@@ -18,6 +18,7 @@ def replay(table: DataFrame, order: str, transform, mode: str = "append", slices
     Each slice is staged in the session's shared folder and taken in by a run of the query
     that continues from the checkpoint of the run before.  More slices make smaller
     micro-batches.  In update mode the result holds the latest row per first column.
+    State gets no more partitions than the session has cores: every partition keeps a store.
     """
     spark = table.sparkSession
     use_rocksdb(spark)
@@ -26,21 +27,32 @@ def replay(table: DataFrame, order: str, transform, mode: str = "append", slices
     low, high = rows.agg(F.min(order), F.max(order)).first()
     number = div(F.col(order) - low, (high - low) // slices + 1)
 
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
+    try:
+        schema = _run_slices(rows, number, slices, folder, transform, mode)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    if mode == "append":
+        return spark.read.schema(schema).parquet(f"{folder}/out")
+    out = spark.read.parquet(f"{folder}/out")
+    key, *values = schema.names
+    return out.groupBy(key).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
+
+
+def _run_slices(rows, number, slices, folder, transform, mode):
+    spark = rows.sparkSession
+
     def write_updates(batch, batch_id):
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/part={batch_id}")
 
     for piece in range(slices):
         rows.where(number == piece).write.mode("append").parquet(f"{folder}/in")
-        stream = transform(spark.readStream.schema(table.schema).parquet(f"{folder}/in"))
+        stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
         if mode == "append":
             run = writer.outputMode(mode).format("parquet").option("path", f"{folder}/out").start()
         else:
             run = writer.outputMode(mode).foreachBatch(write_updates).start()
         run.awaitTermination()
-
-    if mode == "append":
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    out = spark.read.parquet(f"{folder}/out")
-    key, values = stream.columns[0], stream.columns[1:]
-    return out.groupBy(key).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
+    return stream.schema
