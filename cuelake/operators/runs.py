@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake import fixed
 from cuelake.functions.text import strip
-from cuelake.operators.ordered import div, lag, running_sum, scan, total
-from cuelake.operators.recognise import join_in_order
+from cuelake.operators.ordered import div, lag, running_sum, scan
 
 RUN = ["run_id"]
 ANSI_COLOUR = "\\x1b\\[[0-9;]*m"

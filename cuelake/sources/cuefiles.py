@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuelake import fixed
 from cuelake.functions.text import strip
 from cuelake.functions.timecode import parse_ms
-from cuelake.operators.export import line_endings, srt_for_save
+from cuelake.operators.export import srt_for_save
 from cuelake.operators.ordered import with_blocks
 
 TIME = r"\d{2,}:\d{2}:\d{2},\d{3}"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.operators.ordered import BLOCK, div, number_rows, with_blocks, with_time_blocks
+from cuelake.operators.ordered import BLOCK, number_rows, with_blocks, with_time_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
