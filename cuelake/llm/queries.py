@@ -1,6 +1,6 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import packing, toxicity
+from cuelake.llm import mixing, neardup, packing, toxicity
 
 ORACLES: dict[str, str] = {}
 
@@ -20,4 +20,14 @@ def op2_packing(spark, folder):
     return packing.best_fit(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing}
+def op8_mixing(spark, folder):
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op9_minhash(spark, folder):
+    """Components of documents whose sets of two-word shingles reach 0.8."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+
+
+QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op8_mixing, op9_minhash)}
