@@ -1,6 +1,6 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import mixing, neardup, packing, toxicity
+from cuelake.llm import credentials, mixing, neardup, packing, toxicity
 
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +20,11 @@ def op2_packing(spark, folder):
     return packing.best_fit(table(spark, folder, "documents"))
 
 
+def op6_secrets(spark, folder):
+    """Secrets of every document: counts and digest of fixed formats, spans with the learned ones."""
+    return credentials.secrets(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark, folder):
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, folder, "documents"))
@@ -30,4 +35,4 @@ def op9_minhash(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
-QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op8_mixing, op9_minhash)}
+QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op6_secrets, op8_mixing, op9_minhash)}
