@@ -90,6 +90,14 @@ class WordTable(dict):
         return value
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name` with underscores before it until no column is called that, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def per_text(df: DataFrame, keep: list[str], start, fields: str) -> DataFrame:
     """Columns `keep` of every row, followed by `fields` (DDL) worked out from its text.
 

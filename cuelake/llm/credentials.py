@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import fit_in_task, per_text
+from cuelake.llm.common import fit_in_task, fresh, per_text
 
 #: Fixed formats in the order that spans of equal starts are listed in: kind, pattern, group, least length of the group.
 BASE = (
@@ -242,7 +242,8 @@ def redact(docs: DataFrame, model: dict, mark="[secret]") -> DataFrame:
         return work
 
     kept = docs.columns
-    done = per_text(docs, kept, start, "_clean string").withColumn("text", F.col("_clean")).drop("_clean")
+    clean = fresh("clean", kept)
+    done = per_text(docs, kept, start, f"{clean} string").withColumn("text", F.col(clean)).drop(clean)
     if "n_chars" in kept:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return done.select(*kept)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cuelake.llm.common import WORD_PATTERN
+from cuelake.llm.common import WORD_PATTERN, fresh
 from cuelake.plans.cut import durable
 
 #: Weights of sources in order of their names, repeated.
@@ -62,7 +62,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: str, name
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, percent=PERCENT, limit=LIMIT, salt="mix:", keep=()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and `keep`) of every document.
+    """doc_id, size, source_size, target, taken, copies (and `keep`) of every document.
 
     A source's target over its size is the copies that each of its documents should have: the whole part is certain.
     For the fraction, documents are ranked by random odds over inclusion odds (Pareto order sampling) and taken in
@@ -99,7 +99,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent=PERCENT, limit=LIMIT, salt="mi
         rows = durable(rows.withColumn("chosen", chosen).drop("fits", "reach", "short"))
     last = sliced(aims.select(F.col("number").alias("_number"), "source_size", "target"))
     rows = rows.join(last, (rows["number"] == last["_number"]) & (rows["slice"] == last["_slice"]))
-    return rows.select("doc_id", *keep, "size", "source_size", "target", ((F.col("copies") + F.col("chosen")) * F.col("size")).alias("taken"))
+    return rows.select("doc_id", *keep, "size", "source_size", "target", ((F.col("copies") + F.col("chosen")) * F.col("size")).alias("taken"),
+                       (F.col("copies") + F.col("chosen")).cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as the mix takes them.
+
+    Texts stay out of the sampling; they meet their copies by id and a hash of the row.
+    """
+    rest = [c for c in docs.columns if c != "doc_id"]
+    row, copies = fresh("row_hash", docs.columns), fresh("row_copies", docs.columns)
+    marked = docs.withColumn(row, F.xxhash64(*rest))
+    taken = (mix(marked, keep=(row,), **options).groupBy("doc_id", row).agg(F.sum("copies").alias(copies))
+             .where(F.col(copies) > 0).withColumnRenamed("doc_id", "_id").withColumnRenamed(row, "_row"))
+    once = marked.groupBy("doc_id", row).agg(F.first(F.struct(*rest)).alias("_rest"))
+    found = once.join(taken, once["doc_id"].eqNullSafe(taken["_id"]) & (once[row] == taken["_row"]))
+    repeated = found.select("doc_id", "_rest.*", F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))).alias(copies))
+    return repeated.select(*docs.columns)
 
 
 def sliced(rows: DataFrame) -> DataFrame:

@@ -217,3 +217,15 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     return (sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def distinct_documents(docs: DataFrame, width=5, percent=80) -> DataFrame:
+    """The rows of `docs` that stay: one of each component, and all with a null id.
+
+    Of rows that repeat an id, the least by its columns stays.
+    """
+    stay = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    known = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(stay, "doc_id", "left_semi")
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))

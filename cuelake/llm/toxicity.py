@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WordTable, fit_in_task, held_out, labelled_sample, per_text
+from cuelake.llm.common import WordTable, fit_in_task, fresh, held_out, labelled_sample, per_text
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 8000
@@ -129,6 +129,17 @@ def score(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
     return per_text(docs, list(keep), lambda: scorer(model), OUTPUT)
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score below the threshold."""
+    name = fresh("toxic", docs.columns)
+
+    def start():
+        work = scorer(model)
+        return lambda texts: [[x >= THRESHOLD for x in work(texts)[0]]]
+
+    return per_text(docs, docs.columns, start, f"{name} boolean").where(~F.col(name)).drop(name)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows=SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of every document."""
     scored = score(docs, learn(docs, labels, rows))
