@@ -1,8 +1,8 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import credentials, mixing, neardup, packing, toxicity
+from cuelake.llm import credentials, mixing, neardup, packing, topk, toxicity, warc
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL}
 
 
 def table(spark, folder, name):
@@ -20,6 +20,16 @@ def op2_packing(spark, folder):
     return packing.best_fit(table(spark, folder, "documents"))
 
 
+def op3_maxscore(spark, folder):
+    """The five best vectors for each vector whose id is divisible by 50."""
+    return topk.search(table(spark, folder, "embeddings"))
+
+
+def op5_warc(spark, folder):
+    """Every page's record after writing archives and reading them by byte ranges."""
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op6_secrets(spark, folder):
     """Secrets of every document: counts and digest of fixed formats, spans with the learned ones."""
     return credentials.secrets(table(spark, folder, "documents"))
@@ -35,4 +45,4 @@ def op9_minhash(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
-QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op6_secrets, op8_mixing, op9_minhash)}
+QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op5_warc, op6_secrets, op8_mixing, op9_minhash)}
