@@ -1,6 +1,6 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import credentials, mixing, neardup, packing, topk, toxicity, warc
+from cuelake.llm import credentials, mixing, neardup, packing, quality, topk, toxicity, warc
 
 ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL}
 
@@ -35,6 +35,11 @@ def op6_secrets(spark, folder):
     return credentials.secrets(table(spark, folder, "documents"))
 
 
+def op7_quality(spark, folder):
+    """Counts, fixed verdict and calibrated verdict of every document."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_mixing(spark, folder):
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, folder, "documents"))
@@ -45,4 +50,4 @@ def op9_minhash(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
-QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op5_warc, op6_secrets, op8_mixing, op9_minhash)}
+QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op5_warc, op6_secrets, op7_quality, op8_mixing, op9_minhash)}
