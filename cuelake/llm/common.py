@@ -98,7 +98,7 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def per_text(df: DataFrame, keep: list[str], start, fields: str) -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], start, fields: str, rows=ROWS_AT_ONCE) -> DataFrame:
     """Columns `keep` of every row, followed by `fields` (DDL) worked out from its text.
 
     `start()` runs once in a task and returns a function from a list of texts (None for null) to a list
@@ -114,8 +114,8 @@ def per_text(df: DataFrame, keep: list[str], start, fields: str) -> DataFrame:
     def run(batches):
         work = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = work(part.column("text").to_pylist())
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *made], names)
