@@ -1,8 +1,8 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import credentials, mixing, neardup, packing, quality, topk, toxicity, warc
+from cuelake.llm import credentials, langid, mixing, neardup, packing, quality, toolcalls, topk, toxicity, warc
 
-ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL}
+ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL, "op10_toolcalls": toolcalls.SQL}
 
 
 def table(spark, folder, name):
@@ -25,6 +25,11 @@ def op3_maxscore(spark, folder):
     return topk.search(table(spark, folder, "embeddings"))
 
 
+def op4_language(spark, folder):
+    """Language of every document."""
+    return langid.languages(table(spark, folder, "documents"))
+
+
 def op5_warc(spark, folder):
     """Every page's record after writing archives and reading them by byte ranges."""
     return warc.round_trip(table(spark, folder, "pages"))
@@ -50,4 +55,9 @@ def op9_minhash(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
-QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op5_warc, op6_secrets, op7_quality, op8_mixing, op9_minhash)}
+def op10_toolcalls(spark, folder):
+    """Calls and results that the turns of conversations stand for, linked, ordered, checked and written as JSON."""
+    return toolcalls.tool_calls(table(spark, folder, "conversations"))
+
+
+QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op4_language, op5_warc, op6_secrets, op7_quality, op8_mixing, op9_minhash, op10_toolcalls)}
