@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cuelake.plans.cut import durable
+
 #: Vectors of a shard and queries of a block, about; a task keeps one shard and reads query blocks as they come.
 SHARD_ROWS = 4096
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 4096
+#: Partitions of (shard, block) groups, at most; beyond that a task has several groups, one after another.
+MOST_TASKS = 50_000
 #: Vectors at the head of the strongest postings that are scored whole, for a first threshold.
 SEEDS = 64
 RESULT = "query_id bigint, vec_id bigint, score bigint"
@@ -106,16 +110,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k=5) -> DataFrame:
     once: the shard's rows go to each group of blocks, the queries to each shard, and a shard's k best of each query
     are merged by rank.  Shorter vectors count as filled up with zeros.
     """
-    spark = vectors.sparkSession
-    shards = F.ceil(F.greatest(F.col("n"), F.lit(1)) / SHARD_ROWS)
-    sizes = vectors.groupBy().agg(F.count(F.lit(1)).alias("n")).select(shards.alias("shards")).first()[0]
-    blocks = queries.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.ceil(F.greatest(F.col("n"), F.lit(1)) / (BLOCK_QUERIES * 8))).first()[0]
+    groups = lambda rows, size: max(1, -(-rows.count() // size))
+    sizes, blocks = groups(vectors, SHARD_ROWS), groups(queries, BLOCK_QUERIES)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(sizes)).cast("int").alias("shard"), spread(blocks).alias("block"),
                           F.lit(0).alias("role"), "vec_id", "v")
     asked = queries.select(spread(sizes).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
                            F.lit(1).alias("role"), "vec_id", "v")
-    rows = held.union(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "role")
+    rows = held.union(asked).repartition(min(sizes * blocks, MOST_TASKS), "shard", "block").sortWithinPartitions("shard", "block", "role")
 
     def run(batches):
         own, ids, kept, shard = None, [], [], None
@@ -142,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k=5) -> DataFrame:
 
 def search(vectors: DataFrame, k=5, every=50) -> DataFrame:
     """The k best rows for each row whose id is divisible by `every`."""
-    rows = quantised(vectors)
+    rows = durable(quantised(vectors))
     return top_k(rows, rows.where(F.col("vec_id") % every == 0), k)
 
 

@@ -17,6 +17,8 @@ LEAST_REVISITED = 100
 #: Bytes of the range that a reading task owns, and of one read.
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+#: Reading tasks, at most; beyond that a task has several ranges.
+MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 RECORD = ("record_type string, record_id string, target_uri string, refers_to_id string, payload_digest string, "
           "payload_bytes bigint, payload binary, path string, start bigint, length bigint")
@@ -165,8 +167,10 @@ def read(files: DataFrame, range_bytes=RANGE_BYTES) -> DataFrame:
     compressed data fall out.  Records that start inside a range belong to it, wherever they end; the next candidate
     is sought from the end of the last record.
     """
-    ranges = (files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-              .repartition("path", "start"))
+    # Rows of ranges are small but each is much work, so their number, not their bytes, makes the tasks.
+    tasks = files.select(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    ranges = files.select("path", "bytes", F.explode(starts).alias("start")).repartition(min(int(tasks), MOST_TASKS), "path", "start")
 
     def records(path, size, start):
         from pyarrow import fs
