@@ -9,6 +9,16 @@ THUMB_HEIGHT = 160
 PIXEL_DELTA = 32
 CUT_PIXEL_SHARE = 0.35
 CUT_MEAN_SHIFT = 28
+# Bands of writing in a thumbnail: heights, widths and movement, as shares of the picture or grey levels.
+BAND_HEIGHT_SHARE = 0.22
+BAND_ENERGY_WIDTH = 6
+BAND_ENERGY_SHARE = 0.06
+BAND_COLUMN_LEAST = 32
+BAND_COLUMN_DEPTH = 8
+BAND_WIDE_SHARE = 0.18
+BAND_FULL_SHARE = 0.96
+GLYPH_WIDTH_SHARE = 0.025
+GLYPH_PIXEL_SHARE = 0.008
 
 # Recognition
 SHORT_TEXT_CHARS = 2
@@ -63,7 +73,6 @@ MODES = ["clean", "translate"]
 REMOVE_MARK = "[[REMOVE]]"
 LOG_EXCERPT_CHARS = 32000
 LOG_EXCERPT_MARK = "\n[truncated]\n"
-MAX_SPLITS_OF_MERGED_CUES = 32
 
 # Messages that other rules test by prefix or by equality
 MODEL_ERROR_PREFIX = "The model "

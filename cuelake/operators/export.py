@@ -67,9 +67,14 @@ def export_ttml(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
 
 
 def export_filename(path, mode, language, fmt):
-    """``stem-cleaned-ai.srt``, ``stem-<language>-ai.srt`` or ``stem.srt`` from any path."""
+    """``stem-cleaned-ai.srt``, ``stem-<language>-ai.srt`` or ``stem.srt`` from any path.
+
+    A worked-over track loses any extension, an original only that of a cue file: ``clip.v2`` stays ``clip.v2.srt``.
+    """
     base = F.regexp_extract(path, r"([^\\/]+)[\\/]*$", 1)
-    stem = F.regexp_replace(F.when(base == "", path).otherwise(base), r"\.[^.]+$", "")
+    name = F.when(base == "", path).otherwise(base)
+    stem = (F.when(mode.isin("clean", "translate"), F.regexp_replace(name, r"\.[^.]+$", ""))
+            .otherwise(F.regexp_replace(name, rf"(?i)\.({'|'.join(fixed.EXPORT_EXTENSIONS)})$", "")))
     stem = F.when(stem == "", "subtitles").otherwise(stem)
     suffix = (F.when(mode == "clean", "-cleaned-ai")
               .when(mode == "translate", F.concat(F.lit("-"), F.lower(language), F.lit("-ai")))

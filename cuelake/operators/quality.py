@@ -119,7 +119,7 @@ def duplicate_merge(cues: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS) -> DataFr
 
 
 def _lines(body):
-    return F.split(body, r"\r\n|\n|\r")
+    return F.split(body, r"\r\n|[\n-\r\x1C-\x1E\x85\u2028\u2029]")
 
 
 def quality_stats(cues: DataFrame) -> DataFrame:
@@ -148,24 +148,38 @@ def summary_quality(summary: DataFrame) -> DataFrame:
                               .otherwise("good"))
 
 
+def fault_checks(cues: DataFrame) -> DataFrame:
+    """`order_checks` with the fault of each cue: INVALID_FORMAT, INVALID_TIMECODE, INVALID_ORDER or null.
+
+    A parser's ``status`` column counts if there is one; without it, missing times are bad timecodes.
+    """
+    said = F.coalesce("status", F.lit("OK")) if "status" in cues.columns else F.lit("OK")
+    timeless = (said == "INVALID_TIMECODE") | F.col("start_ms").isNull() | F.col("end_ms").isNull()
+    return order_checks(cues).withColumn(
+        "fault", F.when(said == "INVALID_FORMAT", said).when(timeless, "INVALID_TIMECODE").when(F.col("broken"), "INVALID_ORDER"))
+
+
 def normalize_cues(cues: DataFrame) -> DataFrame:
     """Merged cues of the valid tracks."""
-    checked = order_checks(cues)
-    sound = scan(checked, TRACK, ORDER, faults=total(F.col("broken").cast("int"))).where("faults = 0")
+    checked = fault_checks(cues)
+    sound = scan(checked, TRACK, ORDER, faults=total(F.col("fault").isNotNull().cast("int"))).where("faults = 0")
     return duplicate_merge(body_normalise(drop_empty(sound)))
 
 
 def normalize_track(cues: DataFrame) -> DataFrame:
-    """The whole pass: one row per track with its status and counters."""
-    counters = order_checks(cues).groupBy("track_id").agg(
-        F.bool_or("broken").alias("broken"), F.count_if("overlaps").alias("overlapping_cues"),
+    """The whole pass: one row per track with its status and counters.
+
+    The status is that of the first faulty cue, else NO_TEXT or OK; cues may come straight from ``srt_parse_strict``.
+    """
+    counters = fault_checks(cues).groupBy("track_id").agg(
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).alias("fault"), F.count_if("overlaps").alias("overlapping_cues"),
         F.count_if("renumbered").alias("renumbered_cues"),
         F.count_if(strip(F.col("text")) == "").alias("empty_dropped"))
     merged = duplicate_merge(body_normalise(drop_empty(cues)))
     stats = quality_stats(merged)
     kept = ["cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines",
             "max_line_chars"]
-    status = (F.when(F.col("broken"), "INVALID_ORDER").when(F.col("cue_count").isNull(), "NO_TEXT")
+    status = (F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("cue_count").isNull(), "NO_TEXT")
               .otherwise("OK"))
     return (counters.join(stats, "track_id", "left").withColumn("status", status)
             .select("track_id", "status",

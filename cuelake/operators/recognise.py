@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import alnum_count, strip
+from cuelake.functions.text import BLANK_CHARS, alnum_count, strip
 from cuelake.operators.ordered import (BLOCK, BLOCK_ROWS, div, lag, number_rows, running_sum, scan, total,
                                        total_max, with_crowd_blocks)
 
@@ -60,12 +60,13 @@ def score_normalise(steps: DataFrame) -> DataFrame:
     odd = (F.exists("scores", lambda v: (v < 0) | (v > 1))
            | ~sums.between(fixed.SCORE_SUM_LOW, fixed.SCORE_SUM_HIGH))
     flagged = scan(steps, ["crop_id"], ["step"], odd=total_max(odd.cast("int")))
-    powers = F.transform("scores", lambda v: F.exp(v - F.array_max("scores")))
-    soft = F.transform("powers", lambda v: v / F.col("power_sum"))
+    # A list of one binds a value once; inside the inner function it would be worked out for every class again.
+    powers = F.transform(F.array(F.array_max("scores")), lambda top: F.transform("scores", lambda v: F.exp(v - top)))[0]
+    total_of = F.aggregate("powers", F.lit(0.0), lambda s, v: s + v)
+    soft = F.transform(F.array(total_of), lambda whole: F.transform("powers", lambda v: v / whole))[0]
     return (flagged.withColumn("powers", powers)
-            .withColumn("power_sum", F.aggregate("powers", F.lit(0.0), lambda s, v: s + v))
             .withColumn("scores", F.when(F.col("odd") == 1, soft).otherwise(F.col("scores")))
-            .drop("powers", "power_sum", "odd"))
+            .drop("powers", "odd"))
 
 
 def step_argmax(steps: DataFrame) -> DataFrame:
@@ -90,6 +91,10 @@ def ctc_collapse(steps: DataFrame, blank, symbol: str = "class") -> DataFrame:
         F.first("symbols").alias("symbols"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(symbol).alias("s")))),
                                  lambda r: r["s"]), "").alias("text"))
+    # Blanks go at both ends of a text, which are those of its first and last part.
+    text = F.when(F.col("part_no") == 0, F.ltrim("text", F.lit(BLANK_CHARS))).otherwise(F.col("text"))
+    text = F.when(F.col("part_no") == div(F.col("symbols") - 1, PART_ROWS), F.rtrim(text, F.lit(BLANK_CHARS))).otherwise(text)
+    confidence = confidence.withColumn("text", text)
     empty = (steps.groupBy("crop_id").agg(F.bool_and(F.col("class") == F.lit(blank)).alias("none"))
              .where("none").select("crop_id", F.lit(0).cast("long").alias("part_no"),
                                    F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("symbols"),

@@ -41,7 +41,8 @@ def region_resolve(requests: DataFrame, width: int, height: int) -> DataFrame:
     custom = F.col("profile") == "custom"
     chosen = {b: F.when(custom, F.col(b)).otherwise(F.col(f"p_{b}").cast("double")) for b in BOUNDS}
     checked = region_validate(named.withColumns(chosen))
-    reason = F.when(F.col("top").isNull(), "PROFILE").otherwise(F.col("reason"))
+    unknown = F.col("p_top").isNull() & ~F.coalesce(custom, F.lit(False))
+    reason = F.when(unknown, "PROFILE").otherwise(F.col("reason"))
     return (checked.withColumn("reason", reason)
             .withColumn("y1", F.floor(height * (1 - F.col("top"))))
             .withColumn("y2", F.floor(height * (1 - F.col("bottom"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cuelake import fixed
-from cuelake.functions.thumbnails import subtitle_change
+from cuelake.functions.thumbnails import changed
 from cuelake.operators.ordered import BLOCK, lag, last_before, long_tracks, scan, total_max
 
 TRACK = ["track_id"]
@@ -271,15 +271,18 @@ def thumbnail_downsample(images: DataFrame) -> DataFrame:
 @F.pandas_udf(BooleanType())
 def _changed_band(now: pd.Series, height: pd.Series, width: pd.Series, before: pd.Series,
                   height_before: pd.Series, width_before: pd.Series) -> pd.Series:
-    def one(a, ah, aw, b, bh, bw):
-        if b is None:
-            return False
-        if (ah, aw) != (bh, bw):
-            return True
-        shape = (int(ah), int(aw))
-        return subtitle_change(np.asarray(b, dtype=np.int32).reshape(shape),
-                               np.asarray(a, dtype=np.int32).reshape(shape))
-    return pd.Series([one(*row) for row in zip(now, height, width, before, height_before, width_before)])
+    """Pictures of one size are compared as one stack; a first picture is no change, another size is one."""
+    first = before.isna()
+    out = ~first & ((height != height_before) | (width != width_before))
+    same = ~first & ~out
+    for (h, w), own in pd.DataFrame({"h": height[same], "w": width[same]}).groupby(["h", "w"]):
+        # Some hundred pictures at once, so that a batch of large ones stays small.
+        for at in range(0, len(own), 256):
+            part = own.index[at:at + 256]
+            stack = [np.stack([np.asarray(x, dtype=np.int32) for x in v[part]]).reshape(len(part), int(h), int(w))
+                     for v in (before, now)]
+            out[part] = changed(*stack)
+    return out.astype(bool)
 
 
 def frame_change_gate(frames: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ SQL = {
         FROM (SELECT track_id, (pos - 1) // 4096 AS part_no, string_agg('  <p begin="' || replace({code('start_ms')}, ',', '.') || '" end="' || replace({code('end_ms')}, ',', '.') || '">' ||
         replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</p>' || chr(10), '' ORDER BY pos) AS content
         FROM cues_v GROUP BY 1, 2)""",
-    "export_filename": r"""SELECT page_id, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]+$', '') ||
+    "export_filename": r"""SELECT page_id, regexp_replace(regexp_extract(path, '([^/]+)$', 1), CASE page_id % 3 WHEN 2 THEN '(?i)\.(srt|ttml|txt|md)$' ELSE '\.[^.]+$' END, '') ||
         CASE page_id % 3 WHEN 0 THEN '-cleaned-ai' WHEN 1 THEN '-german-ai' ELSE '' END || '.srt' AS filename FROM paths_v""",
     "srt_for_save": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN suffix(lf, chr(10)) THEN lf ELSE lf || chr(10) END END AS saved FROM saves""",
     "export_verbatim": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN content END AS saved FROM saves""",

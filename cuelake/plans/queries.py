@@ -290,7 +290,7 @@ def decision_parity(s, d):
 
 @query
 def text_key(s, d):
-    return V.cues_v(s, d).select("track_id", "pos", X.text_key(F.col("text")).alias("key"))
+    return V.cues_v(s, d, False).select("track_id", "pos", X.text_key(F.col("text")).alias("key"))
 
 
 def _events(s, d):
@@ -349,12 +349,12 @@ def renumber(s, d):
 
 @query
 def drop_empty(s, d):
-    return quality.drop_empty(V.raw_cues_v(s, d)).select("track_id", "pos", "text")
+    return quality.drop_empty(V.raw_cues_v(s, d, False)).select("track_id", "pos", "text")
 
 
 @query
 def body_normalise(s, d):
-    return quality.body_normalise(V.cues_v(s, d)).select("track_id", "pos", "body", "norm")
+    return quality.body_normalise(V.cues_v(s, d, False)).select("track_id", "pos", "body", "norm")
 
 
 def _merged(s, d):
@@ -390,13 +390,13 @@ def normalize_cues(s, d):
 
 @query
 def cue_shape(s, d):
-    return planning.cue_shape(V.tokens_v(s, d)).groupBy("track_id").agg(
+    return planning.cue_shape(V.tokens_v(s, d, False)).groupBy("track_id").agg(
         *[F.sum(c).cast("long").alias(c) for c in ("visible", "alphabetic", "numeric")])
 
 
 @query
 def weak_fragment(s, d):
-    return planning.weak_fragment(V.tokens_v(s, d)).where("weak").select("track_id", "pos", "text")
+    return planning.weak_fragment(V.tokens_v(s, d, False)).where("weak").select("track_id", "pos", "text")
 
 
 @query
@@ -406,12 +406,12 @@ def strong_prefilter(s, d):
 
 @query
 def needs_translation(s, d):
-    return planning.needs_translation(V.tokens_v(s, d)).where(~F.col("needed")).select("track_id", "pos", "text")
+    return planning.needs_translation(V.tokens_v(s, d, False)).where(~F.col("needed")).select("track_id", "pos", "text")
 
 
 @query
 def chunk_assign(s, d):
-    return planning.chunk_assign(V.cues_v(s, d), "translate").select("track_id", "pos", "chunk_no")
+    return planning.chunk_assign(V.cues_v(s, d, False), "translate").select("track_id", "pos", "chunk_no")
 
 
 def _chunk_texts(name):

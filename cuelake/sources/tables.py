@@ -17,44 +17,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark, sf_dir, separator):
+def _lines(spark, sf_dir, separator, in_order=True):
     """Non-blank pieces of each text with place in the text and dense position.
 
-    A track is one row here, so the compact texts are hashed on the track before they are
-    split up: every later window and aggregate on the track finds its rows in place, and
-    the much larger split rows are not shuffled.  No key can be hot, a key is one row.
+    A track is one row here, so for ordered rules the compact texts are hashed on the track
+    before they are split up: every later window and aggregate on the track finds its rows
+    in place, and the much larger split rows are not shuffled.  No key can be hot, a key is
+    one row.  Rules on single rows take `in_order=False` and move nothing.
     """
     numbered = F.transform(F.split("text", separator),
                            lambda t, i: F.struct((i + 1).cast("long").alias("cue_no"), t.alias("text")))
     kept = F.filter(numbered, lambda r: r["text"].rlike(r"\S"))
-    return (table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ((texts.repartition("doc_id") if in_order else texts)
             .select(F.col("doc_id").alias("track_id"), F.posexplode(kept).alias("_p", "_r"))
             .select("track_id", (F.col("_p") + 1).cast("long").alias("pos"), "_r.cue_no", "_r.text"))
 
 
-def cues_v(spark, sf_dir) -> DataFrame:
+def cues_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Document lines as cues of two seconds' spacing."""
     n = F.length("text").cast("long")
     start = (F.col("cue_no") - 1) * 2000
-    return with_blocks(_lines(spark, sf_dir, "\n").select(
+    return with_blocks(_lines(spark, sf_dir, "\n", in_order).select(
         "track_id", "pos", "cue_no", start.alias("start_ms"),
         (start + 400 + (n % 13) * 200).alias("end_ms"), "text"), "pos")
 
 
-def raw_cues_v(spark, sf_dir) -> DataFrame:
+def raw_cues_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Cues with the faults of a raw file: empty bodies, odd numbers, times out of order."""
     n = F.length("text").cast("long")
     start = (F.col("cue_no") - 1) * 2000 - F.when(n % 499 == 0, 5000).otherwise(0)
-    return with_blocks(_lines(spark, sf_dir, "\n").select(
+    return with_blocks(_lines(spark, sf_dir, "\n", in_order).select(
         "track_id", "pos",
         (F.col("pos") + F.when(F.col("pos") % 10 == 0, 1).otherwise(0)).alias("cue_no"),
         start.alias("start_ms"), (start + 400 + (n % 13) * 200).alias("end_ms"),
         F.when(n % 17 == 0, "").otherwise(F.col("text")).alias("text")), "pos")
 
 
-def tokens_v(spark, sf_dir) -> DataFrame:
+def tokens_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Words as very short cues."""
-    return with_blocks(_lines(spark, sf_dir, r"[ \n]+"), "pos").drop("cue_no")
+    return with_blocks(_lines(spark, sf_dir, r"[ \n]+", in_order), "pos").drop("cue_no")
 
 
 def _user_events(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import timecode
 from cuelake.functions.replies import join_sums, read_reply
 from cuelake.functions.text import norm_body_value, text_key
-from cuelake.functions.thumbnails import subtitle_change
+from cuelake.functions.thumbnails import changed
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses, runs,
                                sampling)
 from cuelake.operators.ordered import with_blocks
@@ -109,30 +109,49 @@ def test_disappearance(spark):
 
 
 def test_short_glyph_and_duration(spark):
-    frames = [np.full((120, 320), 80) for _ in range(6)]
-    frames[2][90:104, 155:157] = 230
-    for top in (90, 96, 102):
-        frames[2][top:top + 2, 155:165] = 230
+    plain = drawn(120, 320)
+    figure = drawn(120, 320, (90, 104, 155, 157), (90, 92, 157, 165), (96, 98, 157, 165), (102, 104, 157, 165))
+    frames = [plain, plain, figure, plain, plain, plain]
     _, m, spans, _, _ = pictures(spark, frames, 4, texts=["", "1", ""])
     assert m.triggers == 2 and spans == [(.5, 1.0)]
     _, _, spans, _, duration = pictures(spark, [np.full((8, 8), 80)] * 8, 4, [0, 100, 250, 500, 750, 1000, 1300, 2400], "Subtitle")
     assert duration == 2.65 and spans[-1][1] == 2.65
 
 
+#: Pictures of 100 x 300: what is drawn on the ground of 80, as (top, bottom, left, right), and whether that is a change.
+BAND_CASES = [
+    ([(58, 70, 60, 240)], True),  # a bar of writing
+    ([(58, 70, 2, 298)], False),  # as wide as the picture
+    ([(20, 60, 60, 240)], False),  # far too high
+    ([(58, 70, 150, 152)], False),  # a speck
+    ([(58, 70, 150, 152), (58, 60, 152, 164), (68, 70, 152, 164)], True),  # one letter
+    ([(10, 16, 60, 240), (80, 86, 60, 240)], True),  # two lines
+    ([], False),
+]
+
+
+def drawn(height, width, *boxes, ground=80, ink=230):
+    picture = np.full((height, width), ground)
+    for top, bottom, left, right in boxes:
+        picture[top:bottom, left:right] = ink
+    return picture
+
+
 def test_change_bands():
-    still = np.full((100, 300), 80)
-    band, half, cut = still.copy(), still.copy(), np.full((100, 300), 220)
-    band[58:70, 60:240], half[:, :150] = 230, 120
-    assert [subtitle_change(still, x) for x in (band, half, cut)] == [True, False, True]
-    ramp = np.tile(np.linspace(30, 150, 300, dtype=np.uint8), (100, 1)).astype(int)
-    moved = np.roll(ramp, 4, axis=1)
-    letters = moved.copy()
-    for x in range(60, 180, 24):
-        letters[58:70, x:x + 2] = 240
-        for top in (58, 63, 68):
-            letters[top:top + 2, x:x + 14] = 240
-    assert not subtitle_change(ramp, moved) and subtitle_change(moved, letters)
-    assert subtitle_change(np.zeros((1, 4), int), np.full((1, 4), 60)) and not subtitle_change(still[:1], still[:1])
+    before = np.stack([drawn(100, 300)] * len(BAND_CASES))
+    now = np.stack([drawn(100, 300, *boxes) for boxes, _ in BAND_CASES])
+    assert changed(before, now).tolist() == changed(now, before).tolist() == [want for _, want in BAND_CASES]
+
+
+def test_change_of_the_whole_picture():
+    still, half = drawn(100, 300), drawn(100, 300, (0, 100, 0, 150), ink=120)
+    assert changed(still[None], half[None]).tolist() == [False]
+    assert changed(still[None], drawn(100, 300, ground=220)[None]).tolist() == [True]
+    slope = np.add.outer(np.zeros(100, int), np.arange(300) * 2 // 5 + 30)
+    slid = np.roll(slope, 4, axis=1)
+    assert changed(slope[None], slid[None]).tolist() == [False]
+    assert changed(slid[None], np.maximum(slid, drawn(100, 300, (58, 70, 60, 180), ground=0))[None]).tolist() == [True]
+    assert changed(np.zeros((2, 1, 4), int), np.array([np.full((1, 4), 60), np.zeros((1, 4))], int)).tolist() == [True, False]
 
 
 def test_thumbnail(spark):
@@ -153,6 +172,40 @@ def test_normalise(spark):
     assert quality.normalize_track(cue_table(spark, [(0, 9, " ")])).first().status == "NO_TEXT"
 
 
+def test_statuses_of_parsed_files(spark):
+    block = "1\n00:00:01,000 --> 00:00:02,000\nword\n\n"
+    files = {1: block, 2: "no cues", 3: "1\n00:61:01,000 --> 00:62:02,000\nword\n", 4: block.replace("word", " "),
+             5: block + "2\n00:00:03,000 --> 00:00:02,500\nx\n\n3\n00:99:00,000 --> 00:99:01,000\ny\n",
+             6: block + "2\n00:00:03,000 --> 00:99:02,500\nx\n\n3\n00:00:09,000 --> 00:00:01,000\ny\n", 7: "words first\n" + block}
+    table = spark.createDataFrame(list(files.items()), "track_id long, content string")
+    rows = quality.normalize_track(cuefiles.srt_parse_strict(table)).collect()
+    assert {r.track_id: r.status for r in rows} == {1: "OK", 2: "INVALID_FORMAT", 3: "INVALID_TIMECODE", 4: "NO_TEXT", 5: "INVALID_ORDER",
+                                                   6: "INVALID_TIMECODE", 7: "INVALID_FORMAT"}
+    assert {r.track_id for r in quality.normalize_cues(cuefiles.srt_parse_strict(table)).collect()} == {1}
+
+
+def test_line_breaks_of_bodies(spark):
+    stats = quality.quality_stats(spark.createDataFrame([(1, 0, "ab\u2028cdef\x0bg\r\nh\x85i", 1)], "track_id long, cue_pos long, body string, parts long")).first()
+    assert (stats.max_lines, stats.max_line_chars) == (5, 4)
+
+
+def test_collapse_trims_blanks(spark):
+    steps = [(1, i, c, .9, s) for i, (c, s) in enumerate([(2, " "), (1, "A"), (2, " "), (1, "A"), (0, ""), (2, " ")], 1)]
+    df = with_blocks(spark.createDataFrame(steps, "crop_id long, step long, class long, score double, symbol string"), "step")
+    assert recognise.ctc_collapse(df, 0, "symbol").first().text == "A A"
+
+
+def test_custom_region_without_a_bound(spark):
+    asked = spark.createDataFrame([("custom", None, .1, .1, .9), ("nonsense", .9, .1, .1, .9)], "profile string, top double, bottom double, left double, right double")
+    assert {r.profile: r.reason for r in regions.region_resolve(asked, 100, 100).collect()} == {"custom": "BOUNDS", "nonsense": "PROFILE"}
+
+
+def test_reply_with_a_lone_surrogate_or_many_merged_cues():
+    assert read_reply('[{"id":1,"text":"a\\ud83d"}]') is None
+    merged = ",".join(f'"id":{i},"text":"t{i}"' for i in range(200))
+    assert read_reply("[{" + merged + "}]") == [(i, f"t{i}") for i in range(200)]
+
+
 def test_unicode_forms(spark):
     df = cue_table(spark, [(0, 900, "Stra\u00dfe"), (1000, 1900, "STRASSE"), (2000, 2900, "e\u0301te\u0301"), (3000, 3900, "\u00e9t\u00e9")])
     assert quality.duplicate_merge(quality.body_normalise(df)).count() == 2

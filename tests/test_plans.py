@@ -34,3 +34,22 @@ def test_pushdown_reads_two_columns(spark):
     from cuelake.plans.queries import QUERIES
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(QUERIES["cue_shape"](spark, FOLDER)))[1]
     assert schema == "doc_id:bigint,text:string"
+
+
+@pytest.mark.parametrize("name", ["text_key", "drop_empty", "body_normalise", "weak_fragment", "needs_translation", "chunk_assign"])
+def test_rules_on_single_rows_move_nothing(spark, name):
+    from cuelake.plans.queries import QUERIES
+    assert "Exchange" not in plan(QUERIES[name](spark, FOLDER))
+
+
+def test_shapes_move_counts_only(spark):
+    from cuelake.plans.queries import QUERIES
+    text = plan(QUERIES["cue_shape"](spark, FOLDER))
+    assert text.count("Exchange") == 1 and "REPARTITION" not in text and "partial_sum" in text
+
+
+def test_softmax_binds_its_maximum_and_sum_once(spark):
+    from cuelake.plans.queries import QUERIES
+    text = plan(QUERIES["score_normalise"](spark, FOLDER))
+    assert text.count("EXP(") == len(re.findall(r"EXP\(\(lambda \S+ - lambda \S+\)\)", text)) > 0
+    assert text.count(" / ") == len(re.findall(r"\(lambda \S+ / lambda \S+\)", text)) > 0
