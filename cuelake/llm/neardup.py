@@ -17,9 +17,9 @@ BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
 #: A pair at 0.8 agrees in fewer of its 200 coordinates than this with probability below 1e-8.
 LEAST_AGREEING = 124
-#: Members of a bucket that one tile compares, and members checked against one hub in one task.
+#: Documents of a part of a tile and of a block, and documents checked against one block in one task, about.
 TILE = 512
-HUB_ROWS = 256
+ASKED_ROWS = 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "n_shingles bigint, set_key binary, bands array<bigint>, low binary"
 
@@ -90,7 +90,10 @@ def sketcher(width: int):
 
 
 def tiles(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (bucket, rep, component, n, low) of one bucket but two components that may be links.
+    """What to confirm, (x, family, part, ys), among members (bucket, rep, component, n, low, family, part).
+
+    Two members of one bucket but two components are asked for if their sizes and signatures allow a link; those that
+    a document x is to be compared with come as one list for each block (family, part) of theirs.
 
     The commonest component of a bucket is its core.  Core and other members are dealt into parts of about TILE; a
     core part meets every other part, other parts meet each other and themselves, core parts never meet.  So a large
@@ -98,79 +101,114 @@ def tiles(members: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     bucket = (sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("core"),
-                                          F.max("c").alias("in_core"), F.sum("c").alias("all"), F.count("c").alias("kinds"))
-              .where("kinds > 1")
+                                          F.max("c").alias("in_core"), F.sum("c").alias("all"))
               .select("bucket", "core", F.ceil(F.col("in_core") / TILE).alias("core_parts"),
-                      F.ceil((F.col("all") - F.col("in_core")) / TILE).alias("other_parts")))
+                      F.ceil((F.col("all") - F.col("in_core")) / TILE).alias("other_parts")).where("other_parts > 0"))
     rows = members.join(bucket, "bucket").withColumn("in_core", F.expr("component = core"))
-    part = F.pmod(F.xxhash64("rep"), F.when(F.col("in_core"), F.col("core_parts")).otherwise(F.col("other_parts")))
-    rows = rows.withColumn("part", part)
+    cut = F.pmod(F.xxhash64("rep"), F.when(F.col("in_core"), F.col("core_parts")).otherwise(F.col("other_parts")))
+    rows = rows.withColumn("cut", cut)
     # A cell is (-1 - core part, other part) or (lower other part, higher other part).
-    cells = F.when(F.col("in_core"), F.expr("transform(sequence(0L, other_parts - 1), j -> struct(-1 - part AS x, j AS y))")).otherwise(
-        F.concat(F.expr("transform(sequence(0L, core_parts - 1), i -> struct(-1 - i AS x, part AS y))"),
-                 F.expr("transform(sequence(0L, other_parts - 1), j -> struct(least(part, j) AS x, greatest(part, j) AS y))")))
-    rows = rows.select("bucket", F.explode(cells).alias("cell"), "rep", "component", "n", "low")
-    rows = (rows.select("bucket", "cell.x", "cell.y", "rep", "component", "n", "low")
+    cells = F.when(F.col("in_core"), F.expr("transform(sequence(0L, other_parts - 1), j -> struct(-1 - cut AS x, j AS y))")).otherwise(
+        F.concat(F.expr("transform(sequence(0L, core_parts - 1), i -> struct(-1 - i AS x, cut AS y))"),
+                 F.expr("transform(sequence(0L, other_parts - 1), j -> struct(least(cut, j) AS x, greatest(cut, j) AS y))")))
+    kept = ["rep", "component", "n", "low", "family", "part"]
+    rows = rows.select("bucket", F.explode(cells).alias("cell"), *kept)
+    rows = (rows.select("bucket", "cell.x", "cell.y", *kept)
             .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y"))
 
     def compare(group):
-        rep, component, n = (np.array([r[k] for r in group]) for k in (3, 4, 5))
+        rep, component, n, family, part = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 7, 8))
         low = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), COORDINATES)
-        a, b = [], []
-        for i in range(len(group) - 1):
-            ok = ((component[i + 1:] != component[i])
-                  & (100 * np.minimum(n[i + 1:], n[i]) >= 80 * np.maximum(n[i + 1:], n[i])))
-            at = i + 1 + np.flatnonzero(ok)
+        order = np.argsort(rep)
+        rep, component, n, family, part, low = (v[order] for v in (rep, component, n, family, part, low))
+        for i in range(1, len(group)):
+            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= 80 * np.maximum(n[:i], n[i]))
+            at = np.flatnonzero(ok)
             if len(at):
                 at = at[(low[at] == low[i]).sum(axis=1) >= LEAST_AGREEING]
-                a += np.minimum(rep[at], rep[i]).tolist()
-                b += np.maximum(rep[at], rep[i]).tolist()
-        return a, b
+            blocks = {}
+            for j in at:
+                blocks.setdefault((int(family[j]), int(part[j])), []).append(int(rep[j]))
+            for (f, p), ys in blocks.items():
+                yield int(rep[i]), f, p, ys
+
+    def batch_of(found):
+        columns = list(zip(*found)) or [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["x", "family", "part", "ys"])
 
     def run(batches):
         group, own = [], None
         for batch in batches:
-            a, b = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "rep", "component", "n", "low"))):
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", *kept))):
                 if row[:3] != own:
-                    if len(group) > 1:
-                        found = compare(group)
-                        a, b = a + found[0], b + found[1]
+                    found += compare(group)
                     group, own = [], row[:3]
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if len(group) > 1:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield batch_of(found)
+        yield batch_of(list(compare(group)))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return (rows.mapInArrow(run, "x bigint, family bigint, part bigint, ys array<bigint>").groupBy("x", "family", "part")
+            .agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets of shingles reach `percent` of Jaccard similarity.
+class Block:
+    """The sets of up to some hundred documents, and how many shingles another set shares with each."""
 
-    Pairs meet at their first end, in parts of about HUB_ROWS; a task keeps the set of one hub at a time.
+    def __init__(self, ids, sets):
+        self.place = {x: i for i, x in enumerate(ids)}
+        self.sizes = np.array([len(s) for s in sets])
+        codes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.owner = codes[order], owner[order]
+
+    def shared(self, own):
+        first, last = np.searchsorted(self.codes, own, "left"), np.searchsorted(self.codes, own, "right")
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
+def confirmed(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) of `asked` (x, family, part, ys) whose full sets reach `percent` of Jaccard similarity.
+
+    `members` (family, part, y) names the documents of each block.  What is asked of a block is dealt into parts of
+    about ASKED_ROWS; a task keeps the sets of one block at a time.
     """
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("parts"))
-    asked = (pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("role"))
-             .union(hubs.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))))
-    rows = (asked.join(texts, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
-            .select("a", "part", "role", "doc_id", "text"))
+    keys = ["family", "part"]
+    use = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ASKED_ROWS).alias("deals"))
+    needed = asked.select(*keys, F.explode("ys").alias("y")).distinct()
+    known = (members.join(needed, [*keys, "y"], "left_semi").join(use, keys)
+             .select(F.col("y").alias("doc_id"), *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"),
+                     F.lit(0).alias("role"), F.lit(None).cast("array<bigint>").alias("ys")))
+    other = (asked.join(use, keys).select(F.col("x").alias("doc_id"), *keys, F.pmod(F.xxhash64("x"), "deals").alias("deal"),
+                                          F.lit(1).alias("role"), "ys"))
+    rows = (known.union(other).join(texts, "doc_id").repartition(*keys, "deal")
+            .sortWithinPartitions(*keys, "deal", "role").select(*keys, "deal", "role", "doc_id", "ys", "text"))
 
     def run(batches):
-        shingler, own, hub = Shingler(width), None, None
+        shingler, own, ids, sets, block = Shingler(width), None, [], [], None
         for batch in batches:
             a, b = [], []
-            for row in range(batch.num_rows):
-                x, part, role, doc_id, text = (batch.column(c)[row].as_py() for c in range(5))
+            for f, p, deal, role, x, ys, text in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (f, p, deal) != own:
+                    own, ids, sets, block = (f, p, deal), [], [], None
                 found = shingler(text)
                 if role == 0:
-                    own, hub = (x, part), found
-                elif own == (x, part):
-                    both = len(np.intersect1d(hub, found, assume_unique=True))
-                    if 100 * both >= percent * (len(hub) + len(found) - both) and both:
-                        a.append(x)
-                        b.append(doc_id)
+                    ids.append(x)
+                    sets.append(found)
+                    continue
+                if block is None and ids:
+                    block, sets = Block(ids, sets), []
+                if block is None:
+                    continue
+                both = block.shared(found)
+                for y in ys:
+                    at = block.place.get(y)
+                    if at is not None and both[at] and 100 * both[at] >= percent * (len(found) + block.sizes[at] - both[at]):
+                        a.append(y)
+                        b.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -181,8 +219,8 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
 
     Equal sets are one class, which its smallest id stands for.  Classes that share a band are candidates.  Each is
     first checked against the leader it shares most bands with; the links found make components.  What is left, pairs
-    in one bucket but two components, is compared by signatures in tiles and then on full sets.  So every pair that
-    shares a band is either joined already or checked, and no group is expanded into its pairs.
+    in one bucket but two components, is compared by signatures in tiles and then on full sets, block by block.  So
+    every pair that shares a band is either joined already or checked, and no group is expanded into rows of pairs.
 
     Null and empty texts have no shingles, link with nothing and are kept.  Rows with a null id take no part: they get
     a null component and are kept.  Rows that repeat an id are one document, linked by any of its texts.
@@ -192,24 +230,32 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     classes = durable(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")))
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    leaders = (banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"))
-               .where("leader < last").select("bucket", "leader"))
-    shared = durable(banded.join(leaders, "bucket"))
-    asked = (shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("rep").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("a"))
-             .select("a", F.col("rep").alias("b")))
-    asked = durable(asked)
-    texts = durable(ids.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    links = durable(confirmed(asked, texts, width, percent))
-
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = durable(banded.join(sizes, "bucket"))
+    # The original of a family of copies is in more and larger buckets than any copy, so it leads where it occurs.
+    central = crowd.groupBy("rep").agg(F.sum("size").alias("central"))
+    ranked = crowd.select("bucket", "rep").join(central, "rep")
+    leaders = ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("leader"))
+    led = (crowd.select("bucket", "rep").join(leaders, "bucket").where("rep <> leader").groupBy("rep", "leader")
+           .agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")))
+    led = durable(crowd.select("rep").distinct().join(led, "rep", "left"))
+    first = led.where("leader IS NOT NULL").select(F.col("rep").alias("x"), F.col("leader").alias("family"), F.lit(-1).cast("long").alias("part"),
+                                                   F.array("leader").alias("ys"))
+    texts = durable(ids.join(led.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    heads = first.select("family", "part", F.col("family").alias("y")).distinct()
+    links = durable(confirmed(first, heads, texts, width, percent))
+
+    # Blocks of those that have one leader: what is alike is compared with what is alike.
+    families = led.select("rep", F.coalesce("leader", "rep").alias("family"))
+    counts = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    families = families.join(counts, "family").select("rep", "family", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
     joined = components(links).withColumnRenamed("node", "rep")
-    members = (shared.select("bucket", "rep").join(joined, "rep", "left")
-               .select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
-    mixed = durable(members)
-    split = mixed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    left = mixed.join(split.select("bucket"), "bucket").join(classes.select("rep", "n", "low"), "rep")
-    more = tiles(durable(left)).join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = links.union(confirmed(durable(more), texts, width, percent))
+    known = durable(families.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    mixed = crowd.select("bucket", "rep").join(known.select("rep", "component"), "rep")
+    split = durable(mixed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
+    left = durable(crowd.select("bucket", "rep").join(split, "bucket").join(known, "rep").join(classes.select("rep", "n", "low"), "rep"))
+    asked = durable(tiles(left))
+    found = links.union(confirmed(asked, known.select("family", "part", F.col("rep").alias("y")), texts, width, percent))
 
     whole = components(found).withColumnRenamed("node", "rep")
     of_class = classes.select("set_key", "rep").join(whole, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
