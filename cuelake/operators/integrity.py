@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 HEX_DIGEST = "^[0-9a-fA-F]{64}$"
 
 
-BROADCAST_ROWS = 200_000
-
-
 def hashed(assets: DataFrame) -> DataFrame:
     return assets.withColumn("digest", F.sha2("content", 256)).drop("content")
 
@@ -34,19 +31,16 @@ def incremental_verify(assets: DataFrame, manifest: DataFrame, checked: DataFram
     """Trust recorded checks of unchanged files and verify the rest.
 
     ``checked`` holds ``path, size, mtime, sha256`` of files found good before; a record
-    counts only while size, time and expected digest are unchanged.  When the records are
-    few enough to broadcast, trusted files are dropped before hashing.  Otherwise that test
-    would shuffle every content, which costs more than hashing it, so the digests are
-    computed in place and the trusted ones are ignored afterwards.
+    counts only while size, time and expected digest are unchanged.  Listings without
+    contents decide which files are left; only those are hashed, where they are read.
     """
     fingerprint = ["path", "size", "mtime"]
     expected = manifest.select("path", F.lower("sha256").alias("_now"))
     valid = checked.join(expected, "path").where(F.lower("sha256") == F.col("_now")).select(*fingerprint)
-    cached = assets.select(*fingerprint).join(valid, fingerprint, "left_semi")
-    if valid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        digests = hashed(assets.join(F.broadcast(valid), fingerprint, "left_anti"))
-    else:
-        digests = hashed(assets).join(valid, fingerprint, "left_anti")
+    listing = assets.select(*fingerprint)
+    cached = listing.join(valid, fingerprint, "left_semi")
+    left = listing.join(valid, fingerprint, "left_anti").select("path", F.lit(True).alias("_left"))
+    digests = hashed(assets.join(left, "path")).drop("_left")
     todo = manifest.join(cached, "path", "left_anti")
     return (verdict_of(digests, todo).withColumn("cached", F.lit(False))
             .unionByName(cached.select("path", F.lit("OK").alias("verdict"), F.lit(True).alias("cached"))))

@@ -125,10 +125,12 @@ def error_class(message: Column) -> Column:
             .when(transport, "transport").otherwise("other"))
 
 
-def retry_action(message: Column, targets: Column) -> Column:
-    """What a failed range does next: split in two, ask once more, or stop."""
+def retry_action(message: Column, targets: Column, corrective: Column | None = None) -> Column:
+    """What a failed range does next: split in two, ask once more with a correction, or stop."""
     model = error_class(message) == "model"
-    return F.when(model & (targets > 1), "split").when(model & (targets == 1), "retry").otherwise("stop")
+    fresh = F.lit(True) if corrective is None else ~corrective
+    return (F.when(model & (targets > 1), "split").when(model & (targets == 1) & fresh, "retry")
+            .otherwise("stop"))
 
 
 def split_ranges(failed: DataFrame) -> DataFrame:
@@ -139,25 +141,29 @@ def split_ranges(failed: DataFrame) -> DataFrame:
             .withColumn("first", F.col("half.first")).withColumn("past", F.col("half.past")).drop("half"))
 
 
-def retry_plan(ranges: DataFrame, ask, max_rounds: int = 8) -> DataFrame:
+def retry_plan(ranges: DataFrame, ask) -> DataFrame:
     """Ask for every range; split the failed ones until all are answered or stopped.
 
-    ``ask`` maps a frame of ranges (track, first, past, round) to the same rows with
-    ``targets`` and ``error``.  Each round is written to the shared folder before it
-    is split, so no range is ever asked twice, and rounds only hold what failed.
-    A dozen cues need four splits, so the loop ends long before ``max_rounds``.
+    ``ask`` maps a frame of ranges (track, first, past, round, corrective) to the same
+    rows with ``targets`` and ``error``.  A range of one cue that fails is asked once more,
+    with ``corrective`` true, and then stops.  Each round is written to the shared folder
+    before it is split, so no range is asked twice alike, and rounds only hold what failed:
+    a range of n cues is settled after log2(n) rounds and the corrective one.
     """
-    done, todo = None, ranges.withColumn("round", F.lit(0))
-    for number in range(max_rounds):
+    done, number = None, 0
+    todo = ranges.withColumn("round", F.lit(0)).withColumn("corrective", F.lit(False))
+    while True:
         asked = durable(ask(todo).withColumn("action", F.when(F.col("error").isNull(), "done").otherwise(
-            retry_action(F.col("error"), F.col("targets")))))
-        settled = asked.where("action <> 'split'")
+            retry_action(F.col("error"), F.col("targets"), F.col("corrective")))))
+        settled = asked.where("action IN ('done', 'stop')")
         done = settled if done is None else done.unionByName(settled)
-        failed = asked.where("action = 'split'")
+        failed = asked.where("action IN ('split', 'retry')")
         if failed.isEmpty():
             return done
-        todo = split_ranges(failed.select(*ranges.columns)).withColumn("round", F.lit(number + 1))
-    raise RuntimeError("ranges left after the last round")
+        number += 1
+        halves = split_ranges(failed.where("action = 'split'").select(*ranges.columns)).withColumn("corrective", F.lit(False))
+        again = failed.where("action = 'retry'").select(*ranges.columns).withColumn("corrective", F.lit(True))
+        todo = halves.unionByName(again).withColumn("round", F.lit(number))
 
 
 def decisions_merge(rules: DataFrame, answers: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,10 +175,20 @@ def decisions_merge(rules: DataFrame, answers: DataFrame, cues: DataFrame) -> tu
     return merged, missing
 
 
+def undecided_tracks(cues: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Tracks of which some cue has no decision; their result would be incomplete."""
+    known = decisions.where(F.col("text").isNotNull()).select("track_id", "pos")
+    return cues.select("track_id", "pos").join(known, ["track_id", "pos"], "left_anti").select("track_id").distinct()
+
+
 def decided_cues(cues: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Original times with the decided text; cues decided away are gone, numbers are new."""
+    """Original times with the decided text; cues decided away are gone, numbers are new.
+
+    Tracks with an undecided cue are left out whole; ``result_summary`` counts such cues.
+    """
     kept = (cues.drop("text").join(decisions.select("track_id", "pos", "text"), ["track_id", "pos"])
-            .where(strip(F.col("text")) != ""))
+            .where(strip(F.col("text")) != "")
+            .join(undecided_tracks(cues, decisions), "track_id", "left_anti"))
     return (number_rows(kept, ["track_id"], ["pos"], "new_pos").drop("pos")
             .withColumnRenamed("new_pos", "pos"))
 
@@ -184,10 +200,10 @@ def result_render(cues: DataFrame, decisions: DataFrame) -> DataFrame:
 def result_summary(cues: DataFrame, decisions: DataFrame) -> DataFrame:
     joined = cues.select("track_id", "pos").join(decisions.select("track_id", "pos", "text"), ["track_id", "pos"],
                                                  "left")
-    kept = F.coalesce(strip(F.col("text")), F.lit("")) != ""
-    return (joined.groupBy("track_id").agg(F.count_if(kept).alias("cue_count"),
-                                           F.count(F.lit(1)).alias("source_cue_count"))
-            .withColumn("dropped_cue_count", F.col("source_cue_count") - F.col("cue_count")))
+    kept = strip(F.col("text")) != ""
+    return joined.groupBy("track_id").agg(
+        F.count_if(kept).alias("cue_count"), F.count(F.lit(1)).alias("source_cue_count"),
+        F.count_if(~kept).alias("dropped_cue_count"), F.count_if(F.col("text").isNull()).alias("undecided_cue_count"))
 
 
 def before_after(originals: DataFrame, results: DataFrame) -> DataFrame:

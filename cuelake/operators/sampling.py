@@ -36,15 +36,27 @@ def decoded_high_water(frames: DataFrame) -> DataFrame:
 # its entry state.  Those rows are chained per track and give each block its entry.
 
 # Time repair: entries below ``below`` end at ``exit_at``, later ones at
-# max(floor, entry + shift).
+# max(floor, entry + shift).  Times are whole picoseconds, so that sums do not depend on
+# where blocks begin; a step is off by half a picosecond at most.
+
+PICOSECONDS = 10 ** 12
+BEFORE_ALL = -(1 << 62)
+BEFORE_FIRST = -PICOSECONDS
+
+
+def _clock(idx, pts, fps):
+    """(presentation time or None where it is unusable, time by frame number, one frame's time)."""
+    usable = 0 <= pts <= fixed.MAX_MEDIA_TIME_S * 1000
+    return int(round(pts * 10 ** 9)) if usable else None, int(round(idx * PICOSECONDS / fps)), int(round(PICOSECONDS / fps))
+
 
 def _repair_summary(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("idx")
-    below = exit_at = floor = float("-inf")
-    shift = 0.0
-    for idx, pts, fps in zip(pdf["idx"], pdf["pts_ms"], pdf["fps"]):
-        nominal, step, time = idx / fps, 1 / fps, pts / 1000
-        if 0 <= time <= fixed.MAX_MEDIA_TIME_S and time > exit_at:
+    below = exit_at = floor = BEFORE_ALL
+    shift = 0
+    for row in zip(pdf["idx"], pdf["pts_ms"], pdf["fps"]):
+        time, nominal, step = _clock(*row)
+        if time is not None and time > exit_at:
             if time > floor:
                 below = max(below, time - shift)
             exit_at = time
@@ -58,21 +70,21 @@ def _repair_summary(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _repair_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(BLOCK)
-    last, entries = -1.0, []
+    last, entries = BEFORE_FIRST, []
     for below, exit_at, floor, shift in zip(pdf["below"], pdf["exit_at"], pdf["floor"], pdf["shift"]):
         entries.append(last)
         last = exit_at if last < below else max(floor, last + shift)
     return pd.DataFrame({"track_id": pdf["track_id"], BLOCK: pdf[BLOCK], "entry": entries})
 
 
-def repair_times(rows, last):
-    """Times in microseconds and replaced flags of ordered (idx, pts_ms, fps) rows."""
+def repair_times(rows, last=BEFORE_FIRST):
+    """Times in microseconds and replaced flags of ordered (idx, pts_ms, fps) rows, and the last time in picoseconds."""
     times, replaced = [], []
-    for idx, pts, fps in rows:
-        time = pts / 1000
-        keep = pts >= 0 and last < time <= fixed.MAX_MEDIA_TIME_S
-        last = time if keep else max(idx / fps, last + 1 / fps)
-        times.append(round(last * 1_000_000))
+    for row in rows:
+        time, nominal, step = _clock(*row)
+        keep = time is not None and last < time
+        last = time if keep else max(nominal, last + step)
+        times.append((last + 500_000) // 1_000_000)
         replaced.append(not keep)
     return times, replaced, last
 
@@ -108,15 +120,15 @@ def pts_repair(samples: DataFrame) -> DataFrame:
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "idx", F.col("pts_ms").cast("double").alias("pts_ms"), "fps")
     entries = (long_tracks(rows, TRACK).groupBy(*keys)
-               .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below double, "
-                                               "exit_at double, floor double, shift double")
+               .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below long, "
+                                               "exit_at long, floor long, shift long")
                .groupBy("track_id")
-               .applyInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry double"))
+               .applyInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry long"))
 
     def run(batches):
-        return _walk_blocks(batches, repair_times, lambda entry: -1.0 if pd.isna(entry) else entry,
-                            ["idx", "pts_ms", "fps"], ["ts_us", "repaired"])
-    return _sorted_blocks(rows, entries, ["idx"]).mapInPandas(
+        return _walk_blocks(batches, repair_times, int, ["idx", "pts_ms", "fps"], ["ts_us", "repaired"])
+    sorted_rows = _sorted_blocks(rows, entries, ["idx"]).withColumn("entry", F.coalesce("entry", F.lit(BEFORE_FIRST)))
+    return sorted_rows.mapInPandas(
         run, f"track_id long, {BLOCK} long, idx long, pts_ms double, fps double, ts_us long, repaired boolean")
 
 

@@ -327,14 +327,16 @@ SQL = {
             WHEN k = 5 AND (conv_id + turn) % 16 = 5 THEN 'INVALID' ELSE 'OK' END AS status,
         CASE WHEN k = 0 AND clean THEN '' WHEN k = 0 THEN NULL WHEN k IN (1, 2, 3) THEN NULL WHEN k = 5 AND (conv_id + turn) % 16 = 5 THEN NULL ELSE t END AS answer
         FROM (SELECT conv_id, turn, turn % 2 = 0 AS clean, (conv_id + turn) % 8 AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)""",
-    "retry_plan": r"""SELECT track_id, first, past, round, past - first AS targets, CASE WHEN dead THEN 'stop' WHEN odd THEN 'retry' ELSE 'done' END AS action FROM tries WHERE NOT (odd AND NOT dead AND past - first > 1)""",
+    "retry_plan": r"""SELECT t.track_id, first, past, CASE WHEN odd AND NOT dead THEN round + 1 ELSE round END AS round, odd AND NOT dead AS corrective, past - first AS targets,
+        CASE WHEN dead OR (odd AND length(c.text) % 2 = 0) THEN 'stop' ELSE 'done' END AS action
+        FROM tries t JOIN cues_v c ON c.track_id = t.track_id AND c.pos = t.past WHERE NOT (odd AND NOT dead AND past - first > 1)""",
     "error_class": r"""SELECT event_id, CASE event_type WHEN 'click' THEN 'model' WHEN 'error' THEN 'transport' WHEN 'signup' THEN 'transport' WHEN 'purchase' THEN 'other' ELSE 'none' END AS class,
         CASE WHEN event_type = 'click' AND event_id % 3 = 2 THEN 'split' WHEN event_type = 'click' AND event_id % 3 = 1 THEN 'retry' ELSE 'stop' END AS action FROM events""",
     "decisions_merge": r"""SELECT track_id, pos, CASE WHEN length(text) % 7 = 0 THEN '' WHEN ok THEN CASE WHEN f = 3 AND pos = chunk_no * 12 + 1 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END END AS text,
         CASE WHEN length(text) % 7 = 0 THEN 'remove' WHEN ok THEN 'model' ELSE 'missing' END AS route
         FROM (SELECT c.*, k.chunk_no, f, f IN (3, 4, 5, 6) OR (f = 2 AND n = 1) AS ok FROM cues_v c JOIN faults k ON k.track_id = c.track_id AND k.chunk_no = (c.pos - 1) // 12)""",
     "result_render": f"""SELECT track_id, (pos - 1) // 4096 AS part_no, string_agg(pos || chr(10) || {code('start_ms')} || ' --> ' || {code('end_ms')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY pos) AS content FROM decided GROUP BY 1, 2""",
-    "result_summary": r"""SELECT track_id, count(*) FILTER (trim(text) <> '') AS cue_count, count(*) AS source_cue_count, count(*) FILTER (trim(text) = '') AS dropped_cue_count FROM decisions_v GROUP BY 1""",
+    "result_summary": r"""SELECT track_id, count(*) FILTER (trim(text) <> '') AS cue_count, count(*) AS source_cue_count, count(*) FILTER (trim(text) = '') AS dropped_cue_count, count(*) FILTER (text IS NULL) AS undecided_cue_count FROM decisions_v GROUP BY 1""",
     "before_after": r"""SELECT track_id, pos, c.text AS before, CASE WHEN trim(d.text) <> '' THEN regexp_replace(d.text, '^\s+|\s+$', '', 'g') END AS after,
         CASE WHEN trim(d.text) = '' THEN 'removed' WHEN c.text = regexp_replace(d.text, '^\s+|\s+$', '', 'g') THEN 'kept' ELSE 'edited' END AS change FROM cues_v c JOIN decisions_v d USING (track_id, pos)""",
     "log_excerpt": r"""SELECT doc_id, CASE WHEN length(text) > 32000 THEN left(text, 32000) || chr(10) || '[truncated]' || chr(10) ELSE text END AS excerpt FROM documents""",

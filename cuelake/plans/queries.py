@@ -517,15 +517,16 @@ def single_parse(s, d):
 
 
 def _ask(cue_flags):
-    """A model that fails on ranges holding a cue of certain lengths."""
+    """A fault table: ranges holding a cue of certain lengths fail, some of them also when asked to correct it."""
     def ask(todo):
         spread = todo.withColumn("pos", F.explode(F.sequence(F.col("first") + 1, F.col("past"))))
         seen = (spread.join(cue_flags, ["track_id", "pos"])
-                .groupBy("track_id", "first", "past", "round")
-                .agg(F.count(F.lit(1)).alias("targets"), F.bool_or("odd").alias("odd"), F.bool_or("dead").alias("dead")))
+                .groupBy("track_id", "first", "past", "round", "corrective")
+                .agg(F.count(F.lit(1)).alias("targets"), F.bool_or("odd").alias("odd"), F.bool_or("dead").alias("dead"),
+                     F.bool_or("stubborn").alias("stubborn")))
         error = (F.when(F.col("dead"), "Local AI request failed: closed")
-                 .when(F.col("odd"), "The model returned invalid subtitle data."))
-        return seen.withColumn("error", error).drop("odd", "dead")
+                 .when(F.col("odd") & (~F.col("corrective") | F.col("stubborn")), "The model returned invalid subtitle data."))
+        return seen.withColumn("error", error).drop("odd", "dead", "stubborn")
     return ask
 
 
@@ -533,11 +534,12 @@ def _ask(cue_flags):
 def retry_plan(s, d):
     c = V.cues_v(s, d)
     n = F.length("text")
-    flags = c.select("track_id", "pos", (n % 29 == 0).alias("odd"), (n % 211 == 0).alias("dead"))
+    flags = c.select("track_id", "pos", (n % 29 == 0).alias("odd"), (n % 211 == 0).alias("dead"),
+                     (n % 2 == 0).alias("stubborn"))
     ranges = (planning.chunk_assign(c, "clean").groupBy("track_id", "chunk_no").agg(F.max("pos").alias("past"))
               .select("track_id", (F.col("chunk_no") * 12).alias("first"), "past"))
     return responses.retry_plan(ranges, _ask(flags)).select(
-        "track_id", "first", "past", F.col("round").cast("long").alias("round"), "targets", "action")
+        "track_id", "first", "past", F.col("round").cast("long").alias("round"), "corrective", "targets", "action")
 
 
 @query

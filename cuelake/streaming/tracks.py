@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructType
 
 from cuelake.functions.text import fold_text
 from cuelake.operators.runs import log_sanitise, stage_classify
-from cuelake.operators.sampling import gate_walk, repair_times
+from cuelake.operators.sampling import BEFORE_FIRST, gate_walk, repair_times
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = StructType().add("json", StringType())
@@ -52,7 +52,7 @@ def _ordered(rows, column):
 
 
 class _Gate(_TrackProcessor):
-    start = {"last": -1.0, "kept": None}
+    start = {"last": BEFORE_FIRST, "kept": None}
 
     def __init__(self, interval_us):
         self.interval_us = interval_us
@@ -61,7 +61,7 @@ class _Gate(_TrackProcessor):
         state, pdf = self.load(), _ordered(rows, "n")
         times, repaired, last = repair_times(zip(pdf["n"] - 1, pdf["pts_ms"], pdf["fps"]), state["last"])
         kept, clock = gate_walk(zip(times, pdf["changed"]), state["kept"], self.interval_us)
-        self.save({"last": float(last), "kept": clock})
+        self.save({"last": last, "kept": clock})
         yield pd.DataFrame({"track_id": key[0], "n": pdf["n"].to_numpy(), "ts_us": times,
                             "repaired": repaired, "kept": kept})
 

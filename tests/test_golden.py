@@ -184,6 +184,30 @@ def test_statuses_of_parsed_files(spark):
     assert {r.track_id for r in quality.normalize_cues(cuefiles.srt_parse_strict(table)).collect()} == {1}
 
 
+def test_undecided_cues_hold_their_track_back(spark):
+    table = cue_table(spark, [(1000, 2000, "a"), (3000, 4000, "b")])
+    some = spark.createDataFrame([(1, 1, "A")], "track_id long, pos long, text string")
+    whole = spark.createDataFrame([(1, 1, "A"), (1, 2, " ")], "track_id long, pos long, text string")
+    assert responses.decided_cues(table, some).count() == 0 and responses.decided_cues(table, whole).count() == 1
+    row = responses.result_summary(table, some).first()
+    assert (row.cue_count, row.source_cue_count, row.dropped_cue_count, row.undecided_cue_count) == (1, 2, 0, 1)
+
+
+@pytest.mark.parametrize("fps", [23.976, 25.0, 29.97, 59.94])
+def test_repaired_times_do_not_depend_on_blocks(spark, fps):
+    draw = np.random.default_rng(int(fps))
+    rows = []
+    for track in range(30):
+        for i in range(40):
+            kind = draw.integers(0, 5)
+            pts = -1.0 if kind == 0 else float(draw.uniform(0, 40_000 / fps)) if kind == 1 else i * 1000 / fps
+            rows.append((track, i, i + 1, pts, fps))
+    table = spark.createDataFrame(rows, "track_id long, idx long, n long, pts_ms double, fps double")
+    whole, split = (sorted(sampling.pts_repair(with_blocks(table, "n", size)).select("track_id", "idx", "ts_us", "repaired").collect())
+                    for size in (16384, 4))
+    assert whole == split and any(r.repaired for r in whole)
+
+
 def test_line_breaks_of_bodies(spark):
     stats = quality.quality_stats(spark.createDataFrame([(1, 0, "ab\u2028cdef\x0bg\r\nh\x85i", 1)], "track_id long, cue_pos long, body string, parts long")).first()
     assert (stats.max_lines, stats.max_line_chars) == (5, 4)

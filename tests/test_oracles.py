@@ -33,4 +33,5 @@ def test_entry_and_keys(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"frame_change_gate"}
+    from cuelake.plans.queries import QUERIES
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) - set(entry.oracle_sql()) == {"frame_change_gate"}
