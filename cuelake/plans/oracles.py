@@ -376,6 +376,22 @@ SQL["prompt_text"] = r"""SELECT k.track_id, k.chunk_no, 'Translate into German.
         FROM (SELECT track_id, (pos - 1) // 8 AS chunk_no, count(*) AS n, list({'id': pos, 'text': text} ORDER BY pos) AS targets FROM cues_v WHERE regexp_matches(text, '\p{L}') GROUP BY 1, 2) k"""
 
 SQL["stream_ocr_gate"] = "SELECT track_id, n, ms * 1000 AS ts_us, kept FROM retimed_gate"
+SQL["frame_change_gate"] = r"""SELECT * FROM (WITH
+    g AS (SELECT CAST(label AS BIGINT) AS track_id, vec_id + 1 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 800) AS BIGINT) % 256) AS a FROM embeddings),
+    f AS (SELECT *, lag(a) OVER (PARTITION BY track_id ORDER BY n) AS b FROM g),
+    p AS (SELECT track_id, n, i // 8 AS y, i % 8 AS x, a[i + 1] - b[i + 1] AS d, abs(a[i + 1] - b[i + 1]) AS m FROM f, range(64) r(i) WHERE b IS NOT NULL),
+    cut AS (SELECT track_id, n, count(*) FILTER (m > 32) > 64 * 0.35 AND abs(avg(d)) > 28 AS hard FROM p GROUP BY 1, 2),
+    r AS (SELECT track_id, n, y, sum(m) AS s FROM p GROUP BY 1, 2, 3),
+    e AS (SELECT track_id, n, y, s + coalesce(lag(s) OVER w, 0) + coalesce(lead(s) OVER w, 0) AS e FROM r WINDOW w AS (PARTITION BY track_id, n ORDER BY y)),
+    u AS (SELECT track_id, n, median(e) AS usual FROM e GROUP BY 1, 2),
+    busy AS (SELECT track_id, n, y, y - row_number() OVER (PARTITION BY track_id, n ORDER BY y) AS run FROM e JOIN u USING (track_id, n) WHERE e >= usual + greatest(48, usual * 0.06)),
+    band AS (SELECT track_id, n, run, greatest(min(y) - 1, 0) AS lo, least(max(y) + 2, 8) AS hi FROM busy GROUP BY 1, 2, 3 HAVING max(y) - min(y) BETWEEN 1 AND 4),
+    c AS (SELECT track_id, n, run, x, hi - lo AS depth, sum(m) FILTER (y >= lo AND y < hi) AS inside, sum(m) AS whole, count(*) FILTER (m > 32 AND y >= lo AND y < hi) AS hot
+        FROM band JOIN p USING (track_id, n) GROUP BY 1, 2, 3, 4, 5),
+    lit AS (SELECT *, inside * greatest(1, 8 - depth) - (whole - inside) * depth >= greatest(32, depth * 8) * greatest(1, 8 - depth) AS lit FROM c),
+    span AS (SELECT track_id, n, run, count(*) FILTER (lit) AS lit, max(x) FILTER (lit) - min(x) FILTER (lit) + 1 AS span, sum(hot) AS hot FROM lit GROUP BY 1, 2, 3),
+    text AS (SELECT DISTINCT track_id, n FROM span WHERE lit >= 2 AND span >= 8 * 0.18 AND span <= 8 * 0.96 AND hot <= 40)
+    SELECT track_id, n, coalesce(hard, false) OR text.n IS NOT NULL AS changed FROM f LEFT JOIN cut USING (track_id, n) LEFT JOIN text USING (track_id, n))"""
 SQL["stream_late_audit"] = "SELECT track_id, count(*) AS samples, count(*) FILTER (repaired) AS repaired FROM retimed GROUP BY 1"
 SQL["stream_cues"] = SQL["cue_build"]
 SQL["stream_progress"] = r"""SELECT run_id, max(CASE WHEN p <= 99 THEN p END) AS percent,

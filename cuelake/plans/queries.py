@@ -168,7 +168,7 @@ def track_duration(s, d):
 
 
 def _thumbnails(s, d):
-    gray = F.transform("embedding", lambda v: (F.floor(F.abs(v) * 800) % 256).cast("int"))
+    gray = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 800) % 256).cast("int"))
     return V.with_blocks(V.table(s, d, "embeddings").select(
         F.col("label").cast("long").alias("track_id"), (F.col("vec_id") + 1).alias("n"), gray.alias("gray"),
         F.lit(8).alias("height"), F.lit(8).alias("width")), "n")
