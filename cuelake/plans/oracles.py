@@ -267,11 +267,9 @@ SQL = {
     "frame_batch_plan": r"""SELECT track_id, (r - 1) // 4 AS group_no, count(*) AS frames, CAST(sum(crops) AS BIGINT) AS crops, sum(crops) <= 32 AS combined FROM (
         SELECT frame % 10 AS track_id, crops, row_number() OVER (PARTITION BY frame % 10 ORDER BY frame) AS r FROM (SELECT frame, count(*) AS crops FROM boxes_v GROUP BY 1)) GROUP BY 1, 2""",
     "decision_parity": r"""SELECT frame, count(*) AS rows, count(*) FILTER (NOT same) AS differing, CASE WHEN bool_and(same) THEN 'match' ELSE 'output_mismatch' END AS verdict
-        FROM (SELECT a.frame, coalesce(a.t = b.t AND a.k = b.k, false) AS same FROM
-          (SELECT frame, text AS t, confidence >= CASE WHEN length(text) <= 2 THEN 0.78 ELSE 0.45 END AS k, row_number() OVER (PARTITION BY frame ORDER BY x1, crop_ref, line_no, y1, text, confidence) AS q FROM boxes_v) a
-          FULL JOIN (SELECT frame, text AS t, confidence >= CASE WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) <= 2 THEN 0.78 ELSE 0.45 END AS k, row_number() OVER (PARTITION BY frame ORDER BY x1, crop_ref, line_no, y1, text, confidence) AS q FROM
-            (SELECT frame, y1, x1, crop_ref, line_no, CASE WHEN x1 % 77 = 0 THEN text || '?' ELSE text END AS text, CASE WHEN x1 % 50 = 0 THEN confidence - 0.02 ELSE confidence END AS confidence FROM boxes_v)) b
-          ON a.frame = b.frame AND a.q = b.q) GROUP BY 1""",
+        FROM (SELECT frame, t = text AND (c >= CASE WHEN length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) <= 2 THEN 0.78 ELSE 0.45 END)
+            = (confidence >= CASE WHEN length(text) <= 2 THEN 0.78 ELSE 0.45 END) AS same
+          FROM (SELECT *, CASE WHEN x1 % 77 = 0 THEN text || '?' ELSE text END AS t, CASE WHEN x1 % 50 = 0 THEN confidence - 0.02 ELSE confidence END AS c FROM boxes_v)) GROUP BY 1""",
     "text_key": r"""SELECT track_id, pos, replace(lower(regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}]', '', 'g')), 'ß', 'ss') AS key FROM cues_v""",
     "transition_backdate": "SELECT track_id, n, event_us, text, backdated FROM ocr_events",
     "event_intervals": "SELECT track_id, n, event_us, end_us FROM intervals WHERE text <> ''",

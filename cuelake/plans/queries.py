@@ -279,11 +279,10 @@ def frame_batch_plan(s, d):
 
 @query
 def decision_parity(s, d):
-    def side(boxes):
-        # place in the frame, from columns that both sides share
-        keyed = with_crowd_blocks(boxes, ["frame"], div(F.col("x1"), 256))
-        return number_rows(keyed, ["frame"], ["x1", "crop_ref", "line_no", "y1", "text", "confidence"], "seq")
-    return recognise.decision_parity(side(V.boxes_v(s, d)), side(V.candidate_v(s, d)), "frame", "seq")
+    """Rows are numbered once, so that each meets its own altered form whatever the alteration."""
+    keyed = with_crowd_blocks(V.boxes_v(s, d), ["frame"], div(F.col("x1"), 256))
+    rows = durable(number_rows(keyed, ["frame"], ["x1", "crop_ref", "line_no", "y1", "text", "confidence"], "seq"))
+    return recognise.decision_parity(rows, V.altered(rows), "frame", "seq")
 
 
 # Events to cues
