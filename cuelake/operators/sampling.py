@@ -68,13 +68,17 @@ def _repair_summary(pdf: pd.DataFrame) -> pd.DataFrame:
                          "exit_at": [exit_at], "floor": [floor], "shift": [shift]})
 
 
-def _repair_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(BLOCK)
-    last, entries = BEFORE_FIRST, []
-    for below, exit_at, floor, shift in zip(pdf["below"], pdf["exit_at"], pdf["floor"], pdf["shift"]):
-        entries.append(last)
-        last = exit_at if last < below else max(floor, last + shift)
-    return pd.DataFrame({"track_id": pdf["track_id"], BLOCK: pdf[BLOCK], "entry": entries})
+def _repair_entries(batches):
+    """Last time before each block, along block summaries sorted by track and block."""
+    track = last = None
+    for pdf in batches:
+        entries = []
+        for own, below, exit_at, floor, shift in zip(*(pdf[c].tolist() for c in ("track_id", "below", "exit_at", "floor", "shift"))):
+            if own != track:
+                track, last = own, BEFORE_FIRST
+            entries.append(last)
+            last = exit_at if last < below else max(floor, last + shift)
+        yield pd.DataFrame({"track_id": pdf["track_id"], BLOCK: pdf[BLOCK], "entry": pd.array(entries, dtype="Int64")})
 
 
 def repair_times(rows, last=BEFORE_FIRST):
@@ -122,8 +126,8 @@ def pts_repair(samples: DataFrame) -> DataFrame:
     entries = (long_tracks(rows, TRACK).groupBy(*keys)
                .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below long, "
                                                "exit_at long, floor long, shift long")
-               .groupBy("track_id")
-               .applyInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry long"))
+               .repartition("track_id").sortWithinPartitions("track_id", BLOCK)
+               .mapInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry long"))
 
     def run(batches):
         return _walk_blocks(batches, repair_times, int, ["idx", "pts_ms", "fps"], ["ts_us", "repaired"])
@@ -190,20 +194,27 @@ def _gate_summary(interval):
 
 
 def _gate_entries(interval):
-    def exit_after(upper, exits, sure, last):
-        for bound, end in zip(upper, exits):
-            if last is None or bound >= last + interval:
-                return int(end)
-        return int(exits[-1]) if sure else last
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
-        last, entries = None, []
-        for upper, exits, sure in zip(pdf["upper"], pdf["exits"], pdf["sure"]):
-            entries.append(last)
-            last = exit_after(upper, exits, sure, last)
-        return pd.DataFrame({"track_id": pdf["track_id"], BLOCK: pdf[BLOCK],
-                             "entry": pd.array(entries, dtype="Int64")})
+    """Last kept time before each block, along choices sorted by track, block and place; nothing is collected."""
+    def run(batches):
+        track = block = last = after = end = None
+        found = sure = False
+        for pdf in batches:
+            out = []
+            for row_track, row_block, bound, row_end, row_sure in zip(
+                    *(pdf[c].tolist() for c in ("track_id", BLOCK, "bound", "exit", "sure"))):
+                if row_track != track:
+                    track, block, last, found = row_track, row_block, None, False
+                    out.append((track, block, None))
+                elif row_block != block:
+                    last = after if found else end if sure else last
+                    block, found = row_block, False
+                    out.append((track, block, last))
+                if not found and (last is None or bound >= last + interval):
+                    found, after = True, row_end
+                end, sure = row_end, row_sure
+            columns = list(zip(*out)) or [[], [], []]
+            yield pd.DataFrame({"track_id": pd.array(columns[0], dtype="Int64"), BLOCK: pd.array(columns[1], dtype="Int64"),
+                                "entry": pd.array(columns[2], dtype="Int64")})
     return run
 
 
@@ -216,8 +227,10 @@ def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
                .applyInPandas(_gate_summary(interval_us),
                               f"track_id long, {BLOCK} long, upper array<long>, "
                               "exits array<long>, sure boolean")
-               .groupBy("track_id")
-               .applyInPandas(_gate_entries(interval_us), f"track_id long, {BLOCK} long, entry long"))
+               .select(*keys, "sure", F.posexplode(F.arrays_zip("upper", "exits")).alias("choice", "c"))
+               .select(*keys, "choice", F.col("c.upper").alias("bound"), F.col("c.exits").alias("exit"), "sure")
+               .repartition("track_id").sortWithinPartitions("track_id", BLOCK, "choice")
+               .mapInPandas(_gate_entries(interval_us), f"track_id long, {BLOCK} long, entry long"))
 
     def run(batches):
         return _walk_blocks(batches, lambda rows, last: gate_walk(rows, last, interval_us),
