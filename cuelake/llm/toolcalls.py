@@ -132,11 +132,16 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def schema_table(spark) -> DataFrame:
+    """SCHEMAS as a table of literals."""
+    rows = ", ".join(f"('{tool}', '{param}', '{kind}', {str(required).lower()})" for tool, param, kind, required in SCHEMAS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(tool, param, type, required)")
+
+
 def tool_calls(conversations: DataFrame) -> DataFrame:
     """`link` over the calls that the turns of `conversations` stand for."""
     spark = conversations.sparkSession
-    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
-    return link(*calls_of(conversations), schemas)
+    return link(*calls_of(conversations), schema_table(spark))
 
 
 SQL = """
