@@ -8,12 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WordTable, fit_in_task, labelled_sample, per_text
+from cuelake.llm.common import fit_in_task, labelled_sample, per_text
 
 #: Labelled documents that the classifier is fitted on, at most; every fourth of them is kept for calibration.
 SAMPLE_ROWS = 3000
 #: Hash places of features.
 PLACES = 1 << 18
+BITS = np.uint64(64 - 18)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose weights a worker keeps.
+KEPT_WORDS = 400_000
 #: Documents with a lower calibrated probability of good quality are dropped.
 LEAST_PROBABILITY = 0.5
 #: A text fails the fixed rules below so many words, or with a larger share of words in repeated windows.
@@ -55,34 +59,58 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
-def word_features(word: str) -> list[int]:
-    """Places of a word: itself, its shape, and its character 1- to 3-grams with ends marked."""
-    marked = f"\x02{word}\x03"
-    shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in word[:8])
-    grams = [f"{n}{marked[k:k + n]}" for n in (1, 2, 3) for k in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % PLACES for g in ("w" + word, "s" + shape, *grams)]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owners): hash places of all features of words, and the number of the word that has each.
+
+    Features are the word, its shape (upper, lower, digit or the character, of the first eight), and its character 1- to
+    3-grams with ends marked.  All words are hashed together as one array of code points.
+    """
+    codes = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    inside = np.arange(len(codes)) - first[owner]
+    room = sizes[owner] - inside
+    padded = np.append(codes, np.zeros(2, np.uint64))
+    places, owners, mixed = [], [], np.full(len(codes), 7, np.uint64)
+    for n in (1, 2, 3):
+        mixed = (mixed ^ padded[n - 1:n - 1 + len(codes)]) * MULTIPLIER
+        mixed ^= mixed >> np.uint64(31)
+        at = np.flatnonzero(room >= n)
+        places.append(mixed[at] >> BITS)
+        owners.append(owner[at])
+    kinds = shape_of(codes)
+    shown = (inside > 0) & (inside <= 8) & (room > 1)
+    for values in (codes, np.where(shown, kinds, np.uint64(0))):
+        whole = np.add.reduceat((values * MULTIPLIER ^ np.where(values > 0, inside + 1 + len(places), 0).astype(np.uint64)) * MULTIPLIER, first)
+        places.append((whole ^ whole >> np.uint64(29)) * MULTIPLIER >> BITS)
+        owners.append(np.arange(len(words)))
+    return np.concatenate(places).astype(np.int64), np.concatenate(owners)
+
+
+def shape_of(codes: np.ndarray) -> np.ndarray:
+    """A for upper, a for lower, 0 for digits, other characters themselves; each distinct character is looked up once."""
+    seen, where = np.unique(codes, return_inverse=True)
+    shown = [ord("A") if c.isupper() else ord("a") if c.islower() else ord("0") if c.isdigit() else ord(c) for c in map(chr, seen)]
+    return np.array(shown, np.uint64)[where]
 
 
 def rows_of(texts: list[str]):
     """For each text, (places, shares): the mean of its words' features, each word's features weighing 1 together.
 
-    Pairs of neighbouring shapes are word bigrams; they weigh as much as the words.
+    Of word bigrams only those of one word twice have a place, which weighs as much as a word.
     """
-    table = {}
     for text in texts:
-        total = Counter()
         words = split(text)
-        for word, n in Counter(words).items():
-            if word not in table:
-                places = word_features(word)
-                table[word] = [(p, k / len(places)) for p, k in Counter(places).items()]
-            for p, x in table[word]:
-                total[p] += n * x
-        for pair, n in Counter(zip(words, words[1:])).items():
-            if pair[0] == pair[1]:
-                total[SAME_PAIR] += n
-        scale = max(1, len(words))
-        yield np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), float, len(total)) / scale
+        if not words:
+            yield np.zeros(0, np.int64), np.zeros(0)
+            continue
+        each = Counter(words)
+        places, owners = word_features(list(each))
+        share = (np.fromiter(each.values(), float, len(each)) / np.bincount(owners))[owners]
+        repeats = sum(map(str.__eq__, words, words[1:]))
+        found, where = np.unique(np.append(places, SAME_PAIR), return_inverse=True)
+        yield found, np.bincount(where, np.append(share, repeats)) / len(words)
 
 
 #: Place of a word that is followed by itself.
@@ -141,16 +169,17 @@ def scorer(model: dict):
     w = np.zeros(PLACES)
     if "places" in model:
         w[model["places"]] = model["values"]
-    values = w.tolist()
+    table, same = {}, float(w[SAME_PAIR])
 
-    def value(word):
-        places = word_features(word)
-        return sum(map(values.__getitem__, places)) / len(places)
+    def learn_words(texts):
+        if len(table) > KEPT_WORDS:
+            table.clear()
+        new = list({x for words in texts for x in words}.difference(table))
+        if new:
+            places, owners = word_features(new)
+            table.update(zip(new, (np.bincount(owners, w[places], len(new)) / np.bincount(owners)).tolist()))
 
-    table, same = WordTable(value), values[SAME_PAIR]
-
-    def one(text):
-        words = split(text)
+    def one(text, words):
         found = counts(text, words)
         n = max(1, len(words))
         z = model["bias"] + (sum(map(table.__getitem__, words)) + same * sum(map(str.__eq__, words, words[1:]))) / n
@@ -158,7 +187,10 @@ def scorer(model: dict):
         return *found, found[0] < LEAST_WORDS or 100 * found[4] > MOST_REPEATED_PERCENT * found[0], p
 
     def work(texts):
-        made = [one(t or "") for t in texts]
+        texts = [t or "" for t in texts]
+        words = [split(t) for t in texts]
+        learn_words(words)
+        made = [one(t, w) for t, w in zip(texts, words)]
         return [list(c) for c in zip(*made)] if made else [[]] * 7
 
     return work
