@@ -111,7 +111,7 @@ def tiles(members: DataFrame) -> DataFrame:
     cells = F.when(F.col("in_core"), F.expr("transform(sequence(0L, other_parts - 1), j -> struct(-1 - cut AS x, j AS y))")).otherwise(
         F.concat(F.expr("transform(sequence(0L, core_parts - 1), i -> struct(-1 - i AS x, cut AS y))"),
                  F.expr("transform(sequence(0L, other_parts - 1), j -> struct(least(cut, j) AS x, greatest(cut, j) AS y))")))
-    kept = ["rep", "component", "n", "low", "family", "part"]
+    kept = ["rep", "component", "n", "low", "family", "part", "in_core"]
     rows = rows.select("bucket", F.explode(cells).alias("cell"), *kept)
     rows = (rows.select("bucket", "cell.x", "cell.y", *kept)
             .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y"))
@@ -119,7 +119,8 @@ def tiles(members: DataFrame) -> DataFrame:
     def compare(group):
         rep, component, n, family, part = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 7, 8))
         low = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), COORDINATES)
-        order = np.argsort(rep)
+        # The core first: its members are then found by the few others, not each of them by itself.
+        order = np.lexsort((rep, [not r[9] for r in group]))
         rep, component, n, family, part, low = (v[order] for v in (rep, component, n, family, part, low))
         for i in range(1, len(group)):
             ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= 80 * np.maximum(n[:i], n[i]))
