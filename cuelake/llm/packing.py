@@ -2,7 +2,9 @@
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cuelake.llm.common import WordTable
 from cuelake.plans.cut import durable
 
 CAPACITY = 1024
@@ -18,6 +19,11 @@ END_ID = 2
 #: A length is ranked in blocks, so that a common length is not one task: as many as rows over this, LEAST_BLOCKS at least.
 BLOCK_ROWS = 20_000
 LEAST_BLOCKS = 64
+#: Chunks whose ids a worker keeps.
+KEPT_CHUNKS = 600_000
+#: Before chunks without a space before them; no text of Arrow holds this lone surrogate.
+START = "\ud800"
+PUNCTUATION = ".,;:!?"
 TWO_SPACES = re.compile(r"\s\s")
 GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -27,33 +33,72 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit numbers; array("I") has four bytes wherever Python runs Arrow."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+class Numbered(dict):
+    """Numbers keys as they are asked for, and lists those not yet seen to."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit bytes.
 
-    The vocabulary's pre-tokenizer always cuts before a single space that stands between other characters, so a
-    text may be encoded in chunks cut there, and a worker keeps the ids of chunks that it has met.
+    The vocabulary's pre-tokenizer always cuts before a single space that stands between other characters, and between
+    letters and punctuation.  So a text may be encoded in chunks cut there, and a worker keeps the ids of chunks that
+    it has met.  A chunk's key leaves out the space before it; START marks chunks that have none.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = WordTable(None)
+        self.forget()
+
+    def forget(self):
+        self.place, self.ids = Numbered(), []
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        if len(self.ids) > KEPT_CHUNKS:
+            self.forget()
+        rows = []
         for text in texts:
             # A special token's string may hold no space, but keep such texts whole to be safe.
             chunks = [text] if "<|" in text else GAP.split(text) if TWO_SPACES.search(text) else text.split(" ")
-            cut.append([chunks[0], *(" " + c for c in chunks[1:])])
-        new = list({c for chunks in cut for c in chunks if c not in self.table})
-        made = {c: np.array(e.ids, "<u4").tobytes() for c, e in
-                zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
-        if len(self.table) + len(made) > self.table.most:
-            made |= {c: self.table[c] for chunks in cut for c in chunks if c in self.table}
-            self.table.clear()
-        self.table.update(made)
-        return [b"".join(map(self.table.__getitem__, chunks)) for chunks in cut]
+            chunks[0] = START + chunks[0]
+            rows.append(list(map(self.place.__getitem__, chunks)))
+        self.encode_new()
+        return [b"".join(map(self.ids.__getitem__, row)) for row in rows]
+
+    def encode_new(self):
+        """Ids of the chunks met since the last call; letters and the punctuation after them are chunks themselves."""
+        whole, joined = [], []
+        for chunk in self.place.new:
+            word = chunk.rstrip(PUNCTUATION)
+            if len(word) < len(chunk) and word.isalpha():
+                joined.append((self.place[chunk], self.place[word], self.place[START + chunk[len(word):]]))
+            else:
+                whole.append(chunk)
+        self.place.new = []
+        self.ids += [None] * (len(self.place) - len(self.ids))
+        texts = [c[1:] if c[:1] == START else " " + c for c in whole]
+        for chunk, found in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
+            self.ids[self.place[chunk]] = little_endian(found.ids)
+        for chunk, word, rest in joined:
+            self.ids[chunk] = self.ids[word] + self.ids[rest]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity=CAPACITY, end_id=END_ID, with_ids=False) -> DataFrame:
