@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,11 @@ from cuelake.llm.common import fit_in_task, labelled_sample, per_text
 
 #: Labelled documents that the classifier is fitted on, at most; every fourth of them is kept for calibration.
 SAMPLE_ROWS = 3000
-#: Hash places of features.
+#: Hash places of words and characters, then those of word bigrams and trigrams.
 PLACES = 1 << 18
 BITS = np.uint64(64 - 18)
+ORDER_PLACES = 1 << 20
+ORDER_BITS = np.uint64(64 - 20)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose weights a worker keeps.
 KEPT_WORDS = 400_000
@@ -95,10 +98,28 @@ def shape_of(codes: np.ndarray) -> np.ndarray:
     return np.array(shown, np.uint64)[where]
 
 
+def word_code(word: str) -> int:
+    """The hash that stands for a word in word bigrams and trigrams."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def order_features(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owners) of all word bigrams and trigrams, from the codes of texts' words one text after another."""
+    places, owners, mixed = [], [], codes * MULTIPLIER
+    mixed ^= mixed >> np.uint64(31)
+    for n in (2, 3):
+        mixed = (mixed[:-1] ^ codes[n - 1:]) * MULTIPLIER
+        mixed ^= mixed >> np.uint64(31)
+        at = np.flatnonzero(owner[n - 1:] == owner[:1 - n])
+        places.append((mixed[at] >> ORDER_BITS) + np.uint64(PLACES))
+        owners.append(owner[at])
+    return np.concatenate(places).astype(np.int64), np.concatenate(owners)
+
+
 def rows_of(texts: list[str]):
     """For each text, (places, shares): the mean of its words' features, each word's features weighing 1 together.
 
-    Of word bigrams only those of one word twice have a place, which weighs as much as a word.
+    Each word bigram and each word trigram weighs as much as a word; bigrams of one word twice also share a place.
     """
     for text in texts:
         words = split(text)
@@ -109,8 +130,10 @@ def rows_of(texts: list[str]):
         places, owners = word_features(list(each))
         share = (np.fromiter(each.values(), float, len(each)) / np.bincount(owners))[owners]
         repeats = sum(map(str.__eq__, words, words[1:]))
-        found, where = np.unique(np.append(places, SAME_PAIR), return_inverse=True)
-        yield found, np.bincount(where, np.append(share, repeats)) / len(words)
+        code = {w: word_code(w) for w in each}
+        ordered, _ = order_features(np.fromiter(map(code.__getitem__, words), np.uint64, len(words)), np.zeros(len(words), np.int64))
+        found, where = np.unique(np.concatenate([places, [SAME_PAIR], ordered]), return_inverse=True)
+        yield found, np.bincount(where, np.concatenate([share, [repeats], np.ones(len(ordered))])) / len(words)
 
 
 #: Place of a word that is followed by itself.
@@ -125,7 +148,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     apart = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 4 == 0 for t in texts])
     if min(target[apart].sum(), (1 - target[apart]).sum()) < 5:
         apart[:] = False
-    w, seen, bias, seen_bias = np.zeros(PLACES), np.full(PLACES, 1e-8), 0.0, 1e-8
+    w, seen, bias, seen_bias = np.zeros(PLACES + ORDER_PLACES), np.full(PLACES + ORDER_PLACES, 1e-8), 0.0, 1e-8
     draw = np.random.default_rng(7)
     share = max(target.mean(), 1 - target.mean())
     weigh = {1.0: 0.5 / target.mean() if share < 1 else 1.0, 0.0: 0.5 / (1 - target.mean()) if share < 1 else 1.0}
@@ -166,23 +189,33 @@ def calibrated(logits, target) -> tuple[float, float]:
 
 def scorer(model: dict):
     """Function from texts to the counts, the fixed verdict and the probability of good quality, for `per_text`."""
-    w = np.zeros(PLACES)
+    w = np.zeros(PLACES + ORDER_PLACES)
     if "places" in model:
         w[model["places"]] = model["values"]
-    table, same = {}, float(w[SAME_PAIR])
+    table, code, same = {}, {}, float(w[SAME_PAIR])
 
     def learn_words(texts):
         if len(table) > KEPT_WORDS:
             table.clear()
+            code.clear()
         new = list({x for words in texts for x in words}.difference(table))
         if new:
             places, owners = word_features(new)
             table.update(zip(new, (np.bincount(owners, w[places], len(new)) / np.bincount(owners)).tolist()))
+            code.update(zip(new, map(word_code, new)))
+
+    def weights_of(texts):
+        """Sum of the weights of each text's words, bigrams and trigrams."""
+        sizes = [len(words) for words in texts]
+        flat, owner = [x for words in texts for x in words], np.repeat(np.arange(len(texts)), sizes)
+        places, owners = order_features(np.fromiter(map(code.__getitem__, flat), np.uint64, len(flat)), owner)
+        return (np.bincount(owner, np.fromiter(map(table.__getitem__, flat), float, len(flat)), len(texts))
+                + np.bincount(owners, w[places], len(texts))).tolist()
 
-    def one(text, words):
+    def one(text, words, weights):
         found = counts(text, words)
         n = max(1, len(words))
-        z = model["bias"] + (sum(map(table.__getitem__, words)) + same * sum(map(str.__eq__, words, words[1:]))) / n
+        z = model["bias"] + (weights + same * sum(map(str.__eq__, words, words[1:]))) / n
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, model["slope"] * z + model["shift"]))))
         return *found, found[0] < LEAST_WORDS or 100 * found[4] > MOST_REPEATED_PERCENT * found[0], p
 
@@ -190,7 +223,7 @@ def scorer(model: dict):
         texts = [t or "" for t in texts]
         words = [split(t) for t in texts]
         learn_words(words)
-        made = [one(t, w) for t, w in zip(texts, words)]
+        made = [one(*row) for row in zip(texts, words, weights_of(words))]
         return [list(c) for c in zip(*made)] if made else [[]] * 7
 
     return work

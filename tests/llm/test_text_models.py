@@ -120,6 +120,19 @@ def test_quality_counts(tables, odd):
         assert quality.counts(text, quality.split(text)) == brute_counts(text)
 
 
+def test_quality_sees_the_order_of_words():
+    """Good and bad texts hold the same words; only which follows which tells them apart."""
+    ring = [f"word{k}" for k in range(40)]
+    good = [" ".join(ring[k:] + ring[:k]) for k in range(40)]
+    bad = [" ".join(reversed(t.split())) for t in good]
+    model = quality.fit(good[::2] + bad[::2], [1] * 20 + [0] * 20)
+    found = quality.scorer(model)(good[1::2] + bad[1::2])[-1]
+    assert min(found[:20]) > 0.9 and max(found[20:]) < 0.1
+    alone = [quality.scorer(model)([t])[-1][0] for t in good[1::2] + bad[1::2]]
+    assert alone == pytest.approx(found)
+    assert quality.scorer(model)(["", "word1", None])[0] == [0, 1, 0]
+
+
 def test_quality_held_out(tables):
     found = quality.quality(tables["documents"], tables["labels"]).join(tables["labels"], "doc_id").withColumn(
         "held_out", common.held_out()).where("held_out").toPandas()
