@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WordTable, per_text
+from cuelake.llm.common import WordTable, fresh, per_text
 from cuelake.llm.components import components
 from cuelake.plans.cut import durable
 
@@ -89,6 +89,17 @@ def sketcher(width: int):
     return work
 
 
+def keyer(width: int):
+    """Function from texts to the keys of their sets alone, for `per_text`."""
+    shingler = Shingler(width)
+
+    def one(text):
+        shingles = shingler(text)
+        return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+    return lambda texts: [[one(t) for t in texts]]
+
+
 def tiles(members: DataFrame) -> DataFrame:
     """What to confirm, (x, family, part, ys), among members (bucket, rep, component, n, low, family, part).
 
@@ -174,19 +185,19 @@ class Block:
 def confirmed(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The links (a, b) of `asked` (x, family, part, ys) whose full sets reach `percent` of Jaccard similarity.
 
-    `members` (family, part, y) names the documents of each block.  What is asked of a block is dealt into parts of
+    `texts` (rep, text) has a text of every class.  `members` (family, part, y) names the documents of each block.  What is asked of a block is dealt into parts of
     about ASKED_ROWS; a task keeps the sets of one block at a time.
     """
     keys = ["family", "part"]
     use = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ASKED_ROWS).alias("deals"))
     needed = asked.select(*keys, F.explode("ys").alias("y")).distinct()
     known = (members.join(needed, [*keys, "y"], "left_semi").join(use, keys)
-             .select(F.col("y").alias("doc_id"), *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"),
+             .select(F.col("y").alias("rep"), *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"),
                      F.lit(0).alias("role"), F.lit(None).cast("array<bigint>").alias("ys")))
-    other = (asked.join(use, keys).select(F.col("x").alias("doc_id"), *keys, F.pmod(F.xxhash64("x"), "deals").alias("deal"),
+    other = (asked.join(use, keys).select(F.col("x").alias("rep"), *keys, F.pmod(F.xxhash64("x"), "deals").alias("deal"),
                                           F.lit(1).alias("role"), "ys"))
-    rows = (known.union(other).join(texts, "doc_id").repartition(*keys, "deal")
-            .sortWithinPartitions(*keys, "deal", "role").select(*keys, "deal", "role", "doc_id", "ys", "text"))
+    rows = (known.union(other).join(texts, "rep").repartition(*keys, "deal")
+            .sortWithinPartitions(*keys, "deal", "role").select(*keys, "deal", "role", "rep", "ys", "text"))
 
     def run(batches):
         shingler, own, ids, sets, block = Shingler(width), None, [], [], None
@@ -218,18 +229,26 @@ def confirmed(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int
 def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
-    Equal sets are one class, which its smallest id stands for.  Classes that share a band are candidates.  Each is
+    Equal sets are one class, numbered by a 64-bit hash of its key, so texts under one id stay apart.  Classes that share a band are candidates.  Each is
     first checked against the leader it shares most bands with; the links found make components.  What is left, pairs
     in one bucket but two components, is compared by signatures in tiles and then on full sets, block by block.  So
     every pair that shares a band is either joined already or checked, and no group is expanded into rows of pairs.
 
     Null and empty texts have no shingles, link with nothing and are kept.  Rows with a null id take no part: they get
-    a null component and are kept.  Rows that repeat an id are one document, linked by any of its texts.
+    a null component and are kept.  Each row is linked by its own text.  A component is named by its smallest id; of the
+    rows with that id, those of one class are kept.  Components with one smallest id have the same name, but are kept each.
     """
+    return _judged(docs, width, percent).drop("rep")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """`near_duplicates` with the number of each row's class, `rep`; one number stands for all texts without shingles."""
+    number = F.xxhash64("set_key")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = durable(per_text(ids, ["doc_id"], lambda: sketcher(width), SKETCH))
     classes = durable(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+        .withColumn("rep", number))
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowd = durable(banded.join(sizes, "bucket"))
@@ -242,7 +261,10 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     led = durable(crowd.select("rep").distinct().join(led, "rep", "left"))
     first = led.where("leader IS NOT NULL").select(F.col("rep").alias("x"), F.col("leader").alias("family"), F.lit(-1).cast("long").alias("part"),
                                                    F.array("leader").alias("ys"))
-    texts = durable(ids.join(led.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    # An id may have several texts; the set of each tells which class it belongs to.
+    named = classes.join(led.select("rep"), "rep", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    texts = per_text(ids.join(named, "doc_id", "left_semi"), ["text"], lambda: keyer(width), "set_key binary")
+    texts = durable(texts.where("set_key IS NOT NULL").select(number.alias("rep"), "text"))
     heads = first.select("family", "part", F.col("family").alias("y")).distinct()
     links = durable(confirmed(first, heads, texts, width, percent))
 
@@ -259,20 +281,30 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     found = links.union(confirmed(asked, known.select("family", "part", F.col("rep").alias("y")), texts, width, percent))
 
     whole = components(found).withColumnRenamed("node", "rep")
-    of_class = classes.select("set_key", "rep").join(whole, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    of_class = (classes.select("set_key", "rep", "least").join(whole, "rep", "left")
+                .withColumn("component", F.coalesce("component", "rep")))
+    heads = of_class.groupBy("component").agg(F.min(F.struct("least", "rep")).alias("head"))
+    of_class = of_class.join(heads, "component").select("set_key", F.col("head.least").alias("component_id"),
+                                                        (F.col("rep") == F.col("head.rep")).alias("leads"))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+                    F.when(alone, True).otherwise(F.col("leads") & (F.col("doc_id") == F.col("component_id"))).alias("kept"),
+                    number.alias("rep")))
 
 
 def distinct_documents(docs: DataFrame, width=5, percent=80) -> DataFrame:
     """The rows of `docs` that stay: one of each component, and all with a null id.
 
-    Of rows that repeat an id, the least by its columns stays.
+    Of rows that repeat an id with equal sets of shingles, the least by its columns stays; other texts under the id are
+    judged by themselves.
     """
-    stay = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    known = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(stay, "doc_id", "left_semi")
-    known = known.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    stay = _judged(docs, width, percent).where("kept AND doc_id IS NOT NULL").select("doc_id", "rep").distinct()
+    rest, key = [c for c in docs.columns if c != "doc_id"], fresh("set_key", docs.columns)
+    number = fresh("rep", docs.columns)
+    known = per_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL"), docs.columns,
+                     lambda: keyer(width), f"{key} binary").withColumn(number, F.xxhash64(key))
+    known = known.join(stay.withColumnRenamed("rep", number), ["doc_id", number], "left_semi")
+    known = known.groupBy("doc_id", number).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
     return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))

@@ -302,6 +302,19 @@ def test_near_duplicates_odd_rows(odd):
     assert neardup.near_duplicates(odd.limit(0), 2).count() == 0
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    """Id 7 has a text of its own, a copy of id 3's and twice the same row; id 9 has two near copies of one text."""
+    base, other, third = ([f"{c}{k}" for k in range(40)] for c in "abc")
+    near = third[:-1] + ["end"]
+    rows = [(3, base), (7, base[:-1] + ["x"]), (7, other), (7, other), (9, third), (9, near), (11, near + ["more"])]
+    table = spark.createDataFrame([(i, " ".join(words)) for i, words in rows], "doc_id long, text string")
+    found = neardup.near_duplicates(table, 2).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter({(3, 3): 1, (7, 3): 1, (7, 7): 2, (9, 9): 2, (11, 9): 1})
+    stay = neardup.distinct_documents(table, 2).collect()
+    assert sorted(r.doc_id for r in stay) == [3, 7, 9]
+    assert [r.text for r in stay if r.doc_id == 7] == [" ".join(other)]
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
