@@ -259,11 +259,3 @@ def stream_samples_v(spark, sf_dir) -> DataFrame:
     return numbered_events(spark, sf_dir).select(
         "track_id", "n", ((F.col("n") - 1) * 250 + F.floor("value")).cast("double").alias("pts_ms"),
         F.lit(4.0).alias("fps"), ((F.col("n") > 1) & (F.floor("value") % 2 == 0)).alias("changed"), "ts_us")
-
-
-def closing_samples_v(spark, sf_dir) -> DataFrame:
-    """Samples followed by a closing row per track."""
-    rows = samples_v(spark, sf_dir).select("track_id", "n", "ts_us", "text", "changed", F.lit(False).alias("closing"))
-    last = rows.groupBy("track_id").agg((F.max("n") + 1).alias("n"), F.max("ts_us").alias("ts_us")).select(
-        "track_id", "n", "ts_us", F.lit("").alias("text"), F.lit(False).alias("changed"), F.lit(True).alias("closing"))
-    return rows.unionByName(last)

@@ -89,25 +89,45 @@ class _Cues(_TrackProcessor):
     still grow; ``before`` is the key of the event before ``event``, null after an empty one.
     """
 
-    start = {"sample": None, "kept": None, "event": None, "before": None, "cue": None}
+    start = {"sample": None, "kept": None, "event": None, "before": None, "cue": None, "timer": None}
 
-    def __init__(self, interval_us, tail_us):
-        self.interval_us, self.tail_us = interval_us, tail_us
+    def __init__(self, interval_us, tail_us, idle_us):
+        self.interval_us, self.tail_us, self.idle_us = interval_us, tail_us, idle_us
+
+    def init(self, handle):
+        super().init(handle)
+        self._handle = handle
 
     def handleInputRows(self, key, rows, timers):
         state, done = self.load(), []
-        pdf = _ordered(rows, "n")
-        for n, time, text, changed, closing in zip(pdf["n"], pdf["ts_us"], pdf["text"], pdf["changed"],
-                                                   pdf["closing"]):
-            if closing:
-                if state["event"]:
-                    self._end_event(state, state["sample"] + self.tail_us, done)
-                self._close(state, done)
-                state = dict(self.start)
-                continue
+        pdf = _ordered(rows, "n").dropna(subset=["n"])
+        for n, time, text, changed in zip(pdf["n"], pdf["ts_us"], pdf["text"], pdf["changed"]):
+            if state["sample"] is not None and time > state["sample"] + self.idle_us:
+                self._finish(state, done)
+                state = {**self.start, "timer": state["timer"]}
             self._sample(state, int(n), int(time), text, bool(changed), done)
-        self.save(state)
-        yield pd.DataFrame(done, columns=["cue_n", "start_us", "end_us", "text"]).assign(track_id=key[0])[
+        if len(pdf):
+            if state["timer"] is not None:
+                self._handle.deleteTimer(state["timer"])
+            state["timer"] = (state["sample"] + self.idle_us) // 1000 + 1
+            self._handle.registerTimer(state["timer"])
+            self.save(state)
+        yield self._frame(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state, done = self.load(), []
+        if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            self._finish(state, done)
+            self._value.clear()
+        yield self._frame(key, done)
+
+    def _finish(self, state, done):
+        if state["event"]:
+            self._end_event(state, state["sample"] + self.tail_us, done)
+        self._close(state, done)
+
+    def _frame(self, key, done):
+        return pd.DataFrame(done, columns=["cue_n", "start_us", "end_us", "text"]).assign(track_id=key[0])[
             ["track_id", "cue_n", "start_us", "end_us", "text"]]
 
     def _sample(self, state, n, time, text, changed, done):
@@ -143,14 +163,18 @@ class _Cues(_TrackProcessor):
             done.append((cue["n"], cue["start"], cue["end"], cue["text"]))
 
 
-def stream_cues(samples: DataFrame, interval_us: int, tail_us: int = HALF_SECOND_US) -> DataFrame:
-    """Finished cues of a sample stream (``track_id, n, ts_us, text, changed, closing``).
+def stream_cues(samples: DataFrame, interval_us: int, tail_us: int = HALF_SECOND_US, *, idle_us: int,
+                delay: str = "0 seconds") -> DataFrame:
+    """Finished cues of a sample stream (``track_id, n, ts_us, text, changed``).
 
-    A cue leaves when its text changes or when a row with ``closing`` ends the track.
+    A cue leaves when its text changes, or when event time has passed the track's last sample by ``idle_us``; a track
+    that goes on after that starts anew.  Event time is the latest ``ts_us`` of all tracks less ``delay``; rows that
+    come later than that are dropped.  A row without ``n`` is no sample and only moves event time.
     """
-    return samples.groupBy("track_id").transformWithStateInPandas(
-        _Cues(interval_us, tail_us),
-        "track_id long, cue_n long, start_us long, end_us long, text string", "append", "none")
+    timed = samples.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
+    return timed.groupBy("track_id").transformWithStateInPandas(
+        _Cues(interval_us, tail_us, idle_us),
+        "track_id long, cue_n long, start_us long, end_us long, text string", "append", "eventTime")
 
 
 def stream_progress(lines: DataFrame) -> DataFrame:

@@ -440,3 +440,17 @@ def test_integrity(spark):
 
 def test_norm_body_value():
     assert norm_body_value(" A\u00a0 b ") == "a b"
+
+
+def test_idle_tracks_close_by_event_time(spark):
+    """Track 1 stops, tracks 2 and 3 pause and go on, track 3 is open at the end; no row says that a track closes."""
+    from cuelake.streaming import tracks
+    from cuelake.streaming.replay import replay
+    second = 1_000_000
+    rows = [(1, 1, 0, "a"), (1, 2, second, "a"), (2, 1, 0, "b"), (3, 1, 30 * second, "c"), (2, 2, 60 * second, "b"), (3, 2, 89 * second, "c"), (4, None, 90 * second, None)]
+    table = spark.createDataFrame([(t, n, 1000 * second + at, text, False) for t, n, at, text in rows],
+                                  "track_id long, n long, ts_us long, text string, changed boolean")
+    found = replay(table, "ts_us", lambda s: tracks.stream_cues(s, second, idle_us=20 * second), slices=3).collect()
+    assert sorted((r.track_id, r.cue_n, r.start_us - 1000 * second, r.end_us - 1000 * second, r.text) for r in found) == [
+        (1, 1, 0, second + 500_000, "a"), (2, 1, 0, 500_000, "b"), (2, 2, 60 * second, 60 * second + 500_000, "b"),
+        (3, 1, 30 * second, 30 * second + 500_000, "c")]
