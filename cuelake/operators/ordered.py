@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.plans.cut import durable
+
 BLOCK = "blk"
 BLOCK_ROWS = 16384
 HOUR_US = 3_600_000_000
@@ -181,3 +183,29 @@ def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> Dat
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Position of each row in its track, from 1, without one task per track."""
     return scan(df, keys, order, **{name: running_sum(F.lit(1))})
+
+
+#: Bits of a row's place inside its partition in `monotonically_increasing_id`.
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Position of each row among the rows of its keys, from 1, by ``order``; nulls of a key are one group.
+
+    Rows are dealt by ranges of (keys, order), so a key of any size spreads over as many tasks as it needs, however
+    its rows lie in time.  A row's place inside its partition is stored with it; what is summed over partitions is
+    one count per (partition, key).  ``order`` should tell rows apart: rows equal in it meet in one partition, in any
+    order.  The sorted rows are cut by a durable copy, because a second run of the ranges could draw other bounds.
+    """
+    placed = durable(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                     .withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+            .select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+                    (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (placed.join(runs, same).withColumn(name, F.col("_at") + F.col("_shift") + 1)
+            .select(*(c for c in df.columns if c != name), name))
