@@ -1,8 +1,13 @@
 """One query for each corpus operator, over its whole table, and the SQL of those that SQL can express."""
 
-from cuelake.llm import credentials, langid, mixing, neardup, packing, quality, toolcalls, topk, toxicity, warc
+from pyspark.sql import functions as F
 
-ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL, "op10_toolcalls": toolcalls.SQL}
+from cuelake.llm import (credentials, hardneg, langid, merkle, mixing, neardup, packing, permindex, quality, toolcalls, topk, toxicity,
+                         warc)
+from cuelake.plans.cut import durable
+
+ORACLES = {"op3_maxscore": topk.SQL, "op5_warc": warc.SQL, "op10_toolcalls": toolcalls.SQL,
+           "op11_hardneg": hardneg.SQL, "op13_merkle": merkle.SQL}
 
 
 def table(spark, folder, name):
@@ -60,4 +65,23 @@ def op10_toolcalls(spark, folder):
     return toolcalls.tool_calls(table(spark, folder, "conversations"))
 
 
-QUERIES = {query.__name__: query for query in (op1_toxicity, op2_packing, op3_maxscore, op4_language, op5_warc, op6_secrets, op7_quality, op8_mixing, op9_minhash, op10_toolcalls)}
+def op11_hardneg(spark, folder):
+    """Hard negatives for the vectors whose id is divisible by 100; labels of every seventh id are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = durable(hardneg.labelled(table(spark, folder, "embeddings").withColumn("label", moved)))
+    return hardneg.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+def op12_permutation(spark, folder):
+    """The ten nearest vectors found for each vector whose id is divisible by 100."""
+    return permindex.neighbours(table(spark, folder, "embeddings"))
+
+
+def op13_merkle(spark, folder):
+    """Leaf, roots, proof and check of every document, a third of them tampered with."""
+    return merkle.audit(table(spark, folder, "documents"))
+
+
+QUERIES = {query.__name__: query for query in (
+    op1_toxicity, op2_packing, op3_maxscore, op4_language, op5_warc, op6_secrets, op7_quality, op8_mixing, op9_minhash, op10_toolcalls,
+    op11_hardneg, op12_permutation, op13_merkle)}
