@@ -51,10 +51,11 @@ def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
         made = np.sqrt((away * away).sum(axis=1))
         odd = np.flatnonzero(~np.isfinite(made) | (made < 1e-140))
         if len(odd):
-            away = rows[odd] / 2 - point / 2
+            half = np.where(np.isfinite(made[odd]), 1.0, 0.5)
+            away = rows[odd] * half[:, None] - point * half[:, None]
             most = np.abs(away).max(axis=1, initial=0)
             part = away / np.where(most > 0, most, 1)[:, None]
-            made[odd] = np.sqrt((part * part).sum(axis=1)) * most * 2
+            made[odd] = np.sqrt((part * part).sum(axis=1)) * most / half
     return made
 
 
