@@ -11,9 +11,9 @@ from cuelake.plans.cut import durable
 #: Vectors of a shard, about, and queries that a task answers at once.
 SHARD_ROWS = 4096
 QUERIES_AT_ONCE = 64
-#: Pivots, taken from the `PIVOT_SAMPLE` rows with the smallest hashes of their ids, and how many nearest ones tell a vector.
+#: Pivots, taken from a sample of about `PIVOT_SAMPLE` rows by hash of their ids, and how many nearest ones tell a vector.
 PIVOTS = 256
-PIVOT_SAMPLE = 2048
+PIVOT_SAMPLE = 1024
 NEAREST_PIVOTS = 64
 #: Share of a shard's rows, the nearest by footrule, whose distances are worked out.
 RERANKED = 0.2
@@ -31,8 +31,13 @@ def searchable(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame) -> np.ndarray:
-    """At most `PIVOTS` different vectors of a sample of `PIVOT_SAMPLE` rows; the sample has that bound at every size."""
-    rows = vectors.select("v", F.xxhash64("vec_id").alias("hash"), "vec_id").orderBy("hash", "vec_id").limit(PIVOT_SAMPLE).collect()
+    """At most `PIVOTS` different vectors of a sample of about `PIVOT_SAMPLE` rows, which has that bound at every size.
+
+    The hash decides which rows are sampled before anything moves, so no task sends more than its share of them.
+    """
+    hashed = vectors.select("v", F.xxhash64("vec_id").alias("hash"), "vec_id")
+    part = max(1, vectors.count() // PIVOT_SAMPLE)
+    rows = hashed.where(F.pmod("hash", F.lit(part)) == 0).orderBy("hash", "vec_id").limit(2 * PIVOT_SAMPLE).collect()
     chosen = list(dict.fromkeys(tuple(r["v"]) for r in rows))[:PIVOTS]
     made = np.zeros((len(chosen), max(map(len, chosen), default=0)))
     for at, v in enumerate(chosen):
