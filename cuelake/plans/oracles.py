@@ -54,6 +54,19 @@ VIEWS = {
     "retimed_gate": r"""SELECT r.track_id, s.n, r.ms, true AS kept, r.ms AS clock FROM retimed r JOIN samples_v s ON s.track_id = r.track_id AND s.n = 1 WHERE r.idx = 0
         UNION ALL SELECT g.track_id, s.n, r.ms, s.changed OR r.ms - g.clock >= 1000, CASE WHEN s.changed OR r.ms - g.clock >= 1000 THEN r.ms ELSE g.clock END
         FROM retimed_gate g JOIN samples_v s ON s.track_id = g.track_id AND s.n = g.n + 1 JOIN retimed r ON r.track_id = g.track_id AND r.idx = g.n""",
+    "arrived": r"""SELECT track_id, n, ts_us, (n * 7 + track_id) % 5 AS slice FROM ev""",
+    "water": r"""SELECT slice, max(max(ts_us)) OVER (ORDER BY slice) // 1000 AS ms FROM arrived GROUP BY 1""",
+    "taken": r"""SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round, ts_us, n) AS k FROM (SELECT a.track_id, a.n, a.ts_us, coalesce(min(w.slice), 5) AS round
+        FROM arrived a LEFT JOIN water w ON w.slice >= a.slice AND w.ms > a.ts_us // 1000 GROUP BY 1, 2, 3)""",
+    "taken_pts": r"""SELECT t.track_id, t.k, t.n, f.idx, f.pts_ms, coalesce(max(CAST(t.ts_us AS HUGEINT) * 1000000 + t.n) OVER (PARTITION BY t.track_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        > CAST(t.ts_us AS HUGEINT) * 1000000 + t.n, false) AS late FROM taken t JOIN frames_v f ON f.track_id = t.track_id AND f.idx = t.n - 1""",
+    "taken_times": r"""SELECT track_id, k, CASE WHEN pts_ms > -1000 THEN pts_ms ELSE idx * 250 END AS ms, false AS repaired, late FROM taken_pts WHERE k = 1
+        UNION ALL SELECT f.track_id, f.k, CASE WHEN f.pts_ms > r.ms THEN f.pts_ms ELSE greatest(f.idx * 250, r.ms + 250) END, f.pts_ms <= r.ms, f.late
+        FROM taken_times r JOIN taken_pts f ON f.track_id = r.track_id AND f.k = r.k + 1""",
+    "taken_samples": r"""SELECT t.track_id, t.k, t.n, t.ts_us, s.text FROM taken t JOIN samples_v s ON s.track_id = t.track_id AND s.n = t.n""",
+    "given_times": r"""SELECT track_id, k, n, ts_us AS given_us, ts_us, text FROM taken_samples WHERE k = 1
+        UNION ALL SELECT t.track_id, t.k, t.n, t.ts_us, CASE WHEN t.ts_us > g.ts_us OR t.ts_us = g.ts_us AND t.n > g.n THEN t.ts_us ELSE g.ts_us + 500000 END, t.text
+        FROM given_times g JOIN taken_samples t ON t.track_id = g.track_id AND t.k = g.k + 1""",
     "steps_v": r"""SELECT track_id AS crop_id, n AS step, event_type AS class, value / 500 AS score FROM ev""",
     "collapsed": r"""SELECT * FROM (SELECT *, lag(class) OVER (PARTITION BY crop_id ORDER BY step) AS before FROM steps_v)
         WHERE class <> 'view' AND class IS DISTINCT FROM before""",
@@ -167,7 +180,7 @@ VIEWS = {
     "saves": r"""SELECT track_id, content, CASE WHEN content = '' THEN 'SIZE' WHEN NOT contains(content, ' --> ') THEN 'NO_TIMECODE' END AS reason,
         replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS lf FROM texts_v""",
 }
-RECURSIVE = {"repaired", "gate", "packed", "tries", "retimed", "retimed_gate"}
+RECURSIVE = {"repaired", "gate", "packed", "tries", "retimed", "retimed_gate", "taken_times", "given_times"}
 
 
 def code(ms: str) -> str:
@@ -390,7 +403,8 @@ SQL["frame_change_gate"] = r"""SELECT * FROM (WITH
     span AS (SELECT track_id, n, run, count(*) FILTER (lit) AS lit, max(x) FILTER (lit) - min(x) FILTER (lit) + 1 AS span, sum(hot) AS hot FROM lit GROUP BY 1, 2, 3),
     text AS (SELECT DISTINCT track_id, n FROM span WHERE lit >= 2 AND span >= 8 * 0.18 AND span <= 8 * 0.96 AND hot <= 40)
     SELECT track_id, n, coalesce(hard, false) OR text.n IS NOT NULL AS changed FROM f LEFT JOIN cut USING (track_id, n) LEFT JOIN text USING (track_id, n))"""
-SQL["stream_late_audit"] = "SELECT track_id, count(*) AS samples, count(*) FILTER (repaired) AS repaired FROM retimed GROUP BY 1"
+SQL["stream_late_audit"] = """SELECT track_id, count(*) AS samples, count(*) FILTER (repaired) AS repaired, count(*) FILTER (late) AS late FROM taken_times GROUP BY 1"""
+SQL["stream_late_samples"] = "SELECT track_id, n, given_us, ts_us, text FROM given_times WHERE ts_us <> given_us"
 SQL["stream_cues"] = SQL["cue_build"]
 SQL["stream_progress"] = r"""SELECT run_id, max(CASE WHEN p <= 99 THEN p END) AS percent,
     count(*) FILTER (p <= 99 OR line LIKE '1/2%' OR line LIKE '%RESULT START%') AS lines

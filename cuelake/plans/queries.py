@@ -696,30 +696,64 @@ def incremental_verify(s, d):
 
 # Streams
 
-def _gate_stream(s, d):
-    return replay(V.stream_samples_v(s, d), "ts_us", lambda rows: tracks.stream_ocr_gate(rows, 1_000_000))
+def _arriving(rows, arrival, slices, wait_us):
+    """Rows with the slice they arrive in, and after them a last slice with one row of no track.
+
+    A table ends where a stream goes on, so that row moves event time beyond all others by more than `wait_us`.
+    """
+    rows = durable(rows.withColumn("arrival", arrival))
+    high = rows.agg(F.max("ts_us")).first()[0]
+    if high is None:
+        return rows
+    clock = rows.sparkSession.range(1).select(F.lit(high + wait_us + 1_000_000).alias("ts_us"), F.lit(slices).alias("arrival"))
+    return rows.unionByName(clock, allowMissingColumns=True)
+
+
+def _disordered(rows, slices=5):
+    """Rows of five spans of time, every other one a span late, and the microseconds of two spans, which cover that."""
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    span = ((high or 0) - (low or 0)) // slices + 1
+    arrival = F.least(F.lit(slices - 1), div(F.col("ts_us") - F.lit(low), span) + F.col("n") % 2).cast("int")
+    return _arriving(rows, arrival, slices, 2 * span), 2 * span
 
 
 @query
 def stream_ocr_gate(s, d):
-    return _gate_stream(s, d).select("track_id", "n", "ts_us", "kept")
+    rows, delay_us = _disordered(V.stream_samples_v(s, d))
+    found = replay(rows, "ts_us", lambda samples: tracks.stream_ocr_gate(samples, 1_000_000, f"{delay_us} microseconds"),
+                   slices=6, arrival=F.col("arrival"))
+    return found.select("track_id", "n", "ts_us", "kept")
 
 
 @query
 def stream_late_audit(s, d):
-    return tracks.stream_late_audit(_gate_stream(s, d))
+    """Slices dealt without regard to time and no delay, so that most rows come behind the watermark."""
+    rows = _arriving(V.stream_samples_v(s, d), ((F.col("n") * 7 + F.col("track_id")) % 5).cast("int"), 5, 0)
+    return replay(rows, "ts_us", lambda samples: tracks.stream_late_audit(tracks.stream_ocr_gate(samples, 1_000_000)), "update",
+                  slices=6, arrival=F.col("arrival"))
+
+
+def _cue_samples(s, d):
+    return V.samples_v(s, d).select("track_id", F.col("n").cast("long").alias("n"), "ts_us", "text", "changed")
 
 
 @query
 def stream_cues(s, d):
-    rows = durable(V.samples_v(s, d).select("track_id", F.col("n").cast("long").alias("n"), "ts_us", "text", "changed"))
-    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
-    # No track pauses for longer than the table lasts.  A table ends, so event time is moved on by one row of no track;
-    # of the three slices the first two hold samples.
-    idle_us = high - low
-    clock = s.createDataFrame([(high + idle_us + 1_000_000,)], "ts_us long")
-    return replay(rows.unionByName(clock, allowMissingColumns=True), "ts_us",
-                  lambda samples: tracks.stream_cues(samples, SIX_HOURS_US, idle_us=idle_us), slices=3)
+    rows, delay_us = _disordered(_cue_samples(s, d))
+    # No track pauses for longer than the five spans that the table lasts.
+    idle_us = 3 * delay_us
+    rows = rows.withColumn("ts_us", F.when(F.col("n").isNull(), F.col("ts_us") + idle_us).otherwise(F.col("ts_us")))
+    return replay(rows, "ts_us", lambda samples: tracks.stream_cues(samples, SIX_HOURS_US, idle_us=idle_us, delay=f"{delay_us} microseconds"),
+                  slices=6, arrival=F.col("arrival"))
+
+
+@query
+def stream_late_samples(s, d):
+    """Samples that the cue stream took behind its watermark, with the time they came with and the one they got."""
+    rows = _arriving(_cue_samples(s, d), ((F.col("n") * 7 + F.col("track_id")) % 5).cast("int"), 5, 0)
+    found = replay(rows, "ts_us", lambda samples: tracks.stream_cue_rows(samples, SIX_HOURS_US, idle_us=10 ** 15),
+                   slices=6, arrival=F.col("arrival"))
+    return found.where("given_us IS NOT NULL").select("track_id", F.col("cue_n").alias("n"), "given_us", F.col("start_us").alias("ts_us"), "text")
 
 
 @query

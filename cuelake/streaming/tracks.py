@@ -1,8 +1,10 @@
 """Track rules on unbounded streams.
 
-Per-track state lives in the state store, so a restart resumes where it stopped.
-Rows of one track in one micro-batch are handled together; the size of a
-micro-batch (``maxFilesPerTrigger`` of the source) bounds that group.
+Samples may arrive in any order.  They wait in state until event time has passed them and then go through the rules in
+order of (time, number), so a stream gives what the batch operators give wherever the watermark's delay covers the
+disorder.  Rows behind the watermark are not dropped: they go through the rules as soon as they arrive and get a new
+time after the last accepted one.  State lives in the state store, so a restart resumes where it stopped; a track's
+state is its rows of the last ``delay`` and a few values.
 """
 
 from __future__ import annotations
@@ -29,109 +31,172 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _TrackProcessor(StatefulProcessor):
-    """Keeps one small JSON value per track."""
+class _InOrder(StatefulProcessor):
+    """Lets a track's rows wait until the watermark has passed them, then walks them in order.
 
+    A subclass names the columns of a row (``ts_us`` and ``n`` first), the columns it gives and the start of its
+    walk's state, and walks one row at a time.  There is one timer per track, at the earliest waiting row or at what
+    else the walk waits for.
+    """
+
+    columns: dict[str, str] = {}
+    gives: list[str] = []
     start: dict = {}
 
     def init(self, handle):
-        self._value = handle.getValueState("track", STATE)
-
-    def load(self):
-        return json.loads(self._value.get()[0]) if self._value.exists() else dict(self.start)
-
-    def save(self, state):
-        self._value.update((json.dumps(state),))
+        self._handle = handle
+        self._state = handle.getValueState("track", STATE)
+        row = StructType()
+        for name, kind in self.columns.items():
+            row.add(name, kind)
+        self._waiting = handle.getListState("waiting", row)
 
     def close(self):
         pass
 
+    def walk(self, state, row, done):
+        """Take one row (a tuple in order of ``columns``); append what is final to ``done``."""
+        raise NotImplementedError
+
+    def passed(self, state, watermark_ms, done):
+        """Event time has passed ``watermark_ms`` and no row up to there waits."""
+
+    def wakes_at(self, state):
+        """Event time in milliseconds at which ``passed`` has something to do without new rows, or None."""
+        return None
+
+    def _load(self):
+        return json.loads(self._state.get()[0]) if self._state.exists() else {"timer": None, "next": None, "walk": dict(self.start)}
+
+    def handleInputRows(self, key, rows, timerValues):
+        state, names, taken = self._load(), list(self.columns), False
+        for pdf in rows:
+            arrived = [tuple(None if pd.isna(x) else x for x in row)
+                       for row in zip(*(pdf[c].astype(object).tolist() for c in names))]
+            # A row without a number is no sample; one without a time is behind every watermark.
+            arrived = [(-1 if row[0] is None else int(row[0]), int(row[1]), *row[2:]) for row in arrived if row[1] is not None]
+            if arrived:
+                self._waiting.appendList(arrived)
+                state["next"] = min(x for x in (state["next"], min(row[0] // 1000 for row in arrived)) if x is not None)
+                taken = True
+        done = []
+        if taken:
+            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done)
+        yield self._frame(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state, done = self._load(), []
+        if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            state["timer"] = None
+            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done)
+        yield self._frame(key, done)
+
+    def _go_on(self, state, watermark_ms, done):
+        if state["next"] is not None and state["next"] < watermark_ms:
+            rows = list(self._waiting.get())
+            rest = [tuple(row) for row in rows if row[0] // 1000 >= watermark_ms]
+            for row in sorted((tuple(row) for row in rows if row[0] // 1000 < watermark_ms), key=lambda row: row[:2]):
+                self.walk(state["walk"], row, done)
+            if rest:
+                self._waiting.put(rest)
+            else:
+                self._waiting.clear()
+            state["next"] = min((row[0] // 1000 for row in rest), default=None)
+        self.passed(state["walk"], watermark_ms, done)
+        wake = min((x for x in (state["next"], self.wakes_at(state["walk"])) if x is not None), default=None)
+        wake = None if wake is None else wake + 1
+        if wake != state["timer"]:
+            if state["timer"] is not None:
+                self._handle.deleteTimer(state["timer"])
+            if wake is not None:
+                self._handle.registerTimer(wake)
+            state["timer"] = wake
+        self._state.update((json.dumps(state),))
+
+    def _frame(self, key, done):
+        return pd.DataFrame(done, columns=self.gives, dtype=object).assign(track_id=key[0])[["track_id", *self.gives]]
+
+
+def _by_track(samples: DataFrame, processor: _InOrder, schema: str, delay: str) -> DataFrame:
+    # The watermark's column does not reach the operator: rows behind the watermark would be dropped before it.
+    timed = samples.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
+    return (timed.select("track_id", *processor.columns).groupBy("track_id")
+            .transformWithStateInPandas(processor, f"track_id long, {schema}", "append", "eventTime"))
 
-def _ordered(rows, column):
-    return pd.concat(list(rows), ignore_index=True).sort_values(column)
 
+class _Gate(_InOrder):
+    """``newest`` is the latest arrival time walked, ``last`` the last given time, ``kept`` that of the last kept row."""
 
-class _Gate(_TrackProcessor):
-    start = {"last": BEFORE_FIRST, "kept": None}
+    columns = {"ts_us": "long", "n": "long", "pts_ms": "double", "fps": "double", "changed": "boolean"}
+    gives = ["n", "ts_us", "repaired", "kept", "late"]
+    start = {"newest": None, "last": BEFORE_FIRST, "kept": None}
 
     def __init__(self, interval_us):
         self.interval_us = interval_us
 
-    def handleInputRows(self, key, rows, timers):
-        state, pdf = self.load(), _ordered(rows, "n")
-        times, repaired, last = repair_times(zip(pdf["n"] - 1, pdf["pts_ms"], pdf["fps"]), state["last"])
-        kept, clock = gate_walk(zip(times, pdf["changed"]), state["kept"], self.interval_us)
-        self.save({"last": last, "kept": clock})
-        yield pd.DataFrame({"track_id": key[0], "n": pdf["n"].to_numpy(), "ts_us": times,
-                            "repaired": repaired, "kept": kept})
+    def walk(self, state, row, done):
+        at, n, pts, fps, changed = row
+        (time,), (repaired,), state["last"] = repair_times([(n - 1, -1 if pts is None else pts, fps)], state["last"])
+        (kept,), state["kept"] = gate_walk([(time, bool(changed))], state["kept"], self.interval_us)
+        late = state["newest"] is not None and [at, n] < state["newest"]
+        state["newest"] = state["newest"] if late else [at, n]
+        done.append((n, time, bool(repaired), bool(kept), late))
 
 
-def stream_ocr_gate(samples: DataFrame, interval_us: int) -> DataFrame:
-    """Time repair and gate: ``track_id, n, pts_ms, fps, changed`` to ``ts_us, repaired, kept``.
+def stream_ocr_gate(samples: DataFrame, interval_us: int, delay: str = "0 seconds") -> DataFrame:
+    """Time repair and gate of samples (``track_id, n, ts_us, pts_ms, fps, changed``) in order of ``ts_us``.
 
-    A sample whose time is not after the last accepted one gets a new time; none is dropped.
+    Gives ``n, ts_us, repaired, kept, late``.  A sample leaves when event time has passed its ``ts_us`` by ``delay``;
+    one that comes later than that is taken after those before it (``late``) and so gets a new time; none is dropped.
     """
-    return samples.groupBy("track_id").transformWithStateInPandas(
-        _Gate(interval_us), "track_id long, n long, ts_us long, repaired boolean, kept boolean",
-        "append", "none")
+    return _by_track(samples, _Gate(interval_us), "n long, ts_us long, repaired boolean, kept boolean, late boolean", delay)
 
 
 def stream_late_audit(gated: DataFrame) -> DataFrame:
-    """Samples and re-timed samples per track."""
-    return gated.groupBy("track_id").agg(F.count(F.lit(1)).alias("samples"),
-                                         F.count_if("repaired").alias("repaired"))
+    """Samples, re-timed samples and late samples per track, live, chained to the gate's stream."""
+    return gated.groupBy("track_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("repaired").alias("repaired"),
+                                         F.count_if("late").alias("late"))
 
 
-class _Cues(_TrackProcessor):
+class _Cues(_InOrder):
     """Gate, backdating, intervals and merging as one walk over a track's samples.
 
     ``event`` is the last event, whose end is not known yet; ``cue`` is the cue that may
     still grow; ``before`` is the key of the event before ``event``, null after an empty one.
     """
 
-    start = {"sample": None, "kept": None, "event": None, "before": None, "cue": None, "timer": None}
+    columns = {"ts_us": "long", "n": "long", "text": "string", "changed": "boolean"}
+    gives = ["cue_n", "start_us", "end_us", "text", "given_us"]
+    start = {"sample": None, "n": None, "kept": None, "event": None, "before": None, "cue": None}
 
     def __init__(self, interval_us, tail_us, idle_us):
         self.interval_us, self.tail_us, self.idle_us = interval_us, tail_us, idle_us
 
-    def init(self, handle):
-        super().init(handle)
-        self._handle = handle
+    def walk(self, state, row, done):
+        time, n, text, changed = row
+        if state["sample"] is not None and (time, n) <= (state["sample"], state["n"]):
+            # Behind what was accepted already: one sample step after it, and told.
+            time, given = state["sample"] + self.tail_us, time
+            done.append((n, time, time, text, given))
+        elif state["sample"] is not None and time > state["sample"] + self.idle_us:
+            self._finish(state, done)
+        self._sample(state, n, time, text or "", bool(changed), done)
 
-    def handleInputRows(self, key, rows, timers):
-        state, done = self.load(), []
-        pdf = _ordered(rows, "n").dropna(subset=["n"])
-        for n, time, text, changed in zip(pdf["n"], pdf["ts_us"], pdf["text"], pdf["changed"]):
-            if state["sample"] is not None and time > state["sample"] + self.idle_us:
-                self._finish(state, done)
-                state = {**self.start, "timer": state["timer"]}
-            self._sample(state, int(n), int(time), text, bool(changed), done)
-        if len(pdf):
-            if state["timer"] is not None:
-                self._handle.deleteTimer(state["timer"])
-            state["timer"] = (state["sample"] + self.idle_us) // 1000 + 1
-            self._handle.registerTimer(state["timer"])
-            self.save(state)
-        yield self._frame(key, done)
+    def wakes_at(self, state):
+        return None if state["sample"] is None else (state["sample"] + self.idle_us) // 1000
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, done = self.load(), []
-        if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+    def passed(self, state, watermark_ms, done):
+        if state["sample"] is not None and (state["sample"] + self.idle_us) // 1000 < watermark_ms:
             self._finish(state, done)
-            self._value.clear()
-        yield self._frame(key, done)
 
     def _finish(self, state, done):
         if state["event"]:
             self._end_event(state, state["sample"] + self.tail_us, done)
         self._close(state, done)
-
-    def _frame(self, key, done):
-        return pd.DataFrame(done, columns=["cue_n", "start_us", "end_us", "text"]).assign(track_id=key[0])[
-            ["track_id", "cue_n", "start_us", "end_us", "text"]]
+        state.update(self.start)
 
     def _sample(self, state, n, time, text, changed, done):
-        prior, state["sample"] = state["sample"], time
+        prior, state["sample"], state["n"] = state["sample"], time, n
         (keep,), clock = gate_walk([(time, changed)], state["kept"], self.interval_us)
         if not keep:
             return
@@ -160,21 +225,28 @@ class _Cues(_TrackProcessor):
     def _close(self, state, done):
         cue, state["cue"] = state["cue"], None
         if cue:
-            done.append((cue["n"], cue["start"], cue["end"], cue["text"]))
+            done.append((cue["n"], cue["start"], cue["end"], cue["text"], None))
 
 
-def stream_cues(samples: DataFrame, interval_us: int, tail_us: int = HALF_SECOND_US, *, idle_us: int,
-                delay: str = "0 seconds") -> DataFrame:
-    """Finished cues of a sample stream (``track_id, n, ts_us, text, changed``).
+def stream_cue_rows(samples: DataFrame, interval_us: int, tail_us: int = HALF_SECOND_US, *, idle_us: int,
+                    delay: str = "0 seconds") -> DataFrame:
+    """Finished cues of a sample stream (``track_id, n, ts_us, text, changed``), and its late samples beside them.
 
     A cue leaves when its text changes, or when event time has passed the track's last sample by ``idle_us``; a track
-    that goes on after that starts anew.  Event time is the latest ``ts_us`` of all tracks less ``delay``; rows that
-    come later than that are dropped.  A row without ``n`` is no sample and only moves event time.
+    that goes on after that starts anew.  Event time is the latest ``ts_us`` of all tracks less ``delay``; samples
+    wait for it, so they may arrive in any order.  A sample that is not after the last one taken is taken ``tail_us``
+    (one sample step) after it; such a sample is also given as a row of its own: its number and text, its new time,
+    and in ``given_us``, which is null for cues, the time it came with.  A row without ``n`` is no sample and only
+    moves event time.
     """
-    timed = samples.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
-    return timed.groupBy("track_id").transformWithStateInPandas(
-        _Cues(interval_us, tail_us, idle_us),
-        "track_id long, cue_n long, start_us long, end_us long, text string", "append", "eventTime")
+    return _by_track(samples, _Cues(interval_us, tail_us, idle_us),
+                     "cue_n long, start_us long, end_us long, text string, given_us long", delay)
+
+
+def stream_cues(samples: DataFrame, interval_us: int, tail_us: int = HALF_SECOND_US, *, idle_us: int,
+                delay: str = "0 seconds") -> DataFrame:
+    """The cues of ``stream_cue_rows``."""
+    return stream_cue_rows(samples, interval_us, tail_us, idle_us=idle_us, delay=delay).where("given_us IS NULL").drop("given_us")
 
 
 def stream_progress(lines: DataFrame) -> DataFrame:

@@ -454,3 +454,34 @@ def test_idle_tracks_close_by_event_time(spark):
     assert sorted((r.track_id, r.cue_n, r.start_us - 1000 * second, r.end_us - 1000 * second, r.text) for r in found) == [
         (1, 1, 0, second + 500_000, "a"), (2, 1, 0, 500_000, "b"), (2, 2, 60 * second, 60 * second + 500_000, "b"),
         (3, 1, 30 * second, 30 * second + 500_000, "c")]
+
+
+STREAM = "track_id long, n long, ts_us long, pts_ms double, fps double, changed boolean, arrival int"
+
+
+def test_streams_of_empty_tables(spark):
+    from cuelake.streaming import tracks
+    from cuelake.streaming.replay import replay
+    none = spark.createDataFrame([], STREAM + ", text string")
+    assert replay(none, "ts_us", lambda s: tracks.stream_ocr_gate(s, 10)).collect() == []
+    assert replay(none, "ts_us", lambda s: tracks.stream_cues(s, 10, idle_us=10), slices=3).collect() == []
+
+
+def test_gate_takes_rows_in_event_order_and_drops_none(spark):
+    """Five late rows of 40 come after all others: they alone are re-timed, and rows without time or pts stay rows."""
+    from cuelake.operators.sampling import gate_walk, repair_times
+    from cuelake.streaming import tracks
+    from cuelake.streaming.replay import replay
+    late = {7, 12, 13, 25, 38}
+    rows = [(1, n, n * 250_000, (n - 1) * 250.0, 4.0, n % 5 == 0, 3 if n in late else (n * 3) % 2) for n in range(1, 41)]
+    odd = [(2, 1, None, None, 4.0, None, 0), (2, 2, 500_000, None, 4.0, True, 0)]
+    clock = [(None, None, at, None, None, None, slice_) for at, slice_ in ((100_000_000, 2), (200_000_000, 4))]
+    found = replay(spark.createDataFrame(rows + odd + clock, STREAM), "ts_us",
+                   lambda s: tracks.stream_ocr_gate(s, 1_000_000, "60 seconds"), slices=5, arrival=F.col("arrival")).collect()
+    taken = [r for r in rows if r[1] not in late] + [r for r in rows if r[1] in late]
+    times, repaired, _ = repair_times([(r[1] - 1, r[3], r[4]) for r in taken])
+    kept, _ = gate_walk(zip(times, (r[5] for r in taken)), None, 1_000_000)
+    want = {(r[1], t, p, k, r[1] in late) for r, t, p, k in zip(taken, times, repaired, kept)}
+    assert {(r.n, r.ts_us, r.repaired, r.kept, r.late) for r in found if r.track_id == 1} == want and len(want) == 40
+    assert all(p == late for _, _, p, _, late in want)
+    assert sorted((r.n, r.ts_us, r.repaired) for r in found if r.track_id == 2) == [(1, 0, True), (2, 250_000, True)]

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, con, name):
     assert difference(spark, con, queries()[name], oracle_sql()[name], FOLDER) is None
 
 
-@pytest.mark.parametrize("name", ["stream_ocr_gate", "stream_cues", "stream_progress"])
+@pytest.mark.parametrize("name", ["stream_ocr_gate", "stream_late_audit", "stream_cues", "stream_late_samples", "stream_progress"])
 def test_stream_equals_sql(spark, con, name):
     from __spark_entry__ import oracle_sql, queries
     assert difference(spark, con, queries()[name], oracle_sql()[name], FOLDER) is None
