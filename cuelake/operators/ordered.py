@@ -6,7 +6,10 @@ on *blocks* instead: ``blk`` numbers bounded, consecutive pieces of a track.
 Windows run inside (track, blk).  What a block must know of its neighbours is
 reduced to one row per block, scanned over the block rows of the track (thousands
 of times fewer than the data) and joined back on (track, blk), which the windows
-are already hashed on.  Tracks of one block contribute nothing to that join.
+are already hashed on.  Blocks are numbered from 0; where the length of a track is
+known, a track of one block has the number -1 and contributes nothing to that join.
+
+Rows without a position get one by `numbered`, which deals them by ranges.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from cuelake.plans.cut import durable
 
 BLOCK = "blk"
 BLOCK_ROWS = 16384
-HOUR_US = 3_600_000_000
 
 
 def div(a, b) -> Column:
@@ -28,35 +30,10 @@ def div(a, b) -> Column:
     return F.call_function("div", *(F.lit(x) if isinstance(x, int) else x for x in (a, b)))
 
 
-def with_blocks(df: DataFrame, position: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Block number from a position that counts rows of the track from 1."""
-    return df.withColumn(BLOCK, div(F.col(position) - 1, rows))
-
-
-def with_time_blocks(df: DataFrame, keys: list[str], time_us: str,
-                     rows: int = BLOCK_ROWS) -> DataFrame:
-    """Block number from event time when no dense position exists yet.
-
-    The block width comes from the data: the fullest (track, hour) decides how
-    many microseconds hold about ``rows`` rows.  It is a scalar subquery, so the
-    plan stays lazy and nothing passes through the driver program.
-    """
-    busiest = (df.groupBy(*keys, div(F.col(time_us), HOUR_US).alias("_hour"))
-               .agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.greatest(F.lit(1), div(HOUR_US * rows, F.coalesce(F.max("_n"), F.lit(1))))
-                    .alias("_width")))
-    return df.withColumn(BLOCK, div(F.col(time_us), busiest.scalar()))
-
-
-def with_crowd_blocks(df: DataFrame, keys: list[str], fine: Column, rows: int = BLOCK_ROWS) -> DataFrame:
-    """One block per key, unless some key holds more than ``rows`` rows: then ``fine`` blocks.
-
-    ``fine`` must follow the order of the rows.  The size of the largest key is a scalar
-    subquery over the keys alone.
-    """
-    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n")))
-    return df.withColumn(BLOCK, F.when(largest.scalar() <= rows, F.lit(0)).otherwise(fine).cast("long"))
+def with_blocks(df: DataFrame, position: str, rows: int = BLOCK_ROWS, length: str | None = None) -> DataFrame:
+    """Block number from a position that counts rows of the track from 1, and the track's length if it is known."""
+    block = div(F.col(position) - 1, rows)
+    return df.withColumn(BLOCK, block if length is None else F.when(F.col(length) <= rows, F.lit(-1).cast("long")).otherwise(block))
 
 
 @dataclass(frozen=True)
@@ -105,17 +82,9 @@ def total_max(value) -> Step:
     return Step("total_max", value)
 
 
-def long_tracks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the tracks that have more than one block: the only ones that need carrying.
-
-    The test reads the block keys alone.  Where no track is long (or few are) the work of
-    the summaries vanishes, and with it the second pass over the wide columns.
-    """
-    block_keys = [*keys, BLOCK]
-    blocks = (df.select(*block_keys).distinct()
-              .withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-              .where("_blocks > 1").drop("_blocks"))
-    return df.join(blocks, block_keys, "left_semi")
+def long_tracks(df: DataFrame) -> DataFrame:
+    """Rows of the tracks that may have more than one block: the only ones that need carrying."""
+    return df.where(F.col(BLOCK) >= 0)
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> DataFrame:
@@ -174,38 +143,50 @@ def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> Dat
         else:
             raise ValueError(step.kind)
 
-    carry = long_tracks(df, keys).groupBy(*block_keys).agg(*summary).select(*block_keys, *carried)
+    carry = long_tracks(df).groupBy(*block_keys).agg(*summary).select(*block_keys, *carried)
     return (df.select("*", *here)
             .join(carry, block_keys, "left")
             .select(*df.columns, *joined))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Position of each row in its track, from 1, without one task per track."""
+    """Position of each row of blocked tracks, from 1."""
     return scan(df, keys, order, **{name: running_sum(F.lit(1))})
 
 
 #: Bits of a row's place inside its partition in `monotonically_increasing_id`.
 PLACE_BITS = 33
+#: Counts per (partition, key) that every task may get a copy of; beyond that they are joined.
+COPIED_COUNTS = 100_000
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, length: str | None = None) -> DataFrame:
     """Position of each row among the rows of its keys, from 1, by ``order``; nulls of a key are one group.
 
     Rows are dealt by ranges of (keys, order), so a key of any size spreads over as many tasks as it needs, however
     its rows lie in time.  A row's place inside its partition is stored with it; what is summed over partitions is
     one count per (partition, key).  ``order`` should tell rows apart: rows equal in it meet in one partition, in any
     order.  The sorted rows are cut by a durable copy, because a second run of the ranges could draw other bounds.
+    ``length`` names a column for the number of rows of the keys.
     """
     placed = durable(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
                      .withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", PLACE_BITS))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = (placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-            .select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
-                    (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = durable(placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+                   .select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+                           (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+                           F.sum("_rows").over(group).alias("_length")))
+    if runs.count() <= COPIED_COUNTS:
+        runs = F.broadcast(runs)
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (placed.join(runs, same).withColumn(name, F.col("_at") + F.col("_shift") + 1)
-            .select(*(c for c in df.columns if c != name), name))
+    made = [(F.col("_at") + F.col("_shift") + 1).alias(name), *([] if length is None else [F.col("_length").alias(length)])]
+    return placed.join(runs, same).select(*(c for c in df.columns if c not in (name, length)), *made)
+
+
+def in_blocks(df: DataFrame, keys: list[str], order: list[str], name: str, length: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``numbered`` rows with their blocks."""
+    return with_blocks(numbered(df, keys, order, name, length), name, rows, length)

@@ -82,7 +82,7 @@ def duplicate_merge(cues: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS) -> DataFr
                      F.count(F.lit(1)).alias("parts")))
 
     merged = merge_inside(cues)
-    long = long_tracks(cues, TRACK)
+    long = long_tracks(cues)
 
     # one row per block: its first and last body and the reach of its last run
     edge = (merge_inside(long).groupBy(*keys)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake import fixed
 from cuelake.functions.text import BLANK_CHARS, alnum_count, strip
-from cuelake.operators.ordered import (BLOCK, BLOCK_ROWS, div, lag, number_rows, running_sum, scan, total,
-                                       total_max, with_crowd_blocks)
+from cuelake.operators.ordered import BLOCK, div, lag, numbered, running_sum, scan, total, total_max
 
 PART_ROWS = 4096
 
@@ -131,16 +130,12 @@ def confidence_filter(results: DataFrame) -> DataFrame:
     return results.where(accepted(F.col("text"), F.col("confidence")))
 
 
-def reading_order(boxes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def reading_order(boxes: DataFrame) -> DataFrame:
     """Text of each frame: lines by height band, then from the left, then as detected (``seq``)."""
     band = F.rint(F.col("y1") / F.greatest(F.lit(1.0), F.col("height") * fixed.LINE_BAND_SHARE)).cast("long")
     placed = (boxes.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
-              .withColumn("band", band))
-    # a frame with very many boxes splits by band and by columns of 256 pixels
-    fine = F.col("band") * (1 << 24) + div(F.col("x1").cast("long"), 256)
-    ranked = number_rows(with_crowd_blocks(placed, ["frame"], fine, block_rows), ["frame"], ["band", "x1", "seq"],
-                         "rank")
-    return join_in_order(ranked, ["frame"], "rank", "text", "\n", "text")
+              .select("frame", band.alias("band"), "x1", "seq", "text"))
+    return join_in_order(numbered(placed, ["frame"], ["band", "x1", "seq"], "rank"), ["frame"], "rank", "text", "\n", "text")
 
 
 def target_width(width, height):
@@ -200,9 +195,9 @@ def batch_histogram(packed: DataFrame) -> DataFrame:
 def frame_batch_plan(frames: DataFrame) -> DataFrame:
     """Groups of four frames; crops are recognised together only when they are few enough.
 
-    Needs ``track_id, blk, frame, crops`` with one row per frame.
+    Needs ``track_id, frame, crops`` with one row per frame.
     """
-    ranked = number_rows(frames, ["track_id"], ["frame"], "rank")
+    ranked = numbered(frames, ["track_id"], ["frame"], "rank")
     plan = (ranked.groupBy("track_id", div(F.col("rank") - 1, fixed.FRAMES_PER_BATCH).alias("group_no"))
             .agg(F.count(F.lit(1)).alias("frames"), F.sum("crops").alias("crops")))
     return plan.withColumn("combined", F.col("crops") <= fixed.CROPS_PER_BATCH)

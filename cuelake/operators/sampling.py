@@ -123,7 +123,7 @@ def pts_repair(samples: DataFrame) -> DataFrame:
     """Strictly rising sample times; an unusable presentation time is replaced, never dropped."""
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "idx", F.col("pts_ms").cast("double").alias("pts_ms"), "fps")
-    entries = (long_tracks(rows, TRACK).groupBy(*keys)
+    entries = (long_tracks(rows).groupBy(*keys)
                .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below long, "
                                                "exit_at long, floor long, shift long")
                .repartition("track_id").sortWithinPartitions("track_id", BLOCK)
@@ -223,7 +223,7 @@ def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "n", "ts_us", "text", "changed")
     order = rows.select(*keys, "n", "ts_us", "changed")
-    entries = (long_tracks(order, TRACK).groupBy(*keys)
+    entries = (long_tracks(order).groupBy(*keys)
                .applyInPandas(_gate_summary(interval_us),
                               f"track_id long, {BLOCK} long, upper array<long>, "
                               "exits array<long>, sure boolean")

@@ -8,7 +8,7 @@ from cuelake.functions import text as X
 from cuelake.functions import timecode
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses,
                                runs, sampling)
-from cuelake.operators.ordered import BLOCK, div, number_rows, scan, total, with_crowd_blocks
+from cuelake.operators.ordered import div, numbered
 from cuelake.plans.cut import durable
 from cuelake.sources import cuefiles
 from cuelake.sources import tables as V
@@ -273,15 +273,14 @@ def batch_histogram(s, d):
 @query
 def frame_batch_plan(s, d):
     frames = V.boxes_v(s, d).groupBy("frame").agg(F.count(F.lit(1)).alias("crops")).select(
-        (F.col("frame") % 10).alias("track_id"), div(F.col("frame"), 100_000).alias(BLOCK), "frame", "crops")
+        (F.col("frame") % 10).alias("track_id"), "frame", "crops")
     return recognise.frame_batch_plan(frames)
 
 
 @query
 def decision_parity(s, d):
     """Rows are numbered once, so that each meets its own altered form whatever the alteration."""
-    keyed = with_crowd_blocks(V.boxes_v(s, d), ["frame"], div(F.col("x1"), 256))
-    rows = durable(number_rows(keyed, ["frame"], ["x1", "crop_ref", "line_no", "y1", "text", "confidence"], "seq"))
+    rows = numbered(V.boxes_v(s, d), ["frame"], ["x1", "crop_ref", "line_no", "y1", "text", "confidence"], "seq")
     return recognise.decision_parity(rows, V.altered(rows), "frame", "seq")
 
 
@@ -676,8 +675,7 @@ def telemetry_extract(s, d):
 
 @query
 def progress_marks(s, d):
-    frames = scan(V.frames_v(s, d), ["track_id"], ["idx"], reported=total(F.lit(1)))
-    return runs.progress_marks(frames)
+    return runs.progress_marks(V.frames_v(s, d))
 
 
 @query

@@ -2,7 +2,7 @@
 
 Every view spreads its rows over (track, blk) blocks as described in
 ``operators.ordered``; positions come from the source where it has them and from
-a block-wise count where it has not.
+numbering by ranges where it has not.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.operators.ordered import BLOCK, number_rows, with_blocks, with_time_blocks
+from cuelake.operators.ordered import BLOCK, in_blocks, with_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,33 +30,38 @@ def _lines(spark, sf_dir, separator, in_order=True):
     kept = F.filter(numbered, lambda r: r["text"].rlike(r"\S"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ((texts.repartition("doc_id") if in_order else texts)
-            .select(F.col("doc_id").alias("track_id"), F.posexplode(kept).alias("_p", "_r"))
-            .select("track_id", (F.col("_p") + 1).cast("long").alias("pos"), "_r.cue_no", "_r.text"))
+            .select(F.col("doc_id").alias("track_id"), kept.alias("_kept"))
+            .select("track_id", F.size("_kept").alias("length"), F.posexplode("_kept").alias("_p", "_r"))
+            .select("track_id", "length", (F.col("_p") + 1).cast("long").alias("pos"), "_r.cue_no", "_r.text"))
+
+
+def _blocked(lines):
+    return with_blocks(lines, "pos", length="length").drop("length")
 
 
 def cues_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Document lines as cues of two seconds' spacing."""
     n = F.length("text").cast("long")
     start = (F.col("cue_no") - 1) * 2000
-    return with_blocks(_lines(spark, sf_dir, "\n", in_order).select(
-        "track_id", "pos", "cue_no", start.alias("start_ms"),
-        (start + 400 + (n % 13) * 200).alias("end_ms"), "text"), "pos")
+    return _blocked(_lines(spark, sf_dir, "\n", in_order).select(
+        "track_id", "length", "pos", "cue_no", start.alias("start_ms"),
+        (start + 400 + (n % 13) * 200).alias("end_ms"), "text"))
 
 
 def raw_cues_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Cues with the faults of a raw file: empty bodies, odd numbers, times out of order."""
     n = F.length("text").cast("long")
     start = (F.col("cue_no") - 1) * 2000 - F.when(n % 499 == 0, 5000).otherwise(0)
-    return with_blocks(_lines(spark, sf_dir, "\n", in_order).select(
-        "track_id", "pos",
+    return _blocked(_lines(spark, sf_dir, "\n", in_order).select(
+        "track_id", "length", "pos",
         (F.col("pos") + F.when(F.col("pos") % 10 == 0, 1).otherwise(0)).alias("cue_no"),
         start.alias("start_ms"), (start + 400 + (n % 13) * 200).alias("end_ms"),
-        F.when(n % 17 == 0, "").otherwise(F.col("text")).alias("text")), "pos")
+        F.when(n % 17 == 0, "").otherwise(F.col("text")).alias("text")))
 
 
 def tokens_v(spark, sf_dir, in_order=True) -> DataFrame:
     """Words as very short cues."""
-    return with_blocks(_lines(spark, sf_dir, r"[ \n]+", in_order), "pos").drop("cue_no")
+    return _blocked(_lines(spark, sf_dir, r"[ \n]+", in_order)).drop("cue_no")
 
 
 def _user_events(spark, sf_dir):
@@ -64,15 +69,12 @@ def _user_events(spark, sf_dir):
     ts_us = ((F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long") * 86_400
               + F.hour("ts") * 3600 + F.minute("ts") * 60) * 1_000_000
              + (F.expr("extract(SECOND FROM ts)") * 1_000_000).cast("long"))
-    return with_time_blocks(
-        table(spark, sf_dir, "events").select(
-            F.col("user_id").alias("track_id"), "event_id", ts_us.alias("ts_us"),
-            "event_type", "value"),
-        ["track_id"], "ts_us")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), "event_id", ts_us.alias("ts_us"), "event_type", "value")
 
 
 def numbered_events(spark, sf_dir) -> DataFrame:
-    return number_rows(_user_events(spark, sf_dir), ["track_id"], ["ts_us", "event_id"], "n")
+    """Events with their position ``n`` in the track and the track's ``length``."""
+    return in_blocks(_user_events(spark, sf_dir), ["track_id"], ["ts_us", "event_id"], "n", "length")
 
 
 def samples_v(spark, sf_dir) -> DataFrame:
@@ -88,7 +90,7 @@ def frames_v(spark, sf_dir) -> DataFrame:
     return (numbered_events(spark, sf_dir)
             .select("track_id", BLOCK, (F.col("n") - 1).alias("idx"),
                     ((F.col("n") - 1) * 250 + F.floor("value")).alias("pts_ms"),
-                    F.lit(4.0).alias("fps")))
+                    F.lit(4.0).alias("fps"), F.col("length").alias("reported")))
 
 
 def steps_v(spark, sf_dir) -> DataFrame:
