@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql.types import BooleanType
 
 from cuelake import fixed
 from cuelake.functions.thumbnails import changed
+from cuelake.operators.folds import block_entries
 from cuelake.operators.ordered import BLOCK, lag, last_before, long_tracks, scan, total_max
 
 TRACK = ["track_id"]
@@ -33,7 +36,7 @@ def decoded_high_water(frames: DataFrame) -> DataFrame:
 
 # Folds.  Both folds below run on one bounded block at a time.  For tracks of several
 # blocks a first pass reduces each block to one row: its exit state as a function of
-# its entry state.  Those rows are chained per track and give each block its entry.
+# its entry state.  Those functions combine as a tree and give each block its entry.
 
 # Time repair: entries below ``below`` end at ``exit_at``, later ones at
 # max(floor, entry + shift).  Times are whole picoseconds, so that sums do not depend on
@@ -64,21 +67,24 @@ def _repair_summary(pdf: pd.DataFrame) -> pd.DataFrame:
             exit_at = max(nominal, exit_at + step)
         floor, shift = max(floor + step, nominal), shift + step
     first = pdf.iloc[0]
-    return pd.DataFrame({"track_id": [first["track_id"]], BLOCK: [first[BLOCK]], "below": [below],
-                         "exit_at": [exit_at], "floor": [floor], "shift": [shift]})
+    return pd.DataFrame({"track_id": [first["track_id"]], BLOCK: [first[BLOCK]], "fn": [[below, exit_at, floor, shift]]})
 
 
-def _repair_entries(batches):
-    """Last time before each block, along block summaries sorted by track and block."""
-    track = last = None
-    for pdf in batches:
-        entries = []
-        for own, below, exit_at, floor, shift in zip(*(pdf[c].tolist() for c in ("track_id", "below", "exit_at", "floor", "shift"))):
-            if own != track:
-                track, last = own, BEFORE_FIRST
-            entries.append(last)
-            last = exit_at if last < below else max(floor, last + shift)
-        yield pd.DataFrame({"track_id": pdf["track_id"], BLOCK: pdf[BLOCK], "entry": pd.array(entries, dtype="Int64")})
+def _repair_exit(f, last):
+    below, exit_at, floor, shift = f
+    return exit_at if last < below else max(floor, last + shift)
+
+
+def _repair_both(f, g):
+    """One function of the same shape: an exit for low entries never lies above the one for high entries."""
+    below, exit_at, floor, shift = f
+    below_g, exit_g, floor_g, shift_g = g
+    if exit_at < below_g:
+        # What leaves f below g's bound ends at g's exit, low entries and the high ones that stay under it.
+        below, exit_at = max(below, below_g - shift) if floor < below_g else below, exit_g
+    else:
+        exit_at = max(floor_g, exit_at + shift_g)
+    return [below, exit_at, max(floor_g, floor + shift_g), shift + shift_g]
 
 
 def repair_times(rows, last=BEFORE_FIRST):
@@ -114,25 +120,24 @@ def _walk_blocks(batches, walk, start, columns, out):
         yield pdf.drop(columns="entry").assign(**dict(zip(out, results)))
 
 
-def _sorted_blocks(rows: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+def _sorted_blocks(rows: DataFrame, entries: DataFrame | None, start: int, order: list[str]) -> DataFrame:
     keys = ["track_id", BLOCK]
-    return rows.repartition(*keys).join(entries, keys, "left").sortWithinPartitions(*keys, *order)
+    begin, rows = F.lit(start).cast("long"), rows.repartition(*keys)
+    known = (rows.withColumn("entry", begin) if entries is None
+             else rows.join(entries, keys, "left").withColumn("entry", F.coalesce("entry", begin)))
+    return known.sortWithinPartitions(*keys, *order)
 
 
 def pts_repair(samples: DataFrame) -> DataFrame:
     """Strictly rising sample times; an unusable presentation time is replaced, never dropped."""
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "idx", F.col("pts_ms").cast("double").alias("pts_ms"), "fps")
-    entries = (long_tracks(rows).groupBy(*keys)
-               .applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, below long, "
-                                               "exit_at long, floor long, shift long")
-               .repartition("track_id").sortWithinPartitions("track_id", BLOCK)
-               .mapInPandas(_repair_entries, f"track_id long, {BLOCK} long, entry long"))
+    functions = long_tracks(rows).groupBy(*keys).applyInPandas(_repair_summary, f"track_id long, {BLOCK} long, fn array<long>")
+    entries = block_entries(functions, _repair_both, _repair_exit, BEFORE_FIRST)
 
     def run(batches):
         return _walk_blocks(batches, repair_times, int, ["idx", "pts_ms", "fps"], ["ts_us", "repaired"])
-    sorted_rows = _sorted_blocks(rows, entries, ["idx"]).withColumn("entry", F.coalesce("entry", F.lit(BEFORE_FIRST)))
-    return sorted_rows.mapInPandas(
+    return _sorted_blocks(rows, entries, BEFORE_FIRST, ["idx"]).mapInPandas(
         run, f"track_id long, {BLOCK} long, idx long, pts_ms double, fps double, ts_us long, repaired boolean")
 
 
@@ -150,8 +155,12 @@ def track_duration(frames: DataFrame, repaired: DataFrame) -> DataFrame:
 
 
 # Gate: a block's exit (time of its last kept row) depends only on which of its rows is
-# the first kept one.  ``upper``/``exit`` list those choices, equal exits merged;
-# ``sure`` says that the last choice is kept whatever came before.
+# the first kept one.  ``upper``/``exits`` list those choices, equal exits merged;
+# ``sure`` says that the last choice is kept whatever came before.  As a function they
+# stand in one list: sure, the bounds, the exits.  Before the first kept row stands NEVER.
+
+NEVER = -(1 << 62)
+
 
 def gate_walk(rows, last, interval):
     """Kept flags of ordered (time, changed) rows after a last kept time (None before the first)."""
@@ -188,33 +197,29 @@ def _gate_summary(interval):
             if sure:
                 break
         head = pdf.iloc[0]
-        return pd.DataFrame({"track_id": [head["track_id"]], BLOCK: [head[BLOCK]], "upper": [upper],
-                             "exits": [exits], "sure": [bool(sure)]})
+        return pd.DataFrame({"track_id": [head["track_id"]], BLOCK: [head[BLOCK]], "fn": [[int(sure), *upper, *exits]]})
     return run
 
 
-def _gate_entries(interval):
-    """Last kept time before each block, along choices sorted by track, block and place; nothing is collected."""
-    def run(batches):
-        track = block = last = after = end = None
-        found = sure = False
-        for pdf in batches:
-            out = []
-            for row_track, row_block, bound, row_end, row_sure in zip(
-                    *(pdf[c].tolist() for c in ("track_id", BLOCK, "bound", "exit", "sure"))):
-                if row_track != track:
-                    track, block, last, found = row_track, row_block, None, False
-                    out.append((track, block, None))
-                elif row_block != block:
-                    last = after if found else end if sure else last
-                    block, found = row_block, False
-                    out.append((track, block, last))
-                if not found and (last is None or bound >= last + interval):
-                    found, after = True, row_end
-                end, sure = row_end, row_sure
-            columns = list(zip(*out)) or [[], [], []]
-            yield pd.DataFrame({"track_id": pd.array(columns[0], dtype="Int64"), BLOCK: pd.array(columns[1], dtype="Int64"),
-                                "entry": pd.array(columns[2], dtype="Int64")})
+def _gate_exit(interval):
+    def run(f, last):
+        choices = len(f) // 2
+        at = bisect_left(f, last + interval, 1, choices + 1)
+        return f[at + choices] if at <= choices else f[-1] if f[0] else last
+    return run
+
+
+def _gate_both(interval):
+    """Choices of two blocks in a row: those of the first, and behind it, unless it is sure, those of the second."""
+    exit_of = _gate_exit(interval)
+
+    def run(f, g):
+        n, m = len(f) // 2, len(g) // 2
+        upper, exits = f[1:n + 1], [exit_of(g, x) for x in f[n + 1:]]
+        if not f[0]:
+            upper, exits = upper + g[1:m + 1], exits + g[m + 1:]
+        last = [i for i, x in enumerate(exits) if i + 1 == len(exits) or exits[i + 1] != x]
+        return [int(f[0] or g[0]), *(upper[i] for i in last), *(exits[i] for i in last)]
     return run
 
 
@@ -223,20 +228,13 @@ def ocr_interval_gate(samples: DataFrame, interval_us: int) -> DataFrame:
     keys = ["track_id", BLOCK]
     rows = samples.select(*keys, "n", "ts_us", "text", "changed")
     order = rows.select(*keys, "n", "ts_us", "changed")
-    entries = (long_tracks(order).groupBy(*keys)
-               .applyInPandas(_gate_summary(interval_us),
-                              f"track_id long, {BLOCK} long, upper array<long>, "
-                              "exits array<long>, sure boolean")
-               .select(*keys, "sure", F.posexplode(F.arrays_zip("upper", "exits")).alias("choice", "c"))
-               .select(*keys, "choice", F.col("c.upper").alias("bound"), F.col("c.exits").alias("exit"), "sure")
-               .repartition("track_id").sortWithinPartitions("track_id", BLOCK, "choice")
-               .mapInPandas(_gate_entries(interval_us), f"track_id long, {BLOCK} long, entry long"))
+    functions = long_tracks(order).groupBy(*keys).applyInPandas(_gate_summary(interval_us), f"track_id long, {BLOCK} long, fn array<long>")
+    entries = block_entries(functions, _gate_both(interval_us), _gate_exit(interval_us), NEVER)
 
     def run(batches):
         return _walk_blocks(batches, lambda rows, last: gate_walk(rows, last, interval_us),
-                            lambda entry: None if pd.isna(entry) else int(entry),
-                            ["ts_us", "changed"], ["kept"])
-    return _sorted_blocks(rows, entries, ["ts_us", "n"]).mapInPandas(
+                            lambda entry: None if entry == NEVER else int(entry), ["ts_us", "changed"], ["kept"])
+    return _sorted_blocks(rows, entries, NEVER, ["ts_us", "n"]).mapInPandas(
         run, f"track_id long, {BLOCK} long, n long, ts_us long, text string, changed boolean, kept boolean")
 
 

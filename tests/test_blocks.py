@@ -121,6 +121,47 @@ def test_pts_repair(spark, size, noise):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_a_dense_track_of_a_hundred_blocks(spark):
+    """Three rounds of eight; functions of blocks stay small once they are combined."""
+    rng, rows, want, time, last, at = random.Random(9), [], [], 0, None, -1.0
+    for n in range(1, 1601):
+        time += rng.choice([1000, 20_000, 90_000])
+        changed = rng.random() < 0.01
+        kept = last is None or changed or time - last >= SECOND
+        last = time if kept else last
+        pts = rng.choice([n * 40.0, n * 40.0 - rng.randint(0, 400), -1.0])
+        keep = pts >= 0 and at < pts / 1000
+        at = pts / 1000 if keep else max((n - 1) / 25, at + 0.04)
+        rows.append((1, n, n - 1, time, "x", changed, pts, 25.0))
+        want.append((n, kept, round(at * 1e6), not keep))
+    df = blocked(spark.createDataFrame(rows, "track_id long, n long, idx long, ts_us long, text string, changed boolean, pts_ms double, fps double"), 16, "n")
+    assert df.select("blk").distinct().count() == 100
+    kept = {r.n: r.kept for r in sampling.ocr_interval_gate(df, SECOND).collect()}
+    repaired = {r.idx: (r.ts_us, r.repaired) for r in sampling.pts_repair(df).collect()}
+    assert [(n, kept[n], *repaired[n - 1]) for n in range(1, 1601)] == want
+
+
+def test_functions_of_blocks_compose(spark):
+    """f then g equals the function of both blocks at every entry."""
+    import pandas as pd
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes, time, rows = (rng.randint(1, 6), rng.randint(1, 6)), 0, []
+        for n in range(sum(sizes)):
+            time += rng.choice([0, 1, 3, 7])
+            rows.append({"track_id": 1, "blk": 0, "n": n, "ts_us": time, "changed": rng.random() < 0.2, "idx": n, "pts_ms": rng.choice([n * 2.0, n * 2.0 - 7, -1.0, 30.0]), "fps": 500.0})
+        pieces = [pd.DataFrame(rows[:sizes[0]]), pd.DataFrame(rows[sizes[0]:]), pd.DataFrame(rows)]
+        f, g, both = (sampling._gate_summary(5)(p)["fn"][0] for p in pieces)
+        leave = sampling._gate_exit(5)
+        # The last row kept before a block is not after the block's first row.
+        for x in (sampling.NEVER, *range(-6, rows[0]["ts_us"] + 1)):
+            assert leave(sampling._gate_both(5)(f, g), x) == leave(both, x) == leave(g, leave(f, x))
+        f, g, both = (sampling._repair_summary(p)["fn"][0] for p in pieces)
+        leave = sampling._repair_exit
+        for x in [sampling.BEFORE_FIRST, *(rng.randint(-1, 60) * 10 ** 9 for _ in range(40))]:
+            assert leave(sampling._repair_both(f, g), x) == leave(both, x) == leave(g, leave(f, x))
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_cues_from_samples(spark, size):
     rng = random.Random(size)
