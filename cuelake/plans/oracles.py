@@ -386,6 +386,10 @@ SQL["prompt_text"] = r"""SELECT k.track_id, k.chunk_no, 'Translate into German.
         CASE WHEN n = 1 THEN targets[1].text ELSE CAST(to_json(targets) AS VARCHAR) END AS prompt
         FROM (SELECT track_id, (pos - 1) // 8 AS chunk_no, count(*) AS n, list({'id': pos, 'text': text} ORDER BY pos) AS targets FROM cues_v WHERE regexp_matches(text, '\p{L}') GROUP BY 1, 2) k"""
 
+_FILE_STATUS = "CASE WHEN track_id % 11 = 0 THEN 'EXTENSION' WHEN track_id % 13 = 0 THEN 'SIZE' WHEN track_id % 7 = 0 THEN 'INVALID_FORMAT' WHEN track_id % 5 = 0 THEN 'INVALID_TIMECODE' END"
+SQL["cue_files"] = f"""SELECT track_id, coalesce(fault, status) AS status, CASE WHEN fault IS NULL AND status = 'OK' THEN 0 END AS renumbered_cues, """ + ", ".join(
+    f"CASE WHEN fault IS NULL THEN {c} END AS {c}" for c in ("overlapping_cues", "empty_dropped", "cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines", "max_line_chars")
+) + f" FROM (SELECT *, {_FILE_STATUS} AS fault FROM ({SQL['normalize_track']}))"
 SQL["stream_ocr_gate"] = "SELECT track_id, n, ms * 1000 AS ts_us, kept FROM retimed_gate"
 SQL["frame_change_gate"] = r"""SELECT * FROM (WITH
     g AS (SELECT CAST(label AS BIGINT) AS track_id, vec_id + 1 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 800) AS BIGINT) % 256) AS a FROM embeddings),
@@ -415,5 +419,5 @@ KEPT_RAW = "(SELECT * FROM raw_cues_v WHERE text <> '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql, KEPT_RAW if name in ("normalize_track", "normalize_cues") else "cues_v")
+    return {name: with_views(sql, KEPT_RAW if name in ("normalize_track", "normalize_cues", "cue_files") else "cues_v")
             for name, sql in SQL.items()}

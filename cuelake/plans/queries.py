@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
@@ -9,8 +11,8 @@ from cuelake.functions import timecode
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses,
                                runs, sampling)
 from cuelake.operators.ordered import div, numbered
-from cuelake.plans.cut import durable
-from cuelake.sources import cuefiles
+from cuelake.plans.cut import durable, shared_folder
+from cuelake.sources import cuefiles, cuestore
 from cuelake.sources import tables as V
 from cuelake.streaming import tracks
 from cuelake.streaming.replay import replay
@@ -55,6 +57,24 @@ def subtitle_file_guard(s, d):
     return cuefiles.subtitle_file_guard(files).select("path", "size", "reason")
 
 
+@query
+def cue_files(s, d):
+    """Tracks written as files, some of them faulty, read again, checked and normalised; one row per file."""
+    i = F.col("track_id")
+    content = (F.when(i % 13 == 0, "").when(i % 7 == 0, F.concat(F.lit("no cue\n"), "content"))
+               .when(i % 5 == 0, F.regexp_replace("content", r"^(?<head>\d+\n\d+:)\d\d", "${head}61")).otherwise(F.col("content")))
+    # Ten seconds on, so that no time of the raw cues lies before the start of the file.
+    later = V.raw_cues_v(s, d).withColumns({c: F.col(c) + 10_000 for c in ("start_ms", "end_ms")})
+    parts = export.export_srt(later).withColumn("content", F.when(F.col("part_no") == 0, content).otherwise(F.when(i % 13 != 0, F.col("content")).otherwise("")))
+    folder = f"{shared_folder(s)}/cue-files-{uuid.uuid4().hex}"
+    cuestore.write_cue_files(parts, folder, F.concat(i.cast("string"), F.when(i % 11 == 0, ".txt").otherwise(".srt")))
+    name = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
+    files = cuefiles.subtitle_file_guard(cuestore.read_cue_files(s, folder)).select(name.alias("track_id"), "reason", F.col("text").alias("content"))
+    tracks = quality.normalize_track(cuefiles.srt_parse_strict(files.where("reason IS NULL").drop("reason")))
+    refused = files.where("reason IS NOT NULL").select("track_id", F.col("reason").alias("status"))
+    return tracks.unionByName(refused, allowMissingColumns=True)
+
+
 @query
 def video_path_filter(s, d):
     return cuefiles.video_path_filter(V.paths_v(s, d))

@@ -13,7 +13,7 @@ from cuelake.functions.thumbnails import changed
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses, runs,
                                sampling)
 from cuelake.operators.ordered import with_blocks
-from cuelake.sources import cuefiles
+from cuelake.sources import cuefiles, cuestore
 
 SECOND = 1_000_000
 
@@ -295,15 +295,35 @@ def test_files_on_disk(spark, tmp_path):
     (tmp_path / "a.srt").write_bytes(b"1\n00:00:01,000 --> 00:00:02,000\nHi\n")
     (tmp_path / "b.SRT").write_bytes(b"\xff --> ")
     (tmp_path / "c.txt").write_bytes(b"x")
-    got = {r.path.rsplit("/")[-1]: r.reason for r in cuefiles.subtitle_file_guard(
-        cuefiles.read_cue_files(spark, str(tmp_path / "*"))).collect()}
-    assert got == {"a.srt": None, "b.SRT": "UTF8", "c.txt": "EXTENSION"}
-    empty = spark.createDataFrame([("d.srt", 0, bytearray(b""))], "path string, size long, content binary")
-    assert cuefiles.subtitle_file_guard(empty).first().reason == "SIZE"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "d.srt").write_bytes(b"")
+    (tmp_path / "_hidden.srt").write_bytes(b"x")
+    for options in ({}, {"partitionFiles": 1}, {"partitionBytes": 5}):
+        files = cuestore.read_cue_files(spark, str(tmp_path), **options)
+        got = {r.path.rsplit("/")[-1]: r.reason for r in cuefiles.subtitle_file_guard(files).collect()}
+        assert got == {"a.srt": None, "b.SRT": "UTF8", "c.txt": "EXTENSION", "d.srt": "SIZE"}
+        assert options == {} or files.rdd.getNumPartitions() > 1
     table = cue_table(spark, [(0, 1000, "A"), (1000, 2000, "B"), (2000, 3000, "C")])
-    cuefiles.write_parts(export.export_srt(table, part_cues=2), str(tmp_path / "out"))
-    files = sorted((tmp_path / "out").rglob("*.txt"))
-    assert len(files) == 2 and "".join(f.read_text() for f in files) == export.export_srt(table).first().content
+    parts, out = export.export_srt(table, part_cues=2), tmp_path / "out"
+    cuestore.write_cue_files(parts, str(out), F.lit("one.srt"))
+    assert [f.name for f in out.iterdir()] == ["one.srt"] and (out / "one.srt").read_text() == export.export_srt(table).first().content
+    cuestore.write_cue_files(parts, str(out), F.lit("two.srt"))
+    assert sorted(f.name for f in out.iterdir()) == ["one.srt", "two.srt"]
+    cuestore.write_cue_files(parts, str(out), F.lit("three.srt"), "overwrite")
+    assert [f.name for f in out.iterdir()] == ["three.srt"]
+
+
+def test_failed_writes_leave_no_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.srt", 0, "x"), ("b/c.srt", 0, "y"), ("a.srt", 1, "z")], "name string, part_no long, content string")
+    spark.dataSource.register(cuestore.CueFiles)
+    for bad in (rows, rows.where("name = 'a.srt'").repartition(2, "part_no")):
+        if bad is not rows and bad.rdd.glom().map(len).filter(bool).count() < 2:
+            continue
+        with pytest.raises(Exception):
+            bad.write.format(cuestore.FORMAT).mode("append").save(str(tmp_path / "out"))
+        # A task that still ran when the job was given up may leave its staging folder, which no reader looks into.
+        assert not (tmp_path / "out").exists() or all(f.name.startswith("_staging") for f in (tmp_path / "out").iterdir())
+    assert cuestore.read_cue_files(spark, str(tmp_path)).collect() == []
 
 
 REPLIES = [
