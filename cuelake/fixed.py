@@ -74,6 +74,9 @@ REMOVE_MARK = "[[REMOVE]]"
 LOG_EXCERPT_CHARS = 32000
 LOG_EXCERPT_MARK = "\n[truncated]\n"
 
+# Where an answer begins in a transcript
+ASSISTANT_MARKERS = ["\r\nAssistant:\r\n", "\nAssistant:\n", "Assistant:\r\n", "Assistant:\n"]
+
 # Messages that other rules test by prefix or by equality
 MODEL_ERROR_PREFIX = "The model "
 TRANSPORT_ERROR_PREFIXES = [

@@ -164,6 +164,7 @@ TEMPLATES = {
     "clean_one": "Answer with the corrected cue only, or with [[REMOVE]] for noise.",
     "clean_many": "Answer with a JSON array of {\"id\":number,\"text\":string}, one per input in order; empty text removes a cue.",
     "translate": "Translate into %s.",
+    "translate_from": "Translate from %f into %s.",
     "translate_one": "Answer with the translated cue only and keep its line breaks.",
     "translate_many": "Answer with a JSON array of {\"id\":number,\"text\":string}, one per input in order.",
     "retry_clean": "The last answer was not usable. Answer once more with the corrected cue only, or with [[REMOVE]].",
@@ -175,27 +176,32 @@ def _texts(column):
     return F.to_json(F.transform(column, lambda c: c["text"]))
 
 
-def prompt_rows(cues: DataFrame, mode: str, language: str = fixed.AUTO_LANGUAGE, strength: str = "balanced",
-                guidance: str = "", templates: dict = TEMPLATES) -> DataFrame:
-    """One prompt per chunk with model targets; context and payload as JSON."""
-    split = work_split(cues, mode, strength)
-    chunks = context_window(split, mode, routed=True).where(F.size("targets") > 0)
-    auto = mode == "clean" and language == fixed.AUTO_LANGUAGE
-    if auto:
-        # samples fan out to blocks of the track's chunks, so a huge track stays spread
-        chunks = chunks.withColumn(BLOCK, div(F.col("chunk_no"), 1024))
-        places = chunks.select("track_id", BLOCK).distinct()
-        chunks = (chunks.join(places.join(sample_texts(cues), "track_id"), ["track_id", BLOCK], "left")
-                  .drop(BLOCK))
-    else:
-        chunks = chunks.withColumn("samples", F.array().cast("array<struct<pos:bigint,text:string>>"))
+def _checked_options(mode: str, language: str, strength: str, guidance: str, source: str) -> None:
+    """Refuses what ``task_options`` would refuse, before any prompt is made."""
+    def plain(text):
+        return 0 < len(text.strip().encode()) <= fixed.MAX_LANGUAGE_BYTES and not any(ord(c) < 32 or 127 <= ord(c) < 160 for c in text.strip())
+    faults = {"MODE": mode not in fixed.MODES, "GUIDANCE": len(guidance.strip()) > fixed.MAX_GUIDANCE_CHARS,
+              "LANGUAGE": not plain(language) or not plain(source), "STRENGTH": mode == "clean" and strength not in fixed.STRENGTHS}
+    for reason, found in faults.items():
+        if found:
+            raise ValueError(reason)
+
+
+def worded(chunks: DataFrame, mode: str, language: str, strength: str, guidance: str, source: str, templates: dict) -> DataFrame:
+    """Adds ``single``, the JSON of context and samples, ``payload`` and ``prompt`` to chunks (targets, before, after, samples).
+
+    A chunk with ``corrective`` true is asked once more, in the words for that.
+    """
+    _checked_options(mode, language, strength, guidance, source)
     if mode == "clean":
-        order = [templates["language_auto"] if auto else templates["language_named"] % language, templates[strength]]
+        named = "language_auto" if language == fixed.AUTO_LANGUAGE else "language_named"
+        order = [templates[named].replace("%s", language), templates[strength]]
     else:
-        order = [templates["translate"] % language]
+        order = [templates["translate" if source == fixed.AUTO_LANGUAGE else "translate_from"].replace("%s", language).replace("%f", source)]
     one = F.size("targets") == 1
-    task = F.concat(F.lit(" ".join(order) + " "),
-                    F.when(one, templates[f"{mode}_one"]).otherwise(templates[f"{mode}_many"]))
+    task = F.concat(F.lit(" ".join(order) + " "), F.when(one, templates[f"{mode}_one"]).otherwise(templates[f"{mode}_many"]))
+    if "corrective" in chunks.columns:
+        task = F.when(F.col("corrective") & one, F.concat(F.lit(" ".join(order) + " "), F.lit(templates[f"retry_{mode}"]))).otherwise(task)
     samples = F.to_json(F.transform(F.coalesce("samples", F.array()), lambda c: c["text"]))
     return (chunks.withColumn("single", one)
             .withColumn("samples_json", samples)
@@ -203,9 +209,45 @@ def prompt_rows(cues: DataFrame, mode: str, language: str = fixed.AUTO_LANGUAGE,
             .withColumn("payload", F.when(one, F.col("targets")[0]["text"]).otherwise(F.to_json("targets")))
             .withColumn("prompt", F.concat(
                 task, F.lit(f"\nGuidance: {guidance.strip()}\nSamples: "), "samples_json", F.lit("\nBefore: "),
-                "before_json", F.lit("\nAfter: "), "after_json", F.lit("\nInput: "), "payload"))
-            .select("track_id", "chunk_no", "single", "samples_json", "before_json", "after_json", "payload",
-                    "prompt"))
+                "before_json", F.lit("\nAfter: "), "after_json", F.lit("\nInput: "), "payload")))
+
+
+def prompt_rows(cues: DataFrame, mode: str, language: str = fixed.AUTO_LANGUAGE, strength: str = "balanced",
+                guidance: str = "", templates: dict = TEMPLATES, source: str = fixed.AUTO_LANGUAGE) -> DataFrame:
+    """One prompt per chunk with model targets; context and payload as JSON.
+
+    ``source`` names the language to translate from; left to the model where it is not given.
+    """
+    split = work_split(cues, mode, strength)
+    chunks = context_window(split, mode, routed=True).where(F.size("targets") > 0)
+    if mode == "clean" and language == fixed.AUTO_LANGUAGE:
+        # samples fan out to blocks of the track's chunks, so a huge track stays spread
+        chunks = chunks.withColumn(BLOCK, div(F.col("chunk_no"), 1024))
+        places = chunks.select("track_id", BLOCK).distinct()
+        chunks = (chunks.join(places.join(sample_texts(cues), "track_id"), ["track_id", BLOCK], "left")
+                  .drop(BLOCK))
+    else:
+        chunks = chunks.withColumn("samples", F.array().cast("array<struct<pos:bigint,text:string>>"))
+    return worded(chunks, mode, language, strength, guidance, source, templates).select(
+        "track_id", "chunk_no", "single", "samples_json", "before_json", "after_json", "payload", "prompt")
+
+
+def range_rows(ranges: DataFrame, split: DataFrame, context: int = fixed.CONTEXT_CUES) -> DataFrame:
+    """Ranges (track_id, first, past, ...) with the targets in (first, past] and the cues before and after them.
+
+    Each range asks for its few positions, so cues and ranges meet on (track, pos), whatever the length of a track.
+    """
+    keys = ranges.columns
+    asked = ranges.withColumn("pos", F.explode(F.sequence(F.col("first") + 1 - context, F.col("past") + context)))
+    near = asked.join(split.select("track_id", "pos", "text", "route"), ["track_id", "pos"])
+    cue = F.struct(F.col("pos").alias("id"), "text")
+
+    def listed(where):
+        return F.array_sort(F.collect_list(F.when(where, cue)))
+    inside = F.col("pos").between(F.col("first") + 1, F.col("past"))
+    return (near.groupBy(*keys).agg(listed(inside & (F.col("route") == "model")).alias("targets"), listed(F.col("pos") <= F.col("first")).alias("before"),
+                                    listed(F.col("pos") > F.col("past")).alias("after"))
+            .withColumn("samples", F.array().cast("array<struct<pos:bigint,text:string>>")))
 
 
 def response_schema(chunks: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from cuelake import fixed
 from cuelake.functions.replies import escape_controls, read_reply
 from cuelake.functions.text import strip
+from cuelake.operators import planning
 from cuelake.operators.export import export_srt
 from cuelake.operators.ordered import div, number_rows
+from cuelake.operators.recognise import infer
 from cuelake.plans.cut import durable
 
 CUES = "array<struct<id:bigint,text:string>>"
 CUES_TYPE = ArrayType(StructType().add("id", LongType()).add("text", StringType()))
-MARKERS = ["\r\nAssistant:\r\n", "\nAssistant:\n", "Assistant:\r\n", "Assistant:\n"]
 THINK_END = "</think>"
 
 # A reply that is plain, complete JSON of (id, text) objects and nothing else.
@@ -31,7 +32,7 @@ def _after_last(text: Column, mark: str) -> Column:
 
 def assistant_extract(text: Column) -> Column:
     """What follows the last assistant marker, then the last end of thinking; trimmed."""
-    answer = F.coalesce(*[F.when(F.contains(text, F.lit(m)), _after_last(text, m)) for m in MARKERS], text)
+    answer = F.coalesce(*[F.when(F.contains(text, F.lit(m)), _after_last(text, m)) for m in fixed.ASSISTANT_MARKERS], text)
     return strip(_after_last(strip(answer), THINK_END))
 
 
@@ -219,3 +220,54 @@ def log_excerpt(text: Column) -> Column:
     limit = fixed.LOG_EXCERPT_CHARS
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(fixed.LOG_EXCERPT_MARK))
                   ).otherwise(text)
+
+
+UNUSABLE_ANSWER = fixed.MODEL_ERROR_PREFIX + "returned invalid subtitle data."
+
+
+def judged(answers: DataFrame, mode: str) -> DataFrame:
+    """Replies to ranges (``targets, raw, error``): ``cues`` of the accepted ones, an ``error`` for the others.
+
+    A range of several cues is answered by a list that fits it, a single cue by its text or such a list.
+    """
+    many = json_repair(assistant_extract(F.when(F.size("targets") > 1, F.col("raw"))))
+    ids = F.transform("targets", lambda c: c["id"])
+    first = F.get("targets", F.lit(0))
+    read = single_parse(answers.withColumns({"_many": many, "id": first["id"], "source": first["text"], "mode": F.lit(mode)}))
+    fits = F.coalesce(F.when(F.size("targets") > 1, target_verdict(F.col("_many"), ids, mode == "clean") == "OK")
+                      .otherwise(F.col("status") == "OK"), F.lit(False))
+    taken = F.when(F.size("targets") > 1, F.filter("_many", lambda c: F.array_contains(ids, c["id"]))).otherwise(
+        F.array(F.struct(F.col("id"), F.col("answer").alias("text"))))
+    return (read.withColumn("error", F.when(F.col("error").isNotNull(), F.col("error")).when(~fits, UNUSABLE_ANSWER))
+            .withColumn("cues", F.when(F.col("error").isNull(), taken))
+            .drop("_many", "id", "source", "mode", "status", "answer"))
+
+
+def model_loop(cues: DataFrame, mode: str, model, **options) -> tuple[DataFrame, DataFrame]:
+    """Decisions for every cue and what became of every range, from rules and a model.
+
+    ``model`` maps pandas batches with ``prompt``, ``payload``, ``single`` and ``corrective`` to the same rows with
+    ``raw`` and ``error`` beside them; it runs in ``recognise.infer``.  What rules decide is not asked.  Ranges whose
+    answer does not fit are halved or asked once more as ``retry_plan`` says; cues of ranges that stop stay undecided.
+    """
+    strength = options.get("strength", "balanced")
+    split = durable(planning.work_split(cues, mode, strength).select("track_id", "pos", "text", "route", "decision", "chunk_no"))
+    wording = {"language": fixed.AUTO_LANGUAGE, "strength": strength, "guidance": "", "source": fixed.AUTO_LANGUAGE, "templates": planning.TEMPLATES, **options}
+
+    def ask(todo: DataFrame) -> DataFrame:
+        rows = planning.range_rows(todo, split)
+        prompts = planning.worded(rows.where(F.size("targets") > 0), mode, **wording).select(*todo.columns, "targets", "prompt", "payload", "single")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != "targets") + ", raw string, error string"
+        # Only what the model reads goes to Python; targets meet their answers again on the range.
+        key = ["track_id", "first", "past"]
+        found = infer(prompts.drop("targets"), model, schema).select(*key, "raw", "error")
+        answered = prompts.select(*todo.columns, "targets").join(found, key)
+        return judged(answered, mode).withColumn("targets", F.size("targets").cast("long")).drop("raw")
+
+    ranges = (split.groupBy("track_id", "chunk_no").agg(F.max("pos").alias("past"), F.count_if(F.col("route") == "model").alias("asked"))
+              .where("asked > 0").select("track_id", (F.col("chunk_no") * planning.chunk_size(mode)).alias("first"), "past"))
+    settled = retry_plan(ranges, ask)
+    answers = settled.where("action = 'done'").select("track_id", F.explode("cues").alias("c")).select("track_id", F.col("c.id").alias("pos"), "c.text")
+    rules = split.where("route <> 'model'").select("track_id", "pos", F.col("decision").alias("text"), "route")
+    decisions, _ = decisions_merge(rules, answers, cues)
+    return decisions, settled.drop("cues")

@@ -67,6 +67,7 @@ VIEWS = {
     "given_times": r"""SELECT track_id, k, n, ts_us AS given_us, ts_us, text FROM taken_samples WHERE k = 1
         UNION ALL SELECT t.track_id, t.k, t.n, t.ts_us, CASE WHEN t.ts_us > g.ts_us OR t.ts_us = g.ts_us AND t.n > g.n THEN t.ts_us ELSE g.ts_us + 500000 END, t.text
         FROM given_times g JOIN taken_samples t ON t.track_id = g.track_id AND t.k = g.k + 1""",
+    "asked": r"""SELECT *, regexp_matches(text, '\p{L}') AS sent, length(text) AS n FROM cues_v""",
     "steps_v": r"""SELECT track_id AS crop_id, n AS step, event_type AS class, value / 500 AS score FROM ev""",
     "collapsed": r"""SELECT * FROM (SELECT *, lag(class) OVER (PARTITION BY crop_id ORDER BY step) AS before FROM steps_v)
         WHERE class <> 'view' AND class IS DISTINCT FROM before""",
@@ -390,6 +391,9 @@ _FILE_STATUS = "CASE WHEN track_id % 11 = 0 THEN 'EXTENSION' WHEN track_id % 13
 SQL["cue_files"] = f"""SELECT track_id, coalesce(fault, status) AS status, CASE WHEN fault IS NULL AND status = 'OK' THEN 0 END AS renumbered_cues, """ + ", ".join(
     f"CASE WHEN fault IS NULL THEN {c} END AS {c}" for c in ("overlapping_cues", "empty_dropped", "cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines", "max_line_chars")
 ) + f" FROM (SELECT *, {_FILE_STATUS} AS fault FROM ({SQL['normalize_track']}))"
+SQL["model_loop"] = f"""SELECT track_id, (pos - 1) // 4096 AS part_no, string_agg(pos || chr(10) || {code('start_ms')} || ' --> ' || {code('end_ms')} || chr(10) ||
+        CASE WHEN sent THEN regexp_replace(text || CASE WHEN n % 5 = 0 THEN '!' ELSE '' END, '^\\s+|\\s+$', '', 'g') ELSE text END || chr(10) || chr(10), '' ORDER BY pos) AS content
+    FROM asked WHERE track_id NOT IN (SELECT track_id FROM asked WHERE sent AND (n % 211 = 0 OR n % 29 = 0 AND n % 2 = 0)) GROUP BY 1, 2"""
 SQL["stream_ocr_gate"] = "SELECT track_id, n, ms * 1000 AS ts_us, kept FROM retimed_gate"
 SQL["frame_change_gate"] = r"""SELECT * FROM (WITH
     g AS (SELECT CAST(label AS BIGINT) AS track_id, vec_id + 1 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 800) AS BIGINT) % 256) AS a FROM embeddings),

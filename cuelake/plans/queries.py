@@ -560,6 +560,36 @@ def retry_plan(s, d):
         "track_id", "first", "past", F.col("round").cast("long").alias("round"), "corrective", "targets", "action")
 
 
+def misbehaving(batch):
+    """A model that adds ! to texts of five, ten, ... letters and, by the lengths of the texts, answers wrongly or not at all.
+
+    A length divisible by 29 spoils an answer: a list lacks that cue, a single answer is a fence; asked once more it is
+    right where the length is odd.  A length divisible by 211 breaks the connection.
+    """
+    import json
+
+    def one(payload, single, corrective):
+        cues = [{"id": 0, "text": payload}] if single else json.loads(payload)
+        sizes = [len(c["text"]) for c in cues]
+        if any(n % 211 == 0 for n in sizes):
+            return None, "Local AI request failed: closed"
+        spoilt = [n % 29 == 0 and not (corrective and n % 2) for n in sizes]
+        said = [c | {"text": c["text"] + "!" * (n % 5 == 0)} for c, n in zip(cues, sizes)]
+        if single:
+            return "```" if spoilt[0] else "Assistant:\n" + said[0]["text"], None
+        return "Sure.\n" + json.dumps([c for c, bad in zip(said, spoilt) if not bad], ensure_ascii=False), None
+    found = [one(*row) for row in zip(batch["payload"], batch["single"], batch["corrective"])]
+    return batch.assign(raw=[raw for raw, _ in found], error=[error for _, error in found])
+
+
+@query
+def model_loop(s, d):
+    """From cues to files: prompts, a model that misbehaves by rule, checks, retries, decisions, whole tracks only."""
+    lines = V.cues_v(s, d)
+    decisions, _ = responses.model_loop(lines, "translate", misbehaving, language="German", source="English")
+    return responses.result_render(lines, durable(decisions))
+
+
 @query
 def error_class(s, d):
     kind, i = F.col("event_type"), F.col("event_id").cast("string")
