@@ -92,3 +92,85 @@ RESULT_START = "RESULT START"
 RESULT_END = "RESULT END ---"
 COMPLETE_LINE = "Pipeline=COMPLETE"
 ERROR_PREFIX = "ERROR:"
+
+# Stages of a run's output lines
+STAGE_LABELS = {
+    "ocr": "Scanning and recognizing subtitles",
+    "engine": "Scanning subtitles with the native OCR engine",
+    "finalize": "Preparing results",
+    "complete": "Subtitles ready",
+}
+
+# Run metrics: stages whose seconds are attributed, then every field with its type
+ATTRIBUTED_STAGES = [
+    "detector_preprocess_seconds",
+    "detector_forward_seconds",
+    "detector_postprocess_seconds",
+    "recognizer_preprocess_seconds",
+    "recognizer_forward_seconds",
+    "recognizer_postprocess_seconds",
+]
+METRIC_FIELDS = [
+    ("mode", "string"),
+    ("inference_backend", "string"),
+    ("compute_requested", "string"),
+    ("onnxruntime_version", "string"),
+    ("compute_effective", "string"),
+    ("recognizer_provider_calibration_status", "string"),
+    ("recognizer_provider_calibration_seconds", "double"),
+    ("recognizer_provider_baseline_seconds", "double"),
+    ("recognizer_provider_candidate_seconds", "double"),
+    ("cuda_primary_all", "boolean"),
+    ("dml_primary_all", "boolean"),
+    ("directml_device_preference", "string"),
+    ("sample_fps", "double"),
+    ("video_prefetch_enabled", "boolean"),
+    ("video_prefetch_queue_capacity", "bigint"),
+    ("video_prefetch_max_depth", "bigint"),
+    ("mixed_detector_overlap_enabled", "boolean"),
+    ("mixed_detector_pending_capacity", "bigint"),
+    ("mixed_cpu_decode_gate_overlap_enabled", "boolean"),
+    ("mixed_gpu_detector_worker_enabled", "boolean"),
+    ("mixed_detector_submitted", "bigint"),
+    ("mixed_detector_max_pending", "bigint"),
+    ("mixed_detector_elapsed_seconds", "double"),
+    ("mixed_detector_wait_seconds", "double"),
+    ("opencv_threads", "bigint"),
+    ("frame_rate", "double"),
+    ("frame_count", "bigint"),
+    ("sample_count", "bigint"),
+    ("sampled_frames", "bigint"),
+    ("ocr_count", "bigint"),
+    ("stable_samples_skipped", "bigint"),
+    ("change_gate_checks", "bigint"),
+    ("change_gate_ocr_triggers", "bigint"),
+    ("forced_ocr_checks", "bigint"),
+    ("forced_only_ocr_calls", "bigint"),
+    ("ocr_transition_backdates", "bigint"),
+    ("sample_period_seconds", "double"),
+    ("cue_count", "bigint"),
+    ("duration_seconds", "double"),
+    ("last_decoded_timestamp_seconds", "double"),
+    ("video_decode_seconds", "double"),
+    ("video_sampling_seconds", "double"),
+    ("ocr_total_seconds", "double"),
+    ("ocr_unattributed_seconds", "double"),
+    ("recognizer_batch_size", "bigint"),
+    ("recognizer_batch_calibration", "string"),
+    ("recognizer_batch_calibration_seconds", "double"),
+    ("recognizer_frame_batch_size", "bigint"),
+    ("elapsed_seconds", "double"),
+]
+METRIC_NESTED = [
+    "available_providers",
+    "session_providers",
+    "model_session_providers",
+    "cuda_runtime_packages",
+    "ocr_stage_seconds",
+    "recognizer_batch_histogram",
+]
+
+# Files: a time, the two lines that open a cue, and the frame of a TTML file
+CUE_TIME = r"\d{2,}:\d{2}:\d{2},\d{3}"
+TTML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<tt xmlns="http://www.w3.org/ns/ttml"><body><div>\n'
+TTML_TAIL = "</div></body></tt>\n"

@@ -9,9 +9,12 @@ from pyspark.sql.types import StringType, StructType
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 LETTER = r"\p{IsAlphabetic}"
-# Unicode White_Space without the plain space, as a class body
+# Unicode White_Space without the plain space, as a class body, and with it as characters
 RARE_BLANKS = "\\t-\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0                　"
+# Rules on recognised texts and cue bodies count the four separators U+001C to U+001F as blanks as well
+WIDE_BLANKS = RARE_BLANKS + "\\x1C-\\x1F"
+WIDE_BLANK_CHARS = BLANK_CHARS + "\x1c\x1d\x1e\x1f"
 
 
 def strip(text: Column) -> Column:
@@ -19,6 +22,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANK_CHARS))
 
 
+def strip_body(text: Column) -> Column:
+    """Trim Unicode blanks and separators, as bodies of cues need it."""
+    return F.trim(text, F.lit(WIDE_BLANK_CHARS))
+
+
 def visible_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, f"[{RARE_BLANKS} ]+", ""))
 
@@ -41,7 +49,7 @@ def has_letter(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Trimmed, with every run of blanks as one space; single spaces are left alone."""
-    return strip(F.regexp_replace(text, f"[{RARE_BLANKS} ]{{2,}}|[{RARE_BLANKS}]", " "))
+    return strip_body(F.regexp_replace(text, f"[{WIDE_BLANKS} ]{{2,}}|[{WIDE_BLANKS}]", " "))
 
 
 def fold_text(text: str) -> str:
@@ -55,8 +63,8 @@ def _fold_key(texts: pd.Series) -> pd.Series:
 
 def at_most_two(text: Column, least: int) -> Column:
     """Whether the text with blanks collapsed has ``least`` to two characters."""
-    blank = f"[{RARE_BLANKS} ]*"
-    return text.rlike(f"^{blank}[^{RARE_BLANKS} ]{{{least},2}}{blank}\\z")
+    blank = f"[{WIDE_BLANKS} ]*"
+    return text.rlike(f"^{blank}[^{WIDE_BLANKS} ]{{{least},2}}{blank}\\z")
 
 
 def norm_body_value(body: str) -> str:

@@ -50,11 +50,6 @@ def escape_xml(text):
     return text
 
 
-TTML_HEAD = ('<?xml version="1.0" encoding="UTF-8"?>\n'
-             '<tt xmlns="http://www.w3.org/ns/ttml"><body><div>\n')
-TTML_TAIL = "</div></body></tt>\n"
-
-
 def export_ttml(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
     """The head goes before the first cue, the tail after the last one (needs ``blk``)."""
     def time(name):
@@ -62,8 +57,8 @@ def export_ttml(cues: DataFrame, part_cues: int = PART_ROWS) -> DataFrame:
     block = F.concat(F.lit('  <p begin="'), time("start_ms"), F.lit('" end="'), time("end_ms"), F.lit('">'),
                      F.replace(escape_xml(F.col("text")), F.lit(LF), F.lit("<br/>")), F.lit("</p>\n"))
     ends = scan(cues, ["track_id"], ["pos"], following=lead(F.col("pos")))
-    return _file(ends, F.concat(F.when(F.col("pos") == 1, TTML_HEAD).otherwise(""), block,
-                                F.when(F.col("following").isNull(), TTML_TAIL).otherwise("")), part_cues)
+    return _file(ends, F.concat(F.when(F.col("pos") == 1, fixed.TTML_HEAD).otherwise(""), block,
+                                F.when(F.col("following").isNull(), fixed.TTML_TAIL).otherwise("")), part_cues)
 
 
 def export_filename(path, mode, language, fmt):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import at_most_two, exact_forms, is_stable, squeeze, strip
+from cuelake.functions.text import at_most_two, exact_forms, is_stable, squeeze, strip_body
 from cuelake.operators.ordered import BLOCK, lag, long_tracks, number_rows, scan, total
 
 TRACK = ["track_id"]
@@ -32,7 +32,7 @@ def overlap_count(cues: DataFrame) -> DataFrame:
 
 
 def drop_empty(cues: DataFrame) -> DataFrame:
-    return cues.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
+    return cues.withColumn("text", strip_body(F.col("text"))).where(F.col("text") != "")
 
 
 def body_normalise(cues: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def body_normalise(cues: DataFrame) -> DataFrame:
 
     Only texts outside the stable characters reach Python; for the others it gets nulls.
     """
-    trimmed = cues.withColumn("body", strip(F.col("text"))).withColumn("stable", is_stable(F.col("body")))
+    trimmed = cues.withColumn("body", strip_body(F.col("text"))).withColumn("stable", is_stable(F.col("body")))
     return (trimmed.withColumn("exact", exact_forms(F.when(~F.col("stable"), F.col("body"))))
             .withColumn("norm", F.when(F.col("stable"), F.lower(squeeze(F.col("body")))).otherwise(F.col("exact.norm")))
             .withColumn("body", F.when(F.col("stable"), F.col("body")).otherwise(F.col("exact.body")))
@@ -174,7 +174,7 @@ def normalize_track(cues: DataFrame) -> DataFrame:
     counters = fault_checks(cues).groupBy("track_id").agg(
         F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).alias("fault"), F.count_if("overlaps").alias("overlapping_cues"),
         F.count_if("renumbered").alias("renumbered_cues"),
-        F.count_if(strip(F.col("text")) == "").alias("empty_dropped"))
+        F.count_if(strip_body(F.col("text")) == "").alias("empty_dropped"))
     merged = duplicate_merge(body_normalise(drop_empty(cues)))
     stats = quality_stats(merged)
     kept = ["cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines",

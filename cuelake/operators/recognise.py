@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import BLANK_CHARS, alnum_count, strip
+from cuelake.functions.text import WIDE_BLANK_CHARS, alnum_count, strip_body
 from cuelake.operators.ordered import BLOCK, div, lag, numbered, running_sum, scan, total, total_max
 
 PART_ROWS = 4096
@@ -91,8 +91,8 @@ def ctc_collapse(steps: DataFrame, blank, symbol: str = "class") -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(symbol).alias("s")))),
                                  lambda r: r["s"]), "").alias("text"))
     # Blanks go at both ends of a text, which are those of its first and last part.
-    text = F.when(F.col("part_no") == 0, F.ltrim("text", F.lit(BLANK_CHARS))).otherwise(F.col("text"))
-    text = F.when(F.col("part_no") == div(F.col("symbols") - 1, PART_ROWS), F.rtrim(text, F.lit(BLANK_CHARS))).otherwise(text)
+    text = F.when(F.col("part_no") == 0, F.ltrim("text", F.lit(WIDE_BLANK_CHARS))).otherwise(F.col("text"))
+    text = F.when(F.col("part_no") == div(F.col("symbols") - 1, PART_ROWS), F.rtrim(text, F.lit(WIDE_BLANK_CHARS))).otherwise(text)
     confidence = confidence.withColumn("text", text)
     empty = (steps.groupBy("crop_id").agg(F.bool_and(F.col("class") == F.lit(blank)).alias("none"))
              .where("none").select("crop_id", F.lit(0).cast("long").alias("part_no"),
@@ -133,7 +133,7 @@ def confidence_filter(results: DataFrame) -> DataFrame:
 def reading_order(boxes: DataFrame) -> DataFrame:
     """Text of each frame: lines by height band, then from the left, then as detected (``seq``)."""
     band = F.rint(F.col("y1") / F.greatest(F.lit(1.0), F.col("height") * fixed.LINE_BAND_SHARE)).cast("long")
-    placed = (boxes.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
+    placed = (boxes.withColumn("text", strip_body(F.col("text"))).where(F.col("text") != "")
               .select("frame", band.alias("band"), "x1", "seq", "text"))
     return join_in_order(numbered(placed, ["frame"], ["band", "x1", "seq"], "rank"), ["frame"], "rank", "text", "\n", "text")
 

@@ -50,9 +50,8 @@ def stage_classify(lines: DataFrame) -> DataFrame:
     def pick(**names):
         return F.coalesce(*[F.when(F.col("_kind") == k, v) for k, v in names.items()])
     return (named.withColumn("stage", pick(progress="ocr", engine="ocr", result="finalize", done="complete"))
-            .withColumn("label", pick(progress="Scanning and recognizing subtitles",
-                                      engine="Scanning subtitles with the native OCR engine",
-                                      result="Preparing results", done="Subtitles ready"))
+            .withColumn("label", pick(progress=fixed.STAGE_LABELS["ocr"], engine=fixed.STAGE_LABELS["engine"],
+                                      result=fixed.STAGE_LABELS["finalize"], done=fixed.STAGE_LABELS["complete"]))
             .withColumn("percent", F.when(F.col("_kind") == "progress", percent)
                         .when(F.col("_kind") == "done", 100))
             .drop("_kind"))
@@ -86,23 +85,35 @@ def attempt_rollup(attempts: DataFrame) -> DataFrame:
             .drop("first"))
 
 
-METRICS = ("elapsed_seconds double, ocr_total_seconds double, sample_count bigint, ocr_count bigint, "
-           "ocr_stage_seconds map<string,double>, recognizer_batch_histogram map<string,int>")
-STAGES = [f"{part}_{step}_seconds" for part in ("detector", "recognizer")
-          for step in ("preprocess", "forward", "postprocess")]
+def metrics_flatten(runs: DataFrame) -> DataFrame:
+    """Every field of a run's report (JSON in ``metrics``) as a typed column, and the recomputed unattributed time.
 
-
-def metrics_flatten(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed columns per run with the unattributed time, and one row per stage and run."""
-    read = runs.withColumn("m", F.from_json("metrics", METRICS))
-    known = F.map_filter("m.ocr_stage_seconds", lambda k, v: k.isin(STAGES))
-    attributed = F.aggregate(F.map_values(known), F.lit(0.0), lambda s, v: s + v)
+    ``bad_fields`` lists fields that are there but not of their type; such a field is null, as is every field of a
+    report that is no JSON object.  ``unattributed_seconds`` is what the attributed stages leave of the total.
+    """
+    keys = [c for c in runs.columns if c != "metrics"]
+    read = runs.withColumn("m", F.try_parse_json("metrics"))
+
+    def field(name, kind):
+        return F.try_variant_get("m", F.lit(f"$.{name}"), kind)
+    bad = F.array_compact(F.array(*[F.when(field(n, "variant").isNotNull() & ~F.is_variant_null(field(n, "variant")) & field(n, t).isNull(), n)
+                                    for n, t in fixed.METRIC_FIELDS]))
+    known = F.map_filter(field("ocr_stage_seconds", "map<string,double>"), lambda k, v: k.isin(fixed.ATTRIBUTED_STAGES))
+    attributed = F.aggregate(F.map_values(known), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return (read.select(*keys, *[field(n, t).alias(n) for n, t in fixed.METRIC_FIELDS], bad.alias("bad_fields"), attributed.alias("_attributed"))
+            .withColumn("unattributed_seconds", F.when(F.col("ocr_total_seconds").isNotNull(), F.round(
+                F.greatest(F.lit(0.0), F.col("ocr_total_seconds") - F.coalesce("_attributed", F.lit(0.0))), 3)))
+            .drop("_attributed"))
+
+
+def metrics_nested(runs: DataFrame) -> DataFrame:
+    """Entries of the nested parts of a report as rows: ``field, place, key, value``; lists have places and no keys."""
     keys = [c for c in runs.columns if c != "metrics"]
-    flat = read.select(*keys, "m.elapsed_seconds", "m.ocr_total_seconds", "m.sample_count", "m.ocr_count",
-                       F.round(F.greatest(F.lit(0.0), F.col("m.ocr_total_seconds") - attributed), 3)
-                       .alias("unattributed_seconds"))
-    stages = read.select(*keys, F.explode("m.ocr_stage_seconds").alias("stage", "seconds"))
-    return flat, stages
+    read = runs.withColumn("m", F.try_parse_json("metrics"))
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), F.try_variant_get("m", F.lit(f"$.{n}"), "variant").alias("part")) for n in fixed.METRIC_NESTED])
+    held = read.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.field", "p.part").where("part IS NOT NULL")
+    return (held.lateralJoin(runs.sparkSession.tvf.variant_explode(F.col("part").outer()))
+            .select(*keys, "field", F.col("pos").cast("long").alias("place"), "key", F.col("value").cast("string").alias("value")))
 
 
 def summary_render(reports: DataFrame, fields: dict[str, Column], version: str) -> DataFrame:

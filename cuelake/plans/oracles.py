@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from cuelake import fixed
+
 # Views, in dependency order.
 VIEWS = {
     "lines": r"""SELECT doc_id AS track_id, unnest(range(1, len(parts) + 1)) AS cue_no, unnest(parts) AS text
@@ -362,10 +364,6 @@ SQL = {
         FROM logs_v WHERE NOT (run_id % 3 = 0 AND line LIKE 'ERROR%') GROUP BY 1""",
     "cancel_classify": "SELECT event_id, CASE event_type WHEN 'error' THEN 'CANCELLED' WHEN 'click' THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM events",
     "attempt_rollup": "SELECT * FROM rolled",
-    "metrics_flatten": r"""SELECT event_id AS run_id, round(value * 2, 3) AS elapsed_seconds, event_id AS sample_count, 3 AS ocr_count,
-        round(greatest(0, CASE WHEN event_id % 2 = 0 THEN value ELSE value / 2 END - (floor(value) / 4 + floor(value) / 2)), 3) AS unattributed_seconds FROM events""",
-    "metrics_stages": r"""SELECT event_id AS run_id, 'detector_forward_seconds' AS stage, round(floor(value) / 4, 3) AS seconds FROM events UNION ALL
-        SELECT event_id, 'recognizer_forward_seconds', round(floor(value) / 2, 3) FROM events UNION ALL SELECT event_id, 'other', round(value, 3) FROM events""",
     "summary_render": r"""SELECT run_id, array_to_string(['--- TRACK PIPELINE 1 RESULT START ---', 'Pipeline=' || last_status, 'Attempts=' || attempts, 'OCRFallback=' || CASE WHEN fallback_reason IS NOT NULL THEN 'True' ELSE 'False' END,
         'Error=' || coalesce(CASE WHEN last_status <> 'COMPLETE' THEN fallback_reason END, ''), '--- TRACK PIPELINE 1 RESULT END ---'], chr(10)) AS summary FROM rolled""",
     "latest_per_group": "SELECT run_id, arg_max(line, line_no) AS latest, count(*) AS history FROM logs_v GROUP BY 1",
@@ -391,6 +389,18 @@ _FILE_STATUS = "CASE WHEN track_id % 11 = 0 THEN 'EXTENSION' WHEN track_id % 13
 SQL["cue_files"] = f"""SELECT track_id, coalesce(fault, status) AS status, CASE WHEN fault IS NULL AND status = 'OK' THEN 0 END AS renumbered_cues, """ + ", ".join(
     f"CASE WHEN fault IS NULL THEN {c} END AS {c}" for c in ("overlapping_cues", "empty_dropped", "cue_count", "duplicates_merged", "suspect_cues", "short_line_cues", "max_lines", "max_line_chars")
 ) + f" FROM (SELECT *, {_FILE_STATUS} AS fault FROM ({SQL['normalize_track']}))"
+_GIVEN = {"string": "event_type", "bigint": "event_id", "double": "round(value, 3)", "boolean": "event_id % 2 = 0"}
+_SET = {"elapsed_seconds": "round(value * 2, 3)", "ocr_total_seconds": "round(CASE WHEN event_id % 2 = 0 THEN value ELSE value / 2 END, 3)", "ocr_count": "3",
+        "frame_count": "CASE WHEN event_id % 7 <> 0 THEN event_id END"}
+SQL["metrics_flatten"] = "SELECT event_id AS run_id, " + ", ".join(
+    f"CASE WHEN event_id % 23 <> 0 THEN {_SET.get(n, f'CASE WHEN event_id % {k + 2} <> 0 THEN {_GIVEN[t]} END')} END AS {n}" for k, (n, t) in enumerate(fixed.METRIC_FIELDS)
+) + """, CASE WHEN event_id % 23 <> 0 AND event_id % 7 = 0 THEN 'frame_count' ELSE '' END AS bad_fields,
+    CASE WHEN event_id % 23 <> 0 THEN round(greatest(0, CASE WHEN event_id % 2 = 0 THEN value ELSE value / 2 END - (floor(value) / 4 + floor(value) / 2)), 3) END AS unattributed_seconds FROM events"""
+SQL["metrics_stages"] = """SELECT event_id AS run_id, stage, round(CASE stage WHEN 'other' THEN value WHEN 'detector_forward_seconds' THEN floor(value) / 4 ELSE floor(value) / 2 END, 3) AS seconds
+    FROM events, (VALUES ('detector_forward_seconds'), ('recognizer_forward_seconds'), ('other')) s(stage) WHERE event_id % 23 <> 0"""
+SQL["metrics_nested"] = """SELECT event_id AS run_id, field, place, key, CASE WHEN key = '8' THEN CAST(event_id % 5 AS VARCHAR) WHEN key = '2' THEN '1' WHEN place = 0 THEN 'GPU' ELSE event_type END AS value
+    FROM events, (VALUES ('available_providers', 0, NULL), ('available_providers', 1, NULL), ('recognizer_batch_histogram', NULL, '8'), ('recognizer_batch_histogram', NULL, '2')) s(field, place, key)
+    WHERE event_id % 23 <> 0"""
 SQL["model_loop"] = f"""SELECT track_id, (pos - 1) // 4096 AS part_no, string_agg(pos || chr(10) || {code('start_ms')} || ' --> ' || {code('end_ms')} || chr(10) ||
         CASE WHEN sent THEN regexp_replace(text || CASE WHEN n % 5 = 0 THEN '!' ELSE '' END, '^\\s+|\\s+$', '', 'g') ELSE text END || chr(10) || chr(10), '' ORDER BY pos) AS content
     FROM asked WHERE track_id NOT IN (SELECT track_id FROM asked WHERE sent AND (n % 211 = 0 OR n % 29 = 0 AND n % 2 = 0)) GROUP BY 1, 2"""

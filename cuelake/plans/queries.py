@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cuelake import fixed
 from cuelake.functions import text as X
 from cuelake.functions import timecode
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses,
@@ -683,25 +684,36 @@ def attempt_rollup(s, d):
 
 
 def _metrics(s, d):
-    v = F.col("value")
-    stages = F.create_map(F.lit("detector_forward_seconds"), F.floor(v) / 4,
-                          F.lit("recognizer_forward_seconds"), F.floor(v) / 2, F.lit("other"), v)
-    return V.table(s, d, "events").select(F.col("event_id").alias("run_id"), F.to_json(F.struct(
-        (v * 2).alias("elapsed_seconds"), F.when(F.col("event_id") % 2 == 0, v).otherwise(v / 2).alias("ocr_total_seconds"),
-        F.col("event_id").alias("sample_count"), F.lit(3).alias("ocr_count"), stages.alias("ocr_stage_seconds"))).alias("metrics"))
+    """A report per event: its fields follow from its id and value, some have another type, some are missing."""
+    v, i = F.col("value"), F.col("event_id")
+    given = {"string": F.col("event_type"), "bigint": i, "double": v, "boolean": i % 2 == 0}
+    fields = {n: F.when(i % (k + 2) != 0, given[t]) for k, (n, t) in enumerate(fixed.METRIC_FIELDS)}
+    fields |= {"elapsed_seconds": v * 2, "ocr_total_seconds": F.when(i % 2 == 0, v).otherwise(v / 2), "ocr_count": F.lit(3),
+               "frame_count": F.when(i % 7 == 0, "many").otherwise(i.cast("string"))}
+    stages = F.create_map(F.lit("detector_forward_seconds"), F.floor(v) / 4, F.lit("recognizer_forward_seconds"), F.floor(v) / 2, F.lit("other"), v)
+    fields |= {"ocr_stage_seconds": stages, "recognizer_batch_histogram": F.create_map(F.lit("8"), i % 5, F.lit("2"), F.lit(1)),
+               "available_providers": F.array(F.lit("GPU"), F.col("event_type"))}
+    report = F.to_json(F.struct(*[x.alias(n) for n, x in fields.items()]))
+    return V.table(s, d, "events").select(i.alias("run_id"), F.when(i % 23 == 0, "{broken").otherwise(report).alias("metrics"))
 
 
 @query
 def metrics_flatten(s, d):
-    flat, _ = runs.metrics_flatten(_metrics(s, d))
-    return flat.select("run_id", F.round("elapsed_seconds", 3).alias("elapsed_seconds"), "sample_count", "ocr_count",
-                       "unattributed_seconds")
+    flat = runs.metrics_flatten(_metrics(s, d))
+    doubles = [n for n, t in fixed.METRIC_FIELDS if t == "double"]
+    return flat.withColumns({n: F.round(n, 3) for n in doubles}).withColumn("bad_fields", F.array_join("bad_fields", ","))
 
 
 @query
 def metrics_stages(s, d):
-    _, stages = runs.metrics_flatten(_metrics(s, d))
-    return stages.select("run_id", "stage", F.round("seconds", 3).alias("seconds"))
+    nested = runs.metrics_nested(_metrics(s, d)).where("field = 'ocr_stage_seconds'")
+    return nested.select("run_id", F.col("key").alias("stage"), F.round(F.col("value").cast("double"), 3).alias("seconds"))
+
+
+@query
+def metrics_nested(s, d):
+    nested = runs.metrics_nested(_metrics(s, d)).where("field <> 'ocr_stage_seconds'")
+    return nested.select("run_id", "field", F.when(F.col("key").isNull(), F.col("place")).alias("place"), "key", "value")
 
 
 @query

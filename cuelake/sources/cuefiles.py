@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import BLANK_CHARS, strip
+from cuelake.functions.text import BLANK_CHARS, strip, strip_body
 from cuelake.functions.timecode import parse_ms
 from cuelake.operators.export import line_endings, srt_for_save
 from cuelake.operators.ordered import with_blocks
 
-TIME = r"\d{2,}:\d{2}:\d{2},\d{3}"
-HEADER = rf"(?m)^[ \t]*(\d+)[ \t]*\r?\n({TIME}) --> ({TIME})[ \t]*\r?\n"
+HEADER = rf"(?m)^[ \t]*(\d+)[ \t]*\r?\n({fixed.CUE_TIME}) --> ({fixed.CUE_TIME})[ \t]*\r?\n"
 
 
 def subtitle_file_guard(files: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def srt_parse_strict(files: DataFrame) -> DataFrame:
                                              r["end"].alias("end"), F.get("pieces", i + 1).alias("body")))
     first = F.col("part_no") == 0 if "part_no" in files.columns else F.lit(True)
     parts = (files.withColumn("content", F.when(first, F.regexp_replace("content", "^\\x{FEFF}", "")).otherwise(F.col("content")))
-             .withColumn("pieces", pieces).withColumn("opens", (F.size("pieces") > 1) & (strip(F.col("pieces")[0]) == "")))
+             .withColumn("pieces", pieces).withColumn("opens", (F.size("pieces") > 1) & (strip_body(F.col("pieces")[0]) == "")))
     opened = F.when(F.col("part_no") > 0, F.col("valid")).otherwise(F.col("opens"))
     parsed = (_with_facts(parts, _strict_facts, {"before": 0, "valid": False, "tail": ""}).withColumn("valid", opened)
               .where("part_no = 0 OR (valid AND size(pieces) > 1)")
@@ -88,7 +87,7 @@ def srt_parse_strict(files: DataFrame) -> DataFrame:
     return with_blocks(
         parsed.select("track_id", (F.col("before") + F.coalesce(F.col("_p") + 1, F.lit(1))).cast("long").alias("pos"),
                       F.col("r.no").try_cast("long").alias("cue_no"), start.alias("start_ms"),
-                      end.alias("end_ms"), strip(F.col("r.body")).alias("text"),
+                      end.alias("end_ms"), strip_body(F.col("r.body")).alias("text"),
                       F.when(~F.col("valid"), "INVALID_FORMAT")
                       .when(start.isNull() | end.isNull(), "INVALID_TIMECODE").otherwise("OK").alias("status")),
         "pos")

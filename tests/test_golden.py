@@ -505,3 +505,15 @@ def test_gate_takes_rows_in_event_order_and_drops_none(spark):
     assert {(r.n, r.ts_us, r.repaired, r.kept, r.late) for r in found if r.track_id == 1} == want and len(want) == 40
     assert all(p == late for _, _, p, _, late in want)
     assert sorted((r.n, r.ts_us, r.repaired) for r in found if r.track_id == 2) == [(1, 0, True), (2, 250_000, True)]
+
+
+def test_separators_are_blanks_of_bodies(spark):
+    """U+001C to U+001F go at the ends of bodies and between words, as every blank does; answers of models keep them."""
+    from cuelake.functions import text as X
+    samples = ["\x1c a \x1d\x1e b\x1f", "\x1f", "ab\x1c", " x", "\x85y\u3000"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i int, text string")
+    got = rows.select(X.strip_body(F.col("text")).alias("b"), X.squeeze(F.col("text")).alias("s"), X.strip(F.col("text")).alias("t"),
+                      X.at_most_two(F.col("text"), 1).alias("two")).collect()
+    assert [(r.b, r.s, r.two) for r in got] == [(t.strip(), " ".join(t.split()), 0 < len(" ".join(t.split())) <= 2) for t in samples]
+    assert [r.t for r in got] == ["\x1c a \x1d\x1e b\x1f", "\x1f", "ab\x1c", "x", "y"]
+    assert [r.text for r in quality.drop_empty(rows.withColumn("blk", F.lit(0))).orderBy("i").collect()] == [t.strip() for t in samples if t.strip()]
