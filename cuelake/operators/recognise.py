@@ -107,13 +107,23 @@ def dictionary(spark, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(symbols)), "class long, symbol string")
 
 
+#: Classes of a dictionary that every task may get a copy of; larger ones are joined with the steps spread over salts.
+COPIED_CLASSES = 100_000
+SALTS = 64
+
+
 def dictionary_decode(steps: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Steps with their symbol, and the steps whose class the dictionary lacks.
 
-    The join carries no hint: the optimizer broadcasts the dictionary only when its
-    size is under the broadcast threshold.
+    Few classes hold most steps, so steps are never shuffled by their class alone: a dictionary whose counted size
+    allows it goes to every task, a larger one is repeated for each salt and joined on (class, salt).
     """
-    joined = steps.join(symbols, "class", "left")
+    if symbols.count() <= COPIED_CLASSES:
+        joined = steps.join(F.broadcast(symbols), "class", "left")
+    else:
+        salted = symbols.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = steps.withColumn("_salt", F.pmod(F.xxhash64("crop_id", "step"), F.lit(SALTS)).cast("int"))
+        joined = spread.join(salted, ["class", "_salt"], "left").drop("_salt")
     return joined.where(F.col("symbol").isNotNull()), joined.where(F.col("symbol").isNull())
 
 

@@ -89,12 +89,13 @@ VIEWS = {
             list_transform(powers, lambda p: p / list_sum(powers)) ELSE scores END AS scores
         FROM (SELECT *, list_min(scores) < 0 OR list_max(scores) > 1 OR list_sum(scores) NOT BETWEEN 0.98 AND 1.02 AS odd,
               list_transform(scores, lambda x: exp(x - list_max(scores))) AS powers FROM vectors)""",
-    "regions_v": r"""SELECT vec_id, ['bottom', 'lower-half', 'full', 'custom', 'unknown'][label % 5 + 1] AS profile,
-        round(abs(CAST(embedding[1] AS DOUBLE)) * 3, 6) AS top, round(abs(CAST(embedding[2] AS DOUBLE)) * 3, 6) AS bottom,
-        round(abs(CAST(embedding[3] AS DOUBLE)) * 3, 6) AS "left", round(abs(CAST(embedding[4] AS DOUBLE)) * 3, 6) AS "right",
-        list_transform(embedding[5:8], lambda x: round(abs(CAST(x AS DOUBLE)) * 400, 3)) AS xs,
-        list_transform(embedding[9:12], lambda x: round(abs(CAST(x AS DOUBLE)) * 400, 3)) AS ys FROM embeddings""",
-    "bounds": r"""SELECT r.vec_id, r.profile, coalesce(p.t, CASE WHEN r.profile = 'custom' THEN r.top END) AS t,
+    "regions_v": r"""SELECT vec_id * 6 + part AS region_id, ['bottom', 'lower-half', 'full', 'custom', 'unknown'][label % 5 + 1] AS profile,
+        round(abs(CAST(embedding[s + 1] AS DOUBLE)) * 3, 6) AS top, round(abs(CAST(embedding[s + 2] AS DOUBLE)) * 3, 6) AS bottom,
+        round(abs(CAST(embedding[s + 3] AS DOUBLE)) * 3, 6) AS "left", round(abs(CAST(embedding[s + 4] AS DOUBLE)) * 3, 6) AS "right",
+        list_transform(embedding[s + 5:s + 8], lambda x: round(abs(CAST(x AS DOUBLE)) * 400, 3)) AS xs,
+        list_transform(embedding[s + 9:s + 12], lambda x: round(abs(CAST(x AS DOUBLE)) * 400, 3)) AS ys
+        FROM embeddings, (VALUES (0, 0), (1, 12), (2, 24), (3, 36), (4, 48), (5, 52)) w(part, s)""",
+    "bounds": r"""SELECT r.region_id, r.profile, coalesce(p.t, CASE WHEN r.profile = 'custom' THEN r.top END) AS t,
         coalesce(p.b, CASE WHEN r.profile = 'custom' THEN r.bottom END) AS b,
         coalesce(p.l, CASE WHEN r.profile = 'custom' THEN r."left" END) AS l,
         coalesce(p.r, CASE WHEN r.profile = 'custom' THEN r."right" END) AS r, xs, ys
@@ -234,20 +235,20 @@ SQL = {
         CASE page_id % 3 WHEN 0 THEN '-cleaned-ai' WHEN 1 THEN '-german-ai' ELSE '' END || '.srt' AS filename FROM paths_v""",
     "srt_for_save": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN suffix(lf, chr(10)) THEN lf ELSE lf || chr(10) END END AS saved FROM saves""",
     "export_verbatim": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN content END AS saved FROM saves""",
-    "region_validate": r"""SELECT vec_id, top, bottom, "left", "right", reason, CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', top), '0'), '.') END AS top_text,
+    "region_validate": r"""SELECT region_id, top, bottom, "left", "right", reason, CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', top), '0'), '.') END AS top_text,
         CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', bottom), '0'), '.') END AS bottom_text,
         CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', "left"), '0'), '.') END AS left_text,
         CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', "right"), '0'), '.') END AS right_text
         FROM (SELECT *, CASE WHEN greatest(top, bottom, "left", "right") > 1 THEN 'BOUNDS' WHEN top - bottom < 0.08 THEN 'HEIGHT' WHEN "right" - "left" < 0.08 THEN 'WIDTH' END AS reason FROM regions_v)""",
-    "region_resolve": r"""SELECT vec_id, profile, reason, CAST(floor(1920 * l) AS BIGINT) AS x1, CAST(floor(1920 * r) AS BIGINT) AS x2,
+    "region_resolve": r"""SELECT region_id, profile, reason, CAST(floor(1920 * l) AS BIGINT) AS x1, CAST(floor(1920 * r) AS BIGINT) AS x2,
         CAST(floor(1080 * (1 - t)) AS BIGINT) AS y1, CAST(floor(1080 * (1 - b)) AS BIGINT) AS y2 FROM judged""",
-    "region_box_filter": r"""SELECT * FROM (SELECT vec_id, round(greatest(list_min(xs), floor(400 * l)), 3) AS cx1, round(least(list_max(xs), floor(400 * r)), 3) AS cx2,
+    "region_box_filter": r"""SELECT * FROM (SELECT region_id, round(greatest(list_min(xs), floor(400 * l)), 3) AS cx1, round(least(list_max(xs), floor(400 * r)), 3) AS cx2,
         round(greatest(list_min(ys), floor(400 * (1 - t))), 3) AS cy1, round(least(list_max(ys), floor(400 * (1 - b))), 3) AS cy2
         FROM judged WHERE reason IS NULL) WHERE cx2 > cx1 AND cy2 > cy1""",
-    "region_frame_map": r"""SELECT vec_id, round((1 - fw) / 2 + top * fw, 10) AS out_x, round((1 - fh) / 2 + bottom * fh, 10) AS out_y,
+    "region_frame_map": r"""SELECT region_id, round((1 - fw) / 2 + top * fw, 10) AS out_x, round((1 - fh) / 2 + bottom * fh, 10) AS out_y,
         round("left" * fw, 10) AS out_w, round("right" * fh, 10) AS out_h FROM (SELECT *,
         CASE WHEN vw > 0 THEN vw * least(400 / vw, 400 / vh) / 400 ELSE 1 END AS fw, CASE WHEN vw > 0 THEN vh * least(400 / vw, 400 / vh) / 400 ELSE 1 END AS fh
-        FROM (SELECT *, [1920.0, 1080, 640, 0][vec_id % 4 + 1]::DOUBLE AS vw, [1080.0, 1920, 480, 0][vec_id % 4 + 1]::DOUBLE AS vh FROM regions_v))""",
+        FROM (SELECT *, [1920.0, 1080, 640, 0][region_id % 4 + 1]::DOUBLE AS vw, [1080.0, 1920, 480, 0][region_id % 4 + 1]::DOUBLE AS vh FROM regions_v))""",
     "stride_sample": "SELECT track_id, idx, pts_ms FROM frames_v WHERE idx % 2 = 0",
     "pts_repair": "SELECT track_id, idx, ms * 1000 AS ts_us, repaired FROM repaired",
     "decoded_high_water": "SELECT track_id, max(pts_ms) AS decoded_ms FROM frames_v GROUP BY 1",
@@ -265,10 +266,10 @@ SQL = {
     "gate_metrics": r"""SELECT g.track_id, count(*) AS samples, count(*) - 1 AS checks, count(*) FILTER (g.changed) AS triggers,
         count(*) FILTER (f) AS forced_checks, count(*) FILTER (f AND NOT g.changed AND g.kept_n IS NOT NULL) AS forced_only, count(*) FILTER (NOT g.kept) AS skipped
         FROM (SELECT c.*, p.ts_us IS NULL OR c.ts_us - p.ts_us >= 21600000000 AS f FROM gate_ctx c LEFT JOIN gate p ON p.track_id = c.track_id AND p.n = c.kept_n) g GROUP BY 1""",
-    "box_expand_filter": r"""SELECT vec_id, x1, x2, y1, y2 FROM (SELECT vec_id, score, area,
+    "box_expand_filter": r"""SELECT region_id, x1, x2, y1, y2 FROM (SELECT region_id, score, area,
         CAST(floor(least(639, greatest(0, ((list_min(xs) - mx) * 1.6 + mx) * 640 / 160))) AS BIGINT) AS x1, CAST(floor(least(639, greatest(0, ((list_max(xs) - mx) * 1.6 + mx) * 640 / 160))) AS BIGINT) + 1 AS x2,
         CAST(floor(least(479, greatest(0, ((list_min(ys) - my) * 1.6 + my) * 480 / 160))) AS BIGINT) AS y1, CAST(floor(least(479, greatest(0, ((list_max(ys) - my) * 1.6 + my) * 480 / 160))) AS BIGINT) + 1 AS y2
-        FROM (SELECT vec_id, xs, ys, top * 2 AS score, list_avg(xs) AS mx, list_avg(ys) AS my,
+        FROM (SELECT region_id, xs, ys, top * 2 AS score, list_avg(xs) AS mx, list_avg(ys) AS my,
               abs(xs[1] * ys[2] - xs[2] * ys[1] + xs[2] * ys[3] - xs[3] * ys[2] + xs[3] * ys[4] - xs[4] * ys[3] + xs[4] * ys[1] - xs[1] * ys[4]) / 2 AS area FROM regions_v))
         WHERE area >= 8 AND x2 - x1 >= 3 AND y2 - y1 >= 3 AND score >= 0.25""",
     "score_normalise": r"""SELECT crop_id, step, class, round(score, 6) AS score FROM (SELECT crop_id, step, unnest(range(0, 64)) AS class, unnest(scores) AS score FROM softmaxed)""",
@@ -292,7 +293,9 @@ SQL = {
     "cue_build": r"""SELECT track_id, cue_n, min(event_us) AS start_us, arg_max(end_us, n) AS end_us, arg_min(text, n) AS text FROM (
         SELECT *, max(CASE WHEN coalesce(before = text, false) THEN NULL ELSE n END) OVER (PARTITION BY track_id ORDER BY n) AS cue_n FROM intervals WHERE text <> '') GROUP BY 1, 2""",
     "timestamp_format": f"""SELECT event_id, {code("CAST(greatest(0, round_even((value * 10 - 50) * 1000, 0)) AS BIGINT)")} AS code FROM events""",
-    "timestamp_parse": r"""SELECT event_id, CASE WHEN event_id // 100 BETWEEN 0 AND 99 AND event_id % 70 <= 59 AND event_id % 65 <= 59 THEN ((event_id // 100 * 60 + event_id % 70) * 60 + event_id % 65) * 1000 + event_id % 1000 END AS ms FROM events""",
+    "timestamp_parse": r"""SELECT event_id, CASE WHEN k % 13 <> 0 AND k % 11 <> 0 AND m <= 59 AND s <= 59 THEN ((h * 60 + m) * 60 + s) * 1000 + CAST(floor(value * 100) AS BIGINT) % 1000 END AS ms
+        FROM (SELECT *, hour(ts) + k % 70 AS h, minute(ts) + CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END AS m, second(ts) + CASE WHEN k % 7 = 0 THEN 30 ELSE 0 END AS s
+        FROM (SELECT *, CAST(floor(value) AS BIGINT) AS k FROM events))""",
     "track_validate": "SELECT track_id, NOT bool_or(broken) AS valid FROM checked GROUP BY 1",
     "overlap_count": """SELECT track_id, count(*) FILTER (laps) AS "overlaps" FROM checked GROUP BY 1""",
     "renumber": "SELECT track_id, pos, cue_no, new_no, cue_no <> new_no AS renumbered FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY pos) AS new_no FROM raw_cues_v WHERE text <> '')",
@@ -372,7 +375,8 @@ SQL = {
         CASE WHEN count(*) FILTER (event_type = 'click' AND floor(value * 40) <= 12288) > 0 THEN 12288 END AS memory_total,
         arg_min(CAST(floor(value * 40) AS BIGINT), n) FILTER (event_type = 'click' AND floor(value * 40) <= 12288) AS memory_free FROM ev GROUP BY 1""",
     "progress_marks": r"""SELECT track_id, idx, p AS percent FROM (SELECT *, max(p) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
-        FROM (SELECT track_id, idx, least(99, idx * 100 // count(*) OVER (PARTITION BY track_id)) AS p FROM frames_v)) WHERE m IS NULL OR p > m""",
+        FROM (SELECT track_id, idx, least(99, idx * 100 // count(*) OVER (PARTITION BY track_id)) AS p
+        FROM (SELECT user_id % 10 AS track_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS idx FROM events))) WHERE m IS NULL OR p > m""",
     "asset_verify": "SELECT path, verdict FROM verdicts",
     "incremental_verify": r"""SELECT path, CASE WHEN c THEN 'OK' ELSE verdict END AS verdict, c AS cached FROM (SELECT *, coalesce(doc_id % 4 = 0 AND digest = lower(sha256), false) AS c FROM verdicts)""",
 }

@@ -142,28 +142,28 @@ def region_validate(s, d):
 @query
 def region_resolve(s, d):
     return (regions.region_resolve(V.regions_v(s, d), 1920, 1080)
-            .select("vec_id", "profile", "reason", "x1", "x2", "y1", "y2"))
+            .select("region_id", "profile", "reason", "x1", "x2", "y1", "y2"))
 
 
 @query
 def region_box_filter(s, d):
     r = V.regions_v(s, d)
-    boxes = r.select("vec_id", F.array_min("xs").alias("bx1"), F.array_max("xs").alias("bx2"),
+    boxes = r.select("region_id", F.array_min("xs").alias("bx1"), F.array_max("xs").alias("bx2"),
                      F.array_min("ys").alias("by1"), F.array_max("ys").alias("by2"))
-    return (regions.region_box_filter(boxes, regions.region_resolve(r, 400, 400), "vec_id")
-            .select("vec_id", *[F.round(c, 3).alias(c) for c in ("cx1", "cx2", "cy1", "cy2")]))
+    return (regions.region_box_filter(boxes, regions.region_resolve(r, 400, 400), "region_id")
+            .select("region_id", *[F.round(c, 3).alias(c) for c in ("cx1", "cx2", "cy1", "cy2")]))
 
 
 @query
 def region_frame_map(s, d):
     def pick(*sizes):
-        return F.element_at(F.array(*[F.lit(float(v)) for v in sizes]), (F.col("vec_id") % 4 + 1).cast("int"))
+        return F.element_at(F.array(*[F.lit(float(v)) for v in sizes]), (F.col("region_id") % 4 + 1).cast("int"))
     boxes = V.regions_v(s, d).select(
-        "vec_id", F.col("top").alias("x"), F.col("bottom").alias("y"), F.col("left").alias("w"),
+        "region_id", F.col("top").alias("x"), F.col("bottom").alias("y"), F.col("left").alias("w"),
         F.col("right").alias("h"), pick(1920, 1080, 640, 0).alias("video_width"),
         pick(1080, 1920, 480, 0).alias("video_height"))
     return regions.region_frame_map(boxes, 400.0, 400.0).select(
-        "vec_id", *[F.round(c, 10).alias(c) for c in ("out_x", "out_y", "out_w", "out_h")])
+        "region_id", *[F.round(c, 10).alias(c) for c in ("out_x", "out_y", "out_w", "out_h")])
 
 
 @query
@@ -237,8 +237,8 @@ def gate_metrics(s, d):
 
 @query
 def box_expand_filter(s, d):
-    boxes = V.regions_v(s, d).select("vec_id", "xs", "ys", (F.col("top") * 2).alias("score"))
-    return recognise.box_expand_filter(boxes, (160, 160), (640, 480)).select("vec_id", "x1", "x2", "y1", "y2")
+    boxes = V.regions_v(s, d).select("region_id", "xs", "ys", (F.col("top") * 2).alias("score"))
+    return recognise.box_expand_filter(boxes, (160, 160), (640, 480)).select("region_id", "x1", "x2", "y1", "y2")
 
 
 @query
@@ -339,12 +339,15 @@ def timestamp_format(s, d):
 
 @query
 def timestamp_parse(s, d):
-    i = F.col("event_id")
+    """Codes from the times of events, some with minutes or seconds of sixty and more, a wrong mark or too few digits."""
     def two(v):
         return F.lpad(v.cast("string"), 2, "0")
-    code = F.concat(two(div(i, 100)), F.lit(":"), two(i % 70), F.lit(":"), two(i % 65), F.lit(","),
-                    F.lpad((i % 1000).cast("string"), 3, "0"))
-    return V.table(s, d, "events").select("event_id", timecode.parse_ms(code).alias("ms"))
+    kind, ts = F.floor("value").cast("long"), F.col("ts")
+    minute = F.minute(ts) + F.when(kind % 5 == 0, 30).otherwise(0)
+    second = F.second(ts) + F.when(kind % 7 == 0, 30).otherwise(0)
+    code = F.concat(two(F.hour(ts) + kind % 70), F.lit(":"), two(minute), F.lit(":"), two(second), F.when(kind % 11 == 0, ".").otherwise(","),
+                    F.lpad((F.floor(F.col("value") * 100).cast("long") % 1000).cast("string"), 3, "0"))
+    return V.table(s, d, "events").select("event_id", timecode.parse_ms(F.when(kind % 13 == 0, F.left(code, F.length(code) - 1)).otherwise(code)).alias("ms"))
 
 
 # Track normalisation and quality
@@ -737,7 +740,7 @@ def telemetry_extract(s, d):
 
 @query
 def progress_marks(s, d):
-    return runs.progress_marks(V.frames_v(s, d))
+    return runs.progress_marks(V.long_frames_v(s, d))
 
 
 @query

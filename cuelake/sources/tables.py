@@ -93,6 +93,12 @@ def frames_v(spark, sf_dir) -> DataFrame:
                     F.lit(4.0).alias("fps"), F.col("length").alias("reported")))
 
 
+def long_frames_v(spark, sf_dir) -> DataFrame:
+    """Events of ten users each as frames of one track: tracks of many hundred frames and more."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("track_id"), "ts", "event_id")
+    return in_blocks(events, ["track_id"], ["ts", "event_id"], "n", "reported").withColumn("idx", F.col("n") - 1)
+
+
 def steps_v(spark, sf_dir) -> DataFrame:
     """Events as recognition steps; ``view`` is the blank class."""
     return numbered_events(spark, sf_dir).select(
@@ -209,14 +215,19 @@ def telemetry_v(spark, sf_dir) -> DataFrame:
 
 
 def regions_v(spark, sf_dir) -> DataFrame:
-    """Four bounds and a profile name per row, and a four-point box."""
-    e = [F.col("embedding")[i].cast("double") for i in range(12)]
+    """Four bounds, a profile name and a four-point box from every twelve components of a vector, the last ones included."""
+    last = F.size("embedding") - 12
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(12)), F.array(last)))
+    windows = table(spark, sf_dir, "embeddings").where(last >= 0).select(
+        "vec_id", "label", F.size(starts).alias("windows"),
+        F.posexplode(F.transform(starts, lambda s: F.transform(F.slice("embedding", s + 1, 12), lambda x: F.abs(x.cast("double")))))
+        .alias("part", "e"))
     names = F.array(*[F.lit(x) for x in ("bottom", "lower-half", "full", "custom", "unknown")])
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.element_at(names, (F.col("label") % 5 + 1).cast("int")).alias("profile"),
-        *[F.round(F.abs(v) * 3, 6).alias(n) for n, v in zip(("top", "bottom", "left", "right"), e)],
-        F.array(*[F.round(F.abs(v) * 400, 3) for v in e[4:8]]).alias("xs"),
-        F.array(*[F.round(F.abs(v) * 400, 3) for v in e[8:12]]).alias("ys"))
+    return windows.select(
+        (F.col("vec_id") * F.col("windows") + F.col("part")).alias("region_id"), F.element_at(names, (F.col("label") % 5 + 1).cast("int")).alias("profile"),
+        *[F.round(F.col("e")[i] * 3, 6).alias(n) for i, n in enumerate(("top", "bottom", "left", "right"))],
+        F.transform(F.slice("e", 5, 4), lambda v: F.round(v * 400, 3)).alias("xs"),
+        F.transform(F.slice("e", 9, 4), lambda v: F.round(v * 400, 3)).alias("ys"))
 
 
 def responses_v(spark, sf_dir) -> DataFrame:

@@ -53,3 +53,19 @@ def test_softmax_binds_its_maximum_and_sum_once(spark):
     text = plan(QUERIES["score_normalise"](spark, FOLDER))
     assert text.count("EXP(") == len(re.findall(r"EXP\(\(lambda \S+ - lambda \S+\)\)", text)) > 0
     assert text.count(" / ") == len(re.findall(r"\(lambda \S+ / lambda \S+\)", text)) > 0
+
+
+def test_steps_are_not_shuffled_by_class(spark, monkeypatch):
+    from cuelake.operators import recognise
+    steps = spark.range(1000).selectExpr("id DIV 10 AS crop_id", "id AS step", "id % 3 AS class")
+    symbols = recognise.dictionary(spark, ["a", "b"]).where("class < 2")
+    want = [(i // 10, i, None if i % 3 == 2 else ["", "a"][i % 3]) for i in range(1000)]
+    for most, keyed in ((10, "Exchange hashpartitioning"), (0, "hashpartitioning(class")):
+        monkeypatch.setattr(recognise, "COPIED_CLASSES", most)
+        found, lost = recognise.dictionary_decode(steps, symbols)
+        if most:
+            assert keyed not in plan(found)
+        else:
+            assert "_salt" in plan(found)
+        rows = [tuple(r) for df in (found, lost) for r in df.select("crop_id", "step", "symbol").collect()]
+        assert sorted(rows, key=lambda r: r[1]) == want and lost.where("class < 2").isEmpty()
