@@ -28,17 +28,27 @@ def transition_backdate(context: DataFrame) -> DataFrame:
             .select("track_id", BLOCK, "n", "event_us", "text", "backdated", "last_us"))
 
 
-def event_intervals(events: DataFrame, tail_us: int = HALF_SECOND_US) -> DataFrame:
+def event_intervals(events: DataFrame, tail_us: int = HALF_SECOND_US, durations: DataFrame | None = None) -> DataFrame:
     """Each event with its end: the next event, or the end of the track for the last one.
 
-    ``last_us`` is the time of the track's last sample, ``tail_us`` one sample step.
+    The end of a track is its ``duration_us`` in ``durations``; without that, ``tail_us`` (one sample step) after its
+    last sample at ``last_us``.
     """
     linked = scan(events.withColumn("key", text_key(F.col("text"))), TRACK, ["n"],
                   next_us=lead(F.col("event_us")),
                   before=lag(F.struct("text", "key")))
-    end = F.coalesce(F.col("next_us"), F.col("last_us") + tail_us)
-    return linked.withColumn("end_us", F.when(end <= F.col("event_us"),
+    close = F.col("last_us") + tail_us
+    if durations is not None:
+        # Only a track's last event looks its duration up; the others carry a number of their own, so that a long
+        # track spreads over the join.
+        ends = durations.select("track_id", F.lit(0).cast("long").alias("_last"), "duration_us")
+        last = F.when(F.col("next_us").isNull(), F.lit(0).cast("long")).otherwise(F.col("n"))
+        linked = linked.withColumn("_last", last).join(ends, ["track_id", "_last"], "left").drop("_last")
+        close = F.coalesce("duration_us", close)
+    end = F.coalesce(F.col("next_us"), close)
+    made = linked.withColumn("end_us", F.when(end <= F.col("event_us"),
                                               F.col("event_us") + HALF_SECOND_US).otherwise(end))
+    return made.drop("duration_us")
 
 
 def cue_build(intervals: DataFrame) -> DataFrame:

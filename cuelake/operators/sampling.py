@@ -141,11 +141,19 @@ def pts_repair(samples: DataFrame) -> DataFrame:
         run, f"track_id long, {BLOCK} long, idx long, pts_ms double, fps double, ts_us long, repaired boolean")
 
 
-def track_duration(frames: DataFrame, repaired: DataFrame) -> DataFrame:
-    """Longest of the counted, decoded and sampled end of each track, in microseconds."""
+def track_duration(frames: DataFrame, repaired: DataFrame, reported: DataFrame | None = None) -> DataFrame:
+    """Longest of the counted, decoded and sampled end of each track, in microseconds.
+
+    ``reported`` (track_id, fps, reported_frames) names tracks and the frame counts that their files state, which stand
+    in where no frame was counted.
+    """
     seen = frames.groupBy("track_id").agg(
         (F.max("idx") + 1).alias("frames"), F.max("fps").alias("fps"),
         F.max(F.when(usable_pts(F.col("pts_ms")), F.col("pts_ms"))).alias("decoded_ms"))
+    if reported is not None:
+        said = reported.select("track_id", F.col("fps").alias("_fps"), "reported_frames")
+        seen = (said.join(seen, "track_id", "full_outer").withColumn("fps", F.coalesce("fps", "_fps"))
+                .withColumn("frames", F.when(F.col("frames") > 0, F.col("frames")).otherwise(F.coalesce("reported_frames", F.lit(0)))))
     sampled = repaired.groupBy("track_id").agg(F.max("ts_us").alias("last_us"))
     step = 1_000_000 / F.col("fps")
     end = F.greatest(F.col("frames") * step, F.col("decoded_ms") * 1000 + step,

@@ -70,6 +70,16 @@ VIEWS = {
         UNION ALL SELECT t.track_id, t.k, t.n, t.ts_us, CASE WHEN t.ts_us > g.ts_us OR t.ts_us = g.ts_us AND t.n > g.n THEN t.ts_us ELSE g.ts_us + 500000 END, t.text
         FROM given_times g JOIN taken_samples t ON t.track_id = g.track_id AND t.k = g.k + 1""",
     "asked": r"""SELECT *, regexp_matches(text, '\p{L}') AS sent, length(text) AS n FROM cues_v""",
+    "film_gate": r"""SELECT g.track_id, g.n, g.ms * 1000 AS ts_us, s.text, s.changed, g.kept FROM retimed_gate g JOIN samples_v s USING (track_id, n)""",
+    "film_ctx": r"""SELECT *, lag(ts_us) OVER w AS prior_us, max(CASE WHEN kept THEN n END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept_n
+        FROM film_gate WINDOW w AS (PARTITION BY track_id ORDER BY n)""",
+    "film_events": r"""SELECT g.track_id, g.n, g.text, CASE WHEN NOT g.changed AND g.text <> p.text
+            THEN greatest(p.ts_us, CAST(round_even((g.prior_us + g.ts_us) / 2.0, 0) AS BIGINT)) ELSE g.ts_us END AS event_us
+        FROM film_ctx g LEFT JOIN film_gate p ON p.track_id = g.track_id AND p.n = g.kept_n WHERE g.kept""",
+    "film_ends": r"""SELECT f.track_id, CAST(1000 * greatest((max(f.idx) + 1) * 250, max(f.pts_ms) + 250, max(r.ms) + 250) AS BIGINT) AS duration_us
+        FROM frames_v f JOIN retimed r USING (track_id, idx) GROUP BY 1""",
+    "film_linked": r"""SELECT e.*, coalesce(lead(event_us) OVER w, duration_us) AS next_us, lag(text) OVER w AS before
+        FROM film_events e JOIN film_ends USING (track_id) WINDOW w AS (PARTITION BY track_id ORDER BY n)""",
     "steps_v": r"""SELECT track_id AS crop_id, n AS step, event_type AS class, value / 500 AS score FROM ev""",
     "collapsed": r"""SELECT * FROM (SELECT *, lag(class) OVER (PARTITION BY crop_id ORDER BY step) AS before FROM steps_v)
         WHERE class <> 'view' AND class IS DISTINCT FROM before""",
@@ -405,6 +415,8 @@ SQL["metrics_stages"] = """SELECT event_id AS run_id, stage, round(CASE stage WH
 SQL["metrics_nested"] = """SELECT event_id AS run_id, field, place, key, CASE WHEN key = '8' THEN CAST(event_id % 5 AS VARCHAR) WHEN key = '2' THEN '1' WHEN place = 0 THEN 'GPU' ELSE event_type END AS value
     FROM events, (VALUES ('available_providers', 0, NULL), ('available_providers', 1, NULL), ('recognizer_batch_histogram', NULL, '8'), ('recognizer_batch_histogram', NULL, '2')) s(field, place, key)
     WHERE event_id % 23 <> 0"""
+SQL["track_cues"] = """SELECT track_id, cue_n, min(event_us) AS start_us, arg_max(CASE WHEN next_us <= event_us THEN event_us + 500000 ELSE next_us END, n) AS end_us, arg_min(text, n) AS text FROM (
+    SELECT *, max(CASE WHEN coalesce(before = text, false) THEN NULL ELSE n END) OVER (PARTITION BY track_id ORDER BY n) AS cue_n FROM film_linked WHERE text <> '') GROUP BY 1, 2"""
 SQL["model_loop"] = f"""SELECT track_id, (pos - 1) // 4096 AS part_no, string_agg(pos || chr(10) || {code('start_ms')} || ' --> ' || {code('end_ms')} || chr(10) ||
         CASE WHEN sent THEN regexp_replace(text || CASE WHEN n % 5 = 0 THEN '!' ELSE '' END, '^\\s+|\\s+$', '', 'g') ELSE text END || chr(10) || chr(10), '' ORDER BY pos) AS content
     FROM asked WHERE track_id NOT IN (SELECT track_id FROM asked WHERE sent AND (n % 211 = 0 OR n % 29 = 0 AND n % 2 = 0)) GROUP BY 1, 2"""

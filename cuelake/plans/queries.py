@@ -11,7 +11,7 @@ from cuelake.functions import text as X
 from cuelake.functions import timecode
 from cuelake.operators import (cues, export, integrity, planning, quality, recognise, regions, responses,
                                runs, sampling)
-from cuelake.operators.ordered import div, numbered
+from cuelake.operators.ordered import BLOCK, div, numbered
 from cuelake.plans.cut import durable, shared_folder
 from cuelake.sources import cuefiles, cuestore
 from cuelake.sources import tables as V
@@ -331,6 +331,17 @@ def cue_build(s, d):
     return cues.cue_build(cues.event_intervals(_events(s, d)))
 
 
+@query
+def track_cues(s, d):
+    """From frames to cues: repaired times, the gate, backdating, and each track's own end."""
+    film = V.film_v(s, d)
+    timed = durable(sampling.pts_repair(film))
+    samples = timed.select("track_id", BLOCK, "idx", "ts_us").join(film.select("track_id", "idx", "n", "text", "changed"), ["track_id", "idx"])
+    context = sampling.gate_context(durable(sampling.ocr_interval_gate(samples, 1_000_000)))
+    events = cues.transition_backdate(context)
+    return cues.cue_build(cues.event_intervals(events, durations=sampling.track_duration(film, timed)))
+
+
 @query
 def timestamp_format(s, d):
     return V.table(s, d, "events").select("event_id", timecode.format_ms(

@@ -93,6 +93,14 @@ def frames_v(spark, sf_dir) -> DataFrame:
                     F.lit(4.0).alias("fps"), F.col("length").alias("reported")))
 
 
+def film_v(spark, sf_dir) -> DataFrame:
+    """Frames with the text on them and whether the picture changed."""
+    e = numbered_events(spark, sf_dir)
+    return e.select("track_id", BLOCK, "n", (F.col("n") - 1).alias("idx"), ((F.col("n") - 1) * 250 + F.floor("value")).alias("pts_ms"),
+                    F.lit(4.0).alias("fps"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"),
+                    ((F.col("n") > 1) & (F.floor("value") % 2 == 0)).alias("changed"))
+
+
 def long_frames_v(spark, sf_dir) -> DataFrame:
     """Events of ten users each as frames of one track: tracks of many hundred frames and more."""
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("track_id"), "ts", "event_id")

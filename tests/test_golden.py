@@ -80,10 +80,10 @@ def pictures(spark, frames, fps, pts=None, texts=None):
     words = spark.createDataFrame(list(answer.items()), "n long, word string")
     named = samples.join(words, "n", "left").withColumn("text", F.coalesce("word", F.lit("")))
     context = sampling.gate_context(sampling.ocr_interval_gate(named, SECOND))
-    duration = sampling.track_duration(table, timed).first().duration_us
+    durations = sampling.track_duration(table, timed)
+    duration = durations.first().duration_us
     events = cues.transition_backdate(context)
-    tail = duration - timed.agg(F.max("ts_us")).first()[0]
-    built = cues.cue_build(cues.event_intervals(events, tail)).orderBy("start_us").collect()
+    built = cues.cue_build(cues.event_intervals(events, durations=durations)).orderBy("start_us").collect()
     backdates = events.where("backdated").count()
     return len(kept), metrics, [(c.start_us / SECOND, c.end_us / SECOND) for c in built], backdates, duration / SECOND
 
@@ -517,3 +517,19 @@ def test_separators_are_blanks_of_bodies(spark):
     assert [(r.b, r.s, r.two) for r in got] == [(t.strip(), " ".join(t.split()), 0 < len(" ".join(t.split())) <= 2) for t in samples]
     assert [r.t for r in got] == ["\x1c a \x1d\x1e b\x1f", "\x1f", "ab\x1c", "x", "y"]
     assert [r.text for r in quality.drop_empty(rows.withColumn("blk", F.lit(0))).orderBy("i").collect()] == [t.strip() for t in samples if t.strip()]
+
+
+def test_reported_frames_stand_in_for_counted_ones(spark):
+    frames = spark.createDataFrame([(1, 9, 2250.0, 4.0), (3, 0, -1.0, 4.0)], "track_id long, idx long, pts_ms double, fps double")
+    timed = spark.createDataFrame([(1, 2_300_000), (3, 0)], "track_id long, ts_us long")
+    reported = spark.createDataFrame([(1, 4.0, 99), (2, 5.0, 20), (4, 5.0, None)], "track_id long, fps double, reported_frames long")
+    got = {r.track_id: r.duration_us for r in sampling.track_duration(frames, timed, reported).collect()}
+    assert got == {1: 2_550_000, 2: 4_000_000, 3: 250_000, 4: 0}
+
+
+def test_the_last_event_ends_with_its_track(spark):
+    rows = [(t, 0, n, n * 1_000_000, f"w{n}", False, 9_000_000) for t in (1, 2) for n in (1, 2, 3)]
+    events = spark.createDataFrame(rows, "track_id long, blk long, n long, event_us long, text string, backdated boolean, last_us long")
+    durations = spark.createDataFrame([(1, 12_345_678)], "track_id long, duration_us long")
+    got = {(r.track_id, r.n): r.end_us for r in cues.event_intervals(events, durations=durations).collect()}
+    assert got == {(1, 1): 2_000_000, (1, 2): 3_000_000, (1, 3): 12_345_678, (2, 1): 2_000_000, (2, 2): 3_000_000, (2, 3): 9_500_000}
