@@ -65,13 +65,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     `calls`: conv_id, turn, call_id, name, arguments (JSON text), needs (ids of calls it waits for).
     `results`: conv_id, turn, call_id, content.  The order within a conversation is (level, turn, call_id).
 
+    An id names a call inside its conversation: calls, needs and results of different conversations never meet.
     status is the first that holds: `orphan result`, `no id`, `unknown tool`, `bad json` (no JSON object), `invalid
-    arguments`, `circle`, `no result`, `ok`.  Of rows that repeat an id the least by (turn, name, arguments), or by
+    arguments`, `circle`, `no result`, `ok`.  Of rows of a conversation that repeat an id the least by (turn, name, arguments), or by
     (turn, content), counts; `repeats` has the number of the others.  Calls without an id keep their rows and link with
     nothing; results without an id are orphans.  Null texts stay null in the line.  Further columns are ignored.
     """
-    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "needs")
-    results = results.select("conv_id", "turn", "call_id", "content")
+    inside = lambda x: F.struct("conv_id", x.alias("id"))
+    key = F.when(F.col("call_id").isNotNull(), inside(F.col("call_id"))).alias("call_id")
+    calls = calls.select("conv_id", "turn", key, "name", "arguments", F.transform("needs", inside).alias("needs"))
+    results = results.select("conv_id", "turn", key, "content")
     named = durable(calls.where("call_id IS NOT NULL").groupBy("call_id").agg(
         F.min(F.struct("turn", "name", "arguments", "conv_id", "needs")).alias("c"), (F.count(F.lit(1)) - 1).alias("repeats"))
         .select("call_id", "repeats", "c.*"))
@@ -93,7 +96,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
               .when(F.size("errors") > 0, "invalid arguments").when(F.col("level").isNull(), "circle")
               .when(F.col("answered").isNull(), "no result").otherwise("ok"))
     rows = rows.select(F.coalesce("conv_id", "result_conv").alias("conv_id"), F.coalesce("turn", "result_turn").alias("turn"),
-                       F.col("call_id"), F.col("call_id").alias("id"), "name", "level", status.alias("status"),
+                       F.col("call_id.id").alias("call_id"), F.col("call_id.id").alias("id"), "name", "level", status.alias("status"),
                        F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
                        F.coalesce("repeats", F.lit(0).cast("long")).alias("repeats"), F.when(is_object, parsed).alias("arguments"),
                        F.col("content").alias("result"))

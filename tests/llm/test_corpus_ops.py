@@ -1,5 +1,6 @@
 """Packing, top-k, WARC, mixing, near duplicates, tool calls and the pipeline."""
 
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,6 +343,19 @@ def test_link_statuses(spark):
     assert sorted(r.status for r in rows if r.call_id is None) == ["no id", "orphan result"] and len(rows) == 11
 
 
+def test_ids_name_calls_inside_their_conversation(spark):
+    """Two conversations, and one without an id, use the same names; needs and results stay in their own."""
+    calls = [(c, 0, "call_0", "count", '{"text":"t"}', []) for c in (1, 2, None)] + [(1, 2, "call_1", "count", '{"text":"u"}', ["call_0"]),
+                                                                                    (2, 2, "call_2", "count", '{"text":"v"}', ["call_1"])]
+    results = [(1, 1, "call_0", "first"), (2, 1, "call_0", "second"), (3, 1, "call_0", "lost"), (None, 1, "call_0", "none")]
+    schemas = spark.createDataFrame(toolcalls.SCHEMAS, "tool string, param string, type string, required boolean")
+    rows = toolcalls.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>"),
+                          spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), schemas).collect()
+    got = {(r.conv_id, r.call_id): (r.status, r.level, r.repeats, json.loads(r.line)["result"]) for r in rows}
+    assert got == {(1, "call_0"): ("ok", 0, 0, "first"), (2, "call_0"): ("ok", 0, 0, "second"), (None, "call_0"): ("ok", 0, 0, "none"),
+                   (3, "call_0"): ("orphan result", None, 0, "lost"), (1, "call_1"): ("no result", 1, 0, None), (2, "call_2"): ("no result", 0, 0, None)}
+
+
 def test_tool_calls_of_odd_turns(spark):
     schema = "conv_id long, turn long, role string, text string, level int"
     rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "", 1), (None, 0, "user", "x", 1), (1, None, "user", "x", 1), (1, 0, "user", None, 1), (2, 0, None, None, 1)]
