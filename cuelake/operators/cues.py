@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import text_key
 from cuelake.operators.ordered import BLOCK, lag, last_set, lead, scan
+from cuelake.operators.sampling import unseen_change
 
 HALF_SECOND_US = 500_000
 TRACK = ["track_id"]
@@ -18,10 +19,8 @@ def transition_backdate(context: DataFrame) -> DataFrame:
     The prior sample always exists where a prior kept one does, so the midpoint does too.
     """
     kept = context.where("kept")
-    moved = (F.col("prior_kept_us").isNotNull() & ~F.col("changed")
-             & (text_key(F.col("text")) != text_key(F.col("prior_text"))))
     middle = (F.col("prior_sample_us") + F.col("ts_us")) / 2
-    return (kept.withColumn("backdated", moved)
+    return (kept.withColumn("backdated", unseen_change())
             .withColumn("event_us", F.when(F.col("backdated"),
                                            F.greatest(F.col("prior_kept_us"), F.rint(middle).cast("long")))
                         .otherwise(F.col("ts_us")))

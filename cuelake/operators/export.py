@@ -77,6 +77,18 @@ def export_filename(path, mode, language, fmt):
     return F.concat(stem, suffix, F.lit("."), fmt)
 
 
+def base_name(path):
+    """Last named part of a path, empty where there is none."""
+    return F.coalesce(F.regexp_extract(path, r"([^\\/]+)[\\/]*$", 1), F.lit(""))
+
+
+def handoff_name(result_path, video_path):
+    """Name under which a finished track goes on to cleaning: that of its file, else the video's with ``.srt``."""
+    stem = F.regexp_replace(base_name(video_path), r"\.[^.]+$", "")
+    own = base_name(result_path)
+    return F.when(own != "", own).otherwise(F.concat(F.when(stem == "", "subtitles").otherwise(stem), F.lit(".srt")))
+
+
 def srt_for_save(files: DataFrame) -> DataFrame:
     """LF line ends and one final LF; ``reason`` says why a file cannot be saved."""
     reason = (F.when((F.octet_length("content") == 0)

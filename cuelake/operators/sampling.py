@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cuelake import fixed
+from cuelake.functions.text import text_key
 from cuelake.functions.thumbnails import changed
 from cuelake.operators.folds import block_entries
 from cuelake.operators.ordered import BLOCK, lag, last_before, long_tracks, scan, total_max
@@ -255,6 +256,12 @@ def gate_context(gated: DataFrame) -> DataFrame:
             .withColumn("prior_text", F.col("prior_kept.text")).drop("prior_kept"))
 
 
+def unseen_change():
+    """A kept sample whose text is new although the gate saw no change of the picture."""
+    return (F.col("prior_kept_us").isNotNull() & ~F.col("changed")
+            & (text_key(F.col("text")) != text_key(F.col("prior_text"))))
+
+
 def gate_metrics(context: DataFrame, interval_us: int) -> DataFrame:
     """Counters of the gate per track."""
     first = F.col("prior_sample_us").isNull()
@@ -266,7 +273,9 @@ def gate_metrics(context: DataFrame, interval_us: int) -> DataFrame:
         F.count_if("forced").alias("forced_checks"),
         F.count_if(F.col("forced") & ~F.col("changed") & F.col("prior_kept_us").isNotNull())
         .alias("forced_only"),
-        F.count_if(~F.col("kept")).alias("skipped"))
+        F.count_if(~F.col("kept")).alias("skipped"),
+        F.count_if("kept").alias("recognised"),
+        F.count_if(F.col("kept") & unseen_change()).alias("backdates"))
 
 
 def signal_shift_gate(vectors: DataFrame, threshold: float, share: float, shift: float,

@@ -242,7 +242,8 @@ SQL = {
         replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</p>' || chr(10), '' ORDER BY pos) AS content
         FROM cues_v GROUP BY 1, 2)""",
     "export_filename": r"""SELECT page_id, regexp_replace(regexp_extract(path, '([^/]+)$', 1), CASE page_id % 3 WHEN 2 THEN '(?i)\.(srt|ttml|txt|md)$' ELSE '\.[^.]+$' END, '') ||
-        CASE page_id % 3 WHEN 0 THEN '-cleaned-ai' WHEN 1 THEN '-german-ai' ELSE '' END || '.srt' AS filename FROM paths_v""",
+        CASE page_id % 3 WHEN 0 THEN '-cleaned-ai' WHEN 1 THEN '-german-ai' ELSE '' END || '.srt' AS filename,
+        CASE WHEN page_id % 5 <> 0 THEN regexp_extract(path, '([^/]+)$', 1) ELSE regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]+$', '') END || '.srt' AS handoff FROM paths_v""",
     "srt_for_save": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN suffix(lf, chr(10)) THEN lf ELSE lf || chr(10) END END AS saved FROM saves""",
     "export_verbatim": r"""SELECT track_id, reason, CASE WHEN reason IS NULL THEN content END AS saved FROM saves""",
     "region_validate": r"""SELECT region_id, top, bottom, "left", "right", reason, CASE WHEN reason IS NULL THEN rtrim(rtrim(printf('%.6f', top), '0'), '.') END AS top_text,
@@ -274,8 +275,9 @@ SQL = {
         WHERE i % 2 = 0 AND i // 400 % 2 = 0 GROUP BY doc_id, h""",
     "ocr_interval_gate": "SELECT track_id, n, kept FROM gate",
     "gate_metrics": r"""SELECT g.track_id, count(*) AS samples, count(*) - 1 AS checks, count(*) FILTER (g.changed) AS triggers,
-        count(*) FILTER (f) AS forced_checks, count(*) FILTER (f AND NOT g.changed AND g.kept_n IS NOT NULL) AS forced_only, count(*) FILTER (NOT g.kept) AS skipped
-        FROM (SELECT c.*, p.ts_us IS NULL OR c.ts_us - p.ts_us >= 21600000000 AS f FROM gate_ctx c LEFT JOIN gate p ON p.track_id = c.track_id AND p.n = c.kept_n) g GROUP BY 1""",
+        count(*) FILTER (f) AS forced_checks, count(*) FILTER (f AND NOT g.changed AND g.kept_n IS NOT NULL) AS forced_only, count(*) FILTER (NOT g.kept) AS skipped,
+        count(*) FILTER (g.kept) AS recognised, count(*) FILTER (g.kept AND NOT g.changed AND g.text <> g.old) AS backdates
+        FROM (SELECT c.*, p.text AS old, p.ts_us IS NULL OR c.ts_us - p.ts_us >= 21600000000 AS f FROM gate_ctx c LEFT JOIN gate p ON p.track_id = c.track_id AND p.n = c.kept_n) g GROUP BY 1""",
     "box_expand_filter": r"""SELECT region_id, x1, x2, y1, y2 FROM (SELECT region_id, score, area,
         CAST(floor(least(639, greatest(0, ((list_min(xs) - mx) * 1.6 + mx) * 640 / 160))) AS BIGINT) AS x1, CAST(floor(least(639, greatest(0, ((list_max(xs) - mx) * 1.6 + mx) * 640 / 160))) AS BIGINT) + 1 AS x2,
         CAST(floor(least(479, greatest(0, ((list_min(ys) - my) * 1.6 + my) * 480 / 160))) AS BIGINT) AS y1, CAST(floor(least(479, greatest(0, ((list_max(ys) - my) * 1.6 + my) * 480 / 160))) AS BIGINT) + 1 AS y2

@@ -119,7 +119,8 @@ def export_filename(s, d):
     i = F.col("page_id")
     mode = F.when(i % 3 == 0, "clean").when(i % 3 == 1, "translate").otherwise("original")
     return V.paths_v(s, d).select("page_id", export.export_filename(
-        F.col("path"), mode, F.lit("German"), F.lit("srt")).alias("filename"))
+        F.col("path"), mode, F.lit("German"), F.lit("srt")).alias("filename"),
+        export.handoff_name(F.when(i % 5 != 0, F.concat("path", F.lit(".srt"))), F.col("path")).alias("handoff"))
 
 
 @query

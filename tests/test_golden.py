@@ -533,3 +533,10 @@ def test_the_last_event_ends_with_its_track(spark):
     durations = spark.createDataFrame([(1, 12_345_678)], "track_id long, duration_us long")
     got = {(r.track_id, r.n): r.end_us for r in cues.event_intervals(events, durations=durations).collect()}
     assert got == {(1, 1): 2_000_000, (1, 2): 3_000_000, (1, 3): 12_345_678, (2, 1): 2_000_000, (2, 2): 3_000_000, (2, 3): 9_500_000}
+
+
+def test_handoff_names(spark):
+    cases = [("out/a.srt", "v.mp4", "a.srt"), (None, "c:\\\\x\\\\clip.v2.mkv", "clip.v2.srt"), ("", "dir/", "dir.srt"), (" /".strip(), ".mp4", "subtitles.srt"), (None, "", "subtitles.srt")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = df.select("i", export.handoff_name(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [n for _, _, n in cases]
