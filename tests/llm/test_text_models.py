@@ -1,6 +1,8 @@
 """Toxicity, language, quality and secrets: brute force, held-out accuracy and odd inputs."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -166,13 +168,74 @@ def test_secrets_base(spark, tables):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
 
 
-def test_learned_formats_find_other_tokens():
-    texts = [f"word number{i} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" after the quick letters" for i in range(200)]
-    model = credentials.fit(texts, ["with"] * 200)
-    fresh = hashlib.sha1(b"x").hexdigest()[:20]
-    assert credentials.is_secret(model, fresh)
-    assert not credentials.is_secret(model, "straightforwardness")
-    assert len(model["formats"]["hex"]) < 30
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+FORMATS = {"hex": ("", "0123456789abcdef", 40), "forge": ("ghp_", LETTERS, 36), "shop": ("sk_live_", LETTERS, 24),
+           "upper": ("", "0123456789ABCDEF", 32), "mixed": ("", LETTERS + "+/", 40)}
+ORDINARY = ["0123456789012345", "192.168.10.24", "mail7.example.com", "2024-01-05T12", "some_snake_case", "Straightforwardness", "a/path/to/file_2.txt"]
+
+
+def credential(draw, name):
+    start, letters, length = FORMATS[name]
+    return start + "".join(draw.choices(letters, k=length))
+
+
+def secret_texts(draw, names, copies=30):
+    """Texts with labelled credentials, and texts of ordinary tokens only."""
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 12))) for _ in range(3000)]
+    filled = lambda: " ".join(draw.choices(words, k=40) + draw.choices(ORDINARY, k=3) + [str(draw.randint(10**6, 10**15))])
+    return ([f'{filled()} token = "{credential(draw, name)}" {filled()}' for name in names for _ in range(copies)],
+            [filled() for _ in range(200)])
+
+
+def test_learned_formats_find_unlabelled_credentials():
+    draw = random.Random(5)
+    with_some, without = secret_texts(draw, FORMATS)
+    model = credentials.fit(with_some + without, [])
+    for name in FORMATS:
+        assert sum(credentials.is_secret(model, credentials.symbols(credential(draw, name))) for _ in range(100)) >= 97, name
+    assert not any(credentials.is_secret(model, credentials.symbols(w)) for w in ORDINARY)
+    assert all(not s for s in credentials.scanner(model)(secret_texts(draw, [])[1])[3])
+    # Lengths are learned: parts of credentials are not of the format.
+    assert not any(credentials.is_secret(model, credentials.symbols(credential(draw, "hex")[:n])) for n in (12, 20, 39))
+    # A format that no label shows is not found.
+    other = credentials.fit(secret_texts(draw, ["hex"])[0] + without, [])
+    assert not credentials.is_secret(other, credentials.symbols(credential(draw, "forge")))
+
+
+def test_automata_keep_lengths_and_make_loops():
+    draw = random.Random(6)
+    fixed = credentials.Automaton(["".join(draw.choices("0a", k=40)) for _ in range(130)]).table
+    assert len(fixed) == 41 and "" in fixed[-1] and not any("" in row for row in fixed[:-1])
+    loop = credentials.Automaton(["z" * (1 + int(draw.expovariate(0.2))) for _ in range(2000)]).table
+    assert len(loop) < 6
+    for table in (fixed, loop):
+        assert all(sum(math.exp(x) for k, (_, x) in row.items() if k is not None) <= 1 + 1e-9 for row in table)
+    two = credentials.Automaton(["0" * 8] * 50 + ["a" * 12] * 50).table
+    assert credentials.likelihood(two, "0" * 8) > -1 > credentials.likelihood(two, "0" * 12)
+    assert credentials.likelihood(two, "0" * 12, must_end=True) < credentials.likelihood(two, "a" * 12, must_end=True) - 3
+    assert len(credentials.Automaton([]).table) == 1
+    long = credentials.Automaton(["0a" * 256] * 20).table
+    # 513 events that all 20 strings share, smoothed by 0.1 of 1.2.
+    assert math.isclose(credentials.likelihood(long, "0a" * 256, True), 513 * math.log(20.1 / 21.2)) and credentials.likelihood(long, "0a" * 200, True) == -math.inf
+
+
+def test_learned_spans_of_documents(spark):
+    draw = random.Random(7)
+    with_some, without = secret_texts(draw, ["forge", "mixed"])
+    bare = [f"see {credential(draw, n)}. and {credential(draw, n)}, then" for n in ("forge", "mixed") for _ in range(10)]
+    texts = with_some + without + bare
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = credentials.learn(docs)
+    found = {r.doc_id: r for r in credentials.secrets(docs).collect()}
+    for i, text in enumerate(texts):
+        base = credentials.base_spans(text)
+        want = base + [(m.start(), m.end(), "format") for m in credentials.CANDIDATE.finditer(text)
+                       if credentials.is_secret(model, credentials.symbols(m.group())) and not any(s < m.end() and m.start() < e for s, e, _ in base)]
+        assert found[i].spans == ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(want))
+        assert found[i].spans.count("format") == (2 if text in bare else 0)
+    clean = {r.doc_id: r.text for r in credentials.redact(docs, model).collect()}
+    assert all(clean[i] == "see [secret]. and [secret], then" for i, t in enumerate(texts) if t in bare)
+    assert all(clean[i] == t for i, t in enumerate(texts) if t in without)
 
 
 def test_redacted_texts(spark):
