@@ -21,6 +21,8 @@ BLOCK_ROWS = 20_000
 LEAST_BLOCKS = 64
 #: Chunks whose ids a worker keeps.
 KEPT_CHUNKS = 600_000
+#: New chunks that are encoded as one text.
+RUN = 256
 #: Before chunks without a space before them; no text of Arrow holds this lone surrogate.
 START = "\ud800"
 PUNCTUATION = ".,;:!?"
@@ -59,13 +61,18 @@ class ChunkEncoder:
 
     The vocabulary's pre-tokenizer always cuts before a single space that stands between other characters, and between
     letters and punctuation.  So a text may be encoded in chunks cut there, and a worker keeps the ids of chunks that
-    it has met.  A chunk's key leaves out the space before it; START marks chunks that have none.
+    it has met.  A chunk's key leaves out the space before it; START marks chunks that have none.  New chunks that begin
+    and end without white space are encoded in runs, and the bytes that tokens stand for tell where each one ends.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # A token of a byte-level vocabulary has one character for each byte.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
         self.forget()
 
     def forget(self):
@@ -85,21 +92,43 @@ class ChunkEncoder:
 
     def encode_new(self):
         """Ids of the chunks met since the last call; letters and the punctuation after them are chunks themselves."""
-        whole, joined = [], []
+        alone, linked, joined = [], [], []
         for chunk in self.place.new:
             word = chunk.rstrip(PUNCTUATION)
             if len(word) < len(chunk) and word.isalpha():
                 joined.append((self.place[chunk], self.place[word], self.place[START + chunk[len(word):]]))
+            elif not chunk or chunk[0] == START or chunk[0].isspace() or chunk[-1].isspace():
+                alone.append(chunk)
             else:
-                whole.append(chunk)
+                linked.append(chunk)
         self.place.new = []
         self.ids += [None] * (len(self.place) - len(self.ids))
-        texts = [c[1:] if c[:1] == START else " " + c for c in whole]
-        for chunk, found in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
-            self.ids[self.place[chunk]] = little_endian(found.ids)
+        runs = [linked[k:k + RUN] for k in range(0, len(linked), RUN)]
+        for run, ids in zip(runs, self.encoded([" " + " ".join(run) for run in runs])):
+            if not self.divide(run, np.array(ids, "<u4")):
+                alone += run
+        texts = [c[1:] if c[:1] == START else " " + c for c in alone]
+        for chunk, ids in zip(alone, self.encoded(texts)):
+            self.ids[self.place[chunk]] = little_endian(ids)
         for chunk, word, rest in joined:
             self.ids[chunk] = self.ids[word] + self.ids[rest]
 
+    def encoded(self, texts: list[str]):
+        return (found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if texts else ()
+
+    def divide(self, run: list[str], ids) -> bool:
+        """Gives each chunk of a run its share of the run's ids; False, and nothing given, if a token spans two chunks."""
+        ends = np.cumsum(self.widths[ids])
+        wanted = np.cumsum([len(c.encode()) + 1 for c in run])
+        last = np.searchsorted(ends, wanted)
+        if last[-1] != len(ends) - 1 or (ends[last] != wanted).any():
+            return False
+        raw, at = ids.tobytes(), 0
+        for chunk, end in zip(run, (4 * last + 4).tolist()):
+            self.ids[self.place[chunk]] = raw[at:end]
+            at = end
+        return True
+
 
 def pieces(docs: DataFrame, path: str | None = None, capacity=CAPACITY, end_id=END_ID, with_ids=False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document.

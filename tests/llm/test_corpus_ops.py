@@ -62,6 +62,16 @@ def test_chunks_of_any_text(text):
 CHUNKS = {}
 
 
+def test_runs_that_cannot_be_divided_are_encoded_by_chunks():
+    texts = ["some words, é and\nlines 12 x's", " lead", "", "same words same"]
+    encoder = packing.ChunkEncoder(packing.tokenizer_path())
+    want = [packing.little_endian(t.ids) for t in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode_all(texts) == want
+    encoder.forget()
+    encoder.widths = encoder.widths * 0 + 1
+    assert encoder.encode_all(texts) == want
+
+
 def test_a_small_table_of_chunks_changes_nothing(monkeypatch):
     texts = [f"w{i} x{i % 3} same" for i in range(50)]
     want = packing.ChunkEncoder(packing.tokenizer_path()).encode_all(texts)
