@@ -17,6 +17,8 @@ BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
 #: A pair at 0.8 agrees in fewer of its 200 coordinates than this with probability below 1e-8.
 LEAST_AGREEING = 124
+#: Least similarity that bands, LEAST_AGREEING and the size test of a pair are whole for.
+LEAST_PERCENT = 80
 #: Documents of a part of a tile and of a block, and documents checked against one block in one task, about.
 TILE = 512
 ASKED_ROWS = 256
@@ -134,7 +136,7 @@ def tiles(members: DataFrame) -> DataFrame:
         order = np.lexsort((rep, [not r[9] for r in group]))
         rep, component, n, family, part, low = (v[order] for v in (rep, component, n, family, part, low))
         for i in range(1, len(group)):
-            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= 80 * np.maximum(n[:i], n[i]))
+            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= LEAST_PERCENT * np.maximum(n[:i], n[i]))
             at = np.flatnonzero(ok)
             if len(at):
                 at = at[(low[at] == low[i]).sum(axis=1) >= LEAST_AGREEING]
@@ -237,12 +239,15 @@ def near_duplicates(docs: DataFrame, width=5, percent=80) -> DataFrame:
     Null and empty texts have no shingles, link with nothing and are kept.  Rows with a null id take no part: they get
     a null component and are kept.  Each row is linked by its own text.  A component is named by its smallest id; of the
     rows with that id, those of one class are kept.  Components with one smallest id have the same name, but are kept each.
+    A `percent` below LEAST_PERCENT would lose links and is refused.
     """
     return _judged(docs, width, percent).drop("rep")
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """`near_duplicates` with the number of each row's class, `rep`; one number stands for all texts without shingles."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"bands, sizes and signatures are tested for {LEAST_PERCENT} percent and more, not for {percent}")
     number = F.xxhash64("set_key")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = durable(per_text(ids, ["doc_id"], lambda: sketcher(width), SKETCH))

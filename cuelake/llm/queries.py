@@ -56,8 +56,9 @@ def op8_mixing(spark, folder):
 
 
 def op9_minhash(spark, folder):
-    """Components of documents whose sets of two-word shingles reach 0.8."""
-    return neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+    """Components of documents whose sets of two-word shingles reach 0.8; every row of a component's smallest id is kept."""
+    found = neardup.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+    return found.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), "kept"))
 
 
 def op10_toolcalls(spark, folder):

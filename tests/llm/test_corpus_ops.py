@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuelake.llm import mixing, neardup, packing, toolcalls, topk, warc
+from cuelake.llm import mixing, neardup, packing, queries, toolcalls, topk, warc
 from cuelake.llm.components import components
 from compare import connect, difference
 
@@ -253,6 +253,22 @@ def test_mix_odd_rows(odd):
 
 # Near duplicates
 
+def test_similarities_below_the_bands_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for percent in (79, 101):
+        for operator in (neardup.near_duplicates, neardup.distinct_documents):
+            with pytest.raises(ValueError):
+                operator(docs, width=2, percent=percent)
+
+
+def test_near_copies_under_one_id_are_kept_by_the_query(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(words + ["x"])), (2, " ".join(words)), (None, "no id"), (3, None), (3, "other words here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op9_minhash(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and {(r.doc_id, r.kept) for r in found} == {(1, True), (2, False), (3, True), (None, True)}
+
+
 def brute_components(rows, width, percent=80):
     sets = {}
     for i, text in rows:
