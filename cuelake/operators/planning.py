@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import fixed
-from cuelake.functions.text import LETTER, has_letter, letter_count, number_count, strip, visible_count
+from cuelake.functions.text import BLANK_CHARS, LETTER, has_letter, letter_count, number_count, strip, visible_count
 from cuelake.operators.ordered import BLOCK, div, lag, lead, running_sum, scan, total
 
 TRACK = ["track_id"]
@@ -22,8 +22,9 @@ def cue_shape(cues: DataFrame) -> DataFrame:
 
 
 def _weak(text):
-    """At most four visible characters and at most one letter."""
-    return F.when(visible_count(text) > 4, False).otherwise(letter_count(text) <= 1)
+    """At most four visible characters and at most one letter; plain words are told by their first five characters."""
+    long = text.rlike(r"^[\x21-\x7E]{5}") | (F.length(F.translate(text, BLANK_CHARS, "")) > 4)
+    return F.when(long, False).otherwise(~text.rlike(f"(?s){LETTER}.*?{LETTER}"))
 
 
 def weak_fragment(cues: DataFrame) -> DataFrame:
@@ -31,14 +32,17 @@ def weak_fragment(cues: DataFrame) -> DataFrame:
 
 
 def strong_prefilter(cues: DataFrame) -> DataFrame:
-    """Cues that strong cleanup removes without asking a model."""
-    near = scan(weak_fragment(cues), TRACK, ["pos"], weak_before=lag(F.col("weak")),
-                weak_after=lead(F.col("weak")))
-    text = F.col("text")
+    """Cues that strong cleanup removes without asking a model.
+
+    Only weak cues ask for their neighbours, and only weak neighbours matter, so the others are not put in order.
+    """
+    marked, text, at = weak_fragment(cues), F.col("text"), F.col("pos")
     bare = ~text.rlike(rf"[{LETTER}\p{{N}}]")
-    neighbour = F.coalesce("weak_before", F.lit(False)) | F.coalesce("weak_after", F.lit(False))
-    debris = F.col("weak") & neighbour & (text.rlike(r"\p{N}") | ~has_letter(text))
-    return near.withColumn("remove", bare | debris).drop("weak_before", "weak_after", "weak")
+    others = marked.where(~F.coalesce("weak", F.lit(False))).withColumn("remove", bare)
+    near = scan(marked.where("weak"), TRACK, ["pos"], weak_before=lag(at), weak_after=lead(at))
+    neighbour = F.coalesce(F.col("weak_before") >= at - 1, F.lit(False)) | F.coalesce(F.col("weak_after") <= at + 1, F.lit(False))
+    debris = neighbour & (text.rlike(r"\p{N}") | ~has_letter(text))
+    return others.unionByName(near.withColumn("remove", bare | debris).drop("weak_before", "weak_after")).drop("weak")
 
 
 def needs_translation(cues: DataFrame) -> DataFrame:
