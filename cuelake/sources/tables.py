@@ -17,21 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each piece (128 MB at most) in which the texts are read, at least.
+TASKS_PER_SPLIT = 8
+
+
+def _by_document(texts):
+    """Texts hashed on their document, over more tasks than the session names where those would grow with the table."""
+    tasks = TASKS_PER_SPLIT * texts.rdd.getNumPartitions()
+    if tasks > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return texts.repartition(tasks, "doc_id")
+    return texts.repartition("doc_id")
+
+
 def _lines(spark, sf_dir, separator, in_order=True):
     """Non-blank pieces of each text with place in the text and dense position.
 
     A track is one row here, so for ordered rules the compact texts are hashed on the track
     before they are split up: every later window and aggregate on the track finds its rows
     in place, and the much larger split rows are not shuffled.  No key can be hot, a key is
-    one row.  Rules on single rows take `in_order=False` and move nothing.
+    one row.  Rules on single rows take `in_order=False` and move nothing.  The outer explode keeps the optimizer from
+    splitting every text once more to look for empty ones.
     """
     numbered = F.transform(F.split("text", separator),
                            lambda t, i: F.struct((i + 1).cast("long").alias("cue_no"), t.alias("text")))
     kept = F.filter(numbered, lambda r: r["text"].rlike(r"\S"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ((texts.repartition("doc_id") if in_order else texts)
+    return ((_by_document(texts) if in_order else texts)
             .select(F.col("doc_id").alias("track_id"), kept.alias("_kept"))
-            .select("track_id", F.size("_kept").alias("length"), F.posexplode("_kept").alias("_p", "_r"))
+            .select("track_id", F.size("_kept").alias("length"), F.posexplode_outer("_kept").alias("_p", "_r")).where("_p IS NOT NULL")
             .select("track_id", "length", (F.col("_p") + 1).cast("long").alias("pos"), "_r.cue_no", "_r.text"))
 
 

@@ -69,3 +69,17 @@ def test_steps_are_not_shuffled_by_class(spark, monkeypatch):
             assert "_salt" in plan(found)
         rows = [tuple(r) for df in (found, lost) for r in df.select("crop_id", "step", "symbol").collect()]
         assert sorted(rows, key=lambda r: r[1]) == want and lost.where("class < 2").isEmpty()
+
+
+def test_only_weak_cues_are_put_in_order(spark):
+    from cuelake.plans.queries import QUERIES
+    found = QUERIES["strong_prefilter"](spark, FOLDER)
+    below = plan(found).split("Sort [track_id", 1)[1].split("Exchange", 1)[0]
+    assert re.search(r"Filter .*RLIKE\([^)]*\{5\}", below)
+
+
+def test_texts_are_dealt_by_the_size_of_their_table(spark, monkeypatch):
+    from cuelake.sources import tables
+    few = tables.tokens_v(spark, FOLDER).rdd.getNumPartitions()
+    monkeypatch.setattr(tables, "TASKS_PER_SPLIT", 50)
+    assert tables.tokens_v(spark, FOLDER).rdd.getNumPartitions() >= 50 > few
