@@ -92,15 +92,19 @@ def metrics_flatten(runs: DataFrame) -> DataFrame:
     report that is no JSON object.  ``unattributed_seconds`` is what the attributed stages leave of the total.
     """
     keys = [c for c in runs.columns if c != "metrics"]
-    read = runs.withColumn("m", F.try_parse_json("metrics"))
 
-    def field(name, kind):
-        return F.try_variant_get("m", F.lit(f"$.{name}"), kind)
-    bad = F.array_compact(F.array(*[F.when(field(n, "variant").isNotNull() & ~F.is_variant_null(field(n, "variant")) & field(n, t).isNull(), n)
-                                    for n, t in fixed.METRIC_FIELDS]))
-    known = F.map_filter(field("ocr_stage_seconds", "map<string,double>"), lambda k, v: k.isin(fixed.ATTRIBUTED_STAGES))
+    def entries(fields):
+        """The named entries of a report in one pass over it."""
+        return F.try_variant_get("m", F.lit("$"), "struct<" + ", ".join(f"`{n}`: {t}" for n, t in fields) + ">")
+    # As a string every value but JSON's null has a form, so a field that has only that is of another type.
+    read = (runs.withColumn("m", F.try_parse_json("metrics"))
+            .withColumn("t", entries([*fixed.METRIC_FIELDS, ("ocr_stage_seconds", "map<string,double>")]))
+            .withColumn("s", entries([(n, "string") for n, t in fixed.METRIC_FIELDS if t != "string"])))
+    typed, shown = F.col("t"), F.col("s")
+    bad = F.array_compact(F.array(*[F.when(shown[n].isNotNull() & typed[n].isNull(), n) for n, t in fixed.METRIC_FIELDS if t != "string"]))
+    known = F.map_filter(typed["ocr_stage_seconds"], lambda k, v: k.isin(fixed.ATTRIBUTED_STAGES))
     attributed = F.aggregate(F.map_values(known), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    return (read.select(*keys, *[field(n, t).alias(n) for n, t in fixed.METRIC_FIELDS], bad.alias("bad_fields"), attributed.alias("_attributed"))
+    return (read.select(*keys, *[typed[n].alias(n) for n, t in fixed.METRIC_FIELDS], bad.alias("bad_fields"), attributed.alias("_attributed"))
             .withColumn("unattributed_seconds", F.when(F.col("ocr_total_seconds").isNotNull(), F.round(
                 F.greatest(F.lit(0.0), F.col("ocr_total_seconds") - F.coalesce("_attributed", F.lit(0.0))), 3)))
             .drop("_attributed"))

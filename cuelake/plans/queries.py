@@ -699,7 +699,10 @@ def attempt_rollup(s, d):
 
 
 def _metrics(s, d):
-    """A report per event: its fields follow from its id and value, some have another type, some are missing."""
+    """A report per event: its fields follow from its id and value, some have another type, some are missing.
+
+    Rows are dealt while they are small: a report is a thousand bytes, and a few row groups hold millions of events.
+    """
     v, i = F.col("value"), F.col("event_id")
     given = {"string": F.col("event_type"), "bigint": i, "double": v, "boolean": i % 2 == 0}
     fields = {n: F.when(i % (k + 2) != 0, given[t]) for k, (n, t) in enumerate(fixed.METRIC_FIELDS)}
@@ -709,7 +712,8 @@ def _metrics(s, d):
     fields |= {"ocr_stage_seconds": stages, "recognizer_batch_histogram": F.create_map(F.lit("8"), i % 5, F.lit("2"), F.lit(1)),
                "available_providers": F.array(F.lit("GPU"), F.col("event_type"))}
     report = F.to_json(F.struct(*[x.alias(n) for n, x in fields.items()]))
-    return V.table(s, d, "events").select(i.alias("run_id"), F.when(i % 23 == 0, "{broken").otherwise(report).alias("metrics"))
+    events = V.table(s, d, "events").select("event_id", "event_type", "value").repartition("event_id")
+    return events.select(i.alias("run_id"), F.when(i % 23 == 0, "{broken").otherwise(report).alias("metrics"))
 
 
 @query

@@ -83,3 +83,9 @@ def test_texts_are_dealt_by_the_size_of_their_table(spark, monkeypatch):
     few = tables.tokens_v(spark, FOLDER).rdd.getNumPartitions()
     monkeypatch.setattr(tables, "TASKS_PER_SPLIT", 50)
     assert tables.tokens_v(spark, FOLDER).rdd.getNumPartitions() >= 50 > few
+
+
+def test_reports_are_read_in_two_passes_and_spread(spark):
+    from cuelake.plans.queries import QUERIES
+    text = plan(QUERIES["metrics_flatten"](spark, FOLDER))
+    assert text.count("try_variant_get(") == 2 and "REPARTITION_BY_COL" in text
