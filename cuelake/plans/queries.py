@@ -68,9 +68,10 @@ def cue_files(s, d):
     later = V.raw_cues_v(s, d).withColumns({c: F.col(c) + 10_000 for c in ("start_ms", "end_ms")})
     parts = export.export_srt(later).withColumn("content", F.when(F.col("part_no") == 0, content).otherwise(F.when(i % 13 != 0, F.col("content")).otherwise("")))
     folder = f"{shared_folder(s)}/cue-files-{uuid.uuid4().hex}"
-    cuestore.write_cue_files(parts, folder, F.concat(i.cast("string"), F.when(i % 11 == 0, ".txt").otherwise(".srt")))
+    cuestore.write_cue_files(parts, folder, F.concat(i.cast("string"), F.when(i % 11 == 0, ".txt").otherwise(".srt")), folders=True)
     name = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long")
-    files = cuefiles.subtitle_file_guard(cuestore.read_cue_files(s, folder)).select(name.alias("track_id"), "reason", F.col("text").alias("content"))
+    # Listed and read once; the rules below state their rows many times.
+    files = durable(cuefiles.subtitle_file_guard(cuestore.read_cue_files(s, folder)).select(name.alias("track_id"), "reason", F.col("text").alias("content")))
     tracks = quality.normalize_track(cuefiles.srt_parse_strict(files.where("reason IS NULL").drop("reason")))
     refused = files.where("reason IS NOT NULL").select("track_id", F.col("reason").alias("status"))
     return tracks.unionByName(refused, allowMissingColumns=True)

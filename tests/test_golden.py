@@ -313,6 +313,21 @@ def test_files_on_disk(spark, tmp_path):
     assert [f.name for f in out.iterdir()] == ["three.srt"]
 
 
+def test_files_by_folders_keep_the_driver_small(spark, tmp_path):
+    import pickle
+    rows = spark.range(400).selectExpr("concat(id, '.srt') AS name", "0L AS part_no", "cast(id AS string) AS content")
+    for mode in ("append", "overwrite"):
+        cuestore.write_cue_files(rows, str(tmp_path), F.col("name"), mode, folders=True)
+    assert all(f.is_dir() for f in tmp_path.iterdir())
+    planned = cuestore._Reader({"path": str(tmp_path)}).partitions()
+    assert len(pickle.dumps(planned)) < 400 * 20
+    found = cuestore.read_cue_files(spark, str(tmp_path), partitionFiles="30")
+    assert found.rdd.getNumPartitions() == 14 and sorted(int(bytes(r.content)) for r in found.collect()) == list(range(400))
+    twice = rows.repartition(2).unionByName(rows.limit(1))
+    with pytest.raises(Exception):
+        twice.write.format(cuestore.FORMAT).option("folders", "true").mode("append").save(str(tmp_path))
+
+
 def test_failed_writes_leave_no_files(spark, tmp_path):
     rows = spark.createDataFrame([("a.srt", 0, "x"), ("b/c.srt", 0, "y"), ("a.srt", 1, "z")], "name string, part_no long, content string")
     spark.dataSource.register(cuestore.CueFiles)
