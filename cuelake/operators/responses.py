@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
@@ -36,12 +37,18 @@ def assistant_extract(text: Column) -> Column:
     return strip(_after_last(strip(answer), THINK_END))
 
 
-@F.pandas_udf(CUES_TYPE)
-def _read_replies(replies: pd.Series) -> pd.Series:
-    def one(reply):
-        cues = None if reply is None else read_reply(reply)
-        return None if cues is None else [{"id": i, "text": t} for i, t in cues]
-    return replies.map(one)
+#: Replies whose cues are Python objects at one time.
+REPLIES_AT_ONCE = 256
+
+
+@F.arrow_udf(CUES_TYPE)
+def _read_replies(replies: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("text", pa.string())]))
+
+    def some(part):
+        found = [None if reply is None else read_reply(reply) for reply in part.to_pylist()]
+        return pa.array([None if cues is None else [{"id": i, "text": t} for i, t in cues] for cues in found], kind)
+    return pa.concat_arrays([some(replies.slice(at, REPLIES_AT_ONCE)) for at in range(0, max(1, len(replies)), REPLIES_AT_ONCE)])
 
 
 @F.pandas_udf(StringType())
@@ -57,9 +64,12 @@ def json_repair(reply: Column) -> Column:
 
 
 def response_explode(responses: DataFrame) -> DataFrame:
-    """One row per returned cue with its place in the reply (from 0)."""
+    """One row per returned cue with its place in the reply (from 0).
+
+    The outer explode keeps the optimizer from reading every reply once more to look for empty lists.
+    """
     return (responses.withColumn("cues", json_repair(assistant_extract(F.col("raw"))))
-            .select("track_id", "chunk_no", F.posexplode("cues").alias("place", "cue"))
+            .select("track_id", "chunk_no", F.posexplode_outer("cues").alias("place", "cue")).where("place IS NOT NULL")
             .select("track_id", "chunk_no", F.col("place").cast("long").alias("place"), "cue.id", "cue.text"))
 
 

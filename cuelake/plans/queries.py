@@ -520,7 +520,7 @@ def json_repair(s, d):
              .when(fault == 2, F.concat(raw, F.lit(" Done.")))
              .when(fault == 3, F.regexp_replace(raw, r"\},\{\"id\"", ',"id"')).otherwise(raw))
     return (chunks.select("track_id", "chunk_no", responses.json_repair(messy).alias("cues"))
-            .select("track_id", "chunk_no", F.explode("cues").alias("c")).select("track_id", "chunk_no", "c.id", "c.text"))
+            .select("track_id", "chunk_no", F.explode_outer("cues").alias("c")).where("c IS NOT NULL").select("track_id", "chunk_no", "c.id", "c.text"))
 
 
 @query

@@ -89,3 +89,9 @@ def test_reports_are_read_in_two_passes_and_spread(spark):
     from cuelake.plans.queries import QUERIES
     text = plan(QUERIES["metrics_flatten"](spark, FOLDER))
     assert text.count("try_variant_get(") == 2 and "REPARTITION_BY_COL" in text
+
+
+@pytest.mark.parametrize("name", ["json_repair", "response_explode"])
+def test_replies_are_read_once(spark, name):
+    from cuelake.plans.queries import QUERIES
+    assert plan(QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") == 1
