@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake import fixed
 from cuelake.functions.text import BLANK_CHARS, LETTER, has_letter, letter_count, number_count, strip, visible_count
-from cuelake.operators.ordered import BLOCK, div, lag, lead, running_sum, scan, total
+from cuelake.operators.ordered import div, lag, lead, running_sum, scan, total
 
 TRACK = ["track_id"]
 
@@ -225,11 +225,9 @@ def prompt_rows(cues: DataFrame, mode: str, language: str = fixed.AUTO_LANGUAGE,
     split = work_split(cues, mode, strength)
     chunks = context_window(split, mode, routed=True).where(F.size("targets") > 0)
     if mode == "clean" and language == fixed.AUTO_LANGUAGE:
-        # samples fan out to blocks of the track's chunks, so a huge track stays spread
-        chunks = chunks.withColumn(BLOCK, div(F.col("chunk_no"), 1024))
-        places = chunks.select("track_id", BLOCK).distinct()
-        chunks = (chunks.join(places.join(sample_texts(cues), "track_id"), ["track_id", BLOCK], "left")
-                  .drop(BLOCK))
+        # One small row of samples streams past the chunks of its track.  Chunks hashed on the track stay where they are;
+        # others are moved on it, and adaptive execution divides the partition of a huge track, as its join is no aggregate.
+        chunks = chunks.join(sample_texts(cues), "track_id", "left")
     else:
         chunks = chunks.withColumn("samples", F.array().cast("array<struct<pos:bigint,text:string>>"))
     return worded(chunks, mode, language, strength, guidance, source, templates).select(

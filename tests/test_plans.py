@@ -95,3 +95,14 @@ def test_reports_are_read_in_two_passes_and_spread(spark):
 def test_replies_are_read_once(spark, name):
     from cuelake.plans.queries import QUERIES
     assert plan(QUERIES[name](spark, FOLDER)).count("ArrowEvalPython") == 1
+
+
+def test_chunks_meet_their_samples_in_place(spark):
+    from cuelake.plans.queries import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["prompt_rows"](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Texts by document for chunks, samples and what blocks carry, and the few carried rows themselves.
+    assert text.count("REPARTITION_BY_COL") == 3 and text.count("Exchange") <= 6
