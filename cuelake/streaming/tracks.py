@@ -66,42 +66,48 @@ class _InOrder(StatefulProcessor):
         return None
 
     def _load(self):
-        return json.loads(self._state.get()[0]) if self._state.exists() else {"timer": None, "next": None, "walk": dict(self.start)}
+        # Every call to the store is a round trip, so it is asked once.
+        known = self._state.get()
+        return json.loads(known[0]) if known is not None else {"timer": None, "next": None, "walk": dict(self.start)}
 
     def handleInputRows(self, key, rows, timerValues):
-        state, names, taken = self._load(), list(self.columns), False
+        state, names, arrived = self._load(), list(self.columns), []
         for pdf in rows:
-            arrived = [tuple(None if pd.isna(x) else x for x in row)
-                       for row in zip(*(pdf[c].astype(object).tolist() for c in names))]
+            # Only a missing value differs from itself.
+            came = (tuple(None if x is None or x != x else x for x in row) for row in zip(*(pdf[c].astype(object).tolist() for c in names)))
             # A row without a number is no sample; one without a time is behind every watermark.
-            arrived = [(-1 if row[0] is None else int(row[0]), int(row[1]), *row[2:]) for row in arrived if row[1] is not None]
-            if arrived:
-                self._waiting.appendList(arrived)
-                state["next"] = min(x for x in (state["next"], min(row[0] // 1000 for row in arrived)) if x is not None)
-                taken = True
+            arrived += [(-1 if row[0] is None else int(row[0]), int(row[1]), *row[2:]) for row in came if row[1] is not None]
         done = []
-        if taken:
-            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done)
-        yield self._frame(key, done)
+        if arrived:
+            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done, arrived)
+        if done:
+            yield self._frame(key, done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, done = self._load(), []
         if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
             state["timer"] = None
             self._go_on(state, timerValues.getCurrentWatermarkInMs(), done)
-        yield self._frame(key, done)
-
-    def _go_on(self, state, watermark_ms, done):
-        if state["next"] is not None and state["next"] < watermark_ms:
-            rows = list(self._waiting.get())
-            rest = [tuple(row) for row in rows if row[0] // 1000 >= watermark_ms]
-            for row in sorted((tuple(row) for row in rows if row[0] // 1000 < watermark_ms), key=lambda row: row[:2]):
+        if done:
+            yield self._frame(key, done)
+
+    def _go_on(self, state, watermark_ms, done, arrived=()):
+        """Walk what event time has passed; rows go to the store only if they have to wait."""
+        stored = state["next"] is not None
+        earliest = min([row[0] // 1000 for row in arrived] + [state["next"]] * stored, default=None)
+        if earliest is not None and earliest < watermark_ms:
+            rows = [*(tuple(row) for row in (self._waiting.get() if stored else ())), *arrived]
+            rest = [row for row in rows if row[0] // 1000 >= watermark_ms]
+            for row in sorted((row for row in rows if row[0] // 1000 < watermark_ms), key=lambda row: row[:2]):
                 self.walk(state["walk"], row, done)
             if rest:
                 self._waiting.put(rest)
-            else:
+            elif stored:
                 self._waiting.clear()
-            state["next"] = min((row[0] // 1000 for row in rest), default=None)
+            earliest = min((row[0] // 1000 for row in rest), default=None)
+        elif arrived:
+            self._waiting.appendList(arrived)
+        state["next"] = earliest
         self.passed(state["walk"], watermark_ms, done)
         wake = min((x for x in (state["next"], self.wakes_at(state["walk"])) if x is not None), default=None)
         wake = None if wake is None else wake + 1
@@ -114,7 +120,8 @@ class _InOrder(StatefulProcessor):
         self._state.update((json.dumps(state),))
 
     def _frame(self, key, done):
-        return pd.DataFrame(done, columns=self.gives, dtype=object).assign(track_id=key[0])[["track_id", *self.gives]]
+        columns = dict(zip(self.gives, zip(*done)))
+        return pd.DataFrame({"track_id": [key[0]] * len(done), **{c: pd.Series(v, dtype=object) for c, v in columns.items()}})
 
 
 def _by_track(samples: DataFrame, processor: _InOrder, schema: str, delay: str) -> DataFrame:
