@@ -22,6 +22,18 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANK_CHARS))
 
 
+def trimmed(text: Column) -> Column:
+    """``strip`` of a plain column: only texts with a blank at an end, which are few, are trimmed."""
+    blanks = F.lit(BLANK_CHARS)
+    edge = F.contains(blanks, F.left(text, F.lit(1))) | F.contains(blanks, F.right(text, F.lit(1)))
+    return F.when(edge, strip(text)).otherwise(text)
+
+
+def is_blank(text: Column) -> Column:
+    """Whether nothing is left when stripped; looks at a text up to its first other character only."""
+    return F.ltrim(text, F.lit(BLANK_CHARS)) == ""
+
+
 def strip_body(text: Column) -> Column:
     """Trim Unicode blanks and separators, as bodies of cues need it."""
     return F.trim(text, F.lit(WIDE_BLANK_CHARS))

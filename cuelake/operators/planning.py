@@ -234,22 +234,46 @@ def prompt_rows(cues: DataFrame, mode: str, language: str = fixed.AUTO_LANGUAGE,
         "track_id", "chunk_no", "single", "samples_json", "before_json", "after_json", "payload", "prompt")
 
 
-def range_rows(ranges: DataFrame, split: DataFrame, context: int = fixed.CONTEXT_CUES) -> DataFrame:
-    """Ranges (track_id, first, past, ...) with the targets in (first, past] and the cues before and after them.
+def near_rows(split: DataFrame, mode: str) -> DataFrame:
+    """One row per chunk: its range (first, past], all cues ``near`` it in order, and what rules ``decided`` inside it.
 
-    Each range asks for its few positions, so cues and ranges meet on (track, pos), whatever the length of a track.
+    ``near`` holds the chunk and up to four cues on each side, so every part of the range finds its context there.
     """
-    keys = ranges.columns
-    asked = ranges.withColumn("pos", F.explode(F.sequence(F.col("first") + 1 - context, F.col("past") + context)))
-    near = asked.join(split.select("track_id", "pos", "text", "route"), ["track_id", "pos"])
-    cue = F.struct(F.col("pos").alias("id"), "text")
+    size, context, chunk = chunk_size(mode), fixed.CONTEXT_CUES, F.col("chunk_no")
+    place = F.pmod(F.col("pos") - 1, F.lit(size))
+    chunks = F.array_compact(F.array(chunk, F.when((place < context) & (chunk > 0), chunk - 1), F.when(place >= size - context, chunk + 1)))
+    cue = F.struct(F.col("pos").alias("id"), "text", "route")
+    inside = F.col("pos").between(F.col("chunk_no") * size + 1, (F.col("chunk_no") + 1) * size)
+    ruled = F.struct(F.col("pos").alias("id"), F.col("decision").alias("text"), "route")
+    return (split.select("track_id", "pos", "text", "route", "decision", F.explode(chunks).alias("chunk_no"))
+            .groupBy("track_id", "chunk_no").agg(
+                F.max(F.when(inside, F.col("pos"))).alias("past"), F.array_sort(F.collect_list(cue)).alias("near"),
+                F.collect_list(F.when(inside & (F.col("route") != "model"), ruled)).alias("decided"))
+            .where("past IS NOT NULL")
+            .select("track_id", (F.col("chunk_no") * size).alias("first"), "past", "near", "decided"))
+
+
+def range_rows(ranges: DataFrame, context: int = fixed.CONTEXT_CUES) -> DataFrame:
+    """Ranges (first, past, near, ...) with the targets in (first, past] and the cues before and after them, from ``near``.
+
+    Ranges without a cue for the model are left out.
+    """
+    first, past = F.col("first"), F.col("past")
 
     def listed(where):
-        return F.array_sort(F.collect_list(F.when(where, cue)))
-    inside = F.col("pos").between(F.col("first") + 1, F.col("past"))
-    return (near.groupBy(*keys).agg(listed(inside & (F.col("route") == "model")).alias("targets"), listed(F.col("pos") <= F.col("first")).alias("before"),
-                                    listed(F.col("pos") > F.col("past")).alias("after"))
-            .withColumn("samples", F.array().cast("array<struct<pos:bigint,text:string>>")))
+        return F.transform(F.filter("near", where), lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))
+
+    def target(c):
+        return c["id"].between(first + 1, past) & (c["route"] == "model")
+    return (ranges.where(F.exists("near", target))
+            .withColumns({"targets": listed(target), "before": listed(lambda c: c["id"].between(first + 1 - context, first)),
+                          "after": listed(lambda c: c["id"].between(past + 1, past + context)),
+                          "samples": F.array().cast("array<struct<pos:bigint,text:string>>")}))
+
+
+def near_range(context: int = fixed.CONTEXT_CUES):
+    """What a range and its parts can ask for of the cues in ``near``."""
+    return F.filter("near", lambda c: c["id"].between(F.col("first") + 1 - context, F.col("past") + context))
 
 
 def response_schema(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cuelake import fixed
 from cuelake.functions.text import WIDE_BLANK_CHARS, alnum_count, strip_body
@@ -229,3 +230,17 @@ def decision_parity(baseline: DataFrame, candidate: DataFrame, run: str, seq: st
 def infer(df: DataFrame, fn, schema: str) -> DataFrame:
     """Plug in any recogniser or model: ``fn`` maps pandas batches to pandas batches."""
     return df.mapInPandas(lambda batches: (fn(b) for b in batches), schema)
+
+
+def infer_beside(df: DataFrame, fn, inputs: list[str], made: str) -> DataFrame:
+    """``infer`` for a model that reads only ``inputs``: ``made`` is what it puts beside them, rows in the same order.
+
+    The other columns of a row wait for its answer where they are, so nothing has to be joined again.
+    """
+    names = [f.name for f in StructType.fromDDL(made)]
+
+    @F.pandas_udf(made)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return fn(rows)[names]
+    # Not deterministic: a model is asked once for a row, wherever its answer is used.
+    return df.withColumn("_made", run.asNondeterministic()(F.struct(*inputs))).select("*", "_made.*").drop("_made")

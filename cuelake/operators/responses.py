@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,16 +11,17 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from cuelake import fixed
 from cuelake.functions.replies import escape_controls, read_reply
-from cuelake.functions.text import strip
+from cuelake.functions.text import is_blank, strip, trimmed
 from cuelake.operators import planning
 from cuelake.operators.export import export_srt
-from cuelake.operators.ordered import div, number_rows
-from cuelake.operators.recognise import infer
+from cuelake.operators.ordered import div, running_sum, scan, total
+from cuelake.operators.recognise import infer_beside
 from cuelake.plans.cut import durable
 
 CUES = "array<struct<id:bigint,text:string>>"
 CUES_TYPE = ArrayType(StructType().add("id", LongType()).add("text", StringType()))
 THINK_END = "</think>"
+ASSISTANT = "Assistant:"  # in every marker
 
 # A reply that is plain, complete JSON of (id, text) objects and nothing else.
 _CHARS = r'[^"\\\x00-\x1f]*+'
@@ -34,7 +36,7 @@ def _after_last(text: Column, mark: str) -> Column:
 def assistant_extract(text: Column) -> Column:
     """What follows the last assistant marker, then the last end of thinking; trimmed."""
     answer = F.coalesce(*[F.when(F.contains(text, F.lit(m)), _after_last(text, m)) for m in fixed.ASSISTANT_MARKERS], text)
-    return strip(_after_last(strip(answer), THINK_END))
+    return strip(_after_last(F.when(F.contains(text, F.lit(ASSISTANT)), answer).otherwise(text), THINK_END))
 
 
 #: Replies whose cues are Python objects at one time.
@@ -42,25 +44,28 @@ REPLIES_AT_ONCE = 256
 
 
 @F.arrow_udf(CUES_TYPE)
-def _read_replies(replies: pa.Array) -> pa.Array:
+def _read_replies(replies: pa.Array, single: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("id", pa.int64()), ("text", pa.string())]))
 
-    def some(part):
-        found = [None if reply is None else read_reply(reply) for reply in part.to_pylist()]
-        return pa.array([None if cues is None else [{"id": i, "text": t} for i, t in cues] for cues in found], kind)
-    return pa.concat_arrays([some(replies.slice(at, REPLIES_AT_ONCE)) for at in range(0, max(1, len(replies)), REPLIES_AT_ONCE)])
-
+    def some(at):
+        part = zip(replies.slice(at, REPLIES_AT_ONCE).to_pylist(), single.slice(at, REPLIES_AT_ONCE).to_pylist())
+        found = [None if reply is None else read_reply(escape_controls(reply) if one else reply) for reply, one in part]
+        cues = [cue for cues in found for cue in cues or ()]
+        ids, texts = pa.array([i for i, _ in cues], pa.int64()), pa.array([t for _, t in cues], pa.string())
+        ends = [0, *accumulate(len(cues or ()) for cues in found)]
+        unread = pa.array([cues is None for cues in found], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([ids, texts], fields=list(kind.value_type)), type=kind, mask=unread)
+    return pa.concat_arrays([some(at) for at in range(0, max(1, len(replies)), REPLIES_AT_ONCE)])
 
-@F.pandas_udf(StringType())
-def _escape_controls(replies: pd.Series) -> pd.Series:
-    return replies.map(lambda r: None if r is None else escape_controls(r))
 
+def json_repair(reply: Column, single: Column | bool = False) -> Column:
+    """Cue list of a reply, null when unusable.  Only replies that are not plain JSON go to Python.
 
-def json_repair(reply: Column) -> Column:
-    """Cue list of a reply, null when unusable.  Only replies that are not plain JSON go to Python."""
+    In a ``single`` answer raw line breaks and tabs inside strings are escaped before anything else; plain JSON has none.
+    """
     plain = reply.rlike(PLAIN_REPLY)
     return (F.when(plain, F.from_json(reply, CUES))
-            .otherwise(_read_replies(F.when(~plain, reply))))
+            .otherwise(_read_replies(F.when(~plain, reply), F.lit(single) if isinstance(single, bool) else single)))
 
 
 def response_explode(responses: DataFrame) -> DataFrame:
@@ -107,11 +112,20 @@ def target_validate(responses: DataFrame, chunks: DataFrame, allow_empty: bool)
 
 def single_parse(answers: DataFrame) -> DataFrame:
     """Answers to one cue: ``raw, id, source, mode`` to ``status`` and ``answer``."""
-    answer = assistant_extract(F.col("raw"))
+    read = answers.withColumn("_text", assistant_extract(F.col("raw")))
+    read = read.withColumn("_cues", json_repair(F.when(_listed(F.col("_text")), F.col("_text")), single=True))
+    return _single_status(read).drop("_text", "_cues")
+
+
+def _listed(text: Column) -> Column:
+    return text.rlike(r"^[{\[]")
+
+
+def _single_status(answers: DataFrame) -> DataFrame:
+    """Adds ``status`` and ``answer`` to answers to one cue with their extracted ``_text`` and the ``_cues`` read from it."""
     text, clean = F.col("_text"), F.col("mode") == "clean"
-    listed = text.rlike(r"^[{\[]")
+    listed = _listed(text)
     removed = clean & (text == fixed.REMOVE_MARK)
-    cues = json_repair(_escape_controls(F.when(listed, text)))
     one = F.get("_cues", F.lit(0))
     fits = F.coalesce((F.size("_cues") == 1) & (one["id"] == F.col("id"))
                       & (clean | (strip(one["text"]) != "")), F.lit(False))
@@ -119,12 +133,10 @@ def single_parse(answers: DataFrame) -> DataFrame:
         text == F.concat(F.lit("Subtitle:\n"), strip(F.col("source"))))
     unusable = ((text == "") | F.startswith(text, F.lit("```")) | F.contains(text, F.lit("\nUser:"))
                 | F.contains(text, F.lit("\nAssistant:")) | echo)
-    return (answers.withColumn("_text", answer).withColumn("_cues", cues)
-            .withColumn("status", F.when(removed, "OK").when(listed & ~removed, F.when(fits, "OK").otherwise("INVALID"))
+    return (answers.withColumn("status", F.when(removed, "OK").when(listed & ~removed, F.when(fits, "OK").otherwise("INVALID"))
                         .when(unusable, "UNUSABLE").otherwise("OK"))
             .withColumn("answer", F.when(F.col("status") == "OK",
-                                         F.when(removed, "").when(listed, strip(one["text"])).otherwise(text)))
-            .drop("_text", "_cues"))
+                                         F.when(removed, "").when(listed, strip(one["text"])).otherwise(text))))
 
 
 def error_class(message: Column) -> Column:
@@ -144,12 +156,21 @@ def retry_action(message: Column, targets: Column, corrective: Column | None = N
             .otherwise("stop"))
 
 
-def split_ranges(failed: DataFrame) -> DataFrame:
-    """Halves of [first, past); the middle is counted on the range, not on its targets."""
+def next_ranges(failed: DataFrame) -> DataFrame:
+    """Halves of the ranges to split, (first, past] each, and the others once more with ``corrective`` true.
+
+    The middle is counted on the range, not on its targets.
+    """
     middle = F.col("first") + div(F.col("past") - F.col("first"), 2)
-    halves = F.array(F.struct("first", middle.alias("past")), F.struct(middle.alias("first"), "past"))
-    return (failed.withColumn("half", F.explode(halves))
-            .withColumn("first", F.col("half.first")).withColumn("past", F.col("half.past")).drop("half"))
+    halves = F.array(F.struct("first", middle.alias("past"), F.lit(False).alias("corrective")),
+                     F.struct(middle.alias("first"), "past", F.lit(False).alias("corrective")))
+    again = F.array(F.struct("first", "past", F.lit(True).alias("corrective")))
+    return (failed.withColumn("_next", F.explode(F.when(F.col("action") == "split", halves).otherwise(again)))
+            .withColumns({name: F.col(f"_next.{name}") for name in ("first", "past", "corrective")}).drop("_next"))
+
+
+#: Tasks of a round after the first, for each core of the session.
+TASKS_PER_CORE = 4
 
 
 def retry_plan(ranges: DataFrame, ask) -> DataFrame:
@@ -172,35 +193,31 @@ def retry_plan(ranges: DataFrame, ask) -> DataFrame:
         if failed.isEmpty():
             return done
         number += 1
-        halves = split_ranges(failed.where("action = 'split'").select(*ranges.columns)).withColumn("corrective", F.lit(False))
-        again = failed.where("action = 'retry'").select(*ranges.columns).withColumn("corrective", F.lit(True))
-        todo = halves.unionByName(again).withColumn("round", F.lit(number))
+        # What failed is a part of each task's rows and fewer in every round: a few tasks for each core are enough.
+        todo = (next_ranges(failed).select(*ranges.columns, F.lit(number).alias("round"), "corrective")
+                .coalesce(TASKS_PER_CORE * ranges.sparkSession.sparkContext.defaultParallelism))
 
 
 def decisions_merge(rules: DataFrame, answers: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All decisions (``track_id, pos, text, route``), and the cues that have none."""
     merged = (rules.select("track_id", "pos", "text", "route")
-              .unionByName(answers.select("track_id", "pos", strip(F.col("text")).alias("text"),
+              .unionByName(answers.select("track_id", "pos", trimmed(F.col("text")).alias("text"),
                                           F.lit("model").alias("route"))))
     missing = cues.select("track_id", "pos").join(merged, ["track_id", "pos"], "left_anti")
     return merged, missing
 
 
-def undecided_tracks(cues: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Tracks of which some cue has no decision; their result would be incomplete."""
-    known = decisions.where(F.col("text").isNotNull()).select("track_id", "pos")
-    return cues.select("track_id", "pos").join(known, ["track_id", "pos"], "left_anti").select("track_id").distinct()
-
-
 def decided_cues(cues: DataFrame, decisions: DataFrame) -> DataFrame:
     """Original times with the decided text; cues decided away are gone, numbers are new.
 
     Tracks with an undecided cue are left out whole; ``result_summary`` counts such cues.
     """
-    kept = (cues.drop("text").join(decisions.select("track_id", "pos", "text"), ["track_id", "pos"])
-            .where(strip(F.col("text")) != "")
-            .join(undecided_tracks(cues, decisions), "track_id", "left_anti"))
-    return (number_rows(kept, ["track_id"], ["pos"], "new_pos").drop("pos")
+    known = decisions.where(F.col("text").isNotNull()).select("track_id", "pos", "text")
+    both = cues.drop("text").join(known, ["track_id", "pos"], "left")
+    kept, undecided = ~is_blank(F.coalesce("text", F.lit(""))), F.col("text").isNull()
+    # One join and one scan: new numbers count kept cues, and a track's undecided ones are known beside each of its cues.
+    return (scan(both, ["track_id"], ["pos"], new_pos=running_sum(kept.cast("long")), undecided=total(undecided.cast("long")))
+            .where((F.col("undecided") == 0) & kept).drop("pos", "undecided")
             .withColumnRenamed("new_pos", "pos"))
 
 
@@ -240,44 +257,44 @@ def judged(answers: DataFrame, mode: str) -> DataFrame:
 
     A range of several cues is answered by a list that fits it, a single cue by its text or such a list.
     """
-    many = json_repair(assistant_extract(F.when(F.size("targets") > 1, F.col("raw"))))
+    several, text, cues = F.size("targets") > 1, F.col("_text"), F.col("_cues")
     ids = F.transform("targets", lambda c: c["id"])
     first = F.get("targets", F.lit(0))
-    read = single_parse(answers.withColumns({"_many": many, "id": first["id"], "source": first["text"], "mode": F.lit(mode)}))
-    fits = F.coalesce(F.when(F.size("targets") > 1, target_verdict(F.col("_many"), ids, mode == "clean") == "OK")
-                      .otherwise(F.col("status") == "OK"), F.lit(False))
-    taken = F.when(F.size("targets") > 1, F.filter("_many", lambda c: F.array_contains(ids, c["id"]))).otherwise(
-        F.array(F.struct(F.col("id"), F.col("answer").alias("text"))))
-    return (read.withColumn("error", F.when(F.col("error").isNotNull(), F.col("error")).when(~fits, UNUSABLE_ANSWER))
+    read = (answers.withColumns({"_text": assistant_extract(F.col("raw")), "id": first["id"], "source": first["text"], "mode": F.lit(mode)})
+            .withColumns({"_ids": ids, "_cues": json_repair(F.when(several | _listed(text), text), single=~several)})
+            .withColumn("_text", F.when(~several, text)).withColumn("_mine", F.when(several, F.filter(cues, lambda c: F.array_contains("_ids", c["id"])))))
+    # The targets' ids in their order, none twice: what ``target_verdict`` calls OK.
+    listed = F.transform("_mine", lambda c: c["id"]) == F.col("_ids")
+    empty = F.lit(mode == "translate") & F.coalesce(F.exists("_mine", lambda c: is_blank(c["text"])), F.lit(False))
+    fits = F.coalesce(F.when(several, listed & ~empty).otherwise(F.col("status") == "OK"), F.lit(False))
+    taken = F.when(several, F.col("_mine")).otherwise(F.array(F.struct(F.col("id"), F.col("answer").alias("text"))))
+    return (_single_status(read).withColumn("error", F.when(F.col("error").isNotNull(), F.col("error")).when(~fits, UNUSABLE_ANSWER))
             .withColumn("cues", F.when(F.col("error").isNull(), taken))
-            .drop("_many", "id", "source", "mode", "status", "answer"))
+            .drop("raw", "_text", "_cues", "_ids", "_mine", "id", "source", "mode", "status", "answer"))
 
 
 def model_loop(cues: DataFrame, mode: str, model, **options) -> tuple[DataFrame, DataFrame]:
     """Decisions for every cue and what became of every range, from rules and a model.
 
     ``model`` maps pandas batches with ``prompt``, ``payload``, ``single`` and ``corrective`` to the same rows with
-    ``raw`` and ``error`` beside them; it runs in ``recognise.infer``.  What rules decide is not asked.  Ranges whose
+    ``raw`` and ``error`` beside them; it runs in ``recognise.infer_beside``.  What rules decide is not asked.  Ranges whose
     answer does not fit are halved or asked once more as ``retry_plan`` says; cues of ranges that stop stay undecided.
+    A range brings the cues it asks about along, so a round moves nothing and reads only what failed before it.
     """
     strength = options.get("strength", "balanced")
-    split = durable(planning.work_split(cues, mode, strength).select("track_id", "pos", "text", "route", "decision", "chunk_no"))
+    chunks = durable(planning.near_rows(planning.work_split(cues, mode, strength), mode))
     wording = {"language": fixed.AUTO_LANGUAGE, "strength": strength, "guidance": "", "source": fixed.AUTO_LANGUAGE, "templates": planning.TEMPLATES, **options}
+    reads = ["prompt", "payload", "single", "corrective"]
 
     def ask(todo: DataFrame) -> DataFrame:
-        rows = planning.range_rows(todo, split)
-        prompts = planning.worded(rows.where(F.size("targets") > 0), mode, **wording).select(*todo.columns, "targets", "prompt", "payload", "single")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != "targets") + ", raw string, error string"
-        # Only what the model reads goes to Python; targets meet their answers again on the range.
-        key = ["track_id", "first", "past"]
-        found = infer(prompts.drop("targets"), model, schema).select(*key, "raw", "error")
-        answered = prompts.select(*todo.columns, "targets").join(found, key)
-        return judged(answered, mode).withColumn("targets", F.size("targets").cast("long")).drop("raw")
-
-    ranges = (split.groupBy("track_id", "chunk_no").agg(F.max("pos").alias("past"), F.count_if(F.col("route") == "model").alias("asked"))
-              .where("asked > 0").select("track_id", (F.col("chunk_no") * planning.chunk_size(mode)).alias("first"), "past"))
-    settled = retry_plan(ranges, ask)
+        prompts = planning.worded(planning.range_rows(todo), mode, **wording).select(*todo.columns, "targets", *(c for c in reads if c not in todo.columns))
+        answered = infer_beside(prompts, model, reads, "raw string, error string").select(*todo.columns, "targets", "raw", "error")
+        found = judged(answered, mode)
+        # Only ranges that may be asked again need their cues.
+        return found.withColumns({"targets": F.size("targets").cast("long"), "near": F.when(F.col("error").isNotNull(), planning.near_range())})
+
+    settled = retry_plan(chunks.drop("decided"), ask).drop("near")
     answers = settled.where("action = 'done'").select("track_id", F.explode("cues").alias("c")).select("track_id", F.col("c.id").alias("pos"), "c.text")
-    rules = split.where("route <> 'model'").select("track_id", "pos", F.col("decision").alias("text"), "route")
+    rules = chunks.select("track_id", F.explode("decided").alias("c")).select("track_id", F.col("c.id").alias("pos"), "c.text", "c.route")
     decisions, _ = decisions_merge(rules, answers, cues)
     return decisions, settled.drop("cues")

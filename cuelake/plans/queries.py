@@ -604,7 +604,7 @@ def model_loop(s, d):
     """From cues to files: prompts, a model that misbehaves by rule, checks, retries, decisions, whole tracks only."""
     lines = V.cues_v(s, d)
     decisions, _ = responses.model_loop(lines, "translate", misbehaving, language="German", source="English")
-    return responses.result_render(lines, durable(decisions))
+    return responses.result_render(lines, decisions)
 
 
 @query

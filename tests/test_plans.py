@@ -106,3 +106,41 @@ def test_chunks_meet_their_samples_in_place(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Texts by document for chunks, samples and what blocks carry, and the few carried rows themselves.
     assert text.count("REPARTITION_BY_COL") == 3 and text.count("Exchange") <= 6
+
+
+def test_rounds_of_the_model_move_nothing(spark, monkeypatch):
+    from cuelake.operators import responses
+    from cuelake.plans.queries import QUERIES
+    seen, durable = [], responses.durable
+
+    def kept(df):
+        seen.append((plan(df), df.rdd.getNumPartitions()))
+        return durable(df)
+    monkeypatch.setattr(responses, "durable", kept)
+    monkeypatch.setattr(responses, "TASKS_PER_CORE", 1)
+    found = QUERIES["model_loop"](spark, FOLDER)
+    (chunks, _), *rounds = seen
+    assert chunks.count("Exchange") == 1 and len(rounds) >= 5
+    for text, tasks in rounds:
+        assert "Exchange" not in text and "Join" not in text and text.count("ArrowEvalPython") == 2 and tasks <= 8
+    # Cues meet their decisions in one join, and no other one tells undecided tracks.
+    assert "LeftAnti" not in plan(found)
+
+
+def test_ranges_find_their_context_in_their_chunk(spark):
+    from pyspark.sql import functions as F
+
+    from cuelake.operators import planning
+    from cuelake.operators.ordered import with_blocks
+    rows = [(1, i, "7" if i in (3, 20) else f"cue {i}") for i in range(1, 22)]
+    cues = with_blocks(spark.createDataFrame(rows, "track_id long, pos long, text string"), "pos")
+    chunks = planning.near_rows(planning.work_split(cues, "translate"), "translate")
+    assert [(r.first, r.past, [c.id for c in r.near], [c.id for c in r.decided]) for r in chunks.orderBy("first").collect()] == [
+        (0, 8, list(range(1, 13)), [3]), (8, 16, list(range(5, 21)), []), (16, 21, list(range(13, 22)), [20])]
+    half = chunks.where("first = 8").withColumns({"first": F.lit(10).cast("long"), "past": F.lit(12).cast("long")})
+    row = planning.range_rows(half.withColumn("near", planning.near_range())).first()
+    assert [[c.id for c in row[name]] for name in ("near", "before", "targets", "after")] == [
+        list(range(7, 17)), [7, 8, 9, 10], [11, 12], [13, 14, 15, 16]]
+    # A range without a cue for the model asks nothing.
+    none = chunks.where("first = 0").withColumns({"first": F.lit(2).cast("long"), "past": F.lit(3).cast("long")})
+    assert planning.range_rows(none).isEmpty()
