@@ -23,9 +23,9 @@ def strip(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """``strip`` of a plain column: only texts with a blank at an end, which are few, are trimmed."""
-    blanks = F.lit(BLANK_CHARS)
-    edge = F.contains(blanks, F.left(text, F.lit(1))) | F.contains(blanks, F.right(text, F.lit(1)))
+    """``strip`` of a plain column: only texts that begin with a blank, or end with the last byte of one, are walked through."""
+    last = sorted({c.encode()[-1:].hex().upper() for c in BLANK_CHARS})
+    edge = F.ascii(text).isin([ord(c) for c in BLANK_CHARS]) | F.hex(F.substring(text.cast("binary"), -1, 1)).isin(last)
     return F.when(edge, strip(text)).otherwise(text)
 
 

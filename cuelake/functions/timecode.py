@@ -15,8 +15,12 @@ def seconds_to_ms(seconds: Column) -> Column:
 
 def format_ms(ms: Column) -> Column:
     ms = F.greatest(ms, F.lit(0)).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", div(ms, 3_600_000),
-                           div(ms, 60_000) % 60, div(ms, 1000) % 60, ms % 1000)
+    hours = div(ms, 3_600_000)
+
+    def digits(value, count):
+        return F.lpad(value.cast("string"), count, "0")
+    return F.concat(F.when(hours < 10, F.lit("0")).otherwise(""), hours.cast("string"), F.lit(":"), digits(div(ms, 60_000) % 60, 2),
+                    F.lit(":"), digits(div(ms, 1000) % 60, 2), F.lit(","), digits(ms % 1000, 3))
 
 
 def parse_ms(code: Column) -> Column:

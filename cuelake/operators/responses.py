@@ -36,7 +36,8 @@ def _after_last(text: Column, mark: str) -> Column:
 def assistant_extract(text: Column) -> Column:
     """What follows the last assistant marker, then the last end of thinking; trimmed."""
     answer = F.coalesce(*[F.when(F.contains(text, F.lit(m)), _after_last(text, m)) for m in fixed.ASSISTANT_MARKERS], text)
-    return strip(_after_last(F.when(F.contains(text, F.lit(ASSISTANT)), answer).otherwise(text), THINK_END))
+    answer = F.when(F.contains(text, F.lit(ASSISTANT)), answer).otherwise(text)
+    return strip(F.when(F.contains(text, F.lit(THINK_END)), _after_last(answer, THINK_END)).otherwise(answer))
 
 
 #: Replies whose cues are Python objects at one time.

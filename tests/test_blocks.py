@@ -287,3 +287,29 @@ def test_reading_order_of_a_crowded_frame(spark):
     for frame, seq, y, x, h, text in sorted(rows, key=lambda r: (r[0], round(r[2] / 6), r[3], r[1])):
         want.setdefault(frame, []).append(text)
     assert {r.frame: r.text.split("\n") for r in recognise.reading_order(df).collect()} == want
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_decided_cues_do_not_depend_on_blocks(spark, size):
+    from cuelake.operators import responses
+    rng = random.Random(size)
+    cues = [(t, p, 100 * p, 100 * p + 50, "x") for t, n in tracks(rng, many=30).items() for p in range(1, n + 1)]
+    # Track 1 and every third other one lack a decision or have an empty one; the huge track is whole.
+    said = [(t, p, None if t % 3 == 1 and p == 1 and t % 2 else rng.choice(["a", " b\t", "", "　"])) for t, p, *_ in cues if not (t % 3 == 1 and p == 1 and t % 2 == 0)]
+    table = blocked(spark.createDataFrame(cues, "track_id long, pos long, start_ms long, end_ms long, text string"), size)
+    found = responses.decided_cues(table, spark.createDataFrame(said, "track_id long, pos long, text string"))
+    want, seen = [], {}
+    for t, p, text in sorted(said, key=lambda r: r[:2]):
+        if t % 3 != 1 and text.strip():
+            seen[t] = seen.get(t, 0) + 1
+            want.append((t, seen[t], 100 * p, text))
+    assert sorted(tuple(r) for r in found.select("track_id", "pos", "start_ms", "text").collect()) == want
+
+
+def test_trimmed_equals_strip(spark):
+    from cuelake.functions.text import BLANK_CHARS, is_blank, strip, trimmed
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([*BLANK_CHARS, *"ab槽ࠀ\x1c\x00\xe9", "\U0001d49c"]) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    same = trimmed(F.col("t")).eqNullSafe(strip(F.col("t"))) & is_blank(F.col("t")).eqNullSafe(strip(F.col("t")) == "")
+    assert df.where(~same).isEmpty()
