@@ -214,7 +214,8 @@ def decided_cues(cues: DataFrame, decisions: DataFrame) -> DataFrame:
     Tracks with an undecided cue are left out whole; ``result_summary`` counts such cues.
     """
     known = decisions.where(F.col("text").isNotNull()).select("track_id", "pos", "text")
-    both = cues.drop("text").join(known, ["track_id", "pos"], "left")
+    # Stated here, the rule that a cue has a track stands before every shuffle of the cues alike, so they are shuffled once.
+    both = cues.where(F.col("track_id").isNotNull()).drop("text").join(known, ["track_id", "pos"], "left")
     kept, undecided = ~is_blank(F.coalesce("text", F.lit(""))), F.col("text").isNull()
     # One join and one scan: new numbers count kept cues, and a track's undecided ones are known beside each of its cues.
     return (scan(both, ["track_id"], ["pos"], new_pos=running_sum(kept.cast("long")), undecided=total(undecided.cast("long")))

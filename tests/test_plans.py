@@ -125,6 +125,8 @@ def test_rounds_of_the_model_move_nothing(spark, monkeypatch):
         assert "Exchange" not in text and "Join" not in text and text.count("ArrowEvalPython") == 2 and tasks <= 8
     # Cues meet their decisions in one join, and no other one tells undecided tracks.
     assert "LeftAnti" not in plan(found)
+    # Below both shuffles of the texts stands the same, so one of them is used twice.
+    assert plan(found).count("REPARTITION_BY_COL") == plan(found).count("Filter isnotnull(doc_id") == 2
 
 
 def test_ranges_find_their_context_in_their_chunk(spark):
