@@ -10,12 +10,16 @@ state is its rows of the last ``delay`` and a few values.
 from __future__ import annotations
 
 import json
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from cuelake.functions.text import fold_text
 from cuelake.operators.runs import log_sanitise, stage_classify
@@ -23,6 +27,7 @@ from cuelake.operators.sampling import BEFORE_FIRST, gate_walk, repair_times
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = StructType().add("json", StringType())
+PIECE = StructType().add("rows", BinaryType())
 HALF_SECOND_US = 500_000
 
 
@@ -31,31 +36,39 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Groups of tracks, at most; each is one key of the state store.
+GROUPS = 1024
+#: Rows of one element of the waiting list, at most.
+PIECE_ROWS = 16384
+#: The group of rows without a track, and the ``n`` of rows without a number: a missing value would turn whole numbers to floats.
+NO_TRACK = -1
+NO_NUMBER = -(1 << 63)
+
+
 class _InOrder(StatefulProcessor):
-    """Lets a track's rows wait until the watermark has passed them, then walks them in order.
+    """Lets rows wait until the watermark has passed them, then walks each track's rows in order.
 
-    A subclass names the columns of a row (``ts_us`` and ``n`` first), the columns it gives and the start of its
-    walk's state, and walks one row at a time.  There is one timer per track, at the earliest waiting row or at what
-    else the walk waits for.
+    Every call to the state store is a round trip, so the tracks of a group share a key: one list of waiting rows (in
+    packed pieces) and one timer, at the earliest waiting row or at what else a walk waits for.  A subclass names the
+    columns of a row (``ts_us`` and ``n`` first), the columns it gives and the start of its walk's state, and walks
+    the rows of one track at a time.
     """
 
-    columns: dict[str, str] = {}
+    columns: dict[str, pa.DataType] = {}
     gives: list[str] = []
     start: dict = {}
 
     def init(self, handle):
         self._handle = handle
-        self._state = handle.getValueState("track", STATE)
-        row = StructType()
-        for name, kind in self.columns.items():
-            row.add(name, kind)
-        self._waiting = handle.getListState("waiting", row)
+        self._state = handle.getValueState("tracks", STATE)
+        self._waiting = handle.getListState("waiting", PIECE)
+        self._row = pa.schema([("track_id", pa.int64()), *self.columns.items()])
 
     def close(self):
         pass
 
-    def walk(self, state, row, done):
-        """Take one row (a tuple in order of ``columns``); append what is final to ``done``."""
+    def walk(self, state, rows, done):
+        """Take a track's rows (tuples in order of ``columns``); append what is final to ``done``."""
         raise NotImplementedError
 
     def passed(self, state, watermark_ms, done):
@@ -66,88 +79,117 @@ class _InOrder(StatefulProcessor):
         return None
 
     def _load(self):
-        # Every call to the store is a round trip, so it is asked once.
         known = self._state.get()
-        return json.loads(known[0]) if known is not None else {"timer": None, "next": None, "walk": dict(self.start)}
+        return json.loads(known[0]) if known is not None else {"timer": None, "next": None, "walks": []}
 
     def handleInputRows(self, key, rows, timerValues):
-        state, names, arrived = self._load(), list(self.columns), []
-        for pdf in rows:
-            # Only a missing value differs from itself.
-            came = (tuple(None if x is None or x != x else x for x in row) for row in zip(*(pdf[c].astype(object).tolist() for c in names)))
-            # A row without a number is no sample; one without a time is behind every watermark.
-            arrived += [(-1 if row[0] is None else int(row[0]), int(row[1]), *row[2:]) for row in came if row[1] is not None]
-        done = []
-        if arrived:
-            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done, arrived)
-        if done:
-            yield self._frame(key, done)
+        arrived = pa.concat_tables([pa.Table.from_pandas(pdf, self._row, preserve_index=False) for pdf in rows])
+        # A row without a number is no sample.
+        arrived = arrived.filter(pc.not_equal(arrived["n"], NO_NUMBER)).replace_schema_metadata()
+        if arrived.num_rows:
+            yield from self._go_on(key, self._load(), timerValues.getCurrentWatermarkInMs(), arrived)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, done = self._load(), []
+        state = self._load()
         if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
             state["timer"] = None
-            self._go_on(state, timerValues.getCurrentWatermarkInMs(), done)
-        if done:
-            yield self._frame(key, done)
+            yield from self._go_on(key, state, timerValues.getCurrentWatermarkInMs(), self._row.empty_table())
 
-    def _go_on(self, state, watermark_ms, done, arrived=()):
+    def _go_on(self, key, state, watermark_ms, arrived):
         """Walk what event time has passed; rows go to the store only if they have to wait."""
-        stored = state["next"] is not None
-        earliest = min([row[0] // 1000 for row in arrived] + [state["next"]] * stored, default=None)
-        if earliest is not None and earliest < watermark_ms:
-            rows = [*(tuple(row) for row in (self._waiting.get() if stored else ())), *arrived]
-            rest = [row for row in rows if row[0] // 1000 >= watermark_ms]
-            for row in sorted((row for row in rows if row[0] // 1000 < watermark_ms), key=lambda row: row[:2]):
-                self.walk(state["walk"], row, done)
-            if rest:
-                self._waiting.put(rest)
-            elif stored:
-                self._waiting.clear()
-            earliest = min((row[0] // 1000 for row in rest), default=None)
-        elif arrived:
-            self._waiting.appendList(arrived)
-        state["next"] = earliest
-        self.passed(state["walk"], watermark_ms, done)
-        wake = min((x for x in (state["next"], self.wakes_at(state["walk"])) if x is not None), default=None)
-        wake = None if wake is None else wake + 1
+        walks, found, rows = dict(state["walks"]), [], arrived
+        stored = state["next"] is not None and state["next"] // 1000 < watermark_ms
+        if stored:
+            rows, state["next"] = pa.concat_tables([*(_unpacked(piece) for (piece,) in self._waiting.get()), arrived]), None
+        is_due = pc.less(rows["ts_us"], watermark_ms * 1000)
+        for track, due in self._in_order(rows.filter(is_due)):
+            self._tell(found, track, self.walk, walks.setdefault(track, dict(self.start)), due)
+        self._keep(rows.filter(pc.invert(is_due)), state, afresh=stored)
+        for track, walk in walks.items():
+            self._tell(found, track, self.passed, walk, watermark_ms)
+        # A track that begins anew needs no state.
+        state["walks"] = [(track, walk) for track, walk in walks.items() if walk != self.start]
+        self._wake(state)
+        self._state.update((json.dumps(state),))
+        if found:
+            columns = dict(zip(("track_id", *self.gives), zip(*found)))
+            if key[0] == NO_TRACK:
+                columns["track_id"] = [None] * len(found)
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
+
+    def _in_order(self, rows):
+        """Tracks and their rows in order of (time, number)."""
+        rows = rows.sort_by([("track_id", "ascending"), ("ts_us", "ascending"), ("n", "ascending")])
+        columns = [rows[name].to_pylist() for name in self._row.names]
+        for track, same in groupby(zip(*columns), key=itemgetter(0)):
+            yield track, [row[1:] for row in same]
+
+    @staticmethod
+    def _tell(found, track, step, *given):
+        done = []
+        step(*given, done)
+        found += [(track, *row) for row in done]
+
+    def _keep(self, rest, state, afresh):
+        """Store rows that wait, beside the stored ones or in their place."""
+        if afresh and not rest.num_rows:
+            self._waiting.clear()
+        for at in range(0, rest.num_rows, PIECE_ROWS):
+            (self._waiting.put if afresh and at == 0 else self._waiting.appendList)([(_packed(rest.slice(at, PIECE_ROWS)),)])
+        state["next"] = min((x for x in (state["next"], pc.min(rest["ts_us"]).as_py()) if x is not None), default=None)
+
+    def _wake(self, state):
+        times = [None if state["next"] is None else state["next"] // 1000, *(self.wakes_at(walk) for _, walk in state["walks"])]
+        wake = min((x + 1 for x in times if x is not None), default=None)
         if wake != state["timer"]:
             if state["timer"] is not None:
                 self._handle.deleteTimer(state["timer"])
             if wake is not None:
                 self._handle.registerTimer(wake)
             state["timer"] = wake
-        self._state.update((json.dumps(state),))
 
-    def _frame(self, key, done):
-        columns = dict(zip(self.gives, zip(*done)))
-        return pd.DataFrame({"track_id": [key[0]] * len(done), **{c: pd.Series(v, dtype=object) for c, v in columns.items()}})
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(piece: bytes) -> pa.Table:
+    return pa.ipc.open_stream(piece).read_all()
 
 
 def _by_track(samples: DataFrame, processor: _InOrder, schema: str, delay: str) -> DataFrame:
     # The watermark's column does not reach the operator: rows behind the watermark would be dropped before it.
     timed = samples.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
-    return (timed.select("track_id", *processor.columns).groupBy("track_id")
-            .transformWithStateInPandas(processor, f"track_id long, {schema}", "append", "eventTime"))
+    # A row without a time is behind every watermark.
+    given = {"ts_us": F.coalesce("ts_us", F.lit(-1)), "n": F.coalesce("n", F.lit(NO_NUMBER))}
+    group = F.when(F.col("track_id").isNull(), NO_TRACK).otherwise(F.pmod(F.xxhash64("track_id"), F.lit(GROUPS)))
+    return (timed.select(group.alias("group"), F.coalesce("track_id", F.lit(NO_TRACK)).alias("track_id"),
+                         *(given.get(c, F.col(c)).alias(c) for c in processor.columns))
+            .groupBy("group").transformWithStateInPandas(processor, f"track_id long, {schema}", "append", "eventTime"))
 
 
 class _Gate(_InOrder):
     """``newest`` is the latest arrival time walked, ``last`` the last given time, ``kept`` that of the last kept row."""
 
-    columns = {"ts_us": "long", "n": "long", "pts_ms": "double", "fps": "double", "changed": "boolean"}
+    columns = {"ts_us": pa.int64(), "n": pa.int64(), "pts_ms": pa.float64(), "fps": pa.float64(), "changed": pa.bool_()}
     gives = ["n", "ts_us", "repaired", "kept", "late"]
     start = {"newest": None, "last": BEFORE_FIRST, "kept": None}
 
     def __init__(self, interval_us):
         self.interval_us = interval_us
 
-    def walk(self, state, row, done):
-        at, n, pts, fps, changed = row
-        (time,), (repaired,), state["last"] = repair_times([(n - 1, -1 if pts is None else pts, fps)], state["last"])
-        (kept,), state["kept"] = gate_walk([(time, bool(changed))], state["kept"], self.interval_us)
-        late = state["newest"] is not None and [at, n] < state["newest"]
-        state["newest"] = state["newest"] if late else [at, n]
-        done.append((n, time, bool(repaired), bool(kept), late))
+    def walk(self, state, rows, done):
+        times, repaired, state["last"] = repair_times([(n - 1, -1 if pts is None else pts, fps) for _, n, pts, fps, _ in rows], state["last"])
+        kept, state["kept"] = gate_walk(zip(times, (bool(row[4]) for row in rows)), state["kept"], self.interval_us)
+        newest = state["newest"]
+        for (at, n, *_), time, again, keep in zip(rows, times, repaired, kept):
+            late = newest is not None and [at, n] < newest
+            newest = newest if late else [at, n]
+            done.append((n, time, again, keep, late))
+        state["newest"] = newest
 
 
 def stream_ocr_gate(samples: DataFrame, interval_us: int, delay: str = "0 seconds") -> DataFrame:
@@ -172,15 +214,18 @@ class _Cues(_InOrder):
     still grow; ``before`` is the key of the event before ``event``, null after an empty one.
     """
 
-    columns = {"ts_us": "long", "n": "long", "text": "string", "changed": "boolean"}
+    columns = {"ts_us": pa.int64(), "n": pa.int64(), "text": pa.string(), "changed": pa.bool_()}
     gives = ["cue_n", "start_us", "end_us", "text", "given_us"]
     start = {"sample": None, "n": None, "kept": None, "event": None, "before": None, "cue": None}
 
     def __init__(self, interval_us, tail_us, idle_us):
         self.interval_us, self.tail_us, self.idle_us = interval_us, tail_us, idle_us
 
-    def walk(self, state, row, done):
-        time, n, text, changed = row
+    def walk(self, state, rows, done):
+        for row in rows:
+            self._take(state, *row, done)
+
+    def _take(self, state, time, n, text, changed, done):
         if state["sample"] is not None and (time, n) <= (state["sample"], state["n"]):
             # Behind what was accepted already: one sample step after it, and told.
             time, given = state["sample"] + self.tail_us, time

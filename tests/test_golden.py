@@ -522,6 +522,39 @@ def test_gate_takes_rows_in_event_order_and_drops_none(spark):
     assert sorted((r.n, r.ts_us, r.repaired) for r in found if r.track_id == 2) == [(1, 0, True), (2, 250_000, True)]
 
 
+def test_tracks_share_keys_of_the_state_store(spark, tmp_path):
+    """6,000 tracks keep fewer rows of state than there are tracks; large ids and rows without a track stay as they are."""
+    from cuelake.streaming import tracks
+    first, count = 1 << 60, 6000
+    odd = [(None, 2, 900_000, 9.0, 4.0, True), (None, 1, 100_000, 5.0, 4.0, None), (None, None, 9_000_000, None, None, None)]
+    kind = "track_id long, n long, ts_us long, pts_ms double, fps double, changed boolean"
+    rows = spark.range(first, first + count).select(F.col("id").alias("track_id"), F.lit(1).cast("long").alias("n"), F.lit(7_000_000).cast("long").alias("ts_us"),
+                                                    F.lit(1.0).alias("pts_ms"), F.lit(4.0).alias("fps"), F.lit(False).alias("changed"))
+    rows.unionByName(spark.createDataFrame(odd, kind)).write.parquet(f"{tmp_path}/in")
+    own = spark.newSession()
+    tracks.use_rocksdb(own)
+    own.conf.set("spark.sql.shuffle.partitions", 8)
+    gated = tracks.stream_ocr_gate(own.readStream.schema(kind).parquet(f"{tmp_path}/in"), 1_000_000)
+    run = (gated.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.track_id for r in found if r.track_id is not None) == list(range(first, first + count))
+    assert sorted((r.n, r.ts_us, r.kept) for r in found if r.track_id is None) == [(1, 5000, True), (2, 9000, True)]
+    assert 0 < run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < count
+
+
+@pytest.mark.parametrize("name", ["stream_cues", "stream_late_samples", "stream_late_audit"])
+def test_streams_of_few_groups_equal_sql(spark, monkeypatch, name):
+    """Tracks that share a key of the store stay apart."""
+    from __spark_entry__ import oracle_sql, queries
+    from compare import connect, difference
+    from cuelake.streaming import tracks
+    monkeypatch.setattr(tracks, "GROUPS", 3)
+    folder = "/root/testdata/sf0.001"
+    assert difference(spark, connect(folder), queries()[name], oracle_sql()[name], folder) is None
+
+
 def test_separators_are_blanks_of_bodies(spark):
     """U+001C to U+001F go at the ends of bodies and between words, as every blank does; answers of models keep them."""
     from cuelake.functions import text as X
