@@ -4,7 +4,7 @@ Samples may arrive in any order.  They wait in state until event time has passed
 order of (time, number), so a stream gives what the batch operators give wherever the watermark's delay covers the
 disorder.  Rows behind the watermark are not dropped: they go through the rules as soon as they arrive and get a new
 time after the last accepted one.  State lives in the state store, so a restart resumes where it stopped; a track's
-state is its rows of the last ``delay`` and a few values.
+state is its rows of the last ``delay`` and a few values.  Tracks share the store's keys by groups.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def use_rocksdb(spark) -> None:
 
 #: Groups of tracks, at most; each is one key of the state store.
 GROUPS = 1024
-#: Rows of one element of the waiting list, at most.
+#: Rows of one element of the waiting list, at most; as many are walked at once.
 PIECE_ROWS = 16384
 #: The group of rows without a track, and the ``n`` of rows without a number: a missing value would turn whole numbers to floats.
 NO_TRACK = -1
@@ -51,7 +51,7 @@ class _InOrder(StatefulProcessor):
     Every call to the state store is a round trip, so the tracks of a group share a key: one list of waiting rows (in
     packed pieces) and one timer, at the earliest waiting row or at what else a walk waits for.  A subclass names the
     columns of a row (``ts_us`` and ``n`` first), the columns it gives and the start of its walk's state, and walks
-    the rows of one track at a time.
+    rows of one track at a time.
     """
 
     columns: dict[str, pa.DataType] = {}
@@ -68,7 +68,7 @@ class _InOrder(StatefulProcessor):
         pass
 
     def walk(self, state, rows, done):
-        """Take a track's rows (tuples in order of ``columns``); append what is final to ``done``."""
+        """Take the next rows of a track (tuples in order of ``columns``); append what is final to ``done``."""
         raise NotImplementedError
 
     def passed(self, state, watermark_ms, done):
@@ -104,6 +104,9 @@ class _InOrder(StatefulProcessor):
         is_due = pc.less(rows["ts_us"], watermark_ms * 1000)
         for track, due in self._in_order(rows.filter(is_due)):
             self._tell(found, track, self.walk, walks.setdefault(track, dict(self.start)), due)
+            if len(found) >= PIECE_ROWS:
+                yield self._frame(key, found)
+                found.clear()
         self._keep(rows.filter(pc.invert(is_due)), state, afresh=stored)
         for track, walk in walks.items():
             self._tell(found, track, self.passed, walk, watermark_ms)
@@ -112,17 +115,15 @@ class _InOrder(StatefulProcessor):
         self._wake(state)
         self._state.update((json.dumps(state),))
         if found:
-            columns = dict(zip(("track_id", *self.gives), zip(*found)))
-            if key[0] == NO_TRACK:
-                columns["track_id"] = [None] * len(found)
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
+            yield self._frame(key, found)
 
     def _in_order(self, rows):
-        """Tracks and their rows in order of (time, number)."""
+        """Tracks and their rows in order of (time, number), of a long track a piece at a time."""
         rows = rows.sort_by([("track_id", "ascending"), ("ts_us", "ascending"), ("n", "ascending")])
-        columns = [rows[name].to_pylist() for name in self._row.names]
-        for track, same in groupby(zip(*columns), key=itemgetter(0)):
-            yield track, [row[1:] for row in same]
+        for at in range(0, rows.num_rows, PIECE_ROWS):
+            columns = [rows[name].slice(at, PIECE_ROWS).to_pylist() for name in self._row.names]
+            for track, same in groupby(zip(*columns), key=itemgetter(0)):
+                yield track, [row[1:] for row in same]
 
     @staticmethod
     def _tell(found, track, step, *given):
@@ -148,6 +149,12 @@ class _InOrder(StatefulProcessor):
                 self._handle.registerTimer(wake)
             state["timer"] = wake
 
+    def _frame(self, key, found):
+        columns = dict(zip(("track_id", *self.gives), zip(*found)))
+        if key[0] == NO_TRACK:
+            columns["track_id"] = [None] * len(found)
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
+
 
 def _packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()

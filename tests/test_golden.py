@@ -546,11 +546,12 @@ def test_tracks_share_keys_of_the_state_store(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["stream_cues", "stream_late_samples", "stream_late_audit"])
 def test_streams_of_few_groups_equal_sql(spark, monkeypatch, name):
-    """Tracks that share a key of the store stay apart."""
+    """Tracks that share a key of the store stay apart, also where their rows are cut into pieces."""
     from __spark_entry__ import oracle_sql, queries
     from compare import connect, difference
     from cuelake.streaming import tracks
     monkeypatch.setattr(tracks, "GROUPS", 3)
+    monkeypatch.setattr(tracks, "PIECE_ROWS", 7)
     folder = "/root/testdata/sf0.001"
     assert difference(spark, connect(folder), queries()[name], oracle_sql()[name], folder) is None
 
